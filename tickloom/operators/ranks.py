@@ -73,3 +73,12 @@ def order_position(df: DataFrame, x: str, tie: str, out: str = "pos") -> DataFra
     slot = F.floor((F.col(tie) - F.col("_span.lo")) * slots / (F.col("_span.hi") - F.col("_span.lo") + 1))
     place = _place(x) * slots + F.when(F.array_contains("_cuts", F.col(x)), slot).otherwise(0)
     return number_rows(d, (), (x, tie), piece=place.cast("bigint"), out=out).drop("_cuts", "_span")
+
+
+def fitted_buckets(df: DataFrame, x: str, n: int, out: str = "bucket", fit: Column | None = None) -> DataFrame:
+    """Bucket 0..n-1 by the quantile edges of x on the fit rows; a value on an edge belongs below it."""
+    rows = df if fit is None else df.where(fit)
+    edges = exact_quantiles(rows, x, {f"e{i}": i / n for i in range(1, n)})
+    pack = edges.select(F.array(*[f"e{i}" for i in range(1, n)])).scalar()
+    d = df.withColumn("_edges", pack)
+    return d.withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("_edges", lambda e: F.col(x) > e)))).drop("_edges")

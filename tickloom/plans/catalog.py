@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DIGITS = 6
+# Decimal averages often end exactly on half a digit; the nudge takes both sides off that edge.
+NUDGE = 3e-9
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ def _spark_col(name: str, kind: str):
     return {
         "s": x.cast("string"),
         "i": x.cast("bigint"),
-        "d": F.round(x.cast("double"), DIGITS) + F.lit(0.0),
+        "d": F.round(x.cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0),
         "t": F.date_format(x, "yyyy-MM-dd HH:mm:ss"),
         "b": x.cast("boolean"),
     }[kind].alias(name)
@@ -43,7 +45,7 @@ def _sql_col(name: str, kind: str) -> str:
     return {
         "s": f"cast({name} as varchar)",
         "i": f"cast({name} as bigint)",
-        "d": f"round(cast({name} as double), {DIGITS}) + 0.0",
+        "d": f"round(cast({name} as double) + {NUDGE}, {DIGITS}) + 0.0",
         "t": f"strftime({name}, '%Y-%m-%d %H:%M:%S')",
         "b": f"cast({name} as boolean)",
     }[kind] + f" AS {name}"
