@@ -135,42 +135,64 @@ _AGG = {
 }
 
 
-def running(df: DataFrame, cols: Mapping[str, tuple[str, Column]], *, keys: Sequence[str] = ("symbol",),
+def running(df: DataFrame, cols: Mapping[str, tuple], *, keys: Sequence[str] = ("symbol",),
             order: Sequence = ("bar_no",), piece: Column | None = None, forward: bool = False,
-            rows: int = CHUNK_ROWS) -> DataFrame:
-    """Unbounded running aggregates: {out: (sum|max|min|last|first, column)}.
+            resets: Mapping[str, Column] | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Unbounded running aggregates: {out: (sum|max|min|last|first, column[, reset])}.
 
-    A frame inside each piece and one carried value per piece; with
-    `forward=True` the frame runs from the row to the end of the key.
+    A frame inside each piece plus one carried value per piece. With
+    `forward=True` the frame runs from the row to the end of the key. A third
+    entry names one of `resets`: the frame then starts at the latest row where
+    that condition holds.
+
+    The plan reads df twice (rows and piece ends). Several aggregates belong in
+    one call; long chains of calls should be cut with `durable`.
     """
+    resets = resets or {}
     piece = F.floor(F.col(order[0]) / rows) if piece is None else piece
-    cut = df.withColumns({"_piece": piece, **{f"_x_{o}": x for o, (_, x) in cols.items()}})
+    cut = df.withColumns({"_piece": piece, **{f"_x_{o}": c[1] for o, c in cols.items()},
+                          **{f"_q_{r}": F.coalesce(x, F.lit(False)).cast("int") for r, x in resets.items()}})
     by = [*keys, "_piece"]
-    inside = Window.partitionBy(*by).orderBy(*order)
-    inside = (inside.rowsBetween(0, Window.unboundedFollowing) if forward
-              else inside.rowsBetween(Window.unboundedPreceding, 0))
+    back, ahead = Window.unboundedPreceding, Window.unboundedFollowing
+    whole = Window.partitionBy(*by).orderBy(*order)
+    inside = whole.rowsBetween(0, ahead) if forward else whole.rowsBetween(back, 0)
     across = Window.partitionBy(*keys).orderBy("_piece")
-    across = (across.rowsBetween(1, Window.unboundedFollowing) if forward
-              else across.rowsBetween(Window.unboundedPreceding, -1))
-
-    ends = []
-    for o, (kind, _) in cols.items():
-        x = F.col(f"_x_{o}")
-        if kind in ("last", "first"):
-            at = F.struct(*order)
-            pick = F.max_by if kind == "last" else F.min_by
-            ends.append(pick(x, F.when(x.isNotNull(), at)).alias(f"_e_{o}"))
+
+    local = cut.withColumns({f"_g_{r}": F.sum(f"_q_{r}").over(inside) for r in resets})
+    step = F.lag if forward else F.lead
+    vals = {"_is_tail": step(F.lit(1)).over(whole).isNull()}
+    for o, spec in cols.items():
+        w = inside
+        if len(spec) > 2:
+            w = Window.partitionBy(*by, f"_g_{spec[2]}").orderBy(*order).rowsBetween(back, 0)
+        vals[f"_l_{o}"] = _AGG[spec[0]](f"_x_{o}").over(w)
+    local = local.withColumns(vals)
+
+    ends = local.where("_is_tail").select(*by, *[f"_l_{o}" for o in cols], *[f"_g_{r}" for r in resets])
+    before = across.rowsBetween(1, ahead) if forward else across.rowsBetween(back, -1)
+    ends = ends.withColumns({f"_h_{r}": F.sum((F.col(f"_g_{r}") > 0).cast("int")).over(across.rowsBetween(back, 0)) for r in resets})
+    carried = {}
+    for o, spec in cols.items():
+        if len(spec) > 2:
+            seg = Window.partitionBy(*keys, f"_h_{spec[2]}").orderBy("_piece").rowsBetween(back, 0)
+            carried[f"_in_{o}"] = _AGG[spec[0]](f"_l_{o}").over(seg)
         else:
-            ends.append(_AGG[kind](x).alias(f"_e_{o}"))
-    carried = (cut.groupBy(*by).agg(*ends)
-               .select(*by, *[_AGG[k](f"_e_{o}").over(across).alias(f"_in_{o}") for o, (k, _) in cols.items()]))
-    local = cut.withColumns({f"_l_{o}": _AGG[k](f"_x_{o}").over(inside) for o, (k, _) in cols.items()})
-    both = local.join(carried, by)
+            carried[f"_in_{o}"] = _AGG[spec[0]](f"_l_{o}").over(before)
+    ends = ends.withColumns(carried)
+    late = {f"_in_{o}": F.lag(f"_in_{o}").over(across) for o, spec in cols.items() if len(spec) > 2}
+    ends = ends.withColumns(late).select(*by, *carried)
+
+    both = local.join(ends, by)
     out = {}
-    for o, (k, _) in cols.items():
+    for o, spec in cols.items():
         a, b = F.col(f"_in_{o}"), F.col(f"_l_{o}")
-        out[o] = _MERGE[k](b, a) if forward else _MERGE[k](a, b)
-    drop = ["_piece"] + [f"{p}{o}" for o in cols for p in ("_x_", "_l_", "_in_")]
+        if forward:
+            a, b = b, a
+        merged = _MERGE[spec[0]](a, b)
+        if len(spec) > 2:
+            merged = F.when(F.col(f"_g_{spec[2]}") > 0, F.col(f"_l_{o}")).otherwise(merged)
+        out[o] = merged
+    drop = ["_piece", "_is_tail"] + [f"{p}{o}" for o in cols for p in ("_x_", "_l_", "_in_")] + [f"{p}{r}" for r in resets for p in ("_q_", "_g_")]
     return both.withColumns(out).drop(*drop)
 
 

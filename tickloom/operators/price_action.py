@@ -9,7 +9,8 @@ from ..functions.exprs import clip, div, fill, flag, minute_of_day, sign, yes
 from .asof import asof_backward
 from .ewm import alpha_of, ewm_mean, reach
 from .indicators import day_window
-from .layout import Frames, in_chunks, running
+from .durable import durable
+from .layout import CHUNK_ROWS, Frames, in_chunks, number_rows, running
 from .resample import resample
 from .sequences import counts_since_reset, micro_channel, run_of
 
@@ -35,26 +36,17 @@ def direction(df: DataFrame, f: Frames, out: str = "dir") -> DataFrame:
 
 
 def bars_since_extreme(df: DataFrame, dir_col: str, out: str, keys=("symbol",)) -> DataFrame:
-    """Bars since the direction's run started or made a new extreme; neutral bars go on counting.
-
-    The extreme of a run so far is the running maximum of (run start, price):
-    run starts only grow, so the latest run always wins.
-    """
+    """Bars since the direction's run started or made a new extreme; neutral bars go on counting."""
     s = F.col(dir_col)
-    d = in_chunks(df, lambda x, f: x.withColumn("_chg", s != f.lag(s)), history=1, keys=keys)
-    d = running(d, {"_start": ("max", F.when(yes(F.col("_chg")) | (F.col("bar_no") == 0), F.col("bar_no")))}, keys=keys)
     price = F.when(s == 1, F.col("high")).when(s == -1, -F.col("low"))
-    d = running(d, {"_top": ("max", F.when(s != 0, F.struct(F.col("_start").alias("s"), price.alias("p"))))}, keys=keys)
-    d = d.withColumn("_price", price)
-
-    def mark(x, f):
-        prev = f.lag("_top")
-        new = (F.col("_start") == F.col("bar_no")) | ((prev["s"] == F.col("_start")) & (F.col("_price") >= prev["p"]))
-        return x.withColumn("_reset", (s != 0) & yes(new))
-    d = in_chunks(d, mark, history=1, keys=keys)
+    d = in_chunks(df, lambda x, f: x.withColumns({
+        "_new": yes(s != f.lag(s)) | (F.col("bar_no") == 0), "_price": price}), history=1, keys=keys)
+    d = running(d, {"_top": ("max", F.col("_price"), "run")}, resets={"run": F.col("_new")}, keys=keys)
+    d = in_chunks(d, lambda x, f: x.withColumn(
+        "_reset", (s != 0) & (F.col("_new") | yes(F.col("_price") >= f.lag("_top")))), history=1, keys=keys)
     d = running(d, {"_at": ("max", F.when(F.col("_reset"), F.col("bar_no")))}, keys=keys)
     return d.withColumn(out, F.coalesce(F.col("bar_no") - F.col("_at"), F.col("bar_no") + 1)).drop(
-        "_chg", "_start", "_top", "_price", "_reset", "_at")
+        "_new", "_price", "_top", "_reset", "_at")
 
 
 def twenty_bar_rule(df: DataFrame, dir_col: str = "dir") -> DataFrame:
@@ -65,17 +57,17 @@ def twenty_bar_rule(df: DataFrame, dir_col: str = "dir") -> DataFrame:
 def pullback_counts(df: DataFrame, dir_col: str = "dir", keys=("symbol",)) -> DataFrame:
     """New highs since the latest lower low of an up run (and mirrored); a new pullback restarts the count."""
     s = F.col(dir_col)
-    d = in_chunks(df, lambda x, f: x.withColumns({
-        "_nh": yes(F.col("high") > f.lag("high")), "_ll": yes(F.col("low") < f.lag("low")), "_chg": s != f.lag(s)}), history=1, keys=keys)
-    first = yes(F.col("_chg")) | (F.col("bar_no") == 0)
     up, down = s == 1, s == -1
-    d = running(d, {"_start": ("max", F.when(first, F.col("bar_no"))),
-                    "_ll_at": ("max", F.when(up & F.col("_ll"), F.col("bar_no"))),
-                    "_nh_at": ("max", F.when(down & F.col("_nh"), F.col("bar_no")))}, keys=keys)
-    d = counts_since_reset(d, {"_h": (up & F.col("_nh"), up & F.col("_ll")), "_l": (down & F.col("_ll"), down & F.col("_nh"))}, keys=keys)
-    h = F.when(up & yes(F.col("_ll_at") >= F.col("_start")), F.col("_h")).otherwise(0)
-    l = F.when(down & yes(F.col("_nh_at") >= F.col("_start")), F.col("_l")).otherwise(0)
-    d = d.withColumns({"pa_h_count": h, "pa_l_count": l})
+    d = in_chunks(df, lambda x, f: x.withColumns({
+        "_nh": yes(F.col("high") > f.lag("high")), "_ll": yes(F.col("low") < f.lag("low")),
+        "_new": yes(s != f.lag(s)) | (F.col("bar_no") == 0)}), history=1, keys=keys)
+    nh, ll = F.col("_nh"), F.col("_ll")
+    d = running(d, {
+        "_seen_h": ("max", (up & ll).cast("int"), "run"), "_seen_l": ("max", (down & nh).cast("int"), "run"),
+        "_h": ("sum", (up & nh).cast("bigint"), "low"), "_l": ("sum", (down & ll).cast("bigint"), "high"),
+    }, resets={"run": F.col("_new"), "low": F.col("_new") | (up & ll), "high": F.col("_new") | (down & nh)}, keys=keys)
+    d = d.withColumns({"pa_h_count": F.when(up & (F.col("_seen_h") == 1), F.col("_h")).otherwise(0),
+                       "pa_l_count": F.when(down & (F.col("_seen_l") == 1), F.col("_l")).otherwise(0)})
     out = {}
     for n in (1, 2, 3):
         out[f"pa_is_h{n}_setup"] = F.col("pa_h_count") == n
@@ -83,29 +75,30 @@ def pullback_counts(df: DataFrame, dir_col: str = "dir", keys=("symbol",)) -> Da
     out["pa_is_h4_setup"], out["pa_is_l4_setup"] = F.col("pa_h_count") >= 4, F.col("pa_l_count") >= 4
     out["pa_r09_short_setup"] = (s == -1) & (F.col("pa_h_count") >= 4)
     out["pa_r09_long_setup"] = (s == 1) & (F.col("pa_l_count") >= 4)
-    return d.withColumns(out).drop("_nh", "_ll", "_chg", "_start", "_ll_at", "_nh_at", "_h", "_l")
+    return d.withColumns(out).drop("_nh", "_ll", "_new", "_seen_h", "_seen_l", "_h", "_l")
 
 
 def pullback_counts_rearm(df: DataFrame, state: str = "market_state", keys=("symbol",)) -> DataFrame:
-    """One count per pullback inside a run of bull (0, 1) or bear (2, 3) states."""
+    """One count per pullback inside a run of bull (0, 1) or bear (2, 3) states.
+
+    A new high counts if its own bar makes a lower low or if the run's latest
+    mark before it is a lower low without a new high.
+    """
     side = F.when(F.col(state).isin(0, 1), 1).when(F.col(state).isin(2, 3), -1).otherwise(0)
     d = df.withColumn("_side", side)
     s = F.col("_side")
     d = in_chunks(d, lambda x, f: x.withColumns({
-        "_nh": yes(F.col("high") > f.lag("high")), "_ll": yes(F.col("low") < f.lag("low")), "_chg": s != f.lag(s)}), history=1, keys=keys)
+        "_nh": yes(F.col("high") > f.lag("high")), "_ll": yes(F.col("low") < f.lag("low")),
+        "_new": yes(s != f.lag(s)) | (F.col("bar_no") == 0)}), history=1, keys=keys)
     d = d.withColumns({"_arm": F.when(s == 1, F.col("_ll")).when(s == -1, F.col("_nh")).otherwise(False),
                        "_hit": F.when(s == 1, F.col("_nh")).when(s == -1, F.col("_ll")).otherwise(False)})
-    d = running(d, {"_start": ("max", F.when(yes(F.col("_chg")) | (F.col("bar_no") == 0), F.col("bar_no")))}, keys=keys)
-    token = F.struct(F.col("_start").alias("s"), (~F.col("_hit")).alias("armed"))
-    d = running(d, {"_tok": ("last", F.when(F.col("_arm") | F.col("_hit"), token))}, keys=keys)
-
-    def mark(x, f):
-        prev = f.lag("_tok")
-        return x.withColumn("_count", F.col("_hit") & (F.col("_arm") | yes((prev["s"] == F.col("_start")) & prev["armed"])))
-    d = in_chunks(d, mark, history=1, keys=keys)
-    d = counts_since_reset(d, {"_n": (F.col("_count"), F.col("bar_no") == F.col("_start"))}, keys=keys)
+    d = running(d, {"_tok": ("last", F.when(F.col("_arm") | F.col("_hit"), ~F.col("_hit")), "run")},
+                resets={"run": F.col("_new")}, keys=keys)
+    d = in_chunks(d, lambda x, f: x.withColumn(
+        "_count", F.col("_hit") & (F.col("_arm") | (~F.col("_new") & yes(f.lag("_tok"))))), history=1, keys=keys)
+    d = running(d, {"_n": ("sum", F.col("_count").cast("bigint"), "run")}, resets={"run": F.col("_new")}, keys=keys)
     return d.withColumns({"h_count": F.when(s == 1, F.col("_n")).otherwise(0), "l_count": F.when(s == -1, F.col("_n")).otherwise(0)}).drop(
-        "_side", "_nh", "_ll", "_chg", "_arm", "_hit", "_start", "_tok", "_count", "_n")
+        "_side", "_nh", "_ll", "_new", "_arm", "_hit", "_tok", "_count", "_n")
 
 
 def pullback_bars(df: DataFrame, state: str = "market_state", endless: int = 20, keys=("symbol",)) -> DataFrame:
@@ -142,8 +135,7 @@ def market_regime(df: DataFrame, keys=("symbol",)) -> DataFrame:
         return d.withColumn("_same", (F.col("_sgn") != 0) & (F.col("_sgn") == f.lag("_sgn")))
     d = in_chunks(df, first, history=EMA20 + 2, keys=keys)
     bear = (k < o) & (F.col("bar_no") > 0)
-    d = run_of(d, {"_color": ~yes(F.col("_same"))}, keys=keys)
-    d = counts_since_reset(d, {"_counter": (bear, ~bear)}, keys=keys).withColumn("_color", F.col("_color") + 1)
+    d = counts_since_reset(d, {"_color": (F.lit(True), ~yes(F.col("_same"))), "_counter": (bear, ~bear)}, keys=keys)
 
     def second(d: DataFrame, f: Frames) -> DataFrame:
         avg_body = f.mean("_body", 20, 5)
@@ -171,7 +163,7 @@ def market_regime(df: DataFrame, keys=("symbol",)) -> DataFrame:
         d = d.withColumns({"_long": score(1), "_short": score(-1)})
         return d.withColumn("pa_env_trend_dir", sign(F.col("_long") - F.col("_short")).cast("int"))
     d = in_chunks(d, second, history=20, keys=keys)
-    d = bars_since_extreme(d, "pa_env_trend_dir", "pa_env_bars_since_extreme", keys)
+    d = bars_since_extreme(durable(d), "pa_env_trend_dir", "pa_env_bars_since_extreme", keys)
 
     def third(d: DataFrame, f: Frames) -> DataFrame:
         td, since = F.col("pa_env_trend_dir"), F.col("pa_env_bars_since_extreme")
@@ -316,17 +308,19 @@ def swings(df: DataFrame, f: Frames, arm: int = 5) -> DataFrame:
 def structure(df: DataFrame, atr: str, arm: int = 5, keys=("symbol",)) -> DataFrame:
     """Higher/lower highs and lows among the last five swings, swing range, structure breaks, legs.
 
-    The last six swing prices are carried as an array: the swing events are few,
-    each event gathers its five predecessors, and bars take the latest event.
+    Swing events are few; each gathers the last five prices of its kind, and
+    bars carry the latest such array.
     """
-    d = in_chunks(df, lambda x, f: swings(x, f, arm), history=2 * arm, keys=keys)
-    for kind in ("high", "low"):
-        d = running(d, {f"_no_{kind}": ("sum", F.col(f"swing_{kind}").isNotNull().cast("bigint"))}, keys=keys)
-        ev = d.where(F.col(f"swing_{kind}").isNotNull()).select(
-            *keys, F.col("bar_no").alias("_at"), (F.col(f"_no_{kind}") - 1).alias("bar_no"), F.col(f"swing_{kind}").alias("_p"))
-        ev = in_chunks(ev, lambda x, f: x.withColumn("_last5", F.collect_list("_p").over(f.last(5))), history=5, keys=keys)
-        ev = ev.select(*keys, F.col("_at").alias("bar_no"), F.col("_last5").alias(f"_{kind}s"))
-        d = d.join(ev, [*keys, "bar_no"], "left")
+    d = durable(in_chunks(df, lambda x, f: swings(x, f, arm), history=2 * arm, keys=keys))
+    both = d.select(*keys, "bar_no", F.explode(F.array(
+        F.struct(F.lit("h").alias("kind"), F.col("swing_high").alias("p")),
+        F.struct(F.lit("l").alias("kind"), F.col("swing_low").alias("p")))).alias("e"))
+    ev = both.where("e.p is not null").select(*keys, "e.kind", F.col("bar_no").alias("_at"), F.col("e.p").alias("_p"))
+    ev = number_rows(ev, [*keys, "kind"], ("_at",), piece=F.floor(F.col("_at") / CHUNK_ROWS))
+    ev = in_chunks(ev, lambda x, f: x.withColumn("_last5", F.collect_list("_p").over(f.last(5))), history=5, keys=[*keys, "kind"])
+    at = ev.groupBy(*keys, F.col("_at").alias("bar_no")).agg(
+        F.max(F.when(F.col("kind") == "h", F.col("_last5"))).alias("_highs"), F.max(F.when(F.col("kind") == "l", F.col("_last5"))).alias("_lows"))
+    d = d.join(at, [*keys, "bar_no"], "left")
     d = running(d, {"_hs": ("last", F.col("_highs")), "_ls": ("last", F.col("_lows"))}, keys=keys)
 
     def rises(a: str) -> Column:
@@ -347,7 +341,7 @@ def structure(df: DataFrame, atr: str, arm: int = 5, keys=("symbol",)) -> DataFr
         "pa_struct_swing_range_atr": F.abs(last("_hs", 1) - last("_ls", 1)) / safe,
         "pa_struct_break_up": yes((k > last("_hs", 1)) & (last("_hs", 1) < last("_hs", 2))),
         "pa_struct_break_down": yes((k < last("_ls", 1)) & (last("_ls", 1) > last("_ls", 2))),
-    }).drop("_no_high", "_no_low", "_highs", "_lows", "_hs", "_ls")
+    }).drop("_highs", "_lows", "_hs", "_ls")
 
 
 def swing_types(df: DataFrame, arm: int = 5, shift: int = 3, keys=("symbol",)) -> DataFrame:
@@ -438,16 +432,15 @@ def pa_atr(df: DataFrame, f: Frames, out: str = "atr_pa") -> DataFrame:
     return ewm_mean(df, f, F.col("high") - F.col("low"), out, span=14, least=5, adjust=True)
 
 
-def htf_regime(bars: DataFrame, widths=(("15 minutes", "15min"), ("60 minutes", "60min")), numbered=None) -> DataFrame:
+def htf_regime(bars: DataFrame, widths=(("15 minutes", "15min"), ("60 minutes", "60min"))) -> DataFrame:
     """State and trend score of the last closed coarse bar per width, and the sign sum of the first two."""
-    from .layout import number_rows
-    d = bars
     tags = []
+    d = bars = durable(bars)
     for width, tag in widths:
         coarse = number_rows(resample(bars.select("symbol", "t", "open", "high", "low", "close", "volume"), width))
         reg = market_regime(coarse).select("symbol", "t", F.col("pa_env_state").alias(f"pa_htf_{tag}_state"),
                                            F.col("pa_env_trend_score_ratio").alias(f"pa_htf_{tag}_trend_score"))
-        d = asof_backward(d, reg, [f"pa_htf_{tag}_state", f"pa_htf_{tag}_trend_score"])
+        d = asof_backward(d, durable(reg), [f"pa_htf_{tag}_state", f"pa_htf_{tag}_trend_score"])
         tags.append(tag)
     a, b = (F.signum(fill(F.col(f"pa_htf_{t}_trend_score"), 0.0)) for t in tags[:2])
     return d.withColumn("pa_htf_trend_alignment", a + b)
@@ -458,9 +451,9 @@ def full_stack(bars: DataFrame) -> DataFrame:
     def first(x, f):
         return relative_volume(ma_compression(pa_atr(direction(x, f), f), f, "atr_pa"), f)
     d = in_chunks(bars, first, history=EMA50 + 21)
-    d = pullback_counts(d)
-    d = twenty_bar_rule(d)
-    d = market_regime(d)
+    d = durable(pullback_counts(d))
+    d = durable(twenty_bar_rule(d))
+    d = durable(market_regime(d))
     d = pressure_score(d)
     d = structure(d, "atr_pa")
     return composites(d)
@@ -472,11 +465,10 @@ STACK_COLS = ("pa_reversal_composite", "pa_continuation_composite", "pa_structur
 
 def multi_timeframe(bars: DataFrame, widths=(("5 minutes", "5m"), ("15 minutes", "15m"))) -> DataFrame:
     """One stack per coarse width, prefixed, each bar taking the last closed coarse bar."""
-    from .layout import number_rows
-    d = bars
+    d = bars = durable(bars)
     for width, tag in widths:
         coarse = number_rows(resample(bars.select("symbol", "t", "open", "high", "low", "close", "volume"), width))
         named = {n: f"pa_{tag}_{n[3:]}" for n in STACK_COLS}
         stack = full_stack(coarse).select("symbol", "t", *[F.col(a).alias(b) for a, b in named.items()])
-        d = asof_backward(d, stack, list(named.values()))
+        d = asof_backward(d, durable(stack), list(named.values()))
     return d

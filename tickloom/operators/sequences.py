@@ -1,8 +1,7 @@
 """Runs, counters, latches and sequences: loops over bars written as islands.
 
-A counter that restarts at a reset row is a running sum minus the running sum
-just before the latest reset, and both are `running` values. Nothing here
-needs a window over a whole key.
+A counter that restarts at a reset row is a `running` sum with that reset.
+Nothing here needs a window over a whole key.
 """
 from __future__ import annotations
 
@@ -16,17 +15,10 @@ from .layout import CHUNK_ROWS, Frames, in_chunks, running
 
 def counts_since_reset(df: DataFrame, specs: Mapping[str, tuple[Column, Column]], *, keys: Sequence[str] = ("symbol",),
                        pos: str = "bar_no", rows: int = CHUNK_ROWS) -> DataFrame:
-    """{out: (value, reset)}: sum of value (a condition or number) from the latest reset row on, that row included."""
-    d = df
-    for o, (v, r) in specs.items():
-        kind = df.select(v.alias("v")).schema["v"].dataType.simpleString()
-        x = flag(v).cast("bigint") if kind == "boolean" else F.coalesce(v, F.lit(0)).cast("double" if kind in ("double", "float") else "bigint")
-        d = d.withColumns({f"_v_{o}": x, f"_r_{o}": yes(r)})
-    d = running(d, {f"_s_{o}": ("sum", F.col(f"_v_{o}")) for o in specs}, keys=keys, order=(pos,), rows=rows)
-    base = {f"_b_{o}": ("last", F.when(F.col(f"_r_{o}"), F.col(f"_s_{o}") - F.col(f"_v_{o}"))) for o in specs}
-    d = running(d, base, keys=keys, order=(pos,), rows=rows)
-    d = d.withColumns({o: F.col(f"_s_{o}") - F.coalesce(F.col(f"_b_{o}"), F.lit(0)) for o in specs})
-    return d.drop(*[f"_{p}_{o}" for o in specs for p in ("v", "r", "s", "b")])
+    """{out: (condition, reset)}: rows with the condition from the latest reset row on, that row included."""
+    cols = {o: ("sum", flag(v).cast("bigint"), f"r{i}") for i, (o, (v, _)) in enumerate(specs.items())}
+    resets = {f"r{i}": r for i, (_, r) in enumerate(specs.values())}
+    return running(df, cols, keys=keys, order=(pos,), resets=resets, rows=rows)
 
 
 def run_of(df: DataFrame, changes: Mapping[str, Column], *, keys: Sequence[str] = ("symbol",), pos: str = "bar_no",
@@ -57,7 +49,7 @@ def micro_channel(df: DataFrame) -> DataFrame:
     down = (F.col("close") < F.col("open"))
     d = in_chunks(df, lambda x, f: x.withColumn("_v", F.when(yes(up & (F.col("low") >= f.lag("low"))), 1)
                                                .when(yes(down & (F.col("high") <= f.lag("high"))), -1).otherwise(0)), history=1)
-    d = counts_since_reset(d, {"consec": (F.col("_v"), F.col("_v") == 0)})
+    d = running(d, {"consec": ("sum", F.col("_v"), "flat")}, resets={"flat": F.col("_v") == 0})
     return d.withColumn("micro", F.when(F.abs("consec") >= 3, F.signum("consec") * 20).otherwise(0.0)).drop("_v")
 
 
