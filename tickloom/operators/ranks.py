@@ -2,7 +2,8 @@
 
 Equal values are counted first, which folds hot values into one row on the map
 side. The distinct values are cut at the quantiles of a sketch, and counts are
-added up piece by piece, so no task sorts a whole group.
+added up piece by piece, so no task sorts a whole group. The counts are read
+several times and are written out once (`durable`).
 """
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .durable import durable
 from .layout import number_rows, running
 
 CUTS = 64
@@ -32,7 +34,7 @@ def _place(x: str) -> Column:
 
 def value_counts_below(df: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per key and distinct value: `_n` rows with it and `_upto` rows at or below it."""
-    freq = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n"))
+    freq = durable(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n")))
     placed = _cuts(freq, x, keys)
     return running(placed, {"_upto": ("sum", F.col("_n"))}, keys=keys, order=(x,), piece=_place(x)).drop("_cuts")
 
