@@ -75,13 +75,13 @@ def ewm_std(df: DataFrame, f: Frames, x, out: str, *, span: float, least: int =
     """
     a = alpha_of(span)
     b = 1.0 - a
-    d = df.withColumn("_v", c(x).cast("double"))
-    d = ewm_mean(d, f, "_v", "_m1", alpha=a)
-    d = d.withColumn("_d", F.col("_v") - F.coalesce(f.lag("_m1"), F.col("_v")))
+    d = df.withColumn("_es_x", c(x).cast("double"))
+    d = ewm_mean(d, f, "_es_x", "_es_m", alpha=a)
+    d = d.withColumn("_es_d", F.col("_es_x") - F.coalesce(f.lag("_es_m"), F.col("_es_x")))
     # West's update: var[t] = b * (var[t-1] + a * d^2), d = x - mean[t-1]
-    d = _decayed(d, f, F.when(F.col(f.pos) == 0, F.lit(0.0)).otherwise(a * b * F.col("_d") * F.col("_d")), b, "_bias")
+    d = _decayed(d, f, F.when(F.col(f.pos) == 0, F.lit(0.0)).otherwise(a * b * F.col("_es_d") * F.col("_es_d")), b, "_es_b")
     t = F.col(f.pos)
     w2 = F.pow(F.lit(b), 2 * t) + a * a * (1.0 - F.pow(F.lit(b), 2 * t)) / (1.0 - b * b)
-    fixed = F.try_divide(F.col("_bias"), 1.0 - w2)
+    fixed = F.try_divide(F.col("_es_b"), 1.0 - w2)
     d = d.withColumn(out, F.when((t + 1 >= max(least, 2)) & (fixed >= 0), F.sqrt(fixed)))
-    return d.drop("_v", "_m1", "_d", "_bias")
+    return d.drop("_es_x", "_es_m", "_es_d", "_es_b")

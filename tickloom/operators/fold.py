@@ -27,7 +27,7 @@ def ordered_fold(df: DataFrame, step: Step, outputs: Mapping[str, str], start: S
     """Fold the rows of a key in order.
 
     `step(rows, state)` gets consecutive rows as a pandas frame and the state
-    (a list of numbers, NaN for missing) and returns the output columns and the state after them.
+    (a list of numbers of any length, NaN for missing) and returns the output columns and the state after them.
     """
     start = [float(x) for x in start]
     names = list(outputs)
@@ -46,7 +46,7 @@ def ordered_fold(df: DataFrame, step: Step, outputs: Mapping[str, str], start: S
         if live.empty:
             return pd.DataFrame(columns=schema.names)
         given = live["_given"].iloc[0]
-        if given is not None and len(given):
+        if given is not None:
             state = [float("nan") if x is None else float(x) for x in given]
         else:
             state = list(start)
@@ -69,7 +69,7 @@ def ordered_fold(df: DataFrame, step: Step, outputs: Mapping[str, str], start: S
     while True:
         edge = done.groupBy(*by).agg(F.max("_from").alias("_from"), F.max("_to").alias("_to"))
         before = edge.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_to").alias("_want"))
-        same = F.forall(F.zip_with("_from", "_want", _close(tolerance)), lambda ok: ok)
+        same = (F.size("_from") == F.size("_want")) & F.forall(F.zip_with("_from", "_want", _close(tolerance)), lambda ok: ok)
         wrong = durable(edge.join(before, by).where(~same).select(*by, "_want"))
         if wrong.isEmpty():
             return done.drop("_chunk", "_given", "_from", "_to")
@@ -80,7 +80,7 @@ def ordered_fold(df: DataFrame, step: Step, outputs: Mapping[str, str], start: S
 
 def _close(tol: float):
     def same(a, b):
-        return (F.isnan(a) & F.isnan(b)) | (F.abs(a - b) <= tol * (1.0 + F.abs(a)))
+        return F.coalesce((F.isnan(a) & F.isnan(b)) | (F.abs(a - b) <= tol * (1.0 + F.abs(a))), F.lit(False))
     return same
 
 

@@ -89,7 +89,10 @@ def pseudo_cvd(df: DataFrame, method: str = "clv_body_volume", t: str = "t") ->
 
 
 def cvd_divergence(df: DataFrame, lookback: int = 20, slope: int = 3, cvd: str = "cvd_session", t: str = "t") -> DataFrame:
-    """Price beyond the day's last `lookback` bars while the delta is not; missing counts as fine."""
+    """Price beyond the day's last `lookback` bars while the delta is not; missing counts as fine.
+
+    The slope is rounded to 9 digits, so its sign does not hang on the order of a sum.
+    """
     w = day_window(t)
     past = w.rowsBetween(-lookback, -1)
     full = F.count(F.lit(1)).over(past) >= lookback
@@ -99,7 +102,7 @@ def cvd_divergence(df: DataFrame, lookback: int = 20, slope: int = 3, cvd: str =
     d = df.withColumns({
         "cvd_price_prev_high": prev(F.max, "close"), "cvd_price_prev_low": prev(F.min, "close"),
         "cvd_prev_high": prev(F.max, cvd), "cvd_prev_low": prev(F.min, cvd),
-        "cvd_slope": F.col(cvd) - F.lag(cvd, slope).over(w),
+        "cvd_slope": F.round(F.col(cvd) - F.lag(cvd, slope).over(w), 9),
     })
     bear = (F.col("close") > F.col("cvd_price_prev_high")) & (F.col(cvd) <= F.col("cvd_prev_high"))
     bull = (F.col("close") < F.col("cvd_price_prev_low")) & (F.col(cvd) >= F.col("cvd_prev_low"))
@@ -107,3 +110,30 @@ def cvd_divergence(df: DataFrame, lookback: int = 20, slope: int = 3, cvd: str =
         "cvd_classic_long_ok": ~yes(bear), "cvd_classic_short_ok": ~yes(bull),
         "cvd_slope_long_ok": yes(F.col("cvd_slope") >= 0), "cvd_slope_short_ok": yes(F.col("cvd_slope") <= 0),
     })
+
+
+def session_poc(df: DataFrame, atr: str, tick: float = 0.01, window: int = 20, band: float = 0.2, t: str = "t", keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Price bucket with the most volume of the day so far, the distance to it, its slope, acceptance and a factor.
+
+    Ties go to the bucket nearest to the close. A day has few bars and buckets,
+    so the day's (bar, bucket) volumes are an equi join on (key, day).
+    """
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
+    d = df.withColumns({"_bk": F.bround(typical / tick) * tick, "_day": F.to_date(t)})
+    own = d.where("volume > 0").groupBy(*keys, "_day", "_bk").agg(F.collect_list(F.struct("bar_no", "volume")).alias("_b"))
+    own = own.groupBy(*keys, "_day").agg(F.collect_list(F.struct("_bk", "_b")).alias("_hist"))
+    d = d.join(own, [*keys, "_day"], "left")
+    vol = F.transform("_hist", lambda h: F.struct(
+        F.aggregate(F.filter(h["_b"], lambda b: b["bar_no"] <= F.col("bar_no")), F.lit(0.0), lambda s, b: s + b["volume"]).alias("v"),
+        (-F.abs(h["_bk"] - F.col("close"))).alias("near"), (-h["_bk"]).alias("bk")))
+    best = F.array_max(F.filter(vol, lambda x: x["v"] > 0))
+    d = d.withColumn("session_poc", -best["bk"]).drop("_hist", "_bk", "_day")
+
+    def build(x, f):
+        a = F.when(F.col(atr) > 0, F.col(atr))
+        dist = F.col("close") - F.col("session_poc")
+        x = x.withColumns({"poc_dist_atr": dist / a, "poc_slope": f.diff("session_poc"), "_near": flag(F.abs(dist) <= a * band)})
+        x = x.withColumn("poc_acceptance", f.mean("_near", max(2, window)))
+        return x.withColumn("poc_factor", 0.5 * -fill(F.least(F.abs("poc_dist_atr"), F.lit(3.0)) / 3.0, 0.0)
+                            + 0.3 * (fill(F.col("poc_acceptance"), 0.0) * 2.0 - 1.0) + 0.2 * F.signum(fill(F.col("poc_slope"), 0.0))).drop("_near")
+    return in_chunks(d, build, history=window + 1, keys=keys)

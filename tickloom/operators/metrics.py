@@ -103,10 +103,10 @@ def regression_report(y, p) -> list[Column]:
 def confusion_report(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
     """Counts, precision and recall per class for each key."""
     n = df.groupBy(*keys, y, pred).agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("cls", F.explode(F.array_distinct(F.array(F.col(y).cast("int"), F.col(pred).cast("int")))))
-    k = F.col("cls")
-    g = n.groupBy(*keys, "cls").agg(
+    n = n.withColumn("_c", F.explode(F.array_distinct(F.array(F.col(y).cast("int"), F.col(pred).cast("int")))))
+    k = F.col("_c")
+    g = n.groupBy(*keys, "_c").agg(
         F.sum(F.when((F.col(y) == k) & (F.col(pred) == k), F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when((F.col(y) != k) & (F.col(pred) == k), F.col("n")).otherwise(0)).alias("fp"),
         F.sum(F.when((F.col(y) == k) & (F.col(pred) != k), F.col("n")).otherwise(0)).alias("fn"))
-    return g.withColumns({"precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})
+    return g.withColumnRenamed("_c", "cls").withColumns({"precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})

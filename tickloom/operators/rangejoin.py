@@ -27,3 +27,18 @@ def forward_path(entries: DataFrame, bars: DataFrame, horizon: int, bar_cols: Se
             .where(F.col("_at").between(F.col(pos) + 1, F.col(pos) + horizon))
             .withColumn(step, (F.col("_at") - F.col(pos)).cast("int"))
             .drop("_blk", "_at"))
+
+
+def containing(rows: DataFrame, segments: DataFrame, t: str, start: str, end: str, *, keys: Sequence[str] = ("symbol",), hours: int = 24) -> DataFrame:
+    """Rows with every segment of their key that contains their time, both ends included.
+
+    Segments are copied to the time cells they cover and joined on (key, cell),
+    so a long segment costs one row per cell and no comparison with all rows.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+    def cell(x):
+        return F.floor(F.timestamp_diff("SECOND", epoch, F.col(x)) / (hours * 3600)).cast("bigint")
+    s = segments.withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
+    return (rows.withColumn("_cell", cell(t)).join(s, [*keys, "_cell"])
+            .where(F.col(t).between(F.col(start), F.col(end))).drop("_cell"))

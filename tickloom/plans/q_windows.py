@@ -152,13 +152,13 @@ def _(T):
                                    F.avg((F.signum("x") == F.signum("y")).cast("int")).alias("same_sign"))
 
 
-def scan_sql(source: str, init: dict[str, str], step: dict[str, str]) -> str:
-    """Recursive CTE `scan` over `source` rows; p is the row before, r the row."""
-    return f"""{source}, scan AS (
-  SELECT r.symbol, r.bar_no, {', '.join(f'{v} AS {k}' for k, v in init.items())} FROM src r WHERE r.bar_no = 0
+def scan_sql(source: str, init: dict[str, str], step: dict[str, str], name: str = "scan", src: str = "src") -> str:
+    """Recursive CTE over the rows of `src`; p is the row before, r the row."""
+    return f"""{source}, {name} AS (
+  SELECT r.symbol, r.bar_no, {', '.join(f'{v} AS {k}' for k, v in init.items())} FROM {src} r WHERE r.bar_no = 0
   UNION ALL
   SELECT r.symbol, r.bar_no, {', '.join(f'{v} AS {k}' for k, v in step.items())}
-  FROM scan p JOIN src r ON r.symbol = p.symbol AND r.bar_no = p.bar_no + 1)"""
+  FROM {name} p JOIN {src} r ON r.symbol = p.symbol AND r.bar_no = p.bar_no + 1)"""
 
 
 def ema_step(col: str, x: str, a: str) -> str:
