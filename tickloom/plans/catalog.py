@@ -51,8 +51,8 @@ def _sql_col(name: str, kind: str) -> str:
     }[kind] + f" AS {name}"
 
 
-def query(name: str, cols: str, sql: str | None = None):
-    """Register a plan `(spark, sf_dir) -> DataFrame` under `name`."""
+def stream_query(name: str, cols: str, sql: str | None = None):
+    """Register a plan that needs the session and the folder, such as a stream."""
     spec = tuple(tuple(c.split(":")) for c in cols.split())
 
     def wrap(fn):
@@ -60,7 +60,7 @@ def query(name: str, cols: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda t: table(spark, sf_dir, t)).select(*[_spark_col(n, k) for n, k in spec])
+            return fn(spark, sf_dir).select(*[_spark_col(n, k) for n, k in spec])
 
         full = None
         if sql is not None:
@@ -72,6 +72,13 @@ def query(name: str, cols: str, sql: str | None = None):
     return wrap
 
 
+def query(name: str, cols: str, sql: str | None = None):
+    """Register a plan `(tables) -> DataFrame`; `tables("events")` reads a table."""
+    def wrap(fn):
+        return stream_query(name, cols, sql)(lambda spark, sf_dir: fn(lambda t: table(spark, sf_dir, t)))
+    return wrap
+
+
 def load() -> dict[str, Query]:
     """Import all query modules and return the registry."""
     from importlib import import_module
