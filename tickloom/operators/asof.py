@@ -9,13 +9,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import day_number
-from .layout import running
+from .layout import PIECE_SECONDS, running, time_piece
 
 
 def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], *, keys: Sequence[str] = ("symbol",),
                   t: str = "t", tolerance: Column | None = None, strict: bool = False,
-                  piece_days: int = 8, matched: str | None = None) -> DataFrame:
+                  piece_seconds: int = PIECE_SECONDS, matched: str | None = None) -> DataFrame:
     """Each left row gets `cols` of the latest right row of its key with right.t <= left.t.
 
     The right side must have one row per (key, t). `tolerance` is an interval
@@ -30,7 +29,7 @@ def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], *, key
     b = right.select(*keys, F.col(t), side.alias("_side"), payload.alias("_r"))
     both = a.unionByName(b, allowMissingColumns=True)
     got = running(both, {"_hit": ("last", F.col("_r"))}, keys=keys, order=(t, "_side"),
-                  piece=F.floor(day_number(t) / piece_days))
+                  piece=time_piece(t, piece_seconds))
     rows = got.where(F.col("_side") == (0 if strict else 1))
     hit = F.col("_hit")
     if tolerance is not None:

@@ -4,8 +4,9 @@ A window partitioned by `symbol` puts the whole history of a symbol in one
 task. Nothing here does that. A key is cut twice:
 
 * `number_rows` gives every row its exact position in its key. It counts rows
-  per (key, time piece), adds the counts up over the few pieces of a key, and
-  numbers inside the piece.
+  per (key, time piece), adds the counts up over the pieces of a key, and
+  numbers inside the piece. Where many rows share one time, `ranged` pieces are
+  used instead: Spark's range partitions over key and full order.
 * `in_chunks` cuts a key into chunks of a fixed number of rows and copies the
   rows that a frame needs from the neighbours (the halo). All bounded frames
   of all blocks of a query then run in one shuffle on (key, chunk).
@@ -21,10 +22,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import c, day_number
+from ..functions.exprs import c, micros
+from .durable import durable
 
 CHUNK_ROWS = 32768
-PIECE_DAYS = 32
+PIECE_SECONDS = 900
 
 
 @dataclass(frozen=True)
@@ -84,16 +86,33 @@ class Frames:
         return F.try_divide(c(x) - prev, prev)
 
 
+def time_piece(t, seconds: int = PIECE_SECONDS) -> Column:
+    """Number of the fixed time cell of t."""
+    return F.floor(micros(t) / (seconds * 1_000_000))
+
+
+def ranged(df: DataFrame, order: Sequence[str], out: str = "_piece") -> DataFrame:
+    """Even pieces along the full order, whatever the skew of its leading columns.
+
+    Range bounds come from a sample, so the pieces are written out once and
+    every later reader and every retry sees the same ones.
+    """
+    return durable(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()))
+
+
 def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("t",),
-                piece: Column | None = None, out: str = "bar_no") -> DataFrame:
+                piece: Column | str | None = None, out: str = "bar_no") -> DataFrame:
     """Exact 0-based position of each row in its key.
 
-    `piece` must not decrease along `order`; the default is the month-sized
-    time piece of the first order column.
+    `piece` must not decrease along `order`. The default is the 15-minute cell
+    of the first order column; "range" cuts by `ranged`, for orders whose first
+    column repeats a lot.
     """
-    piece = F.floor(day_number(order[0]) / PIECE_DAYS) if piece is None else piece
-    cut = df.withColumn("_piece", piece)
     by = list(keys)
+    if isinstance(piece, str):
+        cut = ranged(df, [*by, *order])
+    else:
+        cut = df.withColumn("_piece", time_piece(order[0]) if piece is None else piece)
     sizes = cut.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*by, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -194,11 +213,3 @@ def running(df: DataFrame, cols: Mapping[str, tuple], *, keys: Sequence[str] = (
         out[o] = merged
     drop = ["_piece", "_is_tail"] + [f"{p}{o}" for o in cols for p in ("_x_", "_l_", "_in_")] + [f"{p}{r}" for r in resets for p in ("_q_", "_g_")]
     return both.withColumns(out).drop(*drop)
-
-
-def run_length(df: DataFrame, resets: Mapping[str, Column], *, keys: Sequence[str] = ("symbol",),
-               pos: str = "bar_no", rows: int = CHUNK_ROWS) -> DataFrame:
-    """Rows since the latest reset, 0 on the reset row itself, missing before any reset."""
-    marks = {o: ("max", F.when(r, F.col(pos))) for o, r in resets.items()}
-    got = running(df, {f"_m_{o}": m for o, m in marks.items()}, keys=keys, order=(pos,), rows=rows)
-    return got.withColumns({o: F.col(pos) - F.col(f"_m_{o}") for o in resets}).drop(*[f"_m_{o}" for o in resets])

@@ -6,8 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import c, clip
-from .ranks import _cuts, _place, average_rank, exact_quantiles, order_position
-from .layout import running
+from .ranks import average_rank, exact_quantiles, order_position, running_over_values
 
 
 def weighted_quantiles(df: DataFrame, x: str, w: str, qs: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -15,7 +14,7 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, qs: Mapping[str, float], k
     k = list(keys) or ["_k"]
     d = df if keys else df.withColumn("_k", F.lit(1))
     d = d.groupBy(*k, x).agg(F.sum(F.greatest(F.col(w), F.lit(0.0))).alias("_w"))
-    d = running(_cuts(d, x, k), {"_cw": ("sum", F.col("_w"))}, keys=k, order=(x,), piece=_place(x))
+    d = running_over_values(d, x, {"_cw": F.col("_w")}, k)
     tot = d.groupBy(*k).agg(F.max("_cw").alias("_tw"))
     d = d.join(tot, k)
     got = d.groupBy(*k).agg(*[F.min(F.when(F.col("_cw") / F.col("_tw") >= q, F.col(x))).alias(n) for n, q in qs.items()])

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import c, clip, fill, flag
-from .durable import durable
 from .paths import first_exits, uplift_score
 from .ranks import exact_quantiles
 from .splits import hold_bucket
@@ -137,8 +136,8 @@ def gate_search(df: DataFrame, gate: str, profit: str, order: Sequence[str], tar
     d = d.join(st, "threshold")
     z = F.col("_sd") + 1e-6
     size = F.when(F.col("_mx") / z > 1e-12, clip(F.col("_raw") / z / (F.col("_mx") / z), 0.0, 1.0)).otherwise(0.0)
-    d = durable(d.withColumn("_r", size * F.col("_p")).select("threshold", *order, "_r"))
-    d = running(number_rows(d, ("threshold",), order), {"_eq": ("sum", F.col("_r"))}, keys=("threshold",))
+    d = d.withColumn("_r", size * F.col("_p")).select("threshold", *order, "_r")
+    d = running(number_rows(d, ("threshold",), order, "range"), {"_eq": ("sum", F.col("_r"))}, keys=("threshold",))
     d = running(d, {"_pk": ("max", F.col("_eq"))}, keys=("threshold",))
     p05 = exact_quantiles(d, "_r", {"_p05": 0.05}, ("threshold",))
     neg = F.when(F.col("_r") < 0, F.col("_r"))

@@ -1,9 +1,9 @@
 """Exact ranks and quantiles over groups of any size.
 
 Equal values are counted first, which folds hot values into one row on the map
-side. The distinct values are cut at the quantiles of a sketch, and counts are
-added up piece by piece, so no task sorts a whole group. The counts are read
-several times and are written out once (`durable`).
+side. The counts are cut into range pieces along (key, value), written out once
+because they are read several times, and added up piece by piece, so no task
+sorts a whole group.
 """
 from __future__ import annotations
 
@@ -11,32 +11,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .durable import durable
-from .layout import number_rows, running
+from .layout import number_rows, ranged, running
 
-CUTS = 64
 
-
-def _cuts(df: DataFrame, x: str, keys: Sequence[str]) -> DataFrame:
-    """Attach the sketch cuts of x per key."""
-    grid = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cut = F.percentile_approx(x, grid, F.lit(2000)).alias("_cuts")
-    if not keys:
-        return df.withColumn("_cuts", df.agg(cut).scalar())
-    return df.join(df.groupBy(*keys).agg(cut), list(keys))
-
-
-def _place(x: str) -> Column:
-    below = F.size(F.filter("_cuts", lambda v: v < F.col(x)))
-    on = F.array_contains("_cuts", F.col(x))
-    return (2 * below + on.cast("int")).cast("bigint")
+def running_over_values(freq: DataFrame, x: str, cols: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Running sums of columns along the distinct values x of each key."""
+    cut = ranged(freq, [*keys, x], "_range")
+    return running(cut, {n: ("sum", v) for n, v in cols.items()}, keys=keys, order=(x,), piece=F.col("_range")).drop("_range")
 
 
 def value_counts_below(df: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per key and distinct value: `_n` rows with it and `_upto` rows at or below it."""
-    freq = durable(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n")))
-    placed = _cuts(freq, x, keys)
-    return running(placed, {"_upto": ("sum", F.col("_n"))}, keys=keys, order=(x,), piece=_place(x)).drop("_cuts")
+    freq = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n"))
+    return running_over_values(freq, x, {"_upto": F.col("_n")}, keys)
 
 
 def exact_quantiles(df: DataFrame, x: str, qs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -65,16 +52,8 @@ def average_rank(df: DataFrame, x: str, out: str, keys: Sequence[str] = ()) -> D
 
 
 def order_position(df: DataFrame, x: str, tie: str, out: str = "pos") -> DataFrame:
-    """Exact 0-based position of a row by (x, tie) over the whole table.
-
-    Rows that share a hot value are cut further by ranges of the tie column.
-    """
-    slots = 64
-    span = df.agg(F.min(tie).alias("lo"), F.max(tie).alias("hi")).select(F.struct("lo", "hi")).scalar()
-    d = _cuts(df, x, ()).withColumn("_span", span)
-    slot = F.floor((F.col(tie) - F.col("_span.lo")) * slots / (F.col("_span.hi") - F.col("_span.lo") + 1))
-    place = _place(x) * slots + F.when(F.array_contains("_cuts", F.col(x)), slot).otherwise(0)
-    return number_rows(d, (), (x, tie), piece=place.cast("bigint"), out=out).drop("_cuts", "_span")
+    """Exact 0-based position of a row by (x, tie) over the whole table."""
+    return number_rows(df, (), (x, tie), piece="range", out=out)
 
 
 def fitted_buckets(df: DataFrame, x: str, n: int, out: str = "bucket", fit: Column | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import c, clip, day_number, div, fill, flag
-from .layout import in_chunks, number_rows, running
-from .ranks import _cuts, _place, average_rank, exact_quantiles
+from ..functions.exprs import c, clip, fill, flag
+from .layout import number_rows
+from .ranks import average_rank, exact_quantiles, running_over_values
 
 
 def ts(text: str) -> Column:
@@ -36,8 +36,8 @@ def expanding_folds(df: DataFrame, folds: Sequence[tuple[str, str]], t: str = "t
 
 
 def time_position(df: DataFrame, order: Sequence[str], out: str = "pos") -> DataFrame:
-    """Exact position in time over the whole table, numbered per day piece."""
-    return number_rows(df, (), order, piece=day_number(order[0]), out=out)
+    """Exact position in time over the whole table."""
+    return number_rows(df, (), order, piece="range", out=out)
 
 
 def blocked_folds(df: DataFrame, k: int, order: Sequence[str], out: str = "fold") -> DataFrame:
@@ -194,8 +194,8 @@ def robust_z(df: DataFrame, x: str, fit: Column, limit: float = 3.0, out: str =
 def percentile_map(df: DataFrame, x: str, fit: Column, out: str = "pct", tail_boost: float = 0.0) -> DataFrame:
     """Mid-rank of x among the fit values, 0..1; 0.5 where x is missing."""
     freq = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.sum(flag(fit)).cast("double").alias("_k"))
-    cum = running(_cuts(freq, x, ()), {"_upto": ("sum", F.col("_k"))}, keys=(), order=(x,), piece=_place(x))
-    n = freq.agg(F.sum("_k")).scalar()
+    cum = running_over_values(freq, x, {"_upto": F.col("_k")})
+    n = cum.agg(F.sum("_k")).scalar()
     m = cum.select(x, (0.5 * (F.col("_upto") - F.col("_k") + F.col("_upto")) / F.greatest(n, F.lit(1.0))).alias(out))
     d = df.join(m, x, "left").withColumn(out, fill(F.col(out), 0.5))
     if tail_boost > 0:

@@ -24,7 +24,7 @@ def with_total(df: DataFrame, symbol: str = "symbol", label: str = "label") -> D
 
 def drawdown_rows(trades: DataFrame, key: str, order: Sequence[str], ret: str = "ret") -> DataFrame:
     """Simple cumulative return, its peak (at least 0) and the drawdown, per key in the given order."""
-    d = number_rows(trades, (key,), order)
+    d = number_rows(trades, (key,), order, "range")
     d = running(d, {"cum": ("sum", F.col(ret))}, keys=(key,))
     d = running(d, {"_peak": ("max", F.col("cum"))}, keys=(key,))
     return d.withColumn("peak", F.greatest(F.col("_peak"), F.lit(0.0))).withColumn("dd", F.col("cum") - F.col("peak")).drop("_peak")
@@ -128,7 +128,7 @@ def regime_segments(trades: DataFrame, keys=("symbol",), entry="entry_time", exi
     maximum of exits inside the run; an overlap with an older run's longer exit
     does not count.
     """
-    d = number_rows(trades, keys, (entry, tie))
+    d = number_rows(trades, keys, (entry, tie), "range")
     secs = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(entry).cast("timestamp_ntz")).cast("double")
     out_secs = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(exit_).cast("timestamp_ntz")).cast("double")
     d = d.withColumns({"_in": secs, "_out": out_secs, "_rg": F.col(regime).cast("double")})
@@ -158,7 +158,7 @@ def position_cap(trades: DataFrame, limit: int, *, keys: Sequence[str] = (), ent
     """
     by = list(keys) or ["_all"]
     d = trades if keys else trades.withColumn("_all", F.lit(0))
-    d = number_rows(d, by, order)
+    d = number_rows(d, by, order, "range")
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     d = d.withColumns({n: F.timestamp_diff("MICROSECOND", epoch, F.col(x).cast("timestamp_ntz")).cast("double")
                        for n, x in (("_in", entry), ("_out", exit_))})
@@ -190,7 +190,7 @@ def daily_pnl(trades: DataFrame, key="label", exit_="exit_time", ret="ret") -> D
 
 def worst_drawdown_window(trades: DataFrame, key="label", order=("exit_time", "trade_id"), ret="ret") -> DataFrame:
     """Deepest fall of the cumulative return from its running peak, with the positions of peak and trough (first on ties)."""
-    d = number_rows(trades, (key,), order)
+    d = number_rows(trades, (key,), order, "range")
     d = running(d, {"_cum": ("sum", F.col(ret))}, keys=(key,)).withColumn("_cum", F.round("_cum", 9))
     at = F.struct(F.col("_cum").alias("v"), (-F.col("bar_no")).alias("p"))
     d = running(d, {"_pk": ("max", at)}, keys=(key,))
@@ -252,7 +252,7 @@ def calendar_windows(df: DataFrame, t: str, days: int, start: Column) -> Column:
 def live_check(trades: DataFrame, bench: dict[str, float], n: int = 50, keys=("symbol",), order=("exit_time", "trade_id"),
                ret="ret", hold="hold") -> DataFrame:
     """Rolling win rate, drawdown and hold against a benchmark, with warning flags from the tenth trade on."""
-    d = number_rows(trades, keys, order)
+    d = number_rows(trades, keys, order, "range")
     d = running(d, {"_lg": ("sum", F.ln(1.0 + F.col(ret)))}, keys=keys)
     d = running(d, {"_pk": ("max", F.greatest(F.col("_lg"), F.lit(0.0)))}, keys=keys)
     d = in_chunks(d.withColumn("_win", (F.col(ret) > 0).cast("int")), lambda x, f: x.withColumns({

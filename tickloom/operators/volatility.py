@@ -9,11 +9,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import clip, day_number, div, fill, flag, minute_of_day, micros, sign
+from ..functions.exprs import clip, div, fill, flag, minute_of_day, sign
 from . import rolling
 from .ewm import alpha_of, ewm_mean, ewm_std, reach
 from .indicators import day_window
-from .layout import Frames, in_chunks, running
+from .layout import Frames, in_chunks
 
 EPS = 1e-8
 MINUTES_PER_YEAR = 252.0 * 390.0

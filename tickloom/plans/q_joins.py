@@ -130,8 +130,7 @@ def _(T):
 
 @query("stable_sort_positions", "trade_id:s pos:i", TRADES + " SELECT trade_id, row_number() OVER (ORDER BY exit_time, symbol, trade_id) - 1 AS pos FROM trades")
 def _(T):
-    from ..functions.exprs import day_number
-    return number_rows(trades(T), (), ("exit_time", "symbol", "trade_id"), piece=day_number("exit_time"), out="pos")
+    return number_rows(trades(T), (), ("exit_time", "symbol", "trade_id"), "range", out="pos")
 
 
 @query("seeded_sample", "n:i distinct_n:i")

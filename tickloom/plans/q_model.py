@@ -270,7 +270,7 @@ def _(T):
 SELECT symbol, avg(abs(p - q)) AS flip, count(q) AS n FROM p GROUP BY symbol""")
 def _(T):
     from ..operators.layout import in_chunks, number_rows
-    d = number_rows(trades(T), ("symbol",), ("entry_time", "trade_id")).withColumn("p", F.col("hold") / (F.col("hold") + 500.0))
+    d = number_rows(trades(T), ("symbol",), ("entry_time", "trade_id"), "range").withColumn("p", F.col("hold") / (F.col("hold") + 500.0))
     d = in_chunks(d, lambda x, f: x.withColumn("dp", F.abs(f.diff("p"))), history=1)
     return d.groupBy("symbol").agg(F.avg("dp").alias("flip"), F.count("dp").alias("n"))
 

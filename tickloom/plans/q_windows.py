@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.exprs import day_number, price_source
+from ..functions.exprs import price_source
 from ..operators import ewm, indicators as ind, ranks, rolling, sequences as seq, sessions
-from ..operators.layout import in_chunks, number_rows, run_length, running
+from ..operators.layout import in_chunks, number_rows, running
 from .catalog import query
 from .data import BARS, BARS_REC, bars, bars_cte
 
