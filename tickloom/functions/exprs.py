@@ -94,3 +94,15 @@ def price_source(name: str) -> Column:
     if name.lower() not in table:
         raise ValueError(f"unknown price source: {name}")
     return table[name.lower()]
+
+
+def pair_corr(x, y, over=None) -> Column:
+    """Correlation of the rows where both are there; missing where a side does not move.
+
+    Spark's corr raises on a constant side under ANSI rules, even inside a `when`.
+    """
+    x, y = c(x).cast("double"), c(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    parts = [F.covar_pop(x, y), F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))]
+    cov, sx, sy = parts if over is None else [p.over(over) for p in parts]
+    return F.try_divide(cov, sx * sy)

@@ -232,3 +232,33 @@ def decision_edge(df: DataFrame, theta_start: int = 15, theta_decay: float = 5.0
     else:
         raise ValueError("needs decision_theta_decay or decision_peak_bar")
     return mfe * theta - penalty * mae
+
+
+def target_set(df: DataFrame, f: Frames, rv: str = "pa_rv_gk_20", horizon: int = 10) -> DataFrame:
+    """Class, change within the horizon, volatility to come and its change, straddle edge. Needs `vol_class`."""
+    d = df.withColumns({"y_transition": changes_within(f, "vol_class", horizon), "y_forecast": future_mean(f, rv, horizon)})
+    d = d.withColumn("y_trend", F.col("y_forecast") - F.col(rv))
+    return straddle_edge(d, f, horizon)
+
+
+def parameter_grid(entries: DataFrame, bars: DataFrame, grid: Sequence[tuple[float, float]], horizon: int, *, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """One summary row per (tp, sl) multiple of the entry's ATR: first touch within the horizon, the stop first on one bar.
+
+    `entries` has keys, bar_no, entry, atr and side. The settings are a short
+    literal list exploded on the path, so all of them share one join.
+    """
+    from .rangejoin import forward_path
+    p = forward_path(entries, bars, horizon, ["high", "low", "close"], keys=keys)
+    lits = F.array(*[F.struct(F.lit(float(a)).alias("tp"), F.lit(float(b)).alias("sl")) for a, b in grid])
+    s, e, a = F.col("side"), F.col("entry"), F.col("atr")
+    best = F.when(s > 0, F.col("high") - e).otherwise(e - F.col("low"))
+    worst = F.when(s > 0, e - F.col("low")).otherwise(F.col("high") - e)
+    d = p.withColumns({"_b": best / a, "_w": worst / a, "_c": s * (F.col("close") - e) / a}).withColumn("g", F.explode(lits))
+    d = d.select(*keys, "bar_no", "step", "_b", "_w", "_c", "g.tp", "g.sl")
+    stop, goal = F.when(F.col("_w") >= F.col("sl"), F.col("step")), F.when(F.col("_b") >= F.col("tp"), F.col("step"))
+    t = d.groupBy(*keys, "bar_no", "tp", "sl").agg(F.min(stop).alias("_s"), F.min(goal).alias("_g"), F.max_by("_c", "step").alias("_end"))
+    lost = F.col("_s").isNotNull() & (F.col("_g").isNull() | (F.col("_s") <= F.col("_g")))
+    r = F.when(lost, -F.col("sl")).when(F.col("_g").isNotNull(), F.col("tp")).otherwise(F.col("_end"))
+    return t.withColumns({"_r": r, "_k": F.when(lost, "stop").when(F.col("_g").isNotNull(), "target").otherwise("time")}).groupBy("tp", "sl").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_r").alias("mean_r"), F.avg(flag(F.col("_r") > 0)).alias("win_rate"),
+        F.avg(flag(F.col("_k") == "stop")).alias("stop_rate"), F.avg(flag(F.col("_k") == "target")).alias("target_rate"))

@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import c, clip
+from ..functions.exprs import c, clip, pair_corr
 from .ranks import average_rank, exact_quantiles, order_position, running_over_values
 
 
@@ -56,7 +56,7 @@ def pearson(a, b, least: int = 3) -> Column:
     """Correlation, missing for few rows or a flat side."""
     a, b = c(a).cast("double"), c(b).cast("double")
     ok = (F.count(F.when(a.isNotNull() & b.isNotNull(), 1)) >= least) & (F.stddev_pop(a) >= 1e-12) & (F.stddev_pop(b) >= 1e-12)
-    return F.when(ok, F.corr(a, b))
+    return F.when(ok, pair_corr(a, b))
 
 
 def ece_equal_count(df: DataFrame, y: str, p: str, tie: str, bins: int = 10) -> DataFrame:

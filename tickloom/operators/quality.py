@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.exprs import c, flag
+from ..functions.exprs import c, flag, pair_corr
 from .layout import in_chunks
 from .ranks import exact_quantiles
 from .splits import blocked_folds
@@ -70,7 +70,7 @@ def lag1_strength(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("sy
     """Largest |lag-1 correlation| over the keys per feature, on the first rows of each key."""
     rows = df.where(F.col("bar_no") < first)
     d = in_chunks(rows, lambda x, f: x.withColumns({f"_l_{n}": f.lag(n) for n in cols}), history=1, keys=keys)
-    aggs = [F.abs(F.when((F.stddev_pop(n) > 0) & (F.stddev_pop(f"_l_{n}") > 0), F.corr(F.col(n).cast("double"), F.col(f"_l_{n}").cast("double")))).alias(n) for n in cols]
+    aggs = [F.abs(F.when((F.stddev_pop(n) > 0) & (F.stddev_pop(f"_l_{n}") > 0), pair_corr(n, f"_l_{n}"))).alias(n) for n in cols]
     per_key = d.groupBy(*keys).agg(*aggs)
     return long_form(per_key, cols).groupBy("feature").agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("strength"))
 
@@ -80,7 +80,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     flat = lambda n: F.stddev_pop(n) > 1e-12
     one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(
-        flat(a) & flat(b), F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias("r")) for a, b in pairs]).alias("p"))
+        flat(a) & flat(b), pair_corr(a, b)).alias("r")) for a, b in pairs]).alias("p"))
     return one.select(F.explode("p").alias("p")).select("p.*")
 
 

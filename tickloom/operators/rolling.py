@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import c
+from ..functions.exprs import c, pair_corr
 from .layout import Frames
 
 
@@ -35,7 +35,7 @@ def corr(f: Frames, x, y, n: int, least: int = 2) -> Column:
     w = f.last(n)
     k = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).over(w)
     moving = (F.max(x).over(w) > F.min(x).over(w)) & (F.max(y).over(w) > F.min(y).over(w))
-    return F.when((k >= max(least, 2)) & moving, F.corr(x, y).over(w))
+    return F.when((k >= max(least, 2)) & moving, pair_corr(x, y, w))
 
 
 def beta(f: Frames, y, x, n: int, least: int = 2) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import c, clip, fill, flag
+from ..functions.exprs import c, clip, fill, flag, pair_corr
 from .layout import number_rows
 from .ranks import average_rank, exact_quantiles, running_over_values
 
@@ -143,7 +143,7 @@ def half_life_days(df: DataFrame, t: str, signal: str) -> DataFrame:
     w = Window.orderBy("day")  # one row per calendar day
     d = day.withColumn("l", F.lag("x").over(w))
     ok = (F.stddev_pop(F.when(F.col("l").isNotNull(), F.col("x"))) > 1e-8) & (F.stddev_pop("l") > 1e-8) & (F.count(F.lit(1)) >= 4)
-    rho = F.when(ok, F.corr("l", "x"))
+    rho = F.when(ok, pair_corr("l", "x"))
     return d.agg(rho.alias("rho"), F.count(F.lit(1)).alias("days")).withColumn(
         "half_life", F.when((F.col("rho") > 1e-6) & (F.col("rho") < 0.999), -math.log(2.0) / F.ln("rho")))
 

@@ -21,7 +21,7 @@ def transition_matrix(df: DataFrame, state: str, k: int, keys: Sequence[str] = (
     return full.join(rows, [*keys, "a"]).select(*keys, "a", "b", (F.col("_n") / F.col("_t")).alias("p"))
 
 
-def impute_states(df: DataFrame, state: str, k: int, out: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def impute_states(df: DataFrame, state: str, k: int, out: str, keys: Sequence[str] = ("symbol",), **kw) -> DataFrame:
     """Fill missing states in row order with argmax over s of P[prev, s] * P[s, next known].
 
     Without a previous (next) state that factor is left out, and the state
@@ -50,7 +50,7 @@ def impute_states(df: DataFrame, state: str, k: int, out: str, keys: Sequence[st
             got.append(int(s))
             prev = s
         return {out: got}, [prev]
-    return ordered_fold(d, step, {out: "int"}, [float("nan")], warm=64, keys=keys).drop("_next", "_m", "_prior", "_known", "_nx")
+    return ordered_fold(d, step, {out: "int"}, [float("nan")], keys=keys, **{"warm": 64, **kw}).drop("_next", "_m", "_prior", "_known", "_nx")
 
 
 def bars_to_change(df: DataFrame, state: str, out: str, keys: Sequence[str] = ("symbol",), pos: str = "bar_no") -> DataFrame:

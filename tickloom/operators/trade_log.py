@@ -121,7 +121,7 @@ def exit_engine(rules: Column, learned: Column, other: Column) -> Column:
 
 
 def regime_segments(trades: DataFrame, keys=("symbol",), entry="entry_time", exit_="exit_time", regime="regime", tie="trade_id",
-                    ret="ret") -> DataFrame:
+                    ret="ret", **kw) -> DataFrame:
     """Runs of trades with one regime in which no trade starts before the run's latest exit so far (less a second).
 
     A trade that starts earlier opens a new run, so the check needs the running
@@ -143,14 +143,14 @@ def regime_segments(trades: DataFrame, keys=("symbol",), entry="entry_time", exi
                 reg, end, start = g, x, float(p)
             seg.append(int(start))
         return {"segment": seg}, [reg, end, start]
-    s = ordered_fold(d, step, {"segment": "bigint"}, [float("nan"), float("nan"), float("nan")], warm=64, keys=keys)
+    s = ordered_fold(d, step, {"segment": "bigint"}, [float("nan"), float("nan"), float("nan")], keys=keys, **{"warm": 64, **kw})
     return s.groupBy(*keys, "segment").agg(
         F.min(entry).alias("seg_start"), F.max(exit_).alias("seg_end"), F.min(regime).alias(regime),
         F.count(F.lit(1)).alias("n"), F.sum(ret).alias("sum_return"))
 
 
 def position_cap(trades: DataFrame, limit: int, *, keys: Sequence[str] = (), entry="entry_time", exit_="exit_time",
-                 order=("entry_time", "symbol", "trade_id")) -> DataFrame:
+                 order=("entry_time", "symbol", "trade_id"), **kw) -> DataFrame:
     """Keep a trade if fewer than `limit` kept trades are open when it starts; adds `kept`.
 
     The state is the exit times of the open kept trades, at most `limit`
@@ -177,7 +177,7 @@ def position_cap(trades: DataFrame, limit: int, *, keys: Sequence[str] = (), ent
                 live.append(x)
         live.sort()
         return {"kept": keep}, live + [float("nan")] * (limit - len(live))
-    got = ordered_fold(d, step, {"kept": "boolean"}, [float("nan")] * limit, warm=20 * limit, keys=by)
+    got = ordered_fold(d, step, {"kept": "boolean"}, [float("nan")] * limit, keys=by, **{"warm": 20 * limit, **kw})
     return got.drop("_in", "_out", "_all", "bar_no")
 
 

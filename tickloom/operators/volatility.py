@@ -321,3 +321,22 @@ def base_iv(df: DataFrame, f: Frames, span: int = 1950, premium: float = 0.02) -
     ew = fill(F.col("_ew"), 0.0) * math.sqrt(MINUTES_PER_YEAR)
     blend = 0.55 * ew + 0.25 * F.coalesce(F.col("gk_vol_390"), ew) + 0.20 * F.coalesce(F.col("rv_390"), ew)
     return d.withColumn("l3_base_iv", clip(blend + premium, 0.05, 5.0)).drop("_lr", "_ew")
+
+
+def ewm_z_spread(df: DataFrame, f: Frames, a: str, b: str, span: int = 180) -> DataFrame:
+    """Difference of two exponential z-scores, and of the 30- and 15-bar changes of their logs."""
+    d, least = df, max(20, span // 6)
+    for n, x in (("_za", a), ("_zb", b)):
+        d = ewm_mean(d, f, x, n + "m", span=span, least=least)
+        d = ewm_std(d, f, x, n + "s", span=span, least=least)
+        z = (F.col(x) - F.col(n + "m")) / F.greatest(F.col(n + "s"), F.lit(1e-8))
+        d = d.withColumn(n, clip(fill(F.when(F.col(n + "s").isNotNull(), z), 0.0), -5.0, 5.0)).drop(n + "m", n + "s")
+    d = d.withColumns({"_la": F.ln(F.greatest(F.col(a), F.lit(1e-8))), "_lb": F.ln(F.greatest(F.col(b), F.lit(1e-8)))})
+    d = d.withColumn("_lr", F.col("_la") - F.col("_lb"))
+    return d.withColumns({
+        "z_spread": clip(F.col("_za") - F.col("_zb"), -5.0, 5.0),
+        "momentum_diff": clip(fill(f.diff("_la", 30) - f.diff("_lb", 30), 0.0), -3.0, 3.0),
+        "ratio_change": clip(fill(f.diff("_lr", 15), 0.0), -3.0, 3.0)}).drop("_za", "_zb", "_la", "_lb", "_lr")
+
+
+Z_SPREAD_HISTORY = 2 * reach(alpha_of(180)) + 31

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import pair_corr
 from ..operators import metrics as mt, policy as pol, quality as ql, splits as sp
 from ..operators.ranks import exact_quantiles
 from .catalog import query
@@ -279,7 +280,7 @@ def _(T):
   SELECT symbol, count(*) AS n, avg(abs(v - pred)) AS mae, sqrt(avg(power(v - pred, 2))) AS rmse, 1 - sum(power(v - pred, 2)) / (var_pop(v) * count(*)) AS r2, avg((sign(v) = sign(pred))::int) FILTER (abs(v) > 1e-8) AS sign_acc,
   avg(pred) AS pred_mean, stddev_pop(pred) AS pred_std, stddev_pop(pred) < 1e-5 AS degenerate, corr(v, pred) AS rho FROM sc GROUP BY symbol)""")
 def _(T):
-    m = scored(T).groupBy("symbol").agg(*mt.regression_report("v", "pred"), F.corr("v", "pred").alias("rho"))
+    m = scored(T).groupBy("symbol").agg(*mt.regression_report("v", "pred"), pair_corr("v", "pred").alias("rho"))
     return m.withColumn("branch", F.when(F.col("sign_acc") > 0.6, "A1").when(F.abs("rho") < 0.05, "A2").otherwise("A3"))
 
 

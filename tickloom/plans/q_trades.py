@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.exprs import pair_corr
 from ..operators import gates, sequences as seq, trade_log as tl
 from ..operators.layout import in_chunks
 from ..operators.ranks import exact_quantiles
@@ -143,7 +144,7 @@ def _(T):
 
     def guarded(cond):
         r, h = F.when(cond, F.col("ret")), F.when(cond, F.col("hold").cast("double"))
-        return F.when((F.count(r) >= 10) & (F.stddev_pop(r) > 1e-12) & (F.stddev_pop(h) > 1e-12), F.corr(r, h))
+        return F.when((F.count(r) >= 10) & (F.stddev_pop(r) > 1e-12) & (F.stddev_pop(h) > 1e-12), pair_corr(r, h))
     return trades(T).groupBy(F.date_format("exit_time", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.abs("ret") > 0.01).cast("int")).alias("active"),
         guarded(F.lit(True)).alias("corr_all"), guarded(act).alias("corr_active"))
