@@ -27,8 +27,8 @@ def flag(cond: Column) -> Column:
 
 
 def div(a, b) -> Column:
-    """a / b, missing where b is zero or missing."""
-    a, b = num(a), num(b)
+    """a / b, missing where b is zero or missing; names are columns."""
+    a, b = num(c(a)), num(c(b))
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 

@@ -9,6 +9,7 @@ from ..functions.exprs import c, clip, fill, first_of, yes
 from .layout import Frames
 
 # Weights of the structure scores over the 0..1 inputs made by `context_inputs`.
+ENTRY_BONUS = {"trend_strength": 0.08, "followthrough_quality": 0.04, "range_risk": -0.10, "breakout_failure_risk": -0.08}
 SETUP = {
     "pa_ctx_setup_trend_{s}": {"trend_{s}": 0.26, "trend_score": 0.20, "pressure_{s}": 0.18, "consec_{s}": 0.12, "body_push": 0.10, "range_push": 0.08,
                                "close_{s}": 0.08, "gap_{s}": 0.06, "range_score": -0.24, "breakout_fail": -0.20},
@@ -26,6 +27,9 @@ SIDES = (("long", "short"), ("short", "long"))
 # Modulation weights over the state columns and their clips.
 STATE_COLS = ("trend_strength", "followthrough_quality", "range_risk", "pullback_exhaustion", "breakout_failure_risk", "always_in_bias")
 MODULATION = {
+    "horizon": ({"trend_strength": 0.18, "followthrough_quality": 0.10, "range_risk": -0.22, "breakout_failure_risk": -0.18, "pullback_exhaustion": -0.10}, (0.55, 1.30)),
+    "value_target": ({"trend_strength": 0.16, "followthrough_quality": 0.08, "range_risk": -0.18, "breakout_failure_risk": -0.16, "pullback_exhaustion": -0.08}, (0.75, 1.20)),
+    "exit_weight": ({"range_risk": 0.24, "breakout_failure_risk": 0.18, "pullback_exhaustion": 0.10, "trend_strength": -0.10}, (0.70, 1.80)),
     "exit_eps": ({"range_risk": 0.25, "breakout_failure_risk": 0.20, "pullback_exhaustion": 0.10, "trend_strength": -0.12, "followthrough_quality": -0.08}, (0.70, 1.60)),
     "loss_buffer": ({"range_risk": -0.18, "breakout_failure_risk": -0.14, "pullback_exhaustion": -0.08, "trend_strength": 0.10}, (0.55, 1.20)),
     "live_edge_floor": ({"range_risk": 0.20, "breakout_failure_risk": 0.18, "trend_strength": -0.12}, (0.60, 1.50)),
@@ -165,6 +169,11 @@ def modulation(kind: str) -> Column:
     return clip(1.0 + _sum(weights, lambda n: F.col(f"pa_state_{n}")), lo, hi)
 
 
+def entry_bonus(entered: Column) -> Column:
+    """Aggregate: weighted means of the state over the entered rows, a bonus for entry searches."""
+    return _sum(ENTRY_BONUS, lambda n: F.coalesce(F.avg(F.when(entered, F.col(f"pa_state_{n}"))), F.lit(0.0)))
+
+
 def structure_tags(conditions: Mapping[str, Column]) -> Column:
     """Names of the true conditions joined by a comma, 'None' without any."""
     s = F.concat_ws(", ", *[F.when(yes(x), n) for n, x in conditions.items()])

@@ -109,3 +109,12 @@ def confusion_report(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> D
         F.sum(F.when((F.col(y) != k) & (F.col(pred) == k), F.col("n")).otherwise(0)).alias("fp"),
         F.sum(F.when((F.col(y) == k) & (F.col(pred) != k), F.col("n")).otherwise(0)).alias("fn"))
     return g.withColumnRenamed("_c", "cls").withColumns({"precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})
+
+
+def auc(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve from mean ranks, exact with ties."""
+    g = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("bigint")).alias("_p"))
+    g = running_over_values(g, score, {"_upto": F.col("_n")}, keys)
+    rank = F.col("_upto") - (F.col("_n") - 1) / 2.0
+    pos, n = F.sum("_p"), F.sum("_n")
+    return g.groupBy(*keys).agg(F.try_divide(F.sum(rank * F.col("_p")) - pos * (pos + 1) / 2.0, (pos * (n - pos)).cast("double")).alias("auc"))

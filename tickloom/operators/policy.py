@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import c, clip, fill, flag
+from .durable import durable
+from .layout import number_rows, running
 from .paths import first_exits, uplift_score
 from .ranks import exact_quantiles
 from .splits import hold_bucket
@@ -118,28 +120,27 @@ def gate_candidates(df: DataFrame, gate: str, n: int = 21) -> DataFrame:
     return exact_quantiles(df, gate, qs).select(F.explode(F.array_distinct(F.array(*qs))).alias("threshold"))
 
 
-def gate_search(df: DataFrame, gate: str, profit: str, order: Sequence[str], target_rate: float, band: tuple[float, float], *, n: int = 21,
-                lam: float = 0.25, rate_pen: float = 0.35, dd_pen: float = 0.10, tail_pen: float = 0.15, pf_bonus: float = 0.05) -> DataFrame:
-    """Score per candidate threshold: mean - downside - drawdown - tail + profit factor - rate penalty.
+def score_thresholds(df: DataFrame, gate: str, profit: str, cand: Column, target_rate: float, band: tuple[float, float], *, pos: str = "_pos",
+                     lam: float = 0.25, rate_pen: float = 0.35, dd_pen: float = 0.10, tail_pen: float = 0.15, pf_bonus: float = 0.05) -> DataFrame:
+    """Score per candidate: mean - downside - drawdown - tail + profit factor - rate penalty.
 
-    The candidates are a literal-sized list exploded per active row. Drawdown
-    needs each candidate's running sum in time, which is a `running` value.
+    `cand` is an array of (threshold, limit) structs, a short list, exploded on
+    the rows whose gate reaches the limit. Drawdown needs each candidate's
+    running sum in time, which is a `running` value.
     """
-    from .layout import number_rows, running
-    cand = gate_candidates(df, gate, n).agg(F.sort_array(F.collect_list("threshold"))).scalar()
     total = df.agg(F.count(F.lit(1))).scalar()
     d = df.withColumn("_cand", cand)
-    on = F.filter("_cand", lambda t: (F.col(gate) >= t) & (F.col(profit) > 0))
-    d = d.select(*order, F.col(gate).alias("_g"), F.col(profit).alias("_p"), F.explode(on).alias("threshold"))
+    on = F.filter("_cand", lambda t: (F.col(gate) >= t["limit"]) & (F.col(profit) > 0))
+    d = d.select(pos, F.col(gate).alias("_g"), F.col(profit).alias("_p"), F.explode(F.transform(on, lambda t: t["threshold"])).alias("threshold"))
     d = d.withColumn("_raw", clip(F.col("_g"), 0.0, 1.0) * F.greatest(F.col("_p"), F.lit(0.0)))
     st = d.groupBy("threshold").agg(F.stddev_pop("_raw").alias("_sd"), F.max("_raw").alias("_mx"))
     d = d.join(st, "threshold")
     z = F.col("_sd") + 1e-6
     size = F.when(F.col("_mx") / z > 1e-12, clip(F.col("_raw") / z / (F.col("_mx") / z), 0.0, 1.0)).otherwise(0.0)
-    d = d.withColumn("_r", size * F.col("_p")).select("threshold", *order, "_r")
-    d = running(number_rows(d, ("threshold",), order, "range"), {"_eq": ("sum", F.col("_r"))}, keys=("threshold",))
-    d = running(d, {"_pk": ("max", F.col("_eq"))}, keys=("threshold",))
+    d = durable(d.withColumn("_r", size * F.col("_p")).select("threshold", pos, "_r"))
     p05 = exact_quantiles(d, "_r", {"_p05": 0.05}, ("threshold",))
+    d = running(d, {"_eq": ("sum", F.col("_r"))}, keys=("threshold",), order=(pos,))
+    d = running(d, {"_pk": ("max", F.col("_eq"))}, keys=("threshold",), order=(pos,))
     neg = F.when(F.col("_r") < 0, F.col("_r"))
     m = d.groupBy("threshold").agg(
         F.avg("_r").alias("mean"), F.sqrt(F.coalesce(F.avg(neg * neg), F.lit(0.0))).alias("down"), F.max(F.col("_pk") - F.col("_eq")).alias("max_dd"),
@@ -150,6 +151,61 @@ def gate_search(df: DataFrame, gate: str, profit: str, order: Sequence[str], tar
     return m.withColumns({"score": score, "in_band": F.col("rate").between(*band)}).drop("_p05")
 
 
+def gate_search(df: DataFrame, gate: str, profit: str, order: Sequence[str], target_rate: float, band: tuple[float, float], *, n: int = 21, **kw) -> DataFrame:
+    """Scores of the quantile grid of the gate."""
+    d = number_rows(df.select(*order, gate, profit), (), order, "range", "_pos")
+    one = gate_candidates(d, gate, n).agg(F.sort_array(F.collect_list(F.struct("threshold", F.col("threshold").alias("limit"))))).scalar()
+    return score_thresholds(d, gate, profit, one, target_rate, band, **kw)
+
+
+def gate_offsets(df: DataFrame, gate: str, profit: str, order: Sequence[str], key: str, base: float, target_rate: float, *,
+                 steps: Sequence[float] = (-0.010, -0.006, -0.003, 0.0, 0.003, 0.006, 0.010), least: int = 500, **kw) -> DataFrame:
+    """Best threshold offset per state: state after state, with the offsets found so far in place.
+
+    States are few (regime x volatility bucket); their names and one number per step come to the driver.
+    """
+    d = durable(number_rows(df.select(*order, gate, profit, F.col(key).cast("string").alias("_key")), (), order, "range", "_pos"))
+    names = [r["_key"] for r in d.groupBy("_key").count().where(F.col("count") >= least).orderBy("_key").collect()]
+    found: dict[str, float] = {}
+    for name in names:
+        now = F.lit(base)
+        for k, v in found.items():
+            now = F.when(F.col("_key") == k, base + v).otherwise(now)
+        cand = F.array(*[F.struct(F.lit(float(s)).alias("threshold"), F.least(F.greatest(
+            F.when(F.col("_key") == name, F.lit(base + s)).otherwise(now), F.lit(0.0)), F.lit(1.0)).alias("limit")) for s in sorted(steps)])
+        got = score_thresholds(d, gate, profit, cand, target_rate, (0.0, 1.0), **kw)
+        best = got.agg(F.max_by("threshold", F.struct(F.round("score", 12), -F.col("threshold")))).first()[0]
+        found[name] = float(best) if best is not None else 0.0
+    lits = F.map_from_arrays(F.array(*[F.lit(k) for k in found]), F.array(*[F.lit(v) for v in found.values()]))
+    return d.select(F.col("_key").alias("state")).distinct().withColumn("step", F.coalesce(F.try_element_at(lits, F.col("state")), F.lit(0.0)))
+
+
+def product_size(gate, direction, edge, breakout, vol, persistence, threshold: float, clip_max: float = 5.0) -> Column:
+    """Product of strength past the gate, direction margin, edge, breakout quality, damped volatility and persistence, 0..1."""
+    act = clip((c(gate) - threshold) / max(1.0 - threshold, 1e-3), 0.0, 1.0)
+    margin = F.abs(2.0 * clip(c(direction), 0.0, 1.0) - 1.0)
+    return clip(act * (0.35 + 0.65 * margin) * (0.25 + 0.75 * clip(F.abs(c(edge)) / clip_max, 0.0, 1.0)) * (0.50 + 0.50 * clip(c(breakout), 0.0, 1.0))
+                / (1.0 + clip(c(vol), 0.0, 5.0)) * (0.60 + 0.40 * clip(c(persistence), 0.0, 1.0)), 0.0, 1.0)
+
+
+def bucket_size(df: DataFrame, gate: str, direction: str, edge: str, breakout: str, threshold: float, levels: Sequence[float] = (0.20, 0.35, 0.50, 0.70, 0.90),
+                fit: Column | None = None, out: str = "size") -> DataFrame:
+    """Size level by the quantiles of a signal score among active fit rows; 0 below the gate."""
+    from .splits import quantile_rescale
+    rows = F.lit(True) if fit is None else fit
+    d = df.withColumns({"_ea": F.abs(edge), "_ba": F.abs(breakout)})
+    d = quantile_rescale(quantile_rescale(d, "_ea", rows, out="_en"), "_ba", rows, out="_bn")
+    act = clip((F.col(gate) - threshold) / max(1.0 - threshold, 1e-3), 0.0, 1.0)
+    d = d.withColumn("_s", clip(0.45 * act + 0.30 * F.abs(2.0 * F.col(direction) - 1.0) + 0.15 * F.col("_bn") + 0.10 * F.col("_en"), 0.0, 1.0))
+    k = len(levels) - 1
+    qs = {f"c{i}": 0.2 + 0.6 * i / max(k - 1, 1) for i in range(k)}
+    cuts = exact_quantiles(d.where(rows & (F.col(gate) >= threshold)), "_s", qs).select(F.array(*qs)).scalar()
+    d = d.withColumn("_c", cuts)
+    at = F.size(F.filter("_c", lambda q: q <= F.col("_s"))) + 1
+    return d.withColumn(out, F.when(F.col(gate) < threshold, 0.0).otherwise(F.element_at(F.array(*[F.lit(float(x)) for x in levels]), at))).drop(
+        "_ea", "_ba", "_en", "_bn", "_s", "_c")
+
+
 def best_candidate(scores: DataFrame, target_rate: float) -> DataFrame:
     """Highest score inside the band if there is one, ties by the nearer rate."""
     rank = F.struct(F.col("in_band").cast("int").alias("b"), F.round("score", 12).alias("s"), (-F.abs(F.col("rate") - target_rate)).alias("r"))

@@ -66,9 +66,9 @@ def stability(df: DataFrame, cols: Sequence[str], order: Sequence[str], segments
     return g.select("feature", F.least(F.greatest(1.0 / (1.0 + 5.0 * F.col("sd") / (F.col("am") + 1e-12)), F.lit(0.0)), F.lit(1.0)).alias("stability"))
 
 
-def lag1_strength(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("symbol",), first: int = 80_000) -> DataFrame:
-    """Largest |lag-1 correlation| over the keys per feature, on the first rows of each key."""
-    rows = df.where(F.col("bar_no") < first)
+def lag1_strength(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("symbol",), first: int | None = None) -> DataFrame:
+    """Largest |lag-1 correlation| over the keys per feature, on all rows or the first ones of each key."""
+    rows = df if first is None else df.where(F.col("bar_no") < first)
     d = in_chunks(rows, lambda x, f: x.withColumns({f"_l_{n}": f.lag(n) for n in cols}), history=1, keys=keys)
     aggs = [F.abs(F.when((F.stddev_pop(n) > 0) & (F.stddev_pop(f"_l_{n}") > 0), pair_corr(n, f"_l_{n}"))).alias(n) for n in cols]
     per_key = d.groupBy(*keys).agg(*aggs)

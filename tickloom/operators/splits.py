@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import c, clip, fill, flag, pair_corr
+from .durable import durable
+from .gates import lookup
 from .layout import number_rows
 from .ranks import average_rank, exact_quantiles, running_over_values
 
@@ -105,8 +107,26 @@ def rank_step_weights(df: DataFrame, y: str, active_above: float = 0.05, out: st
     return d.withColumn(out, F.when(F.col("_a").isNotNull(), w).otherwise(1.0)).drop("_a", "_r", "_r_of")
 
 
-def trade_weights(df: DataFrame, trade: Sequence[str], hold: str, y: str, u: str, out: str = "weight") -> DataFrame:
-    """1/trade length x hold bucket x class x nearness to the peak x regret, clipped at 1% and 99%, mean 1."""
+# Hold-row weight by entry regime, and by unrealised result below each limit (last one above all).
+HOLD_OF_REGIME = {0: 1.0, 1: 1.3, 2: 1.0, 3: 0.55, 4: 0.80}
+HOLD_OF_RESULT = ((-1.5, 0.50), (-0.5, 0.70), (0.0, 0.85))
+
+
+def hold_weight(y, hold, regime, u, most: int = 30, divergence=None) -> Column:
+    """1 on exit rows; on hold rows regime x time x result (x divergence), within 0.4..2.5."""
+    share = clip(c(hold).cast("double") / max(max(most, 2) - 1, 1), 0.0, 1.0)
+    by_result = F.lit(1.0)
+    for limit, w in HOLD_OF_RESULT:  # a later limit overrides an earlier one, as in the fixed rule
+        by_result = F.when(c(u) < limit, w).otherwise(by_result)
+    w = lookup(HOLD_OF_REGIME, c(regime).cast("int"), 1.0) * (1.15 + (0.65 - 1.15) * share) * by_result
+    if divergence is not None:
+        w = w * F.when(c(divergence) > 0.5, 0.70).otherwise(1.0)
+    return F.when(c(y) == 1, 1.0).otherwise(F.least(F.greatest(w, F.lit(0.4)), F.lit(2.5)))
+
+
+def trade_weights(df: DataFrame, trade: Sequence[str], hold: str, y: str, u: str, regime: str, *, most: int = 30, shape: bool = False,
+                  regret: bool = False, out: str = "weight") -> DataFrame:
+    """1/trade length x hold bucket x class, optionally x nearness to the peak x regret; clipped at 1% and 99%, mean 1."""
     w = Window.partitionBy(*trade).orderBy(hold)
     rest = w.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(*trade)
@@ -117,18 +137,19 @@ def trade_weights(df: DataFrame, trade: Sequence[str], hold: str, y: str, u: str
     four = F.array(*[F.coalesce(F.max(F.when(F.col("_hb") == i, F.col("_n"))), F.lit(1)).cast("double") for i in range(4)])
     d = d.withColumn("_nb", sizes.agg(four).scalar())
     mean = F.aggregate("_nb", F.lit(0.0), lambda a, b: a + b) / 4.0
-    bucket = clip(F.sqrt(mean / F.element_at("_nb", F.col("_hb") + 1)), 0.75, 1.5)
-    h = F.col(hold)
-    shape = (F.when(h < 3, 0.3).otherwise(1.0) * F.when(F.col("_tmax") - h < 3, 0.5).otherwise(1.0)
-             * F.when(F.abs(h - F.col("_peak")) <= 5, 3.0).otherwise(1.0))
-    x = F.col(u)
-    regret = F.when(F.col(y) == 1, clip(1.0 + F.greatest(x - F.col("_mn"), F.lit(0.0)), 1.0, 10.0)).otherwise(
-        clip(0.5 + F.least(F.greatest(F.col("_mx") - x, F.lit(0.0)), F.lit(3.0)) / 3.0 * 1.5, 0.5, 2.0))
-    d = d.withColumn("_w", bucket * shape * regret / F.col("_len"))
+    weight = clip(F.sqrt(mean / F.element_at("_nb", F.col("_hb") + 1)), 0.75, 1.5) * hold_weight(y, hold, regime, u, most) / F.col("_len")
+    h, x = F.col(hold), F.col(u)
+    if shape:
+        weight = weight * (F.when(h < 3, 0.3).otherwise(1.0) * F.when(F.col("_tmax") - h < 3, 0.5).otherwise(1.0)
+                           * F.when(F.abs(h - F.col("_peak")) <= 5, 3.0).otherwise(1.0))
+    if regret:
+        weight = weight * F.when(F.col(y) == 1, clip(1.0 + F.greatest(x - F.col("_mn"), F.lit(0.0)), 1.0, 10.0)).otherwise(
+            clip(0.5 + F.least(F.greatest(F.col("_mx") - x, F.lit(0.0)), F.lit(3.0)) / 3.0 * 1.5, 0.5, 2.0))
+    d = durable(d.withColumn("_w", weight).drop("_len", "_peak", "_tmax", "_mn", "_mx", "_hb", "_nb"))
     lim = exact_quantiles(d, "_w", {"lo": 0.01, "hi": 0.99}).select(F.struct("lo", "hi")).scalar()
     d = d.withColumn("_lim", lim).withColumn("_w", F.least(F.greatest(F.col("_w"), F.col("_lim.lo")), F.col("_lim.hi")))
     total = d.agg(F.avg("_w")).scalar()
-    return d.withColumn(out, F.col("_w") / total).drop("_len", "_peak", "_tmax", "_mn", "_mx", "_hb", "_nb", "_w", "_lim")
+    return d.withColumn(out, F.col("_w") / total).drop("_w", "_lim")
 
 
 def hold_bucket(hold) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .fold import ordered_fold
 from .layout import in_chunks, running
@@ -64,10 +64,12 @@ def bars_to_change(df: DataFrame, state: str, out: str, keys: Sequence[str] = ("
 
 def horizon_rates(df: DataFrame, dist: str, most: int = 120) -> DataFrame:
     """Share of rows whose state changes within H rows, for every H in 1..most, from one histogram."""
-    hist = df.groupBy(F.least(F.coalesce(F.col(dist), F.lit(most + 1)), F.lit(most + 1)).cast("int").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    hist = df.where(F.col(dist) <= most).groupBy(F.col(dist).cast("int").alias("horizon")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     grid = df.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("horizon"))
-    return grid.join(hist, hist.h <= grid.horizon, "left").groupBy("horizon").agg((F.coalesce(F.sum("n"), F.lit(0)) / total).alias("rate"))
+    upto = Window.orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)  # one row per horizon
+    g = grid.join(hist, "horizon", "left").withColumn("_c", F.sum(F.coalesce("n", F.lit(0))).over(upto))
+    return g.select("horizon", (F.col("_c") / total).alias("rate"))
 
 
 def choose_horizon(rates: DataFrame, lo: float, hi: float, wanted: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import c, div
 from .asof import asof_backward
+from .durable import durable
 from .fold import ordered_fold
 from .gates import DRIVERS
 from .layout import in_chunks, number_rows, running
@@ -22,11 +23,16 @@ def with_total(df: DataFrame, symbol: str = "symbol", label: str = "label") -> D
     return df.withColumn(label, F.explode(F.array(F.col(symbol), F.lit(COMBINED))))
 
 
-def drawdown_rows(trades: DataFrame, key: str, order: Sequence[str], ret: str = "ret") -> DataFrame:
-    """Simple cumulative return, its peak (at least 0) and the drawdown, per key in the given order."""
-    d = number_rows(trades, (key,), order, "range")
-    d = running(d, {"cum": ("sum", F.col(ret))}, keys=(key,))
-    d = running(d, {"_peak": ("max", F.col("cum"))}, keys=(key,))
+def in_order(trades: DataFrame, order: Sequence[str] = ("exit_time", "trade_id"), out: str = "pos") -> DataFrame:
+    """Trades with their position in the whole log; every subset of them is ordered by it too."""
+    return number_rows(trades, (), order, "range", out)
+
+
+def drawdown_rows(trades: DataFrame, key: str, ret: str = "ret", pos: str = "pos") -> DataFrame:
+    """Simple cumulative return, its peak (at least 0) and the drawdown, per key in the order of `pos`."""
+    d = trades.select(key, pos, ret)
+    d = running(d, {"cum": ("sum", F.col(ret))}, keys=(key,), order=(pos,))
+    d = running(d, {"_peak": ("max", F.col("cum"))}, keys=(key,), order=(pos,))
     return d.withColumn("peak", F.greatest(F.col("_peak"), F.lit(0.0))).withColumn("dd", F.col("cum") - F.col("peak")).drop("_peak")
 
 
@@ -35,11 +41,11 @@ def profit_factor(ret: Column) -> Column:
     return F.when(lost < -1e-12, F.sum(F.when(ret > 0, ret).otherwise(0.0)) / -lost)
 
 
-def summarise(trades: DataFrame, key: str = "label", exit_time: str = "exit_time", order=("exit_time", "trade_id"),
-              ret: str = "ret", hold: str = "hold") -> DataFrame:
-    """One metric row per key; ratios are annualised by trades per year between first and last exit."""
+def summarise(trades: DataFrame, key: str = "label", exit_time: str = "exit_time", ret: str = "ret", hold: str = "hold",
+              pos: str = "pos") -> DataFrame:
+    """One metric row per key; ratios are annualised by trades per year between first and last exit. Needs `in_order`."""
     r = F.col(ret)
-    depth = drawdown_rows(trades, key, order, ret).groupBy(key).agg(F.min("dd").alias("max_drawdown"))
+    depth = drawdown_rows(trades, key, ret, pos).groupBy(key).agg(F.min("dd").alias("max_drawdown"))
     m = trades.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_trades"), F.min(exit_time).alias("first_exit"), F.max(exit_time).alias("last_exit"),
         F.sum(r).alias("total_return"), F.avg(r).alias("mean_return"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("std_return"),
@@ -188,18 +194,18 @@ def daily_pnl(trades: DataFrame, key="label", exit_="exit_time", ret="ret") -> D
     return d.withColumn("cum_pnl", F.sum("pnl").over(w))
 
 
-def worst_drawdown_window(trades: DataFrame, key="label", order=("exit_time", "trade_id"), ret="ret") -> DataFrame:
-    """Deepest fall of the cumulative return from its running peak, with the positions of peak and trough (first on ties)."""
-    d = number_rows(trades, (key,), order, "range")
-    d = running(d, {"_cum": ("sum", F.col(ret))}, keys=(key,)).withColumn("_cum", F.round("_cum", 9))
-    at = F.struct(F.col("_cum").alias("v"), (-F.col("bar_no")).alias("p"))
-    d = running(d, {"_pk": ("max", at)}, keys=(key,))
+def worst_drawdown_window(trades: DataFrame, key="label", ret="ret", pos="pos") -> DataFrame:
+    """Deepest fall of the cumulative return from its running peak, with the places of peak and trough (first on ties). Needs `in_order`."""
+    d = trades.select(key, pos, ret)
+    d = running(d, {"_cum": ("sum", F.col(ret)), "_no": ("sum", F.lit(1))}, keys=(key,), order=(pos,))
+    d = d.withColumns({"_cum": F.round("_cum", 9), "_no": F.col("_no") - 1})
+    at = F.struct(F.col("_cum").alias("v"), (-F.col("_no")).alias("p"))
+    d = running(d, {"_pk": ("max", at)}, keys=(key,), order=(pos,))
     d = d.withColumn("_dd", F.round(F.col("_cum") - F.col("_pk.v"), 9))
-    low = F.min(F.struct("_dd", "bar_no", F.col("_pk.p").alias("pk"))).alias("w")
-    g = d.groupBy(key).agg(low)
+    g = d.groupBy(key).agg(F.min(F.struct("_dd", "_no", F.col("_pk.p").alias("pk"))).alias("w"))
     flat = F.col("w._dd") >= 0
     return g.select(key, F.col("w._dd").alias("depth"), F.when(flat, 0).otherwise(-F.col("w.pk")).alias("peak_at"),
-                    F.when(flat, 0).otherwise(F.col("w.bar_no")).alias("trough_at"))
+                    F.when(flat, 0).otherwise(F.col("w._no")).alias("trough_at"))
 
 
 def cumulative_on_grid(bars: DataFrame, trades: DataFrame, t="t", exit_="exit_time", ret="ret", keys=("symbol",)) -> DataFrame:
@@ -236,6 +242,7 @@ def trades_from_positions(bars: DataFrame, position: str) -> DataFrame:
 def equity_metrics(returns: DataFrame, key: Sequence[str], ret: str, pos: str = "bar_no") -> DataFrame:
     """Compounded total and annual return, Sharpe with the population deviation, and maximum drawdown."""
     grow = F.col(ret)
+    returns = durable(returns.select(*key, pos, ret))
     d = running(returns, {"_lg": ("sum", F.ln(1.0 + grow))}, keys=key, order=(pos,))
     d = running(d, {"_pk": ("max", F.col("_lg"))}, keys=key, order=(pos,))
     m = d.groupBy(*key).agg(F.sum(F.ln(1.0 + grow)).alias("_tot"), F.count(F.lit(1)).alias("periods"), F.avg(ret).alias("_mu"),

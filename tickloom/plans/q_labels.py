@@ -162,7 +162,7 @@ sg AS (SELECT *, CASE WHEN endless = 1 OR rule = 0 THEN 0 WHEN rule <= 4 THEN 1
 STATES_A = f"st AS MATERIALIZED (SELECT *, cast(floor(avg(close) {win(4)} / 8) AS int) % 6 AS market_state FROM anatomy)"
 
 
-def label_pipeline(T, warm_up: int = 0):
+def label_chain(T, warm_up: int = 0):
     """Anatomy, pressure, states, range, pullbacks, breakouts, signals, outcomes; optional warm-up cut."""
     def first(d, f):
         d = shapes.pressure_label(d, f)
@@ -174,10 +174,10 @@ def label_pipeline(T, warm_up: int = 0):
     return d.where(F.col("bar_no") >= warm_up) if warm_up else d
 
 
-@query("label_pipeline", "symbol:s bar_no:i market_state:i signal:i signal_strength:i signal_reason:s " + OUT_COLS, BARS_REC + ", " + ANATOMY + ", " + STATES_A + ", " + QUAL.format(src="st") + ", "
+@query("label_chain", "symbol:s bar_no:i market_state:i signal:i signal_strength:i signal_reason:s " + OUT_COLS, BARS_REC + ", " + ANATOMY + ", " + STATES_A + ", " + QUAL.format(src="st") + ", "
        + PULL_B + ", " + PRESS_LABEL + ", " + OUTCOME.format(src="sg") + " SELECT outcomes.*, market_state, signal, signal_strength, signal_reason FROM outcomes JOIN sg USING (symbol, bar_no) WHERE bar_no >= 50")
 def _(T):
-    return label_pipeline(T, 50)
+    return label_chain(T, 50)
 
 
 @query("label_next_change", "symbol:s bar_no:i changes10:i dist:i", BARS + f""", s AS (SELECT symbol, bar_no, least(cast(floor(close / 20) AS int), 4) AS st FROM bars),

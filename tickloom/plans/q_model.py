@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import pair_corr
+from ..functions.exprs import div, pair_corr
 from ..operators import metrics as mt, policy as pol, quality as ql, splits as sp
 from ..operators.ranks import exact_quantiles
 from .catalog import query
@@ -14,7 +14,7 @@ SCORED = TRADES + """, sc AS (SELECT *, round(hold / (hold + 500.0), 4) AS p, (r
 
 
 def scored(T):
-    return trades(T).withColumns({"p": F.round(F.col("hold") / (F.col("hold") + 500.0), 4), "y": (F.col("ret") > 0.02).cast("int"),
+    return trades(T).withColumns({"p": F.round(div("hold", F.col("hold") + 500.0), 4), "y": (F.col("ret") > 0.02).cast("int"),
                                   "v": F.col("ret") * 100, "pred": F.col("hold") / 400.0, "cls": F.least(F.greatest(F.col("regime") - 1, F.lit(0)), F.lit(4))})
 
 
@@ -85,11 +85,12 @@ def _(T):
    WINDOW k AS (PARTITION BY symbol, eb), r AS (PARTITION BY symbol, eb ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 b AS (SELECT hb, count(*) AS nb FROM a GROUP BY hb),
 w AS (SELECT a.*, least(greatest(sqrt((SELECT avg(nb) FROM b) / nb), 0.75), 1.5) * CASE WHEN step < 3 THEN 0.3 ELSE 1 END * CASE WHEN tmax - step < 3 THEN 0.5 ELSE 1 END * CASE WHEN abs(step - pk) <= 5 THEN 3 ELSE 1 END
+   * CASE WHEN y = 1 THEN 1 ELSE least(greatest([1.0, 1.3, 1.0, 0.55, 0.8][regime + 1] * (1.15 - 0.5 * least(step / 29.0, 1)) * CASE WHEN unreal < 0 THEN 0.85 ELSE 1 END, 0.4), 2.5) END
    * CASE WHEN y = 1 THEN least(greatest(1 + greatest(unreal - mn, 0), 1), 10) ELSE least(greatest(0.5 + least(greatest(mx - unreal, 0), 3) / 3 * 1.5, 0.5), 2) END / len AS w FROM a JOIN b USING (hb)),
 q AS (SELECT quantile_cont(w, 0.01) AS lo, quantile_cont(w, 0.99) AS hi FROM w), cl AS (SELECT symbol, eb, step, least(greatest(w, lo), hi) AS w FROM w, q)
 SELECT symbol, eb, step, w / (SELECT avg(w) FROM cl) AS weight FROM cl""")
 def _(T):
-    return sp.trade_weights(path(T).withColumn("y", (F.col("exit_prob") > 0.4).cast("int")), TR, "step", "y", "unreal")
+    return sp.trade_weights(path(T).withColumn("y", (F.col("exit_prob") > 0.4).cast("int")), TR, "step", "y", "unreal", "regime", shape=True, regret=True)
 
 
 @query("weights_half_life", "rho:d days:i half_life:d", """WITH d AS (SELECT cast(ts AS date) AS day, avg(value + 100 * epoch(ts) / 1e9) AS x FROM events GROUP BY 1), l AS (SELECT x, lag(x) OVER (ORDER BY day) AS l FROM d)
@@ -271,7 +272,7 @@ def _(T):
 SELECT symbol, avg(abs(p - q)) AS flip, count(q) AS n FROM p GROUP BY symbol""")
 def _(T):
     from ..operators.layout import in_chunks, number_rows
-    d = number_rows(trades(T), ("symbol",), ("entry_time", "trade_id"), "range").withColumn("p", F.col("hold") / (F.col("hold") + 500.0))
+    d = number_rows(trades(T), ("symbol",), ("entry_time", "trade_id"), "range").withColumn("p", div("hold", F.col("hold") + 500.0))
     d = in_chunks(d, lambda x, f: x.withColumn("dp", F.abs(f.diff("p"))), history=1)
     return d.groupBy("symbol").agg(F.avg("dp").alias("flip"), F.count("dp").alias("n"))
 
@@ -414,3 +415,26 @@ def _(T):
 def _(T):
     d = scored(T).where("v < 0").withColumn("loss", -F.col("v"))
     return exact_quantiles(d, "loss", {"q": 0.75}).select(F.greatest(F.lit(0.0), F.col("q") * 1.5).alias("buffer"))
+
+
+@query("metrics_auc", "symbol:s auc:d", SCORED + """, r AS (SELECT symbol, y, rank() OVER w + (count(*) OVER (PARTITION BY symbol, p) - 1) / 2.0 AS r FROM sc WINDOW w AS (PARTITION BY symbol ORDER BY p))
+SELECT symbol, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM r GROUP BY symbol""")
+def _(T):
+    return mt.auc(scored(T), "y", "p", ["symbol"])
+
+
+@query("size_formulas", "trade_id:s product:d bucket:d", SCORED + """, q AS (SELECT quantile_cont(abs(ret), 0.05) AS e5, quantile_cont(abs(ret), 0.95) AS e95, quantile_cont(abs(pred), 0.05) AS b5, quantile_cont(abs(pred), 0.95) AS b95 FROM sc),
+u AS (SELECT *, least(greatest((p - 0.4) / 0.6, 0), 1) AS act, abs(2 * p - 1) AS dc, least(greatest((abs(ret) - e5) / (e95 - e5), 0), 1) AS en, least(greatest((abs(pred) - b5) / (b95 - b5), 0), 1) AS bn FROM sc, q),
+w AS (SELECT *, least(greatest(0.45 * act + 0.3 * dc + 0.15 * bn + 0.1 * en, 0), 1) AS s FROM u),
+b AS (SELECT quantile_cont(s, 0.2) AS c1, quantile_cont(s, 0.4) AS c2, quantile_cont(s, 0.6) AS c3, quantile_cont(s, 0.8) AS c4 FROM w WHERE p >= 0.4)
+SELECT trade_id, act * (0.35 + 0.65 * dc) * (0.25 + 0.75 * least(abs(ret) / 5, 1)) * (0.5 + 0.5 * least(pred, 1)) / (1 + least(pred, 5)) * (0.6 + 0.4 * p) AS product,
+  CASE WHEN p < 0.4 THEN 0 ELSE [0.2, 0.35, 0.5, 0.7, 0.9][(s >= c1)::int + (s >= c2)::int + (s >= c3)::int + (s >= c4)::int + 1] END AS bucket FROM w, b""")
+def _(T):
+    d = scored(T).withColumn("dir", F.col("p"))
+    d = d.withColumn("product", pol.product_size("p", "dir", "ret", "pred", "pred", "p", 0.4))
+    return pol.bucket_size(d, "p", "dir", "ret", "pred", 0.4, out="bucket")
+
+
+@query("gate_offsets", "state:s step:d")
+def _(T):
+    return pol.gate_offsets(keyed(T), "p", "v", ("entry_time", "trade_id"), "vb", 0.6, 0.1, steps=(-0.01, 0.0, 0.01))

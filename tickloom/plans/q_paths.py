@@ -140,13 +140,13 @@ def _(T):
     return pt.value_labels(d, TR)
 
 
-@query("value_targets", "symbol:s eb:i step:i outcome:i sharpe:d theta:d is_gain:i ternary:i slog:d back:d", PATH + ", " + RUN + """, e AS (SELECT symbol, eb, last(unreal ORDER BY step) AS lst FROM run GROUP BY 1, 2),
-m AS (SELECT quantile_cont(lst, 0.5) AS med FROM e WHERE eb < 300), q AS (SELECT quantile_cont(terminal - unreal, 0.01) AS lo, quantile_cont(terminal - unreal, 0.99) AS hi FROM run WHERE eb < 300),
-g AS (SELECT run.*, future_best - unreal AS gl, (lst >= med)::int AS outcome, least(greatest(terminal - unreal, lo), hi) AS y FROM run JOIN e USING (symbol, eb), m, q)
+@query("value_targets", "symbol:s eb:i step:i outcome:i sharpe:d theta:d is_gain:i ternary:i slog:d back:d", PATH + ", " + RUN + """, e AS (SELECT symbol, eb, min(et) AS et, last(unreal ORDER BY step) AS lst FROM run GROUP BY 1, 2),
+m AS (SELECT quantile_cont(lst, 0.5) AS med FROM e WHERE et < TIMESTAMP '2024-01-14'), q AS (SELECT quantile_cont(terminal - unreal, 0.01) AS lo, quantile_cont(terminal - unreal, 0.99) AS hi FROM run WHERE et < TIMESTAMP '2024-01-14'),
+g AS (SELECT run.*, future_best - unreal AS gl, (lst >= med)::int AS outcome, least(greatest(terminal - unreal, lo), hi) AS y FROM run JOIN (SELECT symbol, eb, lst FROM e) e USING (symbol, eb), m, q)
 SELECT symbol, eb, step, outcome, least(greatest(gl / greatest(atr / entry, 1e-4), -50), 50) AS sharpe, gl - atr / entry AS theta, (gl > 0.02)::int AS is_gain, CASE WHEN gl < 0.015 THEN 0 WHEN gl < 0.045 THEN 1 ELSE 2 END AS ternary,
   sign(y) * ln(1 + abs(y)) AS slog, y AS back FROM g""")
 def _(T):
-    fit = F.col("eb") < 300
+    fit = F.col("et") < F.lit("2024-01-14").cast("timestamp_ntz")
     d = pt.trade_outcome_label(marked(T), TR, fit, out="outcome")
     d = d.withColumns({"y0": F.col("terminal") - F.col("unreal"), "rv": F.col("atr") / F.col("entry")})
     lim = exact_quantiles(d.where(fit), "y0", {"lo": 0.01, "hi": 0.99}).select(F.struct("lo", "hi")).scalar()
@@ -277,7 +277,7 @@ def _(T):
 
 @query("option_spreads", "event_id:i short_put:d long_put:d short_call:d long_call:d credit:d max_loss:d delta:d theta:d vega:d bf_credit:d bf_max_loss:d")
 def _(T):
-    e = T("events").where("value > 1").withColumns({"iv": 0.1 + F.col("user_id") % 30 / 100.0, "tt": (F.col("event_id") % 20 + 1) / 252.0})
+    e = T("events").withColumns({"iv": 0.1 + F.col("user_id") % 30 / 100.0, "tt": (F.col("event_id") % 20 + 1) / 252.0})
     d = opt.short_spread(e, "value", F.col("tt"), F.col("iv"))
     bf = opt.short_spread(d.select("event_id", "value", "tt", "iv"), "value", F.col("tt"), F.col("iv"), condor_delta=None, wing_pct=0.02, prefix="bf_")
     return d.join(bf.select("event_id", "bf_credit", "bf_max_loss"), "event_id")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import div
 from ..operators import mlops
 from ..operators.durable import durable, shared_dir
 from ..streaming import live
@@ -129,5 +130,5 @@ def _(T):
 @query("hurdle_prediction", "trade_id:s pred:d epsilon:d", TRADES + """, e AS (SELECT least(greatest(quantile_cont(abs(ret), 0.1), 0.05), 0.35) AS epsilon FROM trades WHERE abs(ret) > 0)
 SELECT trade_id, power(hold / (hold + 500.0), 0.5) * ret AS pred, epsilon FROM trades, e""")
 def _(T):
-    d = scored(T).withColumn("pnz", F.col("hold") / (F.col("hold") + 500.0))
+    d = scored(T).withColumn("pnz", div("hold", F.col("hold") + 500.0))
     return d.withColumns({"pred": mlops.hurdle("pnz", "ret", 0.5), "epsilon": mlops.hurdle_epsilon(d, "ret").scalar()})

@@ -21,6 +21,10 @@ def labelled(T):
     return tl.with_total(trades(T))
 
 
+def log_columns(T):
+    return trades(T).select("symbol", "trade_id", "exit_time", "ret", "hold", "driver")
+
+
 @query("trade_summary", "label:s n_trades:i first_exit:t last_exit:t span_days:d total_return:d mean_return:d std_return:d win_rate:d "
        "sharpe:d sortino:d profit_factor:d avg_hold:d max_drawdown:d", LABELLED + DD + """, m AS (
   SELECT label, count(*) AS n_trades, min(exit_time) AS first_exit, max(exit_time) AS last_exit, date_diff('second', min(exit_time), max(exit_time)) / 86400.0::double AS span_days,
@@ -29,7 +33,7 @@ def labelled(T):
 SELECT m.*, max_drawdown, mean_return / std_return * sqrt(n_trades / (span_days / 365.25)) AS sharpe, mean_return / down * sqrt(n_trades / (span_days / 365.25)) AS sortino
 FROM m JOIN dd USING (label)""")
 def _(T):
-    return tl.summarise(labelled(T))
+    return tl.summarise(tl.with_total(tl.in_order(log_columns(T))))
 
 
 @query("trades_by_regime", "label:s regime:i n:i share:d mean_return:d win_rate:d avg_hold:d avg_win:d avg_loss:d payoff:d profit_factor:d", LABELLED + """
@@ -308,7 +312,7 @@ p AS (SELECT *, max(cum) OVER (PARTITION BY label ORDER BY i) AS pk FROM c),
 q AS (SELECT p.*, first_value(CASE WHEN cum = pk THEN i END IGNORE NULLS) OVER (PARTITION BY label, pk ORDER BY i) AS pi, round(cum - pk, 9) AS dd FROM p)
 SELECT label, min(dd) AS depth, first(pi ORDER BY dd, i) AS peak_at, first(i ORDER BY dd, i) AS trough_at FROM q GROUP BY label""")
 def _(T):
-    return tl.worst_drawdown_window(labelled(T))
+    return tl.worst_drawdown_window(tl.with_total(tl.in_order(log_columns(T))))
 
 
 @query("stitched_folds", "fold:i n:i total:d", TRADES + """
@@ -339,7 +343,7 @@ r AS (SELECT *, list_filter([CASE WHEN abs(mean_gap) > 0.00012 THEN 'mean_return
   CASE WHEN abs(win_gap) > 0.08 THEN 'win_rate_gap_exceeds_threshold' END], lambda x: x IS NOT NULL) AS rs FROM g)
 SELECT *, array_to_string(rs, ',') AS reasons, len(rs) > 0 AS flagged FROM r""")
 def _(T):
-    m = tl.summarise(trades(T).withColumn("label", F.col("symbol"))).select("label", "mean_return", "sharpe", "win_rate")
+    m = tl.summarise(tl.in_order(log_columns(T)).withColumn("label", F.col("symbol"))).select("label", "mean_return", "sharpe", "win_rate")
     w = m.where(F.col("label").isin("S1", "S2")).groupBy().pivot("label", ["S1", "S2"]).agg(
         F.first("mean_return").alias("mu"), F.first("sharpe").alias("sh"), F.first("win_rate").alias("wr"))
     g = w.select(F.lit("S1").alias("a"), F.lit("S2").alias("b"), (F.col("S1_mu") - F.col("S2_mu")).alias("mean_gap"),
@@ -357,7 +361,7 @@ k AS (SELECT label, [CASE WHEN sh >= 0.25 THEN NULL ELSE 'sharpe' END, CASE WHEN
 SELECT label, 5 - len(list_filter(f, lambda x: x IS NOT NULL)) AS passed, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS failed, 5 - len(list_filter(f, lambda x: x IS NOT NULL)) <= 3 AS escalate FROM k""")
 def _(T):
     from ..operators.metrics import metric_gate
-    t = labelled(T)
+    t = tl.with_total(tl.in_order(log_columns(T)))
     m = tl.summarise(t).join(t.groupBy("label").agg(F.avg((F.col("driver") == "A").cast("int")).alias("policy_share")), "label")
     m = m.withColumn("plain_sharpe", F.col("mean_return") / F.col("std_return"))
     return metric_gate(m, {"sharpe": F.col("plain_sharpe") >= 0.25, "profit_factor": F.col("profit_factor") >= 2.0,

@@ -1,7 +1,6 @@
 """Bar tables: scans, cleaning, upsert, warm-up, manifests."""
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -146,5 +145,6 @@ def from_json_rows(df: DataFrame, schema: str, col: str = "doc") -> DataFrame:
     return df.select(F.from_json(col, schema).alias("d")).select("d.*")
 
 
-def dump_config(values: dict) -> str:
-    return json.dumps(values, sort_keys=True)
+def write_document(df: DataFrame, path: str) -> None:
+    """Metric rows as JSON lines."""
+    to_json_rows(df).write.mode("overwrite").text(path)
