@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .durable import durable
 from .layout import number_rows
 
 
@@ -15,12 +16,14 @@ def resample(df: DataFrame, width: str, *, keys: Sequence[str] = ("symbol",), t:
     Open and close follow (t, tie). With `closed_only` the last bucket of a key
     is dropped while its right edge is after the newest row of the key. All
     aggregates combine on the map side, so a hot key costs one row per bucket
-    and input partition.
+    and input partition. The bars are written out once (`durable`): they are read
+    several times from here on, the ticks only here.
     """
-    at = F.struct(t, tie) if tie else F.col(t)
+    at = F.struct(t, tie) if tie else F.col(t)  # a single time keeps the hash aggregate
     bars = df.groupBy(*keys, F.window(t, width).alias("_w")).agg(
         F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"), F.max(t).alias("_newest"))
+    bars = durable(bars)
     if closed_only:
         newest = bars.groupBy(*keys).agg(F.max("_newest").alias("_last"))
         bars = bars.join(newest, list(keys)).where(F.col("_w.end") <= F.col("_last")).drop("_last")

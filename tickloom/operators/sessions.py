@@ -18,13 +18,15 @@ def mark_sessions(df: DataFrame, *, keys: Sequence[str] = ("symbol",), t: str =
     session of any length costs two carried values.
     """
     limit = int(gap_hours * 3600 * 1_000_000)
-    d = in_chunks(df, lambda x, f: x.withColumn(
-        "_new", F.coalesce((micros(t) - f.lag(micros(t)) > limit).cast("int"), F.lit(0))), history=1, keys=keys, pos=pos, rows=rows)
     p = F.col(pos)
+
+    def mark(x, f):
+        us = micros(t)
+        return x.withColumns({"_new": F.coalesce((us - f.lag(us) > limit).cast("int"), F.lit(0)),
+                              "_last": F.when(F.coalesce(f.lead(us) - us > limit, F.lit(True)), p)})
+    d = in_chunks(df, mark, history=1, lookahead=1, keys=keys, pos=pos, rows=rows)
     starts = F.when((F.col("_new") == 1) | (p == 0), p)
     d = running(d, {"session_id": ("sum", F.col("_new")), "_first": ("max", starts)}, keys=keys, order=(pos,), rows=rows)
-    d = in_chunks(d, lambda x, f: x.withColumns({"_last": F.when(
-        (f.lead("_new") == 1) | f.lead(p).isNull(), p)}), history=0, lookahead=1, keys=keys, pos=pos, rows=rows)
     d = running(d, {"_end": ("min", F.col("_last"))}, keys=keys, order=(pos,), forward=True, rows=rows)
     d = d.withColumns({"bar_of_session": p - F.col("_first"), "bars_remaining": F.col("_end") - p})
     ok = (F.col("bar_of_session") >= open_skip) & (F.col("bars_remaining") >= close_cutoff)
