@@ -152,6 +152,7 @@ _AGG = {
     "last": lambda x: F.last(x, ignorenulls=True),
     "first": lambda x: F.first(x, ignorenulls=True),
 }
+_TURNED = {"first": "last", "last": "first"}
 
 
 def running(df: DataFrame, cols: Mapping[str, tuple], *, keys: Sequence[str] = ("symbol",),
@@ -172,31 +173,34 @@ def running(df: DataFrame, cols: Mapping[str, tuple], *, keys: Sequence[str] = (
     cut = df.withColumns({"_piece": piece, **{f"_x_{o}": c[1] for o, c in cols.items()},
                           **{f"_q_{r}": F.coalesce(x, F.lit(False)).cast("int") for r, x in resets.items()}})
     by = [*keys, "_piece"]
-    back, ahead = Window.unboundedPreceding, Window.unboundedFollowing
-    whole = Window.partitionBy(*by).orderBy(*order)
-    inside = whole.rowsBetween(0, ahead) if forward else whole.rowsBetween(back, 0)
-    across = Window.partitionBy(*keys).orderBy("_piece")
+    back = Window.unboundedPreceding
+    # a frame up to the end of the key is a frame from the start of the reversed key;
+    # Spark would evaluate the former anew for every row
+    turn = (lambda x: F.col(x).desc()) if forward else F.col
+    kind = {o: _TURNED.get(spec[0], spec[0]) if forward else spec[0] for o, spec in cols.items()}
+    along = [turn(o) for o in order]
+    whole = Window.partitionBy(*by).orderBy(*along)
+    inside = whole.rowsBetween(back, 0)
+    across = Window.partitionBy(*keys).orderBy(turn("_piece"))
 
     local = cut.withColumns({f"_g_{r}": F.sum(f"_q_{r}").over(inside) for r in resets})
-    step = F.lag if forward else F.lead
-    vals = {"_is_tail": step(F.lit(1)).over(whole).isNull()}
+    vals = {"_is_tail": F.lead(F.lit(1)).over(whole).isNull()}
     for o, spec in cols.items():
         w = inside
         if len(spec) > 2:
-            w = Window.partitionBy(*by, f"_g_{spec[2]}").orderBy(*order).rowsBetween(back, 0)
-        vals[f"_l_{o}"] = _AGG[spec[0]](f"_x_{o}").over(w)
+            w = Window.partitionBy(*by, f"_g_{spec[2]}").orderBy(*along).rowsBetween(back, 0)
+        vals[f"_l_{o}"] = _AGG[kind[o]](f"_x_{o}").over(w)
     local = local.withColumns(vals)
 
     ends = local.where("_is_tail").select(*by, *[f"_l_{o}" for o in cols], *[f"_g_{r}" for r in resets])
-    before = across.rowsBetween(1, ahead) if forward else across.rowsBetween(back, -1)
     ends = ends.withColumns({f"_h_{r}": F.sum((F.col(f"_g_{r}") > 0).cast("int")).over(across.rowsBetween(back, 0)) for r in resets})
     carried = {}
     for o, spec in cols.items():
         if len(spec) > 2:
-            seg = Window.partitionBy(*keys, f"_h_{spec[2]}").orderBy("_piece").rowsBetween(back, 0)
-            carried[f"_in_{o}"] = _AGG[spec[0]](f"_l_{o}").over(seg)
+            seg = Window.partitionBy(*keys, f"_h_{spec[2]}").orderBy(turn("_piece")).rowsBetween(back, 0)
+            carried[f"_in_{o}"] = _AGG[kind[o]](f"_l_{o}").over(seg)
         else:
-            carried[f"_in_{o}"] = _AGG[spec[0]](f"_l_{o}").over(before)
+            carried[f"_in_{o}"] = _AGG[kind[o]](f"_l_{o}").over(across.rowsBetween(back, -1))
     ends = ends.withColumns(carried)
     late = {f"_in_{o}": F.lag(f"_in_{o}").over(across) for o, spec in cols.items() if len(spec) > 2}
     ends = ends.withColumns(late).select(*by, *carried)
@@ -204,10 +208,7 @@ def running(df: DataFrame, cols: Mapping[str, tuple], *, keys: Sequence[str] = (
     both = local.join(ends, by)
     out = {}
     for o, spec in cols.items():
-        a, b = F.col(f"_in_{o}"), F.col(f"_l_{o}")
-        if forward:
-            a, b = b, a
-        merged = _MERGE[spec[0]](a, b)
+        merged = _MERGE[kind[o]](F.col(f"_in_{o}"), F.col(f"_l_{o}"))
         if len(spec) > 2:
             merged = F.when(F.col(f"_g_{spec[2]}") > 0, F.col(f"_l_{o}")).otherwise(merged)
         out[o] = merged
