@@ -37,6 +37,26 @@ def test_chunked_frames_equal_whole_frames(walk, walk_df, rows):
     same(p["lr"], c(lambda x: x.rolling(8).apply(lambda y: np.polyval(np.polyfit(np.arange(8), y, 1), 7), raw=True)), 1e-6)
 
 
+@pytest.mark.parametrize("rows", [300, 100_000])
+def test_long_frames_equal_pandas(walk, walk_df, rows):
+    flat = F.when(F.col("bar_no") > 500, F.lit(7.5)).otherwise(F.col("close"))
+    gaps = F.when(F.col("volume") > 3, F.col("close"))
+    d = walk_df.withColumns({"x": flat, "g": gaps})
+    d = L.in_chunks(d, lambda v, f: v.withColumns({"m": f.mean("x", 200, 50), "s": f.std("x", 200, 50), "gm": f.mean("g", 150, 20), "gs": f.std("g", 150, 20),
+                                                   "v": f.sum("volume", 130, 1), "hi": f.max("g", 140, 3), "lo": f.min("close", 133)}), history=201, rows=rows)
+    p = sorted_pd(d)
+    w = walk.assign(x=np.where(walk["bar_no"] > 500, 7.5, walk["close"]), g=walk["close"].where(walk["volume"] > 3))
+    c = lambda n, fn: per_key(w, lambda g: fn(g[n]).to_numpy())
+    same(p["m"], c("x", lambda x: x.rolling(200, min_periods=50).mean()))
+    same(p["s"], c("x", lambda x: x.rolling(200, min_periods=50).std()), 1e-6)
+    same(p["gm"], c("g", lambda x: x.rolling(150, min_periods=20).mean()))
+    same(p["gs"], c("g", lambda x: x.rolling(150, min_periods=20).std()), 1e-6)
+    same(p["v"], c("volume", lambda x: x.rolling(130, min_periods=1).sum()))
+    same(p["hi"], c("g", lambda x: x.rolling(140, min_periods=3).max()))
+    same(p["lo"], c("close", lambda x: x.rolling(133, min_periods=1).min()))
+    assert p.query("symbol == 'A' and bar_no > 705")["s"].eq(0.0).all()
+
+
 @pytest.mark.parametrize("rows", [16, 100_000])
 def test_running_and_resets(walk, walk_df, rows):
     up = F.col("close") > F.col("open")

@@ -27,6 +27,7 @@ from .durable import durable
 
 CHUNK_ROWS = 32768
 PIECE_SECONDS = 900
+LONG_FRAME = 128  # from this length on sums are taken as differences of running sums
 
 
 @dataclass(frozen=True)
@@ -60,20 +61,49 @@ class Frames:
         v = fn(x).over(w)
         return v if least <= 0 else F.when(F.count(x).over(w) >= least, v)
 
+    def moving(self, x, n: int) -> Column:
+        """Sum of the last n rows as a difference of running sums: one step per row, whatever n."""
+        run = F.sum(F.coalesce(c(x), F.lit(0))).over(self.rows(Window.unboundedPreceding, 0))
+        return run - F.coalesce(F.lag(run, n).over(self.base), F.lit(0))
+
     def mean(self, x, n, least=1):
-        return self.agg(F.avg, x, n, least)
+        if n < LONG_FRAME:
+            return self.agg(F.avg, x, n, least)
+        k = self.moving(c(x).isNotNull().cast("bigint"), n)
+        return F.when(k >= max(least, 1), self.moving(c(x).cast("double"), n) / F.nullif(k, F.lit(0)))
 
     def sum(self, x, n, least=1):
-        return self.agg(F.sum, x, n, least)
+        if n < LONG_FRAME:
+            return self.agg(F.sum, x, n, least)
+        return F.when(self.moving(c(x).isNotNull().cast("bigint"), n) >= max(least, 1), self.moving(x, n))
+
+    def _extreme(self, fn, pick, x, n: int, least: int) -> Column:
+        """Extreme of the last n rows. A long frame spans two blocks of n rows: the tail of the one and the head of the other."""
+        if n < LONG_FRAME:
+            return self.agg(fn, x, n, least)
+        x, pos = c(x), F.col(self.pos)
+        block = Window.partitionBy(*self.keys, F.floor(pos / n))
+        head = fn(x).over(block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+        tail = fn(x).over(block.orderBy(pos.desc()).rowsBetween(Window.unboundedPreceding, 0))
+        enough = self.moving(x.isNotNull().cast("bigint"), n) >= max(least, 1)
+        return F.when(enough, pick(F.lag(tail, n - 1).over(self.base), head))
 
     def max(self, x, n, least=1):
-        return self.agg(F.max, x, n, least)
+        return self._extreme(F.max, F.greatest, x, n, least)
 
     def min(self, x, n, least=1):
-        return self.agg(F.min, x, n, least)
+        return self._extreme(F.min, F.least, x, n, least)
 
     def std(self, x, n, least=2):
-        return self.agg(F.stddev_samp, x, n, max(least, 2))
+        """Sample deviation. Long frames use running sums around the chunk's mean; a frame without a change is exactly 0."""
+        if n < LONG_FRAME:
+            return self.agg(F.stddev_samp, x, n, max(least, 2))
+        x = c(x).cast("double")
+        d = x - F.avg(x).over(Window.partitionBy(*self.keys))
+        k, s, q = self.moving(x.isNotNull().cast("bigint"), n), self.moving(d, n), self.moving(d * d, n)
+        var = F.greatest((q - s * s / F.nullif(k, F.lit(0))) / F.nullif(k - 1, F.lit(0)), F.lit(0.0))
+        still = self.moving((~x.eqNullSafe(F.lag(x).over(self.base))).cast("bigint"), n - 1) == 0
+        return F.when(k >= max(least, 2), F.when(still, 0.0).otherwise(F.sqrt(var)))
 
     def quantile(self, x, q, n, least=1):
         return self.agg(lambda v: F.percentile(v, F.lit(q)), x, n, least)
