@@ -46,14 +46,23 @@ def soft_clusters(df: DataFrame, vec: str, k: int, seed: int = 7, least_t: float
 
 def walk_forward_clusters(df: DataFrame, cols: Sequence[str], k: int, chunk: Column, chunks: Sequence[int], seed: int = 7,
                           past: int | None = None) -> DataFrame:
-    """For each time chunk, clusters fitted on the chunks before it (the last `past` of them), after robust scaling."""
+    """For each time chunk, clusters fitted on the chunks before it (the last `past` of them), after robust scaling.
+
+    The first chunk is fitted on itself. Clusters are numbered by their centre
+    in the first column, so a number means the same in every chunk.
+    """
     d = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(df.withColumn("_c", chunk))
-    parts = None
+    parts, first = None, min(chunks)
     for i in chunks:
-        fit = d.where(F.col("_c") < i) if past is None else d.where((F.col("_c") < i) & (F.col("_c") >= i - past))
+        if i == first:
+            fit = d.where(F.col("_c") == i)
+        else:
+            fit = d.where(F.col("_c") < i) if past is None else d.where((F.col("_c") < i) & (F.col("_c") >= i - past))
         scaler = RobustScaler(inputCol="_v", outputCol="_s", withCentering=True).fit(fit)
-        model = KMeans(k=k, seed=seed, featuresCol="_s", predictionCol="cluster", maxIter=10).fit(scaler.transform(fit))
-        got = model.transform(scaler.transform(d.where(F.col("_c") == i))).drop("_v", "_s")
+        model = KMeans(k=k, seed=seed, featuresCol="_s", predictionCol="_k", maxIter=10).fit(scaler.transform(fit))
+        order = sorted(range(k), key=lambda j: float(model.clusterCenters()[j][0]))
+        number = F.array(*[F.lit(order.index(j)) for j in range(k)])
+        got = model.transform(scaler.transform(d.where(F.col("_c") == i))).withColumn("cluster", F.element_at(number, F.col("_k") + 1)).drop("_v", "_s", "_k")
         parts = got if parts is None else parts.unionByName(got)
     return parts.drop("_c")
 

@@ -235,11 +235,27 @@ def continuation(gain_left, live_edge) -> Column:
     return c(gain_left) + 0.20 * F.greatest(c(live_edge), F.lit(0.0))
 
 
-def option_marks(path: DataFrame, *, entry="entry", iv0="entry_iv", base_iv="base_iv", dte="dte", step="step", prev_close="prev_close") -> DataFrame:
-    """Straddle mark, result and Greeks of every step before expiry, with the volatility mixed from entry and present."""
+def scenario_paths(path: DataFrame, scenarios: DataFrame, dtes: Sequence[int], step: str = "step", most: int | None = None) -> DataFrame:
+    """Every path under every (scenario, step, iv) row and days to expiry, up to min(most, 390 x days) steps.
+
+    The scenario table has one row per scenario and step, and the days are a
+    short list, so this is an equi join on the step and an explode.
+    """
+    d = path.join(scenarios, step).withColumn("dte", F.explode(F.array(*[F.lit(int(x)) for x in dtes])))
+    limit = F.col("dte") * 390 if most is None else F.least(F.col("dte") * 390, F.lit(most))
+    return d.where(F.col(step) <= limit)
+
+
+def option_marks(path: DataFrame, *, entry="entry", iv0="entry_iv", base_iv="base_iv", dte="dte", step="step", prev_close="prev_close",
+                 iv: str | None = None) -> DataFrame:
+    """Straddle mark, result and Greeks of every step before expiry.
+
+    The volatility is mixed from entry and present, or given by the column `iv`.
+    """
     total = F.greatest(F.col(dte).cast("double"), F.lit(1.0)) / opt.DAYS
     left = total - F.col(step) / (opt.MINUTES * opt.DAYS)
-    d = path.withColumns({"t_remaining": left, "iv": clip(0.65 * F.col(iv0) + 0.35 * F.col(base_iv), 0.05, 5.0), "_total": total})
+    level = F.col(iv) if iv is not None else 0.65 * F.col(iv0) + 0.35 * F.col(base_iv)
+    d = path.withColumns({"t_remaining": left, "iv": clip(level, 0.05, 5.0), "_total": total})
     d = d.where(F.col("t_remaining") > 0)
     d = opt.add_straddle(d, F.col(entry), F.col(entry), F.col("_total"), F.col(iv0), "_e_").withColumn("entry_value", F.col("_e_price"))
     d = d.drop("_total", *[f"_e_{n}" for n in ("price", "delta", "gamma", "theta", "vega")])

@@ -340,3 +340,13 @@ def ewm_z_spread(df: DataFrame, f: Frames, a: str, b: str, span: int = 180) -> D
 
 
 Z_SPREAD_HISTORY = 2 * reach(alpha_of(180)) + 31
+
+
+def cluster_inputs(df: DataFrame, f: Frames, ma: int = 20, atr: int = 20) -> DataFrame:
+    """Smoothed slope of the mean, range ratio, band width and smoothed volume ratio: inputs of state clustering. History: 125."""
+    d = df.withColumns({"ma": f.mean("close", ma), "_r": F.when(F.col("high") == F.col("low"), 1e-10).otherwise(F.col("high") - F.col("low")),
+                        "_sd": f.std("close", ma), "_vm": f.mean("volume", ma)})
+    d = d.withColumns({"ma_slope": (F.col("ma") - f.lag("ma", 5)) / F.col("close") * 1000, "_a": f.mean("_r", atr),
+                       "bb_width": F.col("_sd") * 2 / (F.col("ma") + EPS), "vol_ratio": F.col("volume") / (F.col("_vm") + EPS)})
+    return d.withColumns({"ma_slope_smooth": f.mean("ma_slope", 3), "atr_percentile": F.col("_a") / (f.mean("_a", 100) + EPS),
+                          "vol_ratio_smooth": f.mean("vol_ratio", 5)}).drop("_r", "_sd", "_vm", "_a")

@@ -283,8 +283,18 @@ def _(T):
     return d.join(bf.select("event_id", "bf_credit", "bf_max_loss"), "event_id")
 
 
-@query("option_scenarios", "symbol:s dte:i scenario:s n:i mean_pnl:d worst:d", PATH + ", " + OPT + """
-SELECT symbol, dte, 'base' AS scenario, count(*) AS n, avg(sv - ev) AS mean_pnl, min((sv - ev) / ev) AS worst FROM o4 GROUP BY 1, 2""")
+SCEN = f"""sn AS (SELECT event_type AS scenario, day(ts) AS step, 0.1 + round(avg(value), 4) / 200 AS iv_s FROM events WHERE day(ts) <= 30 GROUP BY 1, 2),
+iv AS (SELECT path.*, dte, scenario, least(greatest(iv_s, 0.05), 5) AS iv, dte / 252.0::double - path.step / 98280.0::double AS tr FROM path JOIN sn ON sn.step = path.step, (SELECT unnest([7, 14]) AS dte) WHERE path.step <= least(dte * 390, 20)),
+o1 AS (SELECT *, (ln(close / entry) + (0.04 + 0.5 * iv * iv) * tr) / (iv * sqrt(tr)) AS d1, ((0.04 + 0.5 * 0.09) * dte / 252.0::double) / (0.3 * sqrt(dte / 252.0::double)) AS d10 FROM iv),
+o2 AS (SELECT *, d1 - iv * sqrt(tr) AS d2, d10 - 0.3 * sqrt(dte / 252.0::double) AS d20 FROM o1), o3 AS (SELECT *, {phi('d1')} AS n1, {phi('d2')} AS n2, {phi('d10')} AS m1, {phi('d20')} AS m2 FROM o2),
+o4 AS (SELECT *, close * (2 * n1 - 1) - entry * exp(-0.04 * tr) * (2 * n2 - 1) AS sv, entry * (2 * m1 - 1) - entry * exp(-0.04 * dte / 252.0::double) * (2 * m2 - 1) AS ev FROM o3)"""
+
+
+@query("option_scenarios", "symbol:s dte:i scenario:s n:i mean_pnl:d worst:d", PATH + ", " + SCEN + """
+SELECT symbol, dte, scenario, count(*) AS n, avg(sv - ev) AS mean_pnl, min((sv - ev) / greatest(ev, 1e-9)) AS worst FROM o4 GROUP BY 1, 2, 3""")
 def _(T):
-    return option_path(T).withColumn("scenario", F.lit("base")).groupBy("symbol", "dte", "scenario").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("pnl").alias("mean_pnl"), F.min("pnl_pct").alias("worst"))
+    e = T("events").where(F.dayofmonth("ts") <= 30)
+    scen = e.groupBy(F.col("event_type").alias("scenario"), F.dayofmonth("ts").alias("step")).agg((0.1 + F.round(F.avg("value"), 4) / 200).alias("iv_s"))
+    d = pt.scenario_paths(path(T).withColumns({"entry_iv": F.lit(0.3), "prev_close": F.col("entry")}), scen, (7, 14), most=20)
+    d = pt.option_marks(d, iv="iv_s")
+    return d.groupBy("symbol", "dte", "scenario").agg(F.count(F.lit(1)).alias("n"), F.avg("pnl").alias("mean_pnl"), F.min("pnl_pct").alias("worst"))

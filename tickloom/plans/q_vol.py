@@ -240,3 +240,10 @@ SELECT symbol, bar_no, least(greatest(0.55 * coalesce(CASE WHEN bar_no > 0 THEN
 def _(T):
     from ..operators.ewm import alpha_of, reach
     return in_chunks(bars(T), lambda x, f: vol.base_iv(vol.annualised(x, f), f), history=482 + 2 * reach(alpha_of(1950)))
+
+
+@query("cluster_inputs", "symbol:s bar_no:i ma_slope_smooth:d atr_percentile:d bb_width:d vol_ratio_smooth:d", BARS + f""", a AS (SELECT *, avg(close) {win(20)} AS ma, avg(CASE WHEN high = low THEN 1e-10 ELSE high - low END) {win(20)} AS atr,
+  stddev_samp(close) {win(20)} AS sd, volume / (avg(volume) {win(20)} + 1e-8) AS vr FROM bars), b AS (SELECT *, (ma - {lagw('ma', 5)}) / close * 1000 AS sl FROM a)
+SELECT symbol, bar_no, avg(sl) {win(3)} AS ma_slope_smooth, atr / (avg(atr) {win(100)} + 1e-8) AS atr_percentile, sd * 2 / (ma + 1e-8) AS bb_width, avg(vr) {win(5)} AS vol_ratio_smooth FROM b""")
+def _(T):
+    return in_chunks(bars(T), vol.cluster_inputs, history=125)
