@@ -23,8 +23,8 @@ Step = Callable[[pd.DataFrame, list], tuple[Mapping[str, Sequence], list]]
 
 def ordered_fold(df: DataFrame, step: Step, outputs: Mapping[str, str], start: Sequence[float], *, warm: int,
                  keys: Sequence[str] = ("symbol",), pos: str = "bar_no", rows: int = CHUNK_ROWS,
-                 tolerance: float = 1e-12) -> DataFrame:
-    """Fold the rows of a key in order.
+                 tolerance: float = 0.0) -> DataFrame:
+    """Fold the rows of a key in order; `pos` must be gapless (`number_rows`).
 
     `step(rows, state)` gets consecutive rows as a pandas frame and the state
     (a list of numbers of any length, NaN for missing) and returns the output columns and the state after them.
@@ -65,17 +65,24 @@ def ordered_fold(df: DataFrame, step: Step, outputs: Mapping[str, str], start: S
     def go(d: DataFrame) -> DataFrame:
         return d.groupBy(*by).applyInPandas(run, schema)
 
+    def edges(d: DataFrame) -> DataFrame:
+        return d.groupBy(*by).agg(F.max("_from").alias("_from"), F.max("_to").alias("_to"))
+
+    # the first pass is written once; later rounds only write the chunks they correct
     done = durable(go(spread))
+    edge, fixed = durable(edges(done)), None
     while True:
-        edge = done.groupBy(*by).agg(F.max("_from").alias("_from"), F.max("_to").alias("_to"))
         before = edge.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_to").alias("_want"))
         same = (F.size("_from") == F.size("_want")) & F.forall(F.zip_with("_from", "_want", _close(tolerance)), lambda ok: ok)
         wrong = durable(edge.join(before, by).where(~same).select(*by, "_want"))
         if wrong.isEmpty():
-            return done.drop("_chunk", "_given", "_from", "_to")
-        again = go(spread.drop("_given").join(wrong.withColumnRenamed("_want", "_given"), by)
-                   .select(*[f.name for f in fields]))
-        done = durable(done.join(wrong, by, "left_anti").select(*schema.names).unionByName(again))
+            break
+        again = durable(go(spread.drop("_given").join(wrong.withColumnRenamed("_want", "_given"), by).select(*[f.name for f in fields])))
+        edge = durable(edge.join(wrong, by, "left_anti").unionByName(edges(again)))
+        fixed = again if fixed is None else durable(fixed.join(wrong, by, "left_anti").unionByName(again))
+    if fixed is not None:
+        done = done.join(fixed.select(*by).distinct(), by, "left_anti").select(*schema.names).unionByName(fixed)
+    return done.drop("_chunk", "_given", "_from", "_to")
 
 
 def _close(tol: float):

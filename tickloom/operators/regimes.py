@@ -141,7 +141,7 @@ def egarch(df: DataFrame, keys=("symbol",), warm: int = 512, **kw) -> DataFrame:
             out.append(lv)
             lev.append(a)
         return {"_lv": out, "_lev": lev}, [lv]
-    d = ordered_fold(d, step, {"_lv": "double", "_lev": "double"}, [float("nan")], warm=warm, keys=keys, **kw)
+    d = ordered_fold(d, step, {"_lv": "double", "_lev": "double"}, [float("nan")], warm=warm, keys=keys, **{"tolerance": 1e-12, **kw})
     vol = F.sqrt(F.greatest(F.exp("_lv"), F.lit(EPS)))
     d = d.withColumn("pa_egarch_std_residual", clip(F.col("log_ret") / F.greatest(vol, F.lit(EPS)), -6.0, 6.0))
     return d.withColumns({"pa_egarch_leverage_effect": clip(F.col("_lev"), -2.0, 2.0),
