@@ -262,3 +262,32 @@ def parameter_grid(entries: DataFrame, bars: DataFrame, grid: Sequence[tuple[flo
     return t.withColumns({"_r": r, "_k": F.when(lost, "stop").when(F.col("_g").isNotNull(), "target").otherwise("time")}).groupBy("tp", "sl").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_r").alias("mean_r"), F.avg(flag(F.col("_r") > 0)).alias("win_rate"),
         F.avg(flag(F.col("_k") == "stop")).alias("stop_rate"), F.avg(flag(F.col("_k") == "target")).alias("target_rate"))
+
+
+def forward_up(df: DataFrame, horizon: int = 10, *, mode: str = "mde", alpha: float = 0.05, power: float = 0.80, q: float = 0.20,
+               keys: Sequence[str] = ("symbol",), session: str = "session_id", left: str = "bars_remaining") -> DataFrame:
+    """1 if the h-bar return inside one session beats the key's flat band, else 0; missing where the session ends before.
+
+    The band is (z_alpha + z_beta) robust deviations, or the q quantile of the
+    absolute return. Needs the session marks.
+    """
+    from statistics import NormalDist
+
+    from .durable import durable
+    from .ranks import exact_quantiles
+
+    def build(x, f):
+        same = (f.lead(session, horizon) == F.col(session)) & (F.col(left) >= horizon)
+        return x.withColumn("forward_return", F.when(same, (f.lead("close", horizon) - F.col("close")) / (F.abs("close") + 1e-9)))
+    d = durable(in_chunks(df, build, history=0, lookahead=horizon, keys=keys))
+    known = d.where(F.col("forward_return").isNotNull())
+    if mode == "quantile":
+        band = exact_quantiles(known.withColumn("_m", F.abs("forward_return")), "_m", {"band": q}, keys)
+    else:
+        med = exact_quantiles(known, "forward_return", {"_med": 0.5}, keys)
+        dev = known.join(med, list(keys)).withColumn("_dev", F.abs(F.col("forward_return") - F.col("_med")))
+        z = NormalDist().inv_cdf(1.0 - alpha / 2.0) + NormalDist().inv_cdf(power)
+        mad = exact_quantiles(dev, "_dev", {"_mad": 0.5}, keys)
+        band = mad.select(*keys, (z * F.greatest(F.col("_mad") / 0.67448975, F.lit(1e-8))).alias("band"))
+    d = d.join(band, list(keys), "left")
+    return d.withColumn("forward_up", F.when(F.col("forward_return").isNotNull(), flag(F.col("forward_return") > F.col("band"))))

@@ -248,3 +248,11 @@ def _(T):
     a = d.withColumn("stored", stored).drop("decision_net_edge_atr")
     a = a.withColumn("by_theta", lab.decision_edge(a)).drop("decision_theta_decay")
     return a.withColumn("by_peak", lab.decision_edge(a))
+
+
+@query("label_forward_up", "symbol:s bar_no:i forward_return:d band:d forward_up:i", BARS + f""", g AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY bar_no) AS sid FROM (SELECT *, coalesce((t - {lagw('t')} > INTERVAL 4 HOUR)::int, 0) AS brk FROM bars)),
+f AS (SELECT symbol, bar_no, CASE WHEN lead(sid, 5) OVER w = sid THEN (lead(close, 5) OVER w - close) / (abs(close) + 1e-9) END AS fr FROM g WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
+m AS (SELECT symbol, quantile_cont(fr, 0.5) AS med FROM f WHERE fr IS NOT NULL GROUP BY symbol), k AS (SELECT f.symbol, (1.959963984540054 + 0.8416212335729143) * quantile_cont(abs(fr - med), 0.5) / 0.67448975 AS band FROM f JOIN m USING (symbol) WHERE fr IS NOT NULL GROUP BY f.symbol)
+SELECT f.symbol, bar_no, fr AS forward_return, band, CASE WHEN fr IS NOT NULL THEN (fr > band)::int END AS forward_up FROM f JOIN k USING (symbol)""")
+def _(T):
+    return lab.forward_up(mark_sessions(bars(T)), 5)
