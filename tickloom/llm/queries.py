@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and, where SQL can say them, their SQL."""
 from __future__ import annotations
 
+from .near_dups import op1
 from .packing import op5
 from .pieces import op7
 from .quality import OP10_SQL, op10
 from .token_counts import op3
 
 QUERIES = {
+    "op1_minhash_near_dups": op1,
     "op3_token_counts": op3,
     "op5_best_fit_packing": op5,
     "op7_sentencepiece": op7,
