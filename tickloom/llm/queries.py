@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and, where SQL can say them, their SQL."""
 from __future__ import annotations
 
+from .line_dedup import OP2_SQL, op2
 from .near_dups import op1
 from .packing import op5
 from .pieces import op7
@@ -9,11 +10,13 @@ from .token_counts import op3
 
 QUERIES = {
     "op1_minhash_near_dups": op1,
+    "op2_line_dedup": op2,
     "op3_token_counts": op3,
     "op5_best_fit_packing": op5,
     "op7_sentencepiece": op7,
     "op10_quality_rules": op10,
 }
 ORACLES = {
+    "op2_line_dedup": OP2_SQL,
     "op10_quality_rules": OP10_SQL,
 }
