@@ -6,6 +6,7 @@ from .near_dups import op1
 from .packing import op5
 from .pieces import op7
 from .quality import OP10_SQL, op10
+from .secret_scan import op6
 from .token_counts import op3
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_line_dedup": op2,
     "op3_token_counts": op3,
     "op5_best_fit_packing": op5,
+    "op6_secret_scan": op6,
     "op7_sentencepiece": op7,
     "op10_quality_rules": op10,
 }
