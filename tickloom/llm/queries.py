@@ -8,6 +8,7 @@ from .pieces import op7
 from .quality import OP10_SQL, op10
 from .secret_scan import op6
 from .token_counts import op3
+from .topk import OP9_SQL, op9
 
 QUERIES = {
     "op1_minhash_near_dups": op1,
@@ -16,9 +17,11 @@ QUERIES = {
     "op5_best_fit_packing": op5,
     "op6_secret_scan": op6,
     "op7_sentencepiece": op7,
+    "op9_threshold_top_k": op9,
     "op10_quality_rules": op10,
 }
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op9_threshold_top_k": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
 }
