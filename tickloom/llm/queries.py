@@ -8,12 +8,14 @@ from .pieces import op7
 from .quality import OP10_SQL, op10
 from .secret_scan import op6
 from .token_counts import op3
+from .toxicity import op4
 from .topk import OP9_SQL, op9
 
 QUERIES = {
     "op1_minhash_near_dups": op1,
     "op2_line_dedup": op2,
     "op3_token_counts": op3,
+    "op4_toxicity": op4,
     "op5_best_fit_packing": op5,
     "op6_secret_scan": op6,
     "op7_sentencepiece": op7,
