@@ -10,6 +10,7 @@ from .secret_scan import op6
 from .token_counts import op3
 from .toxicity import op4
 from .topk import OP9_SQL, op9
+from .warc import OP8_SQL, op8
 
 QUERIES = {
     "op1_minhash_near_dups": op1,
@@ -19,11 +20,13 @@ QUERIES = {
     "op5_best_fit_packing": op5,
     "op6_secret_scan": op6,
     "op7_sentencepiece": op7,
+    "op8_warc_revisits": op8,
     "op9_threshold_top_k": op9,
     "op10_quality_rules": op10,
 }
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op8_warc_revisits": OP8_SQL,
     "op9_threshold_top_k": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
 }
