@@ -1,17 +1,50 @@
-"""A corpus from documents to packed sequences: each stage works on all that the one before has kept."""
+"""A corpus from documents to packed sequences. Each stage works on all that the one before has kept."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.line_dedup import without_repeated_lines
+from tickloom.llm.near_dups import without_near_copies
+from tickloom.llm.packing import packed_documents
+from tickloom.llm.secret_scan import redacted
 from tickloom.llm.store import written
+from tickloom.llm.toxicity import without_toxic
 
-STAGES = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line repeats, to within one edit, go; documents stay, without a line left as empty texts."""
+    return without_repeated_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return without_near_copies(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by their kind in brackets."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their sequence and place."""
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("packing", packing)]
+#: The toxicity score is learned and the groups of near copies are connected components: no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result is written to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to documents; each stage's rows are written to the shared folder and read again as the next one's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
