@@ -72,7 +72,7 @@ def counted(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> DataFr
         for b in batches:
             yield pd.DataFrame({"content": b["content"].array, "n_tokens": count(b["text"].tolist())})
 
-    fresh = todo.mapInPandas(encode, "content binary, n_tokens long")
+    fresh = todo.mapInPandas(encode, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     (fresh.select(F.lit(tokenizer).alias("tokenizer"), "content", "n_tokens")
      .write.mode("append").option("compression", "zstd").parquet(cache))
     return (rows.join(stored(spark, cache, tokenizer), "content")
