@@ -70,7 +70,9 @@ class Finder:
         if bad:
             for m in _TOKEN.finditer(low):
                 if m[0] in bad:
-                    out[*bad[m[0]], _context(low, m.start(), m.end())] += 1
+                    core = bare(m[0])  # marks around the word belong to its context
+                    a = m.start() + m[0].find(core)
+                    out[*bad[m[0]], _context(low, a, a + len(core))] += 1
         return out
 
 
