@@ -1,6 +1,7 @@
 """Indicator operators."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -55,16 +56,19 @@ def kalman(df: DataFrame, q: float = 1e-4, r: float = 1e-2, keys: Sequence[str]
     The gain depends on the row number only and settles, so it is a short list
     of numbers whose last entry holds for all later rows.
     """
-    gains, var = [], 1.0
-    while len(gains) < 2 or abs(gains[-1] - gains[-2]) > 1e-17:
-        prior = var + q
-        gains.append(prior / (prior + r))
-        var = (1.0 - gains[-1]) * prior
-        if len(gains) > 2000:
-            break
+    # With m = 1 / prior the map var -> var' is a ratio of linear functions; its two fixed points are low < 0 < settled, and
+    # (var - settled) / (var - low) shrinks by one factor per row. So the gain has a closed form for every row.
+    root = math.sqrt(q * q + 4.0 * q * r)
+    settled, low = (root - q) / 2.0, (-root - q) / 2.0
+    factor = ((r - settled) / (r - low)) if q > 0 else 1.0
     n = F.col("bar_no")
-    gain = F.element_at(F.array(*[F.lit(g) for g in gains]), F.least(n, F.lit(len(gains))).cast("int"))
-    k = F.when(n > 0, gain).otherwise(1.0)
+    if q > 0:
+        w = F.lit((1.0 - settled) / (1.0 - low)) * F.pow(F.lit(factor), n.cast("double") - 1)
+        var = (settled - low * w) / (1.0 - w)  # after n - 1 updates
+    else:
+        var = 1.0 / (1.0 + (n - 1) / r)
+    prior = var + q
+    k = F.when(n > 0, prior / (prior + r)).otherwise(1.0)
     d = affine_scan(df, {"kalman_mean": (1.0 - k, k * F.col("close"))}, keys=keys)
     d = in_chunks(d, lambda x, f: x.withColumn(
         "kalman_velocity", fill(F.col("kalman_mean") - f.lag("kalman_mean"), 0.0)), history=1, keys=keys)

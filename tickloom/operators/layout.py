@@ -27,7 +27,7 @@ from .durable import durable
 
 CHUNK_ROWS = 32768
 PIECE_SECONDS = 900
-LONG_FRAME = 128  # from this length on sums are taken as differences of running sums
+LONG_FRAME = 128  # from this length on frames are put together from two blocks
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,16 @@ class Frames:
         return v if least <= 0 else F.when(F.count(x).over(w) >= least, v)
 
     def moving(self, x, n: int) -> Column:
-        """Sum of the last n rows as a difference of running sums: one step per row, whatever n."""
-        run = F.sum(F.coalesce(c(x), F.lit(0))).over(self.rows(Window.unboundedPreceding, 0))
-        return run - F.coalesce(F.lag(run, n).over(self.base), F.lit(0))
+        """Sum of the last n rows: the tail of the block of n rows before and the head of the present one.
+
+        Nothing is subtracted, so a value that has left the frame leaves no trace in the sum.
+        """
+        v, pos = F.coalesce(c(x), F.lit(0)), F.col(self.pos)
+        block = Window.partitionBy(*self.keys, F.floor(pos / n))
+        head = F.sum(v).over(block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+        tail = F.sum(v).over(block.orderBy(pos.desc()).rowsBetween(Window.unboundedPreceding, 0))
+        whole = pos % n == n - 1  # the frame is the block itself
+        return head + F.when(whole, F.lit(0)).otherwise(F.coalesce(F.lag(tail, n - 1).over(self.base), F.lit(0)))
 
     def mean(self, x, n, least=1):
         if n < LONG_FRAME:

@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import c, clip
+from .durable import durable
+from .layout import in_chunks
 from .ranks import exact_quantiles
 
 
@@ -44,15 +46,23 @@ def soft_clusters(df: DataFrame, vec: str, k: int, seed: int = 7, least_t: float
     return d.withColumn("membership", F.transform("_w", lambda w: w / F.col("_s"))).drop("_v", "_d2", "_t", "_w", "_s")
 
 
-def walk_forward_clusters(df: DataFrame, cols: Sequence[str], k: int, chunk: Column, chunks: Sequence[int], seed: int = 7,
-                          past: int | None = None) -> DataFrame:
+def walk_forward_clusters(df: DataFrame, cols: Sequence[str], k: int, chunk: Column, seed: int = 7, past: int | None = None,
+                          out: str = "cluster") -> DataFrame:
     """For each time chunk, clusters fitted on the chunks before it (the last `past` of them), after robust scaling.
 
-    The first chunk is fitted on itself. Clusters are numbered by their centre
-    in the first column, so a number means the same in every chunk.
+    `chunk` is a whole number that grows with time; the chunks are those that
+    occur, and as few as periods of time. The first one is fitted on itself.
+    Clusters are numbered by their centre in the first column, so a number
+    means the same in every chunk. Rows with a missing input keep a missing cluster.
     """
-    d = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(df.withColumn("_c", chunk))
-    parts, first = None, min(chunks)
+    ok = F.lit(True)
+    for n in cols:
+        ok = ok & F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double"))
+    rows = durable(df.withColumns({"_c": chunk, "_ok": F.coalesce(ok & chunk.isNotNull(), F.lit(False))}))
+    d = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(rows.where("_ok"))
+    parts = rows.where("NOT _ok").withColumn(out, F.lit(None).cast("int"))
+    chunks = [r["_c"] for r in d.select("_c").distinct().orderBy("_c").collect()]
+    first = chunks[0] if chunks else None
     for i in chunks:
         if i == first:
             fit = d.where(F.col("_c") == i)
@@ -62,9 +72,27 @@ def walk_forward_clusters(df: DataFrame, cols: Sequence[str], k: int, chunk: Col
         model = KMeans(k=k, seed=seed, featuresCol="_s", predictionCol="_k", maxIter=10).fit(scaler.transform(fit))
         order = sorted(range(k), key=lambda j: float(model.clusterCenters()[j][0]))
         number = F.array(*[F.lit(order.index(j)) for j in range(k)])
-        got = model.transform(scaler.transform(d.where(F.col("_c") == i))).withColumn("cluster", F.element_at(number, F.col("_k") + 1)).drop("_v", "_s", "_k")
-        parts = got if parts is None else parts.unionByName(got)
-    return parts.drop("_c")
+        got = model.transform(scaler.transform(d.where(F.col("_c") == i))).withColumn(out, F.element_at(number, F.col("_k") + 1)).drop("_v", "_s", "_k")
+        parts = parts.unionByName(got)
+    return parts.drop("_c", "_ok")
+
+
+def two_streams(df: DataFrame, direction: Sequence[str], volatility: Sequence[str], k: tuple[int, int], chunk: Column, *, order: Sequence[str] = ("bar_no",),
+                keys: Sequence[str] = ("symbol",), seed: int = 7, past: int | None = None, width: int = 3) -> DataFrame:
+    """Direction and volatility clusters walked forward apart, their joint state, and the most frequent state of the last `width` rows.
+
+    Both numberings grow with the stream's first column, so state = direction * k[1] + volatility. Among equally frequent
+    states the latest one holds. Rows without a cluster have no state and don't count.
+    """
+    d = walk_forward_clusters(df, direction, k[0], chunk, seed, past, "dir_cluster")
+    d = durable(walk_forward_clusters(d, volatility, k[1], chunk, seed, past, "vol_cluster"))
+    d = d.withColumn("state", F.col("dir_cluster") * k[1] + F.col("vol_cluster"))
+
+    def mode(x, f):
+        last = F.array_compact(F.array(*[f.lag("state", i) if i else F.col("state") for i in range(width)]))  # the latest first
+        rank = F.transform(last, lambda v, i: F.struct(F.size(F.filter(last, lambda u: u == v)).alias("n"), (-i).alias("late"), v.alias("v")))
+        return x.withColumn("smooth_state", F.array_max(rank)["v"])
+    return in_chunks(d, mode, history=width - 1, keys=keys, pos=order[0])
 
 
 def novelty(df: DataFrame, vec: str, k: int, fit: Column) -> DataFrame:

@@ -50,7 +50,7 @@ def _(T):
     e = T("events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("t"))
     right = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("t"), F.col("event_id").alias("match_id"), "value")
-    got = asof_backward(left, right, ["match_id", "value"], keys=("user_id",), tolerance=F.expr("interval 12 hours"))
+    got = asof_backward(left, right, ["match_id", "value"], keys=("user_id",), tolerance=F.expr("interval 12 hours"), piece_seconds=None)
     return got.where("match_id is not null")
 
 
@@ -82,7 +82,7 @@ def _(T):
 SELECT event_id, coalesce(bar_no, 0) AS bar_at FROM j""")
 def _(T):
     e = T("events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("t"))
-    return asof_backward(e, bars(T).select("symbol", "t", F.col("bar_no").alias("_n")), ["_n"]).withColumn("bar_at", F.coalesce("_n", F.lit(0)))
+    return asof_backward(e, bars(T).select("symbol", "t", F.col("bar_no").alias("_n")), ["_n"], piece_seconds=None).withColumn("bar_at", F.coalesce("_n", F.lit(0)))
 
 
 @query("pair_features", "symbol:s t:t pair_corr:d pair_vol_ratio:d pair_beta:d", BARS + f""", g AS (SELECT t, 'p' AS symbol, max(close) FILTER (symbol = 'click') AS a0, max(close) FILTER (symbol = 'view') AS b0 FROM bars WHERE symbol IN ('click', 'view') GROUP BY t),

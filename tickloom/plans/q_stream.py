@@ -96,8 +96,8 @@ def _(T):
 
 @query("ml_walk_forward_clusters", "cluster:i n:i mean_value:d")
 def _(T):
-    e = durable(T("events").select("ts", "value", F.col("user_id").cast("double").alias("u")))
-    d = mlops.walk_forward_clusters(e, ["value", "u"], 3, F.floor((F.dayofmonth("ts") - 1) / 10).cast("int"), [0, 1, 2, 3])
+    e = T("events").select("ts", "value", F.col("user_id").cast("double").alias("u"))
+    d = mlops.walk_forward_clusters(e, ["value", "u"], 3, F.floor(F.datediff("ts", F.lit("1970-01-01")) / 10).cast("int"))
     return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import c
@@ -31,9 +32,9 @@ def read_bars(spark: SparkSession, paths: Sequence[str] | str, fmt: str = "parqu
 
 
 def clean_bars(df: DataFrame, cols: Sequence[str] = OHLCV) -> DataFrame:
-    """Numbers or nothing; rows without all of OHLCV are dropped."""
+    """Finite numbers or nothing; rows without all of OHLCV are dropped."""
     return (df.withColumns({n: F.col(n).try_cast("double") for n in cols})
-            .withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in cols})
+            .withColumns({n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), F.col(n)) for n in cols})
             .dropna(subset=list(cols)))
 
 
@@ -104,15 +105,19 @@ def file_state(spark: SparkSession, path: str, version: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, source: str, version: str, store: str, build) -> DataFrame:
-    """Read `store` if its manifest equals the state of `source`, else build and write it anew."""
+    """The table in `store` that was built from the present state of `source`; built anew if there is none.
+
+    The state's digest names both folders. The manifest is written after the data, so a build that broke off is never read.
+    """
     now = file_state(spark, source, version)
-    data, manifest = f"{store}/data", f"{store}/manifest"
+    one = F.sort_array(F.collect_list(F.concat_ws("|", "path", "size", F.col("changed").cast("string"), "version")))
+    name = now.agg(F.sha2(F.array_join(one, "\n"), 256)).first()[0]  # one line for each input file
+    data, manifest = f"{store}/{name}/data", f"{store}/{name}/manifest"
     try:
-        kept = spark.read.parquet(manifest)
-        fresh = now.exceptAll(kept).isEmpty() and kept.exceptAll(now).isEmpty()
-    except Exception:  # noqa: BLE001  no manifest yet
-        fresh = False
-    if not fresh:
+        spark.read.schema(now.schema).parquet(manifest)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         build().write.mode("overwrite").parquet(data)
         now.write.mode("overwrite").parquet(manifest)
     return spark.read.parquet(data)
