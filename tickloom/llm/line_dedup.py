@@ -30,15 +30,19 @@ OUTER = " \t\r"
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = U(pow(_BASE, -1, 1 << 64))
 _ID = ["a", "b"]  # a line's 128-bit digest
-_PLACE = "struct<late: boolean, doc_id: bigint, t: bigint, line_no: int>"
 
 
-def lines_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """place (order of the line), a and b (digest), line: the lines that take part."""
+def texts_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """place (order of the line) and line: the lines that take part."""
     t = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = t.select("doc_id", "t", "line_no", F.btrim("line", F.lit(OUTER)).alias("line")).where(F.length("line") >= least)
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t", "line_no")
-    return line.select(place.alias("place"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "line")
+    return line.select(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t", "line_no").alias("place"), "line")
+
+
+def lines_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """place, a and b (digest), halves (keys) of the lines that take part."""
+    x = texts_of(docs, least)
+    return x.select("place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), _halves(F.col("line")).alias("halves"))
 
 
 def _half(n):
@@ -97,14 +101,14 @@ def _variant_keys(rest: int, middle: str, longer: bool) -> tuple[list[int], str]
     return np.r_[s, mix(sums[n:] ^ base)].view(np.int64).tolist(), "S"
 
 
-def near_lines(lines: DataFrame, classes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, least: int = LEAST, blocks: int = BLOCKS) -> DataFrame:
     """a, b of the distinct lines that have an earlier line at distance 1."""
-    keyed = lines.select(F.explode(_halves(F.col("line"))).alias("half"), *_ID)
+    keyed = lines.select(F.explode("halves").alias("half"), *_ID)
     halves = keyed.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
-    some = keyed.join(halves, "half", "left_semi").select(*_ID).distinct().join(classes, _ID)
-    # The first place is part of the join, so a frequent line sends one row only.
-    spread = lambda df: df.select(*_ID, "line" if "line" in df.columns else F.lit(0).alias("_"), "place", F.xxhash64("place", "a").alias("h"))
-    found = spread(lines).alias("x").join(spread(some).alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")), "left_semi")
+    some = written(keyed.join(halves, "half", "left_semi").select(*_ID).distinct().join(classes, _ID), "some")
+    # One row of each line is fetched, by its first place, so a frequent line sends no more than a rare one.
+    where = some.select(*_ID, F.col("place").alias("first"), F.xxhash64("place").alias("h"))
+    found = texts_of(docs, least).join(where, (F.xxhash64("place") == F.col("h")) & F.col("place").eqNullSafe(F.col("first")))
     cand = written(found.select(*_ID, "place", "line").dropDuplicates(_ID), "lines")
 
     def rests(batches):
@@ -146,9 +150,9 @@ def near_lines(lines: DataFrame, classes: DataFrame, blocks: int = BLOCKS) -> Da
 
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, t (digest of the text), dropped: the numbers of the lines that go, in order. Documents that lose none are left out."""
-    lines = lines_of(docs, least)
+    lines = written(lines_of(docs, least), "places")
     classes = written(lines.groupBy(*_ID).agg(F.min("place").alias("place")), "classes")
-    near = written(near_lines(lines, classes), "near")
+    near = written(near_lines(docs, lines, classes, least), "near")
     keep = classes.join(near, _ID, "left_anti").select(*_ID, F.col("place").alias("stays"))
     places = lines.select(*_ID, "place").join(keep, _ID, "left")
     gone = places.where(F.col("stays").isNull() | (F.col("stays") != F.col("place")))
