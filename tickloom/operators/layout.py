@@ -25,11 +25,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exprs import c, micros
 from .durable import durable
 
-CHUNK_ROWS = 32768
+CHUNK_ROWS = 32768  # of `tickloom.chunkRows`, unless the session sets another number
 PIECE_SECONDS = 900
 LONG_FRAME = 128  # from this length on frames are put together from two blocks
 
 
+def chunk_rows(df: DataFrame, rows: int | None = None) -> int:
+    """Rows of a chunk: as given, else the session's setting."""
+    return rows or int(df.sparkSession.conf.get("tickloom.chunkRows", str(CHUNK_ROWS)))
+
+
 @dataclass(frozen=True)
 class Frames:
     """Window specs inside one chunk."""
@@ -162,12 +167,13 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
 
 def in_chunks(df: DataFrame, build: Callable[[DataFrame, Frames], DataFrame], *, history: int,
               lookahead: int = 0, keys: Sequence[str] = ("symbol",), pos: str = "bar_no",
-              rows: int = CHUNK_ROWS) -> DataFrame:
+              rows: int | None = None) -> DataFrame:
     """Run `build` on chunks of `rows` rows plus the halo its frames reach into.
 
     `history` and `lookahead` are the rows a result may depend on, summed over
     stacked frames.
     """
+    rows = chunk_rows(df, rows)
     first = F.greatest(F.floor((F.col(pos) - lookahead) / rows), F.lit(0))
     last = F.floor((F.col(pos) + history) / rows)
     spread = df.withColumn("_chunk", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
@@ -194,7 +200,7 @@ _TURNED = {"first": "last", "last": "first"}
 
 def running(df: DataFrame, cols: Mapping[str, tuple], *, keys: Sequence[str] = ("symbol",),
             order: Sequence = ("bar_no",), piece: Column | None = None, forward: bool = False,
-            resets: Mapping[str, Column] | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+            resets: Mapping[str, Column] | None = None, rows: int | None = None) -> DataFrame:
     """Unbounded running aggregates: {out: (sum|max|min|last|first, column[, reset])}.
 
     A frame inside each piece plus one carried value per piece. With
@@ -205,7 +211,7 @@ def running(df: DataFrame, cols: Mapping[str, tuple], *, keys: Sequence[str] = (
     The plan reads df twice (rows and piece ends). Several aggregates belong in
     one call; long chains of calls should be cut with `durable`.
     """
-    resets = resets or {}
+    resets, rows = resets or {}, chunk_rows(df, rows)
     piece = F.floor(F.col(order[0]) / rows) if piece is None else piece
     cut = df.withColumns({"_piece": piece, **{f"_x_{o}": c[1] for o, c in cols.items()},
                           **{f"_q_{r}": F.coalesce(x, F.lit(False)).cast("int") for r, x in resets.items()}})

@@ -10,8 +10,8 @@ from ..functions.exprs import fill, flag, yes
 from . import indicators as ind
 from .durable import durable
 from .ewm import reach
-from .fold import ordered_fold
-from .layout import CHUNK_ROWS, in_chunks, running
+from .fold import summary_fold
+from .layout import in_chunks, running
 from .sequences import expanding
 
 
@@ -71,8 +71,8 @@ def structure_events(df: DataFrame, swing: int = 50, internal: int = 5, keys=("s
 def order_blocks(df: DataFrame, swing: int = 50, atr_length: int = 200, by_close: bool = False, keys=("symbol",), **kw) -> DataFrame:
     """Order block created at a swing break and the newest block not yet mitigated.
 
-    The block is the extreme parsed bar between the pivot and the break, found
-    by an equi join on (key, block of bars).
+    The block is the extreme parsed bar between the pivot and the break: a running extreme that starts anew with each
+    confirmed pivot, with the extreme of the bars since the pivot itself as its first value.
     """
     def parsed(x, f):
         x = ind.atr(x, f, atr_length, "_va")
@@ -80,46 +80,77 @@ def order_blocks(df: DataFrame, swing: int = 50, atr_length: int = 200, by_close
         return x.withColumns({"_phi": F.when(wild, F.col("low")).otherwise(F.col("high")), "_plo": F.when(wild, F.col("high")).otherwise(F.col("low"))})
     d = in_chunks(df, parsed, history=reach(1.0 / atr_length) + 1, keys=keys)
     d = durable(breaks(d, swing, "swing", keys=keys))
-    out = d
-    for side, evt, pivot in (("bullish", "_swing_bu", "_swing_high"), ("bearish", "_swing_bd", "_swing_low")):
-        ev = d.where(evt).select(*keys, F.col("bar_no").alias("_no"), F.col(f"{pivot}.at").alias("_from"))
-        lo, hi = F.floor(F.col("_from") / CHUNK_ROWS), F.floor(F.col("_no") / CHUNK_ROWS)
-        ev = ev.withColumn("_blk", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
-        b = d.select(*keys, F.floor(F.col("bar_no") / CHUNK_ROWS).cast("bigint").alias("_blk"), F.col("bar_no").alias("_at"), "_phi", "_plo")
-        j = ev.join(b, [*keys, "_blk"]).where(F.col("_at").between(F.col("_from"), F.col("_no")))
-        pick = F.min_by if side == "bullish" else F.max_by
-        rank = (F.struct("_plo", "_at") if side == "bullish" else F.struct(F.col("_phi"), -F.col("_at")))
-        g = j.groupBy(*keys, F.col("_no").alias("bar_no")).agg(pick(F.struct(F.col("_phi").alias("top"), F.col("_plo").alias("bottom")), rank).alias(f"_{side}"))
-        out = out.join(g, [*keys, "bar_no"], "left")
-    out = out.withColumns({f"{s}_order_block_{e}": F.col(f"_{s}.{e}") for s in ("bullish", "bearish") for e in ("top", "bottom")}).drop("_bullish", "_bearish")
+    ends = [F.col("_phi").alias("top"), F.col("_plo").alias("bottom")]
+    own = {"bullish": F.struct(F.col("_plo").alias("rank"), F.col("bar_no").alias("at"), *ends), "bearish": F.struct((-F.col("_phi")).alias("rank"), F.col("bar_no").alias("at"), *ends)}
+    new = {"bullish": F.col("swing_pivot_high").isNotNull(), "bearish": F.col("swing_pivot_low").isNotNull()}
+    d = in_chunks(d, lambda x, f: x.withColumns({f"_w_{s}": F.when(new[s], F.min(own[s]).over(f.last(swing + 1))).otherwise(own[s]) for s in own}), history=swing, keys=keys)
+    d = running(d, {f"_b_{s}": ("min", F.col(f"_w_{s}"), s) for s in own}, keys=keys, resets=new)
+    evt = {"bullish": "_swing_bu", "bearish": "_swing_bd"}
+    out = d.withColumns({f"{s}_order_block_{e}": F.when(F.col(evt[s]), F.col(f"_b_{s}.{e}")) for s in own for e in ("top", "bottom")})
+    out = durable(out.drop(*[f"_{x}_{s}" for x in "wb" for s in own], "_swing_high", "_swing_low", "_swing_bu", "_swing_bd", "_phi", "_plo", "_va"))
     price = {"bullish": "close" if by_close else "low", "bearish": "close" if by_close else "high"}
-    for s in ("bullish", "bearish"):
+    for s in own:
         out = alive_zones(out, f"{s}_order_block", f"active_{s}_ob", F.col(price[s]), s == "bullish", keys, **kw)
-    return out.drop("_swing_high", "_swing_low", "_swing_bu", "_swing_bd", "_phi", "_plo", "_va")
+    return out
 
 
-def alive_zones(df: DataFrame, zone: str, out: str, price: Column, above: bool, keys=("symbol",), warm: int = 512, **kw) -> DataFrame:
+def alive_zones(df: DataFrame, zone: str, out: str, price: Column, above: bool, keys=("symbol",), **kw) -> DataFrame:
     """Newest zone per bar that no bar since its creation has broken.
 
-    A bullish zone lives while the price stays at or above its bottom. A zone
-    that breaks no later than a newer one can never be the newest alive again,
-    so the open zones form a monotone stack, which is the state of the fold.
+    A bullish zone lives while the price stays at or above its bottom. A zone that breaks no later than a newer one can never
+    be the newest alive again, so the open zones form a stack with rising levels. A chunk is summed up by its lowest price and
+    the zones that outlive it. Of the stack before a chunk it needs those that break inside it and the one below them, so all
+    chunks together are given no more zones than there are.
     """
-    def step(pdf, state):
-        stack = [(state[i], state[i + 1]) for i in range(0, len(state), 2)]
-        tops, bots = [], []
-        for t, b, p in zip(pdf[f"{zone}_top"].to_numpy(dtype=float), pdf[f"{zone}_bottom"].to_numpy(dtype=float), pdf["_p"].to_numpy(dtype=float)):
-            if not math.isnan(t):
-                while stack and (stack[-1][1] >= b if above else stack[-1][0] <= t):
+    side = 1.0 if above else -1.0  # bearish zones are bullish ones of the negated price
+
+    def rows_of(pdf):
+        t, b = pdf[f"{zone}_top"].to_numpy(dtype=float), pdf[f"{zone}_bottom"].to_numpy(dtype=float)
+        return t, b, side * (b if above else t), side * pdf["_p"].to_numpy(dtype=float)
+
+    def walk(pdf, stack, show):
+        for t, b, v, p in zip(*rows_of(pdf)):
+            if not math.isnan(v):
+                while stack and stack[-1][0] >= v:
                     stack.pop()
-                stack.append((t, b))
-            while stack and (p < stack[-1][1] if above else p > stack[-1][0]):
+                stack.append((v, t, b))
+            while stack and p < stack[-1][0]:
                 stack.pop()
-            tops.append(stack[-1][0] if stack else np.nan)
-            bots.append(stack[-1][1] if stack else np.nan)
-        return {f"{out}_top": tops, f"{out}_bottom": bots}, [x for z in stack for x in z]
-    d = ordered_fold(df.withColumn("_p", price), step, {f"{out}_top": "double", f"{out}_bottom": "double"}, [], warm=warm, keys=keys, **kw)
-    return d.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in (f"{out}_top", f"{out}_bottom")}).drop("_p")
+            show(stack)
+
+    def summary(pdf):
+        stack: list[tuple] = []
+        walk(pdf, stack, lambda s: None)
+        p = rows_of(pdf)[3]
+        return [np.nanmin(p) if (~np.isnan(p)).any() else math.inf, *(x for z in stack for x in z)]
+
+    def combine(state, got):
+        old, low, new = _triples(state), got[0], _triples(got[1:])
+        keep = len(old)
+        while keep and old[keep - 1][0] > low:
+            keep -= 1
+        need = old[max(keep - 1, 0):]
+        old = old[:keep]
+        while old and new and old[-1][0] >= new[0][0]:
+            old.pop()
+        return [x for z in need for x in z], [x for z in old + new for x in z]
+
+    def step(pdf, state):
+        tops, bots = [], []
+
+        def show(stack):
+            tops.append(stack[-1][1] if stack else np.nan)
+            bots.append(stack[-1][2] if stack else np.nan)
+        walk(pdf, _triples(state), show)
+        return {f"{out}_top": tops, f"{out}_bottom": bots}, []
+
+    names = {f"{out}_top": "double", f"{out}_bottom": "double"}
+    d = summary_fold(df.withColumn("_p", price), summary, combine, step, names, [], cols=[f"{zone}_top", f"{zone}_bottom", "_p"], keys=keys, **kw)
+    return d.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names}).drop("_p")
+
+
+def _triples(flat: list) -> list[tuple]:
+    return [tuple(flat[i:i + 3]) for i in range(0, len(flat), 3)]
 
 
 def fair_value_gaps(df: DataFrame, keys=("symbol",), auto: bool = True, **kw) -> DataFrame:

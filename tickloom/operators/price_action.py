@@ -10,7 +10,7 @@ from .asof import asof_backward
 from .ewm import alpha_of, ewm_mean, reach
 from .indicators import day_window
 from .durable import durable
-from .layout import CHUNK_ROWS, Frames, in_chunks, number_rows, running
+from .layout import Frames, chunk_rows, in_chunks, number_rows, running
 from .resample import resample
 from .sequences import counts_since_reset, micro_channel, run_of
 
@@ -316,7 +316,7 @@ def structure(df: DataFrame, atr: str, arm: int = 5, keys=("symbol",)) -> DataFr
         F.struct(F.lit("h").alias("kind"), F.col("swing_high").alias("p")),
         F.struct(F.lit("l").alias("kind"), F.col("swing_low").alias("p")))).alias("e"))
     ev = both.where("e.p is not null").select(*keys, "e.kind", F.col("bar_no").alias("_at"), F.col("e.p").alias("_p"))
-    ev = number_rows(ev, [*keys, "kind"], ("_at",), piece=F.floor(F.col("_at") / CHUNK_ROWS))
+    ev = number_rows(ev, [*keys, "kind"], ("_at",), piece=F.floor(F.col("_at") / chunk_rows(df)))
     ev = in_chunks(ev, lambda x, f: x.withColumn("_last5", F.collect_list("_p").over(f.last(5))), history=5, keys=[*keys, "kind"])
     at = ev.groupBy(*keys, F.col("_at").alias("bar_no")).agg(
         F.max(F.when(F.col("kind") == "h", F.col("_last5"))).alias("_highs"), F.max(F.when(F.col("kind") == "l", F.col("_last5"))).alias("_lows"))

@@ -2,7 +2,7 @@
 
 Every chunk turns its rows into prefix pairs (A, B) with y = A * y_in + B. The
 pairs of the chunk ends are scanned the same way, twice, so the last level
-holds rows / CHUNK_ROWS^2 pairs of a key. A row with a = 0 starts afresh.
+holds rows / chunk^2 pairs of a key. A row with a = 0 starts afresh.
 Inside a chunk the pairs come from pointer doubling on Arrow columns; nothing
 is divided, so no coefficient can overflow.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .layout import CHUNK_ROWS
+from .layout import chunk_rows
 
 
 def _prefix(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,9 +28,9 @@ def _prefix(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def affine_scan(df: DataFrame, terms: Mapping[str, tuple[Column, Column]], *, keys: Sequence[str] = ("symbol",),
-                pos: str = "bar_no", rows: int = CHUNK_ROWS, depth: int = 3) -> DataFrame:
+                pos: str = "bar_no", rows: int | None = None, depth: int = 3) -> DataFrame:
     """Add one column per entry {out: (a, b)}; y before the first row counts as 0."""
-    chunk = f"_k{depth}"
+    chunk, rows = f"_k{depth}", chunk_rows(df, rows)
     names = list(terms)
     d = df.withColumn(chunk, F.lit(0).cast("bigint") if depth == 1 else F.floor(F.col(pos) / rows).cast("bigint"))
     for o, (a, b) in terms.items():

@@ -10,11 +10,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import flag, sign, yes
-from .layout import CHUNK_ROWS, Frames, in_chunks, running
+from .layout import Frames, in_chunks, running
 
 
 def counts_since_reset(df: DataFrame, specs: Mapping[str, tuple[Column, Column]], *, keys: Sequence[str] = ("symbol",),
-                       pos: str = "bar_no", rows: int = CHUNK_ROWS) -> DataFrame:
+                       pos: str = "bar_no", rows: int | None = None) -> DataFrame:
     """{out: (condition, reset)}: rows with the condition from the latest reset row on, that row included."""
     cols = {o: ("sum", flag(v).cast("bigint"), f"r{i}") for i, (o, (v, _)) in enumerate(specs.items())}
     resets = {f"r{i}": r for i, (_, r) in enumerate(specs.values())}
@@ -22,7 +22,7 @@ def counts_since_reset(df: DataFrame, specs: Mapping[str, tuple[Column, Column]]
 
 
 def run_of(df: DataFrame, changes: Mapping[str, Column], *, keys: Sequence[str] = ("symbol",), pos: str = "bar_no",
-           rows: int = CHUNK_ROWS) -> DataFrame:
+           rows: int | None = None) -> DataFrame:
     """Rows since the latest change, 0 on the change row; the first row counts as a change."""
     marks = {f"_m_{o}": ("max", F.when(yes(ch) | (F.col(pos) == 0), F.col(pos))) for o, ch in changes.items()}
     d = running(df, marks, keys=keys, order=(pos,), rows=rows)

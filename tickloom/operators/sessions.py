@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.exprs import micros
-from .layout import CHUNK_ROWS, in_chunks, running
+from .layout import in_chunks, running
 
 
 def mark_sessions(df: DataFrame, *, keys: Sequence[str] = ("symbol",), t: str = "t", pos: str = "bar_no",
-                  gap_hours: float = 4.0, open_skip: int = 0, close_cutoff: int = 0, rows: int = CHUNK_ROWS) -> DataFrame:
+                  gap_hours: float = 4.0, open_skip: int = 0, close_cutoff: int = 0, rows: int | None = None) -> DataFrame:
     """session_id, bar_of_session, bars_remaining and validity per row.
 
     A session starts after a gap strictly longer than `gap_hours`. The session

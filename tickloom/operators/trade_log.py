@@ -1,6 +1,7 @@
 """Summaries of closed trades and of strategy returns on bars."""
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exprs import c, div
 from .asof import asof_backward
 from .durable import durable
-from .fold import ordered_fold
+from .fold import ordered_fold, summary_fold
 from .gates import DRIVERS
 from .layout import in_chunks, number_rows, running
 from .ranks import exact_quantiles
@@ -132,24 +133,36 @@ def regime_segments(trades: DataFrame, keys=("symbol",), entry="entry_time", exi
 
     A trade that starts earlier opens a new run, so the check needs the running
     maximum of exits inside the run; an overlap with an older run's longer exit
-    does not count.
+    does not count. Chunks are summed up, so a run of any length costs two passes.
     """
     d = number_rows(trades, keys, (entry, tie), "range")
     secs = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(entry).cast("timestamp_ntz")).cast("double")
     out_secs = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(exit_).cast("timestamp_ntz")).cast("double")
     d = d.withColumns({"_in": secs, "_out": out_secs, "_rg": F.col(regime).cast("double")})
 
+    def marks(pdf, reg, end):
+        new = []
+        for e, x, g in zip(pdf["_in"].to_numpy(float), pdf["_out"].to_numpy(float), pdf["_rg"].to_numpy(float)):
+            same = reg == g and e >= end - 1
+            reg, end = g, max(end, x) if same else x
+            new.append(not same)
+        return new, reg, end
+
+    def summary(pdf):
+        new, reg, end = marks(pdf, math.nan, math.nan)
+        return [pdf["_rg"].iloc[0], pdf["_in"].iloc[0], float(any(new[1:])), reg, end]
+
+    def combine(state, got):
+        # Entries rise, so the exit before a chunk can only break the run at its first trade.
+        (reg, end), (first, entry, broken, last, longest) = state, got
+        goes_on = reg == first and entry >= end - 1
+        return state, [last, longest if broken or not goes_on else max(end, longest)]
+
     def step(pdf, state):
-        reg, end, start = state
-        seg = []
-        for e, x, g, p in zip(pdf["_in"], pdf["_out"], pdf["_rg"], pdf["bar_no"]):
-            if reg == g and e >= end - 1:
-                end = max(end, x)
-            else:
-                reg, end, start = g, x, float(p)
-            seg.append(int(start))
-        return {"segment": seg}, [reg, end, start]
-    s = ordered_fold(d, step, {"segment": "bigint"}, [float("nan"), float("nan"), float("nan")], keys=keys, **{"warm": 64, **kw})
+        return {"_new": marks(pdf, *state)[0]}, []
+
+    s = summary_fold(d, summary, combine, step, {"_new": "boolean"}, [math.nan, math.nan], cols=["_in", "_out", "_rg"], keys=keys, **kw)
+    s = running(s, {"segment": ("last", F.when(F.col("_new"), F.col("bar_no")))}, keys=keys, rows=kw.get("rows"))
     return s.groupBy(*keys, "segment").agg(
         F.min(entry).alias("seg_start"), F.max(exit_).alias("seg_end"), F.min(regime).alias(regime),
         F.count(F.lit(1)).alias("n"), F.sum(ret).alias("sum_return"))
@@ -171,18 +184,18 @@ def position_cap(trades: DataFrame, limit: int, *, keys: Sequence[str] = (), ent
 
     def step(pdf, state):
         live = [x for x in state if not math.isnan(x)]
+        heapq.heapify(live)
         keep = []
-        for e, x in zip(pdf["_in"], pdf["_out"]):
+        for e, x in zip(pdf["_in"].to_numpy(float), pdf["_out"].to_numpy(float)):
             if math.isnan(e) or math.isnan(x):
                 keep.append(True)
                 continue
-            live = [v for v in live if v > e]
-            ok = len(live) < limit
-            keep.append(ok)
-            if ok:
-                live.append(x)
-        live.sort()
-        return {"kept": keep}, live + [float("nan")] * (limit - len(live))
+            while live and live[0] <= e:
+                heapq.heappop(live)
+            keep.append(len(live) < limit)
+            if keep[-1]:
+                heapq.heappush(live, x)
+        return {"kept": keep}, sorted(live) + [float("nan")] * (limit - len(live))
     got = ordered_fold(d, step, {"kept": "boolean"}, [float("nan")] * limit, keys=by, **{"warm": 20 * limit, **kw})
     return got.drop("_in", "_out", "_all", "bar_no")
 
