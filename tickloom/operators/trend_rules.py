@@ -66,29 +66,86 @@ def rule_base(df: DataFrame, zlsma: int = 50, er: int = 9, fast: int = 2, slow:
     return ind.cvd_divergence(ind.pseudo_cvd(d), cvd_lookback, cvd_slope)
 
 
-def entry_signals(df: DataFrame, *, trend_mode: str = "price", slope: float = 0.0, atr_rank: float = 0.0, classic: bool = False,
-                  slope_div: bool = False, ce_only: bool = False, confirmation: str = "none", t: str = "t") -> DataFrame:
-    """long_entry and short_entry from chandelier flips and trend conditions; needs `rule_base` and `chandelier`."""
+#: States in which the higher frame counts as trending.
+BULL_CHANNELS, BEAR_CHANNELS = ("tight_bull_channel", "wide_bull_channel"), ("tight_bear_channel", "wide_bear_channel")
+#: Columns that each gate reads; a gate whose columns are missing lets everything pass.
+GATE_COLUMNS = {
+    "opening_range": ("or_period",), "signal_bar": ("pa_strong_bull_signal", "pa_strong_bear_signal"), "second_entry": ("pa_is_h2_setup", "pa_is_l2_setup"),
+    "pressure": ("pa_net_pressure",), "regime": ("pa_regime_trend",), "twenty_bar": ("pa_trend_weakened",), "inside_inside": ("pa_is_ii_pattern",),
+    "higher_frame": ("pa_env_state", "pa_env_trend_dir"), "triggers": (),
+}
+TRIGGERS = (("pa_is_h2_setup", "pa_mag20_bull", "pa_breakout_success_up"), ("pa_is_l2_setup", "pa_mag20_bear", "pa_breakout_success_down"))
+
+
+def gated(a: Column, b: Column, gates, columns, pressure: float = 0.0) -> tuple[Column, Column]:
+    """Raw long and short signals behind the named gates, in the order of GATE_COLUMNS.
+
+    All gates take signals away but `inside_inside`, which adds one in the direction of the bar."""
+    def any_of(names):
+        out = F.lit(False)
+        for n in names:
+            out = out | yes(F.col(n)) if n in columns else out
+        return out
+
+    rise, drop = F.col("close") > F.col("open"), F.col("close") < F.col("open")
+    for g, needed in GATE_COLUMNS.items():
+        if g not in gates or not set(needed) <= set(columns):
+            continue
+        x = [F.col(n) for n in needed]
+        if g == "opening_range":
+            keep = (~F.coalesce(x[0], F.lit(True)),) * 2
+        elif g in ("signal_bar", "second_entry"):
+            keep = yes(x[0]), yes(x[1])
+        elif g == "pressure":
+            keep = yes(x[0] >= pressure), yes(x[0] <= -pressure)
+        elif g == "regime":
+            keep = (~((yes(F.col("ce_buy_signal")) | yes(F.col("ce_sell_signal"))) & yes(x[0])),) * 2
+        elif g == "twenty_bar":
+            keep = (~yes(x[0]),) * 2
+        elif g == "higher_frame":
+            keep = yes(x[0].isin(*BULL_CHANNELS) & (x[1] == 1)), yes(x[0].isin(*BEAR_CHANNELS) & (x[1] == -1))
+        elif g == "triggers":
+            keep = any_of(TRIGGERS[0]), any_of(TRIGGERS[1])
+        else:
+            a, b = a | (yes(x[0]) & yes(rise)), b | (yes(x[0]) & yes(drop))
+            continue
+        a, b = a & keep[0], b & keep[1]
+    return a, b
+
+
+def raw_signals(*, trend_mode: str = "price", slope: float = 0.0, atr_rank: float = 0.0, ce_only: bool = False, relaxed: bool = False) -> tuple[Column, Column]:
+    """Long and short signals from chandelier flips, trend conditions and the flips' latches `_la`, `_sa`.
+
+    `relaxed`: outside of trending states (`pa_env_state`) a flip only needs the price beyond the ZLSMA."""
     k, z, m = F.col("close"), F.col("zlsma"), F.col("kama")
     buy, sell = yes(F.col("ce_buy_signal")), yes(F.col("ce_sell_signal"))
+    rank = yes(F.col("atr_percentile") >= atr_rank) if atr_rank > 0 else F.lit(True)
+    if ce_only:
+        return buy & rank, sell & rank
     up, dn = (k > z) & (k > m), (k < z) & (k < m)
     if trend_mode == "stacked_trend":
         up, dn = up & (z > m), dn & (z < m)
-    zs = fill(F.col("zlsma_slope"), 0.0)
-    lo, so = (zs >= -slope, zs <= slope) if slope > 0 else (F.lit(True), F.lit(True))
-    rank = yes(F.col("atr_percentile") >= atr_rank) if atr_rank > 0 else F.lit(True)
+    zs, ks = fill(F.col("zlsma_slope"), 0.0), fill(F.col("kama_slope"), 0.0)
+    flat = (zs >= -slope, zs <= slope) if slope > 0 else (F.lit(True), F.lit(True))
+    steep = (ks >= slope, ks <= -slope) if slope > 0 else (ks > 0, ks < 0)
+    up, dn = yes(up) & flat[0], yes(dn) & flat[1]
+    if relaxed:
+        trending = yes(F.col("pa_env_state").isin(*BULL_CHANNELS, *BEAR_CHANNELS))
+        up, dn = F.when(trending, up).otherwise(yes(k > z)), F.when(trending, dn).otherwise(yes(k < z))
+    return (buy & up & rank) | (F.col("_la") & yes(m > z) & steep[0] & rank), (sell & dn & rank) | (F.col("_sa") & yes(m < z) & steep[1] & rank)
+
+
+def entry_signals(df: DataFrame, *, trend_mode: str = "price", slope: float = 0.0, atr_rank: float = 0.0, classic: bool = False,
+                  slope_div: bool = False, ce_only: bool = False, relaxed: bool = False, gates=(), pressure: float = 0.0,
+                  confirmation: str = "none", t: str = "t") -> DataFrame:
+    """long_entry and short_entry from chandelier flips, trend conditions and gates; needs `rule_base` and `chandelier`."""
+    k = F.col("close")
     d = latch(df, "ce_buy_signal", "ce_sell_signal", "_la", "_sa")
-    if ce_only:
-        a, b = buy & rank, sell & rank
-    else:
-        ks = fill(F.col("kama_slope"), 0.0)
-        steep = (ks >= slope, ks <= -slope) if slope > 0 else (ks > 0, ks < 0)
-        a = (buy & yes(up) & lo & rank) | (F.col("_la") & yes(m > z) & steep[0] & rank)
-        b = (sell & yes(dn) & so & rank) | (F.col("_sa") & yes(m < z) & steep[1] & rank)
-    if classic:
-        a, b = a & F.coalesce("cvd_classic_long_ok", F.lit(True)), b & F.coalesce("cvd_classic_short_ok", F.lit(True))
-    if slope_div:
-        a, b = a & F.coalesce("cvd_slope_long_ok", F.lit(True)), b & F.coalesce("cvd_slope_short_ok", F.lit(True))
+    a, b = raw_signals(trend_mode=trend_mode, slope=slope, atr_rank=atr_rank, ce_only=ce_only, relaxed=relaxed and "pa_env_state" in df.columns)
+    for on, kind in ((classic, "classic"), (slope_div, "slope")):
+        if on:
+            a, b = a & F.coalesce(f"cvd_{kind}_long_ok", F.lit(True)), b & F.coalesce(f"cvd_{kind}_short_ok", F.lit(True))
+    a, b = gated(a, b, gates, df.columns, pressure)
     d = d.withColumns({"_a": a, "_b": b})
     if confirmation == "none":
         return d.withColumns({"long_entry": F.col("_a"), "short_entry": F.col("_b")}).drop("_la", "_sa", "_a", "_b")
@@ -116,3 +173,34 @@ def combinations(df: DataFrame, parts: dict[str, tuple[Column, Column]], combos:
         return signal_from_sides(a, b)
     rows = F.array(*[F.struct(F.lit(n).alias("strategy"), both(p).alias("signal")) for n, p in combos.items()])
     return df.select(*keep, F.explode(rows).alias("_s")).select(*keep, "_s.*")
+
+
+#: The named strategies as conjunctions of parts; `_recent` is the part within the last RECENT bars.
+STRATEGIES = {
+    "ce_reversal": ("flip",), "zlsma_kama_cross": ("cross",), "smc_structure": ("structure",), "smc_fvg": ("gap",), "smc_order_block": ("block",), "smc_any_event": ("any",),
+    "ce_plus_trend": ("flip", "trend"), "ce_plus_structure": ("flip", "structure_recent"), "ce_plus_fvg": ("flip", "gap_recent"), "ce_plus_ob": ("flip", "block_recent"),
+    "ce_plus_smc_any": ("flip", "any_recent"), "trend_plus_structure": ("cross", "structure_recent"), "trend_plus_fvg": ("cross", "gap_recent"),
+    "trend_plus_ob": ("cross", "block_recent"), "trend_plus_smc_any": ("cross", "any_recent"), "ce_trend_structure": ("flip", "trend", "structure_recent"),
+    "ce_trend_fvg": ("flip", "trend", "gap_recent"), "ce_trend_ob": ("flip", "trend", "block_recent"), "ce_trend_smc_any": ("flip", "trend", "any_recent"),
+}
+RECENT = 10
+
+
+def strategy_signals(df: DataFrame, recent: int = RECENT, keep=("symbol", "t", "bar_no")) -> DataFrame:
+    """Long table (bar, strategy, signal) of STRATEGIES; needs chandelier flips, both averages, structure events, order blocks and gaps."""
+    z, m = F.col("zlsma"), F.col("kama")
+    broke = lambda side: F.greatest(*[yes(F.col(f"{w}_{side}_{e}")) for w in ("swing", "internal") for e in ("bos", "choch")])
+    d = df.withColumns({"_trend_l": yes(z > m), "_trend_s": yes(z < m), "_flip_l": yes(F.col("ce_buy_signal")), "_flip_s": yes(F.col("ce_sell_signal"))})
+    for side, word in (("l", "bullish"), ("s", "bearish")):
+        d = d.withColumns({f"_structure_{side}": broke(word), f"_gap_{side}": yes(F.col(f"{word}_fvg")), f"_block_{side}": F.col(f"{word}_order_block_top").isNotNull()})
+        d = d.withColumn(f"_any_{side}", F.col(f"_structure_{side}") | F.col(f"_gap_{side}") | F.col(f"_block_{side}"))
+
+    def build(x, f):
+        out = {}
+        for side in "ls":
+            out[f"_cross_{side}"] = F.col(f"_trend_{side}") & ~yes(f.lag(f"_trend_{side}"))
+            out |= {f"_{p}_recent_{side}": F.max(f"_{p}_{side}").over(f.last(recent)) for p in ("structure", "gap", "block", "any")}
+        return x.withColumns(out)
+    d = in_chunks(d, build, history=recent)
+    parts = {p: (F.col(f"_{p}_l"), F.col(f"_{p}_s")) for p in {p for ps in STRATEGIES.values() for p in ps}}
+    return combinations(d, parts, {n: list(ps) for n, ps in STRATEGIES.items()}, keep)
