@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -248,7 +249,7 @@ def sign_flip_threshold(df: DataFrame, x: str, key: str, rounds: int = 100, alph
     For small samples; one copy of the rows per round.
     """
     r = df.select(key, x).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    sign = F.when(F.xxhash64(key, "round") % 2 == 0, 1.0).otherwise(-1.0)
+    sign = F.when(hashed([key], "round", 2) == 0, 1.0).otherwise(-1.0)
     r = r.withColumn("_s", F.abs(x) * sign)
     med = exact_quantiles(r, "_s", {"m": 0.5}, ("round",))
     dev = r.join(med, "round").withColumn("_dev", F.abs(F.col("_s") - F.col("m")))
@@ -258,7 +259,41 @@ def sign_flip_threshold(df: DataFrame, x: str, key: str, rounds: int = 100, alph
     return exact_quantiles(stats, "stat", {"tau": max(0.5, 1 - alpha)})
 
 
+def edge_threshold(df: DataFrame, x: str, key: str, *, mode: str = "hybrid", alpha: float = 0.05, least: int = 200, rounds: int = 600,
+                   heavy: float = 8.0, p: float = 0.05, fixed: float = 0.1) -> DataFrame:
+    """Threshold from which on an edge counts, with the way it was found: method, reason, tau, sigma, kurtosis.
+
+    Two-sided normal quantile times the robust deviation; where there are fewer than `least` values, or their tails are heavy
+    (excess kurtosis over `heavy`, or its test below `p`), the sign-flip quantile instead. `mode` forces mad_z or bootstrap.
+    """
+    spark = df.sparkSession
+    d = df.where(F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(key, F.col(x).cast("double").alias(x))
+    s = d.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m")).first()
+    if not s["n"]:
+        return spark.createDataFrame([("fixed", "no_finite_values", fixed, None, None)], "method string, reason string, tau double, sigma double, kurtosis double")
+    w = F.col(x) - float(s["m"])
+    v = d.agg(F.avg(w * w).alias("v2"), F.avg(w * w * w * w).alias("v4")).first()
+    kurt = v["v4"] / v["v2"] ** 2 - 3.0 if s["n"] >= 8 and v["v2"] > 1e-12 else None
+    tail = kurt is not None and (kurt > heavy or math.exp(-0.5 * s["n"] / 24.0 * kurt * kurt) < p)
+    flip = mode == "bootstrap" or (mode == "hybrid" and (s["n"] < least or tail))
+    reason = {"bootstrap": "forced_bootstrap", "mad_z": "forced_mad_z"}.get(mode, "low_n" if s["n"] < least else "heavy_tail" if tail else "mad_z_ok")
+    r = d.select(robust_scale(d, x, F.lit(True)).alias("r")).limit(1)
+    sigma = F.coalesce(F.col("r.mad"), F.lit(0.0)) / 0.67448975
+    if flip:
+        tau = sign_flip_threshold(d, x, key, max(rounds, 100), alpha).select("tau").scalar()
+    else:
+        tau = NormalDist().inv_cdf(1.0 - alpha / 2.0) * F.greatest(sigma, F.lit(1e-8))
+    return r.select(F.lit("bootstrap" if flip else "mad_z").alias("method"), F.lit(reason).alias("reason"), clip(tau, 1e-6, 5.0).alias("tau"),
+                    sigma.alias("sigma"), F.lit(kurt).cast("double").alias("kurtosis"))
+
+
+def hashed(key: Sequence[str], seed, below: int) -> Column:
+    """A number from 0 to below - 1 from the MD5 of the key and a seed, the same in every engine."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], (F.lit(seed) if isinstance(seed, int) else c(seed)).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % below
+
+
 def feature_dropout(df: DataFrame, cols: Sequence[str], key: Sequence[str], share: float, rows: Column, seed: int = 7) -> DataFrame:
     """Zero a column group on a share of the given rows, chosen by hash, so a rerun drops the same rows."""
-    hit = rows & (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000))
+    hit = rows & (hashed(key, seed, 10_000) < int(share * 10_000))
     return df.withColumns({n: F.when(hit, 0.0).otherwise(F.col(n)) for n in cols})

@@ -133,10 +133,10 @@ def _(T):
     return number_rows(trades(T), (), ("exit_time", "symbol", "trade_id"), "range", out="pos")
 
 
-@query("seeded_sample", "n:i distinct_n:i")
+@query("seeded_sample", "event_id:i value:d", """SELECT event_id, value FROM events ORDER BY md5(concat_ws('|', event_id, 42)), event_id LIMIT 500""")
 def _(T):
-    e = T("events")
-    return e.orderBy(F.xxhash64("event_id", F.lit(42)), "event_id").limit(500).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("distinct_n"))
+    """500 rows without replacement, the same ones for the same seed."""
+    return T("events").orderBy(F.md5(F.concat_ws("|", F.col("event_id").cast("string"), F.lit("42"))), "event_id").limit(500).select("event_id", "value")
 
 
 @query("set_algebra", "part:s n:i", TRADES + """, a AS (SELECT DISTINCT symbol, exit_time FROM trades WHERE regime <= 2), b AS (SELECT DISTINCT symbol, exit_time FROM trades WHERE regime >= 3)

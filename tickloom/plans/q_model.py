@@ -100,7 +100,11 @@ def _(T):
     return sp.half_life_days(e, "ts", "s")
 
 
-@query("weights_decay", "event_id:i weight:d")
+@query("weights_decay", "event_id:i weight:d", """WITH e AS (SELECT event_id, ts, value + day(ts) * 20 AS s, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events),
+d AS (SELECT cast(ts AS date) AS day, avg(s) AS x FROM e GROUP BY 1), l AS (SELECT x, lag(x) OVER (ORDER BY day) AS l FROM d),
+h AS (SELECT count(*) AS days, CASE WHEN corr(l, x) BETWEEN 1e-6 AND 0.999 THEN -ln(2) / ln(corr(l, x)) END AS hl FROM l),
+w AS (SELECT e.*, CASE WHEN hl IS NULL THEN 0 ELSE ln(2) / least(greatest(hl * greatest(1, n / days), 1), greatest(1, n * 1.5)) END AS lam FROM e, h),
+x AS (SELECT *, exp(-lam * (n - 1 - pos)) AS w FROM w) SELECT event_id, 1000 * w / sum(w) OVER () AS weight FROM x""")
 def _(T):
     e = T("events").withColumn("s", F.col("value") + F.dayofmonth("ts") * 20)
     return sp.decay_weights(e, ("ts", "event_id"), "s").withColumn("weight", F.col("weight") * 1000)
@@ -218,10 +222,10 @@ def _(T):
     return ql.masking_audit(scored(T), lambda d: d.withColumn("out", F.col("pred") + 2 * F.col("p")), {"hold": ["pred"], "prob": ["p"]}, F.avg(F.abs(F.col("v") - F.col("out"))))
 
 
-@query("feature_dropout", "n:i zeroed:i")
+@query("feature_dropout", "l_orderkey:i l_linenumber:i l_quantity:d", """SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' AND
+  cast('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_suppkey, 7)), 1, 8) AS bigint) % 10000 < 1000 THEN 0 ELSE l_quantity END AS l_quantity FROM lineitem""")
 def _(T):
-    d = sp.feature_dropout(features(T), ["quantity"], ["rid"], 0.1, F.col("t") < sp.ts("1998-01-01"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quantity") == 0).cast("int")).alias("zeroed"))
+    return sp.feature_dropout(T("lineitem"), ["l_quantity"], ["l_orderkey", "l_linenumber", "l_suppkey"], 0.1, F.col("l_shipdate") < sp.ts("1998-01-01"))
 
 
 @query("metrics_binary", "symbol:s brier:d pin:d pear:d", SCORED + """ SELECT symbol, avg(power(y - p, 2)) AS brier, avg(greatest(0.9 * (v - pred), -0.1 * (v - pred))) AS pin, corr(v, pred) AS pear FROM sc GROUP BY symbol""")
