@@ -197,13 +197,17 @@ def rule_signals(df: DataFrame) -> DataFrame:
     return df.withColumns({"signal": sig.otherwise(0), "signal_strength": power.otherwise(0), "signal_reason": why.otherwise("")})
 
 
-def forward_z(df: DataFrame, f: Frames, horizon: int = 10, window: int = 60, limit: float = 5.0, session: str = "session_id") -> DataFrame:
-    """h-bar return over the volatility known one bar earlier, clipped; only inside one session."""
+def forward_z(df: DataFrame, f: Frames, horizon: int = 10, window: int = 60, limit: float = 5.0, session: str = "session_id", typical: str | None = None) -> DataFrame:
+    """h-bar return over the volatility known one bar earlier, clipped; only inside one session.
+
+    Eight returns are enough: before the window is full, its deviation is the one of all returns so far. `typical` names a
+    column that stands in before that, such as the key's median absolute return.
+    """
     d = df.withColumn("_r1", f.pct("close"))
-    d = d.withColumns({"_sd": f.std("_r1", window, window // 2), "_fw": f.lead("close", horizon) / F.col("close") - 1.0,
+    d = d.withColumns({"_sd": f.std("_r1", window, min(8, window)), "_fw": f.lead("close", horizon) / F.col("close") - 1.0,
                        "_same": f.lead(session, horizon) == F.col(session)})
-    vol = f.lag("_sd")
-    z = F.when(F.col("_same"), div(F.col("_fw"), F.nullif(vol, F.lit(0.0))))
+    vol = f.lag("_sd") if typical is None else F.coalesce(f.lag("_sd"), F.col(typical) + 1e-6)
+    z = F.when(F.col("_same"), F.col("_fw") / F.greatest(vol, F.lit(1e-6)))
     return d.withColumns({"forward_return": F.when(F.col("_same"), F.col("_fw")), "forward_z": clip(z, -limit, limit)}).drop("_r1", "_sd", "_fw", "_same")
 
 

@@ -137,13 +137,45 @@ def out_of_fold_trees(df: DataFrame, cols: Sequence[str], y: str, fold: str, fol
     return parts
 
 
-def gain_share(df: DataFrame, cols: Sequence[str], y: str, least: float = 0.01, keep_min: int = 20, seed: int = 7) -> list[str]:
-    """Columns by importance with at least `least` of the gain, but no fewer than keep_min."""
+def boosted_heads(df: DataFrame, cols: Sequence[str], heads: dict[str, tuple[str, str]], fold: str, folds: int, *, most: int = 20, depth: int = 3,
+                  share: int = 5, seed: int = 7) -> DataFrame:
+    """Out-of-fold predictions of several boosted heads, {name: (classifier | regressor, label)}.
+
+    In each fold a head stops growing when its error on every `share`-th training row (by hash) does not fall. Then each
+    fold is fitted with the median of these rounds over the folds, so that no fold is better grown than the others.
+    """
+    d = durable(df.withColumn("_hold", F.pmod(F.xxhash64(*cols), F.lit(share)) == 0))
+    d = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="keep").transform(d)
+    parts = None
+    rounds: dict[str, int] = {}
+
+    def fitted(kind, label, n, rows, stop):
+        args = dict(featuresCol="_v", labelCol=label, maxIter=n, maxDepth=depth, seed=seed)
+        args |= dict(validationIndicatorCol="_hold", validationTol=0.01) if stop else {}
+        return (GBTClassifier(**args) if kind == "classifier" else GBTRegressor(**args)).fit(rows)
+
+    for name, (kind, y) in heads.items():
+        rows = d.withColumn("_y", F.col(y).cast("double")).where(F.col("_y").isNotNull())
+        grown = sorted(fitted(kind, "_y", most, rows.where(F.col(fold) != i), True).getNumTrees for i in range(folds))
+        rounds[name] = max(1, int(grown[(folds - 1) // 2] + grown[folds // 2]) // 2)
+    for i in range(folds):
+        part = d.where(F.col(fold) == i)
+        for name, (kind, y) in heads.items():
+            train = d.withColumn("_y", F.col(y).cast("double")).where((F.col(fold) != i) & F.col("_y").isNotNull())
+            got = fitted(kind, "_y", rounds[name], train, False).transform(part)
+            part = got.withColumn(name, vector_to_array("probability")[1] if kind == "classifier" else F.col("prediction")).drop("prediction", "rawPrediction", "probability")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.drop("_v", "_hold")
+
+
+def gain_share(df: DataFrame, cols: Sequence[str], y: str, least: float = 0.01, keep_min: int = 20, seed: int = 7) -> DataFrame:
+    """(name, importance, kept): columns with at least `least` of the gain, but no fewer than keep_min, are kept."""
     d = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="keep").transform(df.withColumn("_y", F.col(y).cast("double")))
     imp = GBTRegressor(featuresCol="_v", labelCol="_y", maxIter=10, maxDepth=3, seed=seed).fit(d).featureImportances.toArray()
     order = sorted(range(len(cols)), key=lambda i: (-imp[i], i))
     kept = [i for i in order if imp[i] >= least]
-    return [cols[i] for i in (kept if len(kept) >= keep_min else order[:keep_min])]
+    kept = set(kept if len(kept) >= keep_min else order[:keep_min])
+    return df.sparkSession.createDataFrame([(cols[i], float(imp[i]), i in kept) for i in order], "name string, importance double, kept boolean")
 
 
 def hurdle(p_nonzero, value, power: float = 1.0) -> Column:

@@ -114,9 +114,9 @@ def conditional_threshold(df: DataFrame, edge: str, key: str, fit: Column, q: fl
     return d.withColumn(out, tau).drop("_a", "_q", "_g")
 
 
-def gate_candidates(df: DataFrame, gate: str, n: int = 21) -> DataFrame:
-    """Distinct candidate thresholds from the gate's quantiles 1%..99%."""
-    qs = {f"q{i}": 0.01 + 0.98 * i / (n - 1) for i in range(n)}
+def gate_candidates(df: DataFrame, gate: str, n: int = 101, rates: Sequence[float] = ()) -> DataFrame:
+    """Distinct candidate thresholds from the gate's quantiles 1%..99%, and those at which the given shares of rows pass."""
+    qs = {f"q{i}": 0.01 + 0.98 * i / (n - 1) for i in range(n)} | {f"r{i}": 1.0 - r for i, r in enumerate(rates)}
     return exact_quantiles(df, gate, qs).select(F.explode(F.array_distinct(F.array(*qs))).alias("threshold"))
 
 
@@ -151,10 +151,10 @@ def score_thresholds(df: DataFrame, gate: str, profit: str, cand: Column, target
     return m.withColumns({"score": score, "in_band": F.col("rate").between(*band)}).drop("_p05")
 
 
-def gate_search(df: DataFrame, gate: str, profit: str, order: Sequence[str], target_rate: float, band: tuple[float, float], *, n: int = 21, **kw) -> DataFrame:
-    """Scores of the quantile grid of the gate."""
+def gate_search(df: DataFrame, gate: str, profit: str, order: Sequence[str], target_rate: float, band: tuple[float, float], *, n: int = 101, **kw) -> DataFrame:
+    """Scores of the quantile grid of the gate and of the thresholds at the lowest, wanted and highest rate."""
     d = number_rows(df.select(*order, gate, profit), (), order, "range", "_pos")
-    one = gate_candidates(d, gate, n).agg(F.sort_array(F.collect_list(F.struct("threshold", F.col("threshold").alias("limit"))))).scalar()
+    one = gate_candidates(d, gate, n, (band[0], target_rate, band[1])).agg(F.sort_array(F.collect_list(F.struct("threshold", F.col("threshold").alias("limit"))))).scalar()
     return score_thresholds(d, gate, profit, one, target_rate, band, **kw)
 
 
@@ -213,22 +213,31 @@ def best_candidate(scores: DataFrame, target_rate: float) -> DataFrame:
 
 
 def entry_search(df: DataFrame, key: str, cls: str, conf: str, size: str, edge: str, tau: float, confs: Sequence[float], sizes: Sequence[float],
-                 least: int = 140) -> DataFrame:
-    """Best (confidence, size) limits per state and overall ('*'), for states with enough rows."""
+                 least: int = 140, share: float = 0.35, bonus: Column | None = None) -> DataFrame:
+    """Best (confidence, size) limits per state and overall ('*'), for states with enough rows.
+
+    The candidates are the given ones and the `share` quantiles of confidence and size, cut to 0..1. `bonus` is a price-action
+    score of each row (such as `context.entry_bonus`), whose mean over the rows that enter is added to the score.
+    """
     truth = F.when(F.col(edge) > tau, 0).when(F.col(edge) < -tau, 2).otherwise(1)
-    grid = F.array(*[F.struct(F.lit(float(a)).alias("min_confidence"), F.lit(float(b)).alias("min_size")) for a in confs for b in sizes])
-    d = df.where(F.col(conf).isNotNull() & F.col(size).isNotNull() & F.col(edge).isNotNull()).withColumns({"_t": truth})
-    d = d.select(F.explode(F.array(F.col(key), F.lit("*"))).alias("state"), cls, conf, size, edge, "_t")
-    d = d.withColumn("g", F.explode(grid)).select("state", cls, conf, size, edge, "_t", "g.*")
+    fine = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    limits = {}
+    for name, x, given in (("min_confidence", conf, confs), ("min_size", size, sizes)):
+        q = exact_quantiles(df.where(fine(x)), x, {"q": share}).first()["q"]
+        limits[name] = sorted({min(max(float(v), 0.0), 1.0) for v in [*given, *([] if q is None else [q])]})
+    grid = F.array(*[F.struct(F.lit(a).alias("min_confidence"), F.lit(b).alias("min_size")) for a in limits["min_confidence"] for b in limits["min_size"]])
+    d = df.where(fine(conf) & fine(size) & fine(edge)).withColumns({"_t": truth, "_bonus": F.lit(0.0) if bonus is None else bonus})
+    d = d.select(F.explode(F.array(F.col(key), F.lit("*"))).alias("state"), cls, conf, size, edge, "_t", "_bonus")
+    d = d.withColumn("g", F.explode(grid)).select("state", cls, conf, size, edge, "_t", "_bonus", "g.*")
     go = (F.col(size) >= F.col("min_size")) & (F.col(conf) >= F.col("min_confidence")) & F.col(cls).isin(0, 2)
     act = F.col("_t") != 1
     m = d.groupBy("state", "min_confidence", "min_size").agg(
         F.count(F.lit(1)).alias("n"), F.avg(flag(act)).alias("target"), F.avg(flag(go)).alias("trade_rate"),
         F.avg(F.when(go, flag(F.col(cls) == F.col("_t")))).alias("correct_side"), F.avg(F.when(go, flag(act))).alias("precision"),
-        F.avg(F.when(go, F.abs(edge))).alias("avg_abs_edge"))
+        F.avg(F.when(go, F.abs(edge))).alias("avg_abs_edge"), F.coalesce(F.avg(F.when(go, F.col("_bonus"))), F.lit(0.0)).alias("_bonus"))
     m = m.where((F.col("trade_rate") > 0) & ((F.col("state") == "*") | (F.col("n") >= least)))
     score = (0.55 * F.col("precision") + 0.30 * F.col("correct_side") + 0.20 * F.col("avg_abs_edge") - 0.20 * F.abs(F.col("trade_rate") - F.col("target")))
-    m = m.withColumn("score", F.round(score, 12))
+    m = m.withColumn("score", F.round(score + F.col("_bonus"), 12))
     first = F.struct(F.col("score"), (-F.col("min_confidence")).alias("a"), (-F.col("min_size")).alias("b"))
     return m.groupBy("state").agg(F.max_by(F.struct("min_confidence", "min_size", "score", "trade_rate", "precision", "correct_side", "avg_abs_edge"), first).alias("x")).select("state", "x.*")
 

@@ -73,12 +73,13 @@ def by_regime(trades: DataFrame, key: str = "label", regime: str = "regime", ret
 
 
 def by_strategy(trades: DataFrame, key: str = "strategy", ret: str = "ret", hold: str = "hold") -> DataFrame:
-    """Trade statistics with exact 1% and 5% quantiles."""
+    """Trade statistics with exact 1% and 5% quantiles; hedge means where the log has hedge columns, else missing."""
     r = F.col(ret)
+    hedge = {f"avg_{n}": F.avg(F.col(n).cast("double")) if n in trades.columns else F.max(F.lit(None).cast("double")) for n in ("hedge_pnl", "hedge_count")}
     g = trades.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean_return"), F.avg((r > 0).cast("int")).alias("win_rate"),
         F.when(F.sum(F.when(r < 0, r)) < 0, F.sum(F.when(r > 0, r).otherwise(0.0)) / -F.sum(F.when(r < 0, r))).alias("profit_factor"),
-        F.min(r).alias("worst"), F.avg(hold).alias("avg_hold"))
+        F.min(r).alias("worst"), F.avg(hold).alias("avg_hold"), *[x.alias(n) for n, x in hedge.items()])
     q = exact_quantiles(trades, ret, {"p01": 0.01, "p05": 0.05}, (key,))
     total = trades.agg(F.count(F.lit(1))).scalar()
     return g.join(q, key).withColumn("share", F.col("n") / total)

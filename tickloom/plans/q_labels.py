@@ -219,11 +219,14 @@ def _(T):
 
 @query("label_forward_z", "symbol:s bar_no:i forward_return:d forward_z:d", BARS + f""", r AS (SELECT *, close / {lagw('close')} - 1 AS r1,
   sum(brk) OVER (PARTITION BY symbol ORDER BY bar_no) AS sid FROM (SELECT *, coalesce((t - {lagw('t')} > INTERVAL 4 HOUR)::int, 0) AS brk FROM bars)),
-s AS (SELECT *, {need('r1', 60, 30, 'stddev_samp(r1)')} AS sd FROM r),
-f AS (SELECT *, {lagw('sd')} AS vol, CASE WHEN lead(sid, 10) OVER w = sid THEN lead(close, 10) OVER w / close - 1 END AS fr FROM s WINDOW w AS (PARTITION BY symbol ORDER BY bar_no))
-SELECT symbol, bar_no, fr AS forward_return, CASE WHEN fr IS NOT NULL AND vol > 0 THEN least(greatest(fr / vol, -5), 5) END AS forward_z FROM f""")
+md AS (SELECT symbol, quantile_cont(abs(r1), 0.5) + 1e-6 AS typ FROM r GROUP BY symbol), s AS (SELECT r.*, typ, {need('r1', 60, 8, 'stddev_samp(r1)')} AS sd FROM r JOIN md USING (symbol)),
+f AS (SELECT *, greatest(coalesce({lagw('sd')}, typ), 1e-6) AS vol, CASE WHEN lead(sid, 10) OVER w = sid THEN lead(close, 10) OVER w / close - 1 END AS fr FROM s WINDOW w AS (PARTITION BY symbol ORDER BY bar_no))
+SELECT symbol, bar_no, fr AS forward_return, CASE WHEN fr IS NOT NULL THEN least(greatest(fr / vol, -5), 5) END AS forward_z FROM f""")
 def _(T):
-    return in_chunks(mark_sessions(bars(T)), lab.forward_z, history=62, lookahead=10)
+    d = mark_sessions(bars(T))
+    moves = in_chunks(d, lambda x, f: x.select("symbol", "bar_no", F.col("_chunk"), F.abs(f.pct("close")).alias("_move")), history=1)
+    d = d.join(exact_quantiles(moves, "_move", {"typical": 0.5}, ("symbol",)), "symbol")
+    return in_chunks(d, lambda x, f: lab.forward_z(x, f, typical="typical"), history=62, lookahead=10)
 
 
 @query("label_forward_binary", "symbol:s bar_no:i y:i", BARS + """, f AS (SELECT symbol, bar_no, lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_no) / close - 1 AS fr FROM bars),

@@ -367,7 +367,7 @@ def _(T):
     return pol.conditional_threshold(keyed(T), "v", "key", F.col("entry_time") < sp.ts(A), 0.8, 1.0, 900, 1 + 0.24 * F.col("p"))
 
 
-GATE = SCORED + """, c AS (SELECT DISTINCT unnest(quantile_cont(p, [""" + ", ".join(repr(0.01 + 0.98 * i / 20) for i in range(21)) + """])) AS threshold FROM sc),
+GATE = SCORED + """, c AS (SELECT DISTINCT unnest(quantile_cont(p, [""" + ", ".join(repr(0.01 + 0.98 * i / 100) for i in range(101)) + """, 0.95, 0.9, 0.8])) AS threshold FROM sc),
 a AS (SELECT threshold, entry_time, trade_id, p * greatest(v, 0) AS raw, v FROM sc, c WHERE p >= threshold AND v > 0),
 s AS (SELECT threshold, stddev_pop(raw) + 1e-6 AS sd, max(raw) AS mx FROM a GROUP BY threshold),
 r AS (SELECT a.threshold, entry_time, trade_id, least(greatest((raw / sd) / (mx / sd), 0), 1) * v AS r FROM a JOIN s ON a.threshold = s.threshold),
@@ -387,14 +387,14 @@ def _(T):
 
 
 @query("entry_search", "state:s min_confidence:d min_size:d score:d trade_rate:d precision:d correct_side:d avg_abs_edge:d", KEYS + """, u AS (SELECT key AS state, *, CASE WHEN v > 1 THEN 0 WHEN v < -1 THEN 2 ELSE 1 END AS tr FROM ky UNION ALL SELECT '*' AS state, *, CASE WHEN v > 1 THEN 0 WHEN v < -1 THEN 2 ELSE 1 END AS tr FROM ky),
-g AS (SELECT unnest([0.0, 0.2, 0.35, 0.55]) AS mc), h AS (SELECT unnest([0.0, 0.05, 0.12]) AS ms),
-m AS (SELECT state, mc, ms, count(*) AS n, avg((tr <> 1)::int) AS target, avg(k::int) AS trade_rate, avg((cls = tr)::int) FILTER (k) AS correct_side, avg((tr <> 1)::int) FILTER (k) AS precision, avg(abs(v)) FILTER (k) AS avg_abs_edge
+g AS (SELECT DISTINCT unnest([0.0, 0.35, 0.55, (SELECT quantile_cont(p, 0.35) FROM ky)]) AS mc), h AS (SELECT DISTINCT unnest([0.0, 0.05, 0.12, (SELECT quantile_cont(book / 10.0, 0.35) FROM ky)]) AS ms),
+m AS (SELECT state, mc, ms, count(*) AS n, avg((tr <> 1)::int) AS target, avg(k::int) AS trade_rate, avg((cls = tr)::int) FILTER (k) AS correct_side, avg((tr <> 1)::int) FILTER (k) AS precision, avg(abs(v)) FILTER (k) AS avg_abs_edge, coalesce(avg(CASE WHEN book = 1 THEN 0.05 ELSE 0.0 END) FILTER (k), 0) AS bonus
   FROM (SELECT *, book / 10.0 >= ms AND p >= mc AND cls IN (0, 2) AS k FROM u, g, h) GROUP BY 1, 2, 3),
-s AS (SELECT *, round(0.55 * precision + 0.3 * correct_side + 0.2 * avg_abs_edge - 0.2 * abs(trade_rate - target), 12) AS score FROM m WHERE trade_rate > 0 AND (state = '*' OR n >= 140))
+s AS (SELECT *, round(0.55 * precision + 0.3 * correct_side + 0.2 * avg_abs_edge - 0.2 * abs(trade_rate - target) + bonus, 12) AS score FROM m WHERE trade_rate > 0 AND (state = '*' OR n >= 140))
 SELECT state, mc AS min_confidence, ms AS min_size, score, trade_rate, precision, correct_side, avg_abs_edge FROM s QUALIFY row_number() OVER (PARTITION BY state ORDER BY score DESC, mc, ms) = 1""")
 def _(T):
     d = keyed(T).withColumn("size", F.col("book") / 10.0)
-    return pol.entry_search(d, "key", "cls", "p", "size", "v", 1.0, (0.0, 0.2, 0.35, 0.55), (0.0, 0.05, 0.12))
+    return pol.entry_search(d, "key", "cls", "p", "size", "v", 1.0, (0.0, 0.35, 0.55), (0.0, 0.05, 0.12), bonus=F.when(F.col("book") == 1, 0.05).otherwise(0.0))
 
 
 @query("exit_search", "threshold:d delta:d n_trades:i mean_uplift:d p10_uplift:d score:d exit_rate:d allowed:b", PATH + """, g AS (SELECT * FROM (SELECT unnest([0.3, 0.45, 0.6]) AS threshold), (SELECT unnest([-0.08, 0.0, 0.04]) AS delta)),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import div
 from ..operators import mlops
 from ..operators.durable import durable, shared_dir
+from ..operators.layout import number_rows
 from ..streaming import live
 from .catalog import query, stream_query
 from .data import TRADES
@@ -85,7 +86,13 @@ def _(spark, d):
     import uuid
     store = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
     live.foreach_drain(live.bars(ticks(spark, d), "1 hour").drop("w"), spark, live.signal_log(store, store + "-late"))
-    return spark.read.parquet(store)
+    return spark.read.parquet(store).drop("batch", "day")
+
+
+@stream_query("stream_bar_running_delta", "symbol:s t:t close:d delta:d total:d", f"""WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS t, last(value ORDER BY ts, value) AS close, sum(CASE WHEN value > 80 THEN CASE WHEN user_id % 3 = 0 THEN value WHEN user_id % 3 = 1 THEN -value ELSE 0 END END) AS delta
+  FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= {CUT}) SELECT *, sum(delta) OVER (PARTITION BY symbol ORDER BY t) AS total FROM b""")
+def _(spark, d):
+    return live.drain(live.bars_with_running_delta(ticks(spark, d), ticks(spark, d).where("value > 80").withColumn("signed", signed()), "1 hour"), spark)
 
 
 @query("ml_soft_clusters", "cluster:i n:i mean_member:d")
@@ -101,6 +108,23 @@ def _(T):
     return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
 
 
+@query("ml_two_streams", "state:i n:i n_smooth:i")
+def _(T):
+    d = number_rows(T("events").select(F.col("event_type").alias("symbol"), "ts", "event_id", "value", F.abs(F.col("value") - 50).alias("dev"), (F.col("user_id") % 17).cast("double").alias("u")), ("symbol",), ("ts", "event_id"), "range")
+    d = mlops.two_streams(d, ["value", "u"], ["dev", "u"], (3, 2), F.floor(F.datediff("ts", F.lit("1970-01-01")) / 10).cast("int"))
+    one = d.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return one.join(d.groupBy(F.col("smooth_state").alias("state")).agg(F.count(F.lit(1)).alias("n_smooth")), "state", "full")
+
+
+@query("ml_boosted_heads", "fold:i n:i gate:d range_:d edge:d quality:d")
+def _(T):
+    s = scored(T).select("trade_id", "entry_time", F.col("hold").cast("double").alias("hold"), "p", F.col("regime").cast("double").alias("rg"), "y", "v", F.abs("v").alias("size"))
+    s = s.withColumn("good", (F.col("v") > 0.5).cast("int"))
+    d = durable(sp.blocked_folds(s, 2, ("entry_time", "trade_id")))
+    o = mlops.boosted_heads(d, ["hold", "p", "rg"], {"gate": ("classifier", "y"), "range_": ("regressor", "size"), "edge": ("regressor", "v"), "quality": ("classifier", "good")}, "fold", 2, most=4)
+    return o.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.avg(h).alias(h) for h in ("gate", "range_", "edge", "quality")])
+
+
 @query("ml_novelty", "label:i n:i mean_novelty:d")
 def _(T):
     d = mlops.novelty(T("embeddings"), "embedding", 8, F.col("label") < 5)
@@ -123,8 +147,7 @@ def _(T):
 @query("ml_gain_share", "name:s")
 def _(T):
     d = durable(scored(T).select(F.col("hold").cast("double").alias("hold"), "p", F.col("regime").cast("double").alias("rg"), "v"))
-    kept = mlops.gain_share(d, ["hold", "p", "rg"], "v", keep_min=1)
-    return d.agg(F.max("v")).select(F.explode(F.array(*[F.lit(n) for n in kept])).alias("name"))
+    return mlops.gain_share(d, ["hold", "p", "rg"], "v", keep_min=1).where("kept").select("name")
 
 
 @query("hurdle_prediction", "trade_id:s pred:d epsilon:d", TRADES + """, e AS (SELECT least(greatest(quantile_cont(abs(ret), 0.1), 0.05), 0.35) AS epsilon FROM trades WHERE abs(ret) > 0)

@@ -44,13 +44,15 @@ def _(T):
     return tl.by_regime(labelled(T))
 
 
-@query("trades_by_strategy", "strategy:s n:i share:d mean_return:d win_rate:d profit_factor:d p01:d p05:d worst:d avg_hold:d", TRADES + """, s AS (
-  SELECT *, CASE regime WHEN 1 THEN 'LONG_STRADDLE_R1' WHEN 2 THEN 'GAMMA_SCALP_R2' WHEN 3 THEN 'SHORT_STRADDLE_R3' WHEN 4 THEN 'IRON_CONDOR_R4' ELSE 'LONG_STRADDLE_R1' END AS strategy FROM trades)
+@query("trades_by_strategy", "strategy:s n:i share:d mean_return:d win_rate:d profit_factor:d p01:d p05:d worst:d avg_hold:d avg_hedge_pnl:d avg_hedge_count:d", TRADES + """, s AS (
+  SELECT *, CASE WHEN regime = 2 THEN ret / 10 END AS hedge_pnl, CASE WHEN regime <> 1 THEN hold % 3 END AS hedge_count, CASE regime WHEN 1 THEN 'LONG_STRADDLE_R1' WHEN 2 THEN 'GAMMA_SCALP_R2' WHEN 3 THEN 'SHORT_STRADDLE_R3' WHEN 4 THEN 'IRON_CONDOR_R4' ELSE 'LONG_STRADDLE_R1' END AS strategy FROM trades)
 SELECT strategy, count(*) AS n, count(*) / (SELECT count(*) FROM s) AS share, avg(ret) AS mean_return, avg((ret > 0)::int) AS win_rate,
   sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / -sum(CASE WHEN ret < 0 THEN ret END) AS profit_factor, quantile_cont(ret, 0.01) AS p01, quantile_cont(ret, 0.05) AS p05, min(ret) AS worst,
-  avg(hold) AS avg_hold FROM s GROUP BY strategy""")
+  avg(hold) AS avg_hold, avg(hedge_pnl) AS avg_hedge_pnl, avg(hedge_count) AS avg_hedge_count FROM s GROUP BY strategy""")
 def _(T):
-    return tl.by_strategy(trades(T).withColumn("strategy", gates.strategy_of("regime")))
+    rg = F.col("regime")
+    t = trades(T).withColumns({"hedge_pnl": F.when(rg == 2, F.col("ret") / 10), "hedge_count": F.when(rg != 1, F.col("hold") % 3)})
+    return tl.by_strategy(t.withColumn("strategy", gates.strategy_of("regime")))
 
 
 @query("trades_by_driver", "label:s driver:s n:i share_n:d sum_return:d mean_return:d share_abs:d", LABELLED + """
