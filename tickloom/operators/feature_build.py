@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import indicators as ind, price_action as pa, regimes, volatility as vol
+from . import context as cx, indicators as ind, price_action as pa, regimes, sequences as seq, shapes, volatility as vol
 from .durable import durable
 from .layout import in_chunks
 from .quality import needed_blocks
@@ -26,10 +26,21 @@ BLOCKS = {
     "hurst": ("pa_hurst_20", "pa_hurst_60"),
     "entropy": ("pa_entropy_75",),
     "jump_tail": ("pa_jump_tail_risk", "pa_jump_z_score"),
+    "annualised": ("vol_of_vol", "rv_acceleration", "range_vs_close", "efficiency_ratio"),
+    "micro": ("pa_1m_wick_ratio", "pa_1m_body_ratio", "pa_1m_consec_dir_run", "pa_1m_ret_1", "pa_1m_vol_rel", "pa_1m_dir_entropy_10"),
+    "opening": ("or_breakout_up", "or_breakout_down", "or_volume_breakout", "or_vs_atr_ratio"),
+    "swings": ("last_swing_high", "last_swing_low", "swing_high_type", "swing_low_type"),
+    "breakout": ("bo_body_atr", "bo_range_atr", "bo_vol_spike", "bo_close_extremity", "bo_wick_imbalance", "bo_range_compress", "bo_body_growth", "bo_gap_signal",
+                 "bo_consec_dir", "bo_inside_prior", "bo_pressure_diff", "bo_bb_width", "bo_atr_zscore"),
+    "context": ("pa_ctx_structure_veto", "pa_ctx_range_pressure", "pa_ctx_setup_long", "pa_ctx_setup_short", "pa_ctx_premise_break_long", "pa_ctx_premise_break_short"),
+    "scores": tuple(f"pa_state_{n}" for n in cx.STATE_COLS),
+    "higher": ("pa_htf_15min_state", "pa_htf_15min_trend_score", "pa_htf_60min_state", "pa_htf_60min_trend_score", "pa_htf_trend_alignment"),
 }
+#: Blocks that read the columns of others.
+NEEDS = {"opening": ("stack",), "breakout": ("stack",), "context": ("stack", "breakout"), "scores": ("stack", "breakout", "context")}
 LIGHT_SKIPS = ("trend_noise", "jumps", "level", "hurst", "entropy", "jump_tail")
 FRAMED = {"moments": vol.moments, "volume_price": vol.volume_price, "trend_noise": vol.trend_noise, "jumps": vol.jumps,
-          "hurst": vol.hurst, "entropy": vol.entropy, "jump_tail": vol.jump_tail}
+          "hurst": vol.hurst, "entropy": vol.entropy, "jump_tail": vol.jump_tail, "annualised": vol.annualised}
 
 
 def build_features(bars: DataFrame, wanted: Sequence[str] | None = None, light: bool = False) -> DataFrame:
@@ -41,6 +52,8 @@ def build_features(bars: DataFrame, wanted: Sequence[str] | None = None, light:
     """
     names = list(BLOCKS) if wanted is None else needed_blocks(wanted, BLOCKS)
     names = [n for n in names if not (light and n in LIGHT_SKIPS)]
+    names += [m for n in names for m in NEEDS.get(n, ()) if m not in names]
+    names = [n for n in BLOCKS if n in names]
     framed = [n for n in names if n in FRAMED]
     if "realised" in names or "straddle" in names:
         framed = ["realised", *framed]
@@ -68,5 +81,20 @@ def build_features(bars: DataFrame, wanted: Sequence[str] | None = None, light:
     if "level" in names:
         d = durable(ind.kalman(d))
     if "states" in names:
-        d = regimes.volatility_states(d)
+        d = durable(regimes.volatility_states(d))
+    if "micro" in names:
+        d = pa.micro_1m(d)
+    if "opening" in names:
+        d = durable(pa.opening_range(d, "atr_pa"))
+    if "swings" in names:
+        d = durable(pa.swing_types(d))
+    if "breakout" in names:
+        d = in_chunks(shapes.bar_anatomy(seq.direction_runs(d)), shapes.bar_shape, history=1)
+        d = durable(in_chunks(d, lambda x, f: cx.breakout_features(x, f, "atr_pa"), history=500))
+    if "context" in names:
+        d = cx.structure_context(d)
+    if "scores" in names:
+        d = cx.state_scores(durable(d))
+    if "higher" in names:
+        d = pa.htf_regime(d)
     return d if wanted is None else d.select("symbol", "t", "bar_no", *[n for n in wanted if n in d.columns])

@@ -463,12 +463,23 @@ STACK_COLS = ("pa_reversal_composite", "pa_continuation_composite", "pa_structur
               "pa_ma_compress", "pa_vol_rvol", "pa_vol_trend", "pa_vol_climax", "pa_vol_net_absorption")
 
 
-def multi_timeframe(bars: DataFrame, widths=(("5 minutes", "5m"), ("15 minutes", "15m"))) -> DataFrame:
-    """One stack per coarse width, prefixed, each bar taking the last closed coarse bar."""
-    d = bars = durable(bars)
-    for width, tag in widths:
-        coarse = number_rows(resample(bars.select("symbol", "t", "open", "high", "low", "close", "volume"), width))
-        named = {n: f"pa_{tag}_{n[3:]}" for n in STACK_COLS}
-        stack = full_stack(coarse).select("symbol", "t", *[F.col(a).alias(b) for a, b in named.items()])
-        d = asof_backward(d, durable(stack), list(named.values()))
+STATE_COLS = ("pa_hmm_state", "pa_hsmm_switch_hazard", "pa_garch_vol", "pa_egarch_std_residual")
+
+
+def multi_timeframe(bars: DataFrame, widths=(("5 minutes", "5m", True), ("15 minutes", "15m", False)), micro: bool = False) -> DataFrame:
+    """One stack per coarse width (width, tag, full), prefixed, each bar taking the last closed coarse bar.
+
+    A full width also has the volatility states; the others leave them out. `micro` adds the bars' own micro features.
+    """
+    from .regimes import volatility_states
+    bars = durable(bars)
+    d = micro_1m(bars) if micro else bars
+    for width, tag, *full in widths:
+        coarse = durable(number_rows(resample(bars.select("symbol", "t", "open", "high", "low", "close", "volume"), width)))
+        cols = [*STACK_COLS, *(STATE_COLS if full and full[0] else ())]
+        stack = full_stack(coarse)
+        if len(cols) > len(STACK_COLS):
+            stack = durable(stack).join(durable(volatility_states(coarse)).select("symbol", "bar_no", *STATE_COLS), ["symbol", "bar_no"])
+        named = {n: f"pa_{tag}_{n[3:]}" for n in cols}
+        d = asof_backward(d, durable(stack.select("symbol", "t", *[F.col(x).alias(y) for x, y in named.items()])), list(named.values()))
     return d

@@ -9,9 +9,10 @@ from ..operators import feature_build as fb, labels as lab, sequences as seq, tr
 from ..operators.durable import shared_dir
 from ..operators.layout import in_chunks
 from ..sources import bars as src
-from .catalog import query, stream_query, table
+from .catalog import ALL, query, stream_query, table
 from .data import BARS, BARS_REC, TRADES, bars, trades
 from .q_labels import A20, AHEAD, VOLCLS, vol_class_build, with_atr
+from . import q_bars as _bars, q_vol as _vol  # noqa: F401  their queries are joined below
 from .q_price_action import EMA, STACK
 from .q_vol import REALISED, lagw, win
 from .q_windows import ema_step, scan_sql
@@ -26,12 +27,29 @@ def _(T):
     return fb.build_features(bars(T), WANTED)
 
 
-@query("feature_build_light", "symbol:s columns_filled:i rows_:i")
+def _blocks(parts: dict[str, tuple[str, ...]]) -> tuple[str, str]:
+    """Columns and SQL of several block queries, joined on the bar."""
+    kinds = {n: k for q in parts for n, k in ALL[q].cols}
+    sql = [f"({ALL[q].sql}) AS q{i}" for i, q in enumerate(parts)]
+    picked = ", ".join(f"q{i}.{n}" for i, ns in enumerate(parts.values()) for n in ns)
+    return "symbol:s bar_no:i " + " ".join(f"{n}:{kinds[n]}" for ns in parts.values() for n in ns), \
+        f"SELECT q0.symbol, q0.bar_no, {picked} FROM {sql[0]} " + " ".join(f"JOIN {x} ON q{i + 1}.symbol = q0.symbol AND q{i + 1}.bar_no = q0.bar_no" for i, x in enumerate(sql[1:]))
+
+
+#: Blocks of the light build whose own queries say what each column must be; the full build has more.
+LIGHT = {"feature_build": tuple(WANTED), "pa_micro_1m": fb.BLOCKS["micro"], "pa_opening_range": fb.BLOCKS["opening"], "pa_swing_types": fb.BLOCKS["swings"],
+         "vol_annualised": fb.BLOCKS["annualised"], "vol_day_clock": fb.BLOCKS["clock"], "vol_moments": fb.BLOCKS["moments"], "vol_volume_price": fb.BLOCKS["volume_price"]}
+FULL = LIGHT | {"vol_trend_noise": fb.BLOCKS["trend_noise"], "kalman_level": fb.BLOCKS["level"]}
+
+
+@query("feature_build_light", *_blocks(LIGHT))
+def _(T):
+    return fb.build_features(bars(T), light=True)
+
+
+@query("feature_build_full", *_blocks(FULL))
 def _(T):
-    d = fb.build_features(bars(T), light=True)
-    new = [n for n in d.columns if n.startswith("pa_")]
-    filled = sum((F.col(n).isNotNull().cast("int") for n in new), F.lit(0))
-    return d.groupBy("symbol").agg(F.sum(filled).alias("columns_filled"), F.count(F.lit(1)).alias("rows_"))
+    return fb.build_features(bars(T))
 
 
 @query("target_set", "symbol:s bar_no:i vol_class:i y_transition:i y_forecast:d y_trend:d straddle_edge:d y_time_in_regime:d", BARS + ", " + VOLCLS + f""", c AS (SELECT *, coalesce((vol_class <> {lagw('vol_class')})::int, 1) AS chg,

@@ -303,4 +303,4 @@ def _(T):
        ema_bars(coarse_cte("4 HOUR")) + ", " + STACK + " SELECT q.symbol, q.t, " + ", ".join(f"stack.{n} AS pa_4h_{n[3:]}" for n in pa.STACK_COLS) + """
 FROM bars q ASOF LEFT JOIN stack ON q.symbol = stack.symbol AND q.t >= stack.t""")
 def _(T):
-    return pa.multi_timeframe(bars(T), (("4 hours", "4h"),))
+    return pa.multi_timeframe(bars(T), (("4 hours", "4h", False),))
