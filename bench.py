@@ -11,7 +11,8 @@ from tickloom.plans.catalog import load
 HEADLINE = ("bars_right_edge bars_upsert ema_seeded rolling_linreg session_marks vol_realised vol_straddle vol_annualised pa_market_regime pa_structure "
             "vol_class_summary label_triple_barrier label_signal_outcome path_running_marks exit_vote option_path trade_summary trades_by_strategy "
             "worst_drawdown_window global_rank_pct value_summary quality_fingerprint split_blocked_folds metrics_ece_equal_count gate_search "
-            "asof_events_tolerance chandelier structure_events kama garch_variance stream_closed_bars").split()
+            "asof_events_tolerance chandelier structure_events kama garch_variance stream_closed_bars "
+            "dense_vol_realised dense_run_lengths dense_cumulative_frames dense_fair_value_gaps dense_pa_market_regime").split()
 
 
 def main() -> None:
