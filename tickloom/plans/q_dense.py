@@ -20,7 +20,7 @@ DENSE = {
     "run_lengths": seq.direction_runs,
     "cumulative_frames": _cumulative,
     "fair_value_gaps": ms.fair_value_gaps,
-    "kama": lambda b: ind.kama(b, source="hlc3"),
+    "kama": lambda b: ind.kama(b, 9, 2, 30, source="hlc3"),
     "pa_market_regime": pa.market_regime,
 }
 
