@@ -104,9 +104,3 @@ SELECT symbol, bar_no, least(greatest(za - zb, -5), 5) AS z_spread, least(greate
 def _(T):
     b = bars(T).withColumns({"a": F.col("high") - F.col("low") + 1, "b": F.col("close")})
     return in_chunks(b, lambda d, f: vol.ewm_z_spread(d, f, "a", "b"), history=vol.Z_SPREAD_HISTORY)
-
-
-@query("rule_base_features", "symbol:s rows_:i mean_rank:d mean_kama:d")
-def _(T):
-    d = tr.rule_base(bars(T), zlsma=20, rank=40, cvd_lookback=5)
-    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows_"), F.avg("atr_percentile").alias("mean_rank"), F.avg("kama").alias("mean_kama"))

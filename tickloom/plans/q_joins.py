@@ -117,12 +117,6 @@ def _(T):
     return in_chunks(in_chunks(bars(T), with_atr, history=20), lambda d, f: pr.implied_range(d, f, "atr", 20, 100), history=102)
 
 
-@query("state_imputation", "symbol:s bar_no:i filled:i")
-def _(T):
-    d = bars(T).withColumn("st", F.when(F.col("volume") > 2, F.least(F.floor(F.col("close") / 20), F.lit(5)).cast("int")))
-    return states.impute_states(d, "st", 6, "filled")
-
-
 @query("heads_by_group", "symbol:s bar_no:i close:d", BARS + " SELECT * FROM bars WHERE bar_no < 25")
 def _(T):
     return bars(T).where("bar_no < 25")

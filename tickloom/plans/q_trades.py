@@ -326,18 +326,6 @@ def _(T):
     return a.unionByName(b).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"))
 
 
-@query("position_cap", "book:i kept:b n:i total:d")
-def _(T):
-    got = tl.position_cap(trades(T), 25, keys=("book",))
-    return got.groupBy("book", "kept").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"))
-
-
-@query("regime_segments", "symbol:s regime:i n_segments:i n_trades:i longest:i total:d")
-def _(T):
-    s = tl.regime_segments(trades(T))
-    return s.groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n").alias("n_trades"), F.max("n").alias("longest"), F.sum("sum_return").alias("total"))
-
-
 @query("asymmetry_guard", "a:s b:s mean_gap:d sharpe_gap:d win_gap:d reasons:s flagged:b", LABELLED + """, m AS (
   SELECT label, avg(ret) AS mu, avg(ret) / stddev_samp(ret) * sqrt(count(*) / (date_diff('second', min(exit_time), max(exit_time)) / 86400.0 / 365.25)) AS sh, avg((ret > 0)::int) AS wr FROM trades JOIN (SELECT DISTINCT label FROM lab) l ON l.label = trades.symbol GROUP BY label),
 g AS (SELECT x.label AS a, y.label AS b, x.mu - y.mu AS mean_gap, x.sh - y.sh AS sharpe_gap, x.wr - y.wr AS win_gap FROM m x, m y WHERE x.label = 'S1' AND y.label = 'S2'),
