@@ -126,3 +126,19 @@ def test_chunk_size_comes_from_the_session(spark):
         assert chunk_rows(df) == 99
     finally:
         spark.conf.unset("tickloom.chunkRows")
+
+
+@pytest.mark.parametrize("floor", [0.0, None])
+def test_deepest_fall_does_not_depend_on_pieces(spark, floor):
+    from tickloom.operators.layout import deepest_fall
+    rng = np.random.default_rng(7)
+    x = {"A": rng.normal(size=200) - 0.1, "B": np.array([-1.0, 2.0, -3.0]), "C": np.array([1.0])}
+    df = spark.createDataFrame([(k, i, float(v)) for k, vs in x.items() for i, v in enumerate(vs)], "k string, i long, x double").repartition(5)
+    want = {}
+    for k, v in x.items():
+        run = np.cumsum(v)
+        peak = np.maximum.accumulate(run)
+        want[k] = float(np.min(run - (peak if floor is None else np.maximum(peak, floor))))
+    for rows in (1, 7, 1000):
+        got = {r.k: r.fall for r in deepest_fall(df, "x", keys=("k",), pos="i", floor=floor, rows=rows).collect()}
+        assert got == pytest.approx(want)

@@ -181,6 +181,24 @@ def in_chunks(df: DataFrame, build: Callable[[DataFrame, Frames], DataFrame], *,
     return done.where(F.col("_chunk") == F.floor(F.col(pos) / rows).cast("bigint")).drop("_chunk")
 
 
+def deepest_fall(df: DataFrame, x, *, keys: Sequence[str], pos: str, floor: float | None = 0.0, out: str = "fall", rows: int | None = None) -> DataFrame:
+    """Per key, the lowest distance (0 or less) of the running sum of x from its running peak, in the order of `pos`.
+
+    The peak is at least `floor`. A piece is summed up by its total, highest and lowest running sum and its own deepest fall;
+    the summaries of a key are then put together in order, so the rows are read and moved once.
+    """
+    rows = chunk_rows(df, rows)
+    d = df.select(*keys, F.floor(F.col(pos) / rows).alias("_piece"), F.col(pos).alias("_pos"), c(x).cast("double").alias("_v"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_cum", F.sum("_v").over(inside)).withColumn("_pk", F.max("_cum").over(inside))
+    s = d.groupBy(*keys, "_piece").agg(F.sum("_v").alias("_all"), F.max("_cum").alias("_top"), F.min("_cum").alias("_low"), F.min(F.col("_cum") - F.col("_pk")).alias("_own"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_p", F.coalesce(F.sum("_all").over(before), F.lit(0.0)))
+    peak = F.max(F.col("_p") + F.col("_top")).over(before)
+    s = s.withColumn("_m", peak if floor is None else F.greatest(peak, F.lit(float(floor))))
+    return s.groupBy(*keys).agg(F.min(F.least("_own", F.when(F.col("_m").isNotNull(), F.col("_p") + F.col("_low") - F.col("_m")))).alias(out))
+
+
 _MERGE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "max": lambda a, b: F.greatest(a, b),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import c, clip, fill, flag
 from .durable import durable
-from .layout import number_rows, running
+from .layout import deepest_fall, number_rows
 from .paths import first_exits, uplift_score
 from .ranks import exact_quantiles
 from .splits import hold_bucket
@@ -125,8 +125,7 @@ def score_thresholds(df: DataFrame, gate: str, profit: str, cand: Column, target
     """Score per candidate: mean - downside - drawdown - tail + profit factor - rate penalty.
 
     `cand` is an array of (threshold, limit) structs, a short list, exploded on
-    the rows whose gate reaches the limit. Drawdown needs each candidate's
-    running sum in time, which is a `running` value.
+    the rows whose gate reaches the limit. Drawdowns come from mergeable summaries of pieces.
     """
     total = df.agg(F.count(F.lit(1))).scalar()
     d = df.withColumn("_cand", cand)
@@ -139,13 +138,12 @@ def score_thresholds(df: DataFrame, gate: str, profit: str, cand: Column, target
     size = F.when(F.col("_mx") / z > 1e-12, clip(F.col("_raw") / z / (F.col("_mx") / z), 0.0, 1.0)).otherwise(0.0)
     d = durable(d.withColumn("_r", size * F.col("_p")).select("threshold", pos, "_r"))
     p05 = exact_quantiles(d, "_r", {"_p05": 0.05}, ("threshold",))
-    d = running(d, {"_eq": ("sum", F.col("_r"))}, keys=("threshold",), order=(pos,))
-    d = running(d, {"_pk": ("max", F.col("_eq"))}, keys=("threshold",), order=(pos,))
+    fall = deepest_fall(d, "_r", keys=("threshold",), pos=pos, floor=None)
     neg = F.when(F.col("_r") < 0, F.col("_r"))
     m = d.groupBy("threshold").agg(
-        F.avg("_r").alias("mean"), F.sqrt(F.coalesce(F.avg(neg * neg), F.lit(0.0))).alias("down"), F.max(F.col("_pk") - F.col("_eq")).alias("max_dd"),
+        F.avg("_r").alias("mean"), F.sqrt(F.coalesce(F.avg(neg * neg), F.lit(0.0))).alias("down"), 
         (F.sum(F.greatest(F.col("_r"), F.lit(0.0))) / F.greatest(F.coalesce(-F.sum(neg), F.lit(0.0)), F.lit(1e-9))).alias("pf"), F.count(F.lit(1)).alias("active"))
-    m = m.join(p05, "threshold").withColumn("rate", F.col("active") / total)
+    m = m.join(p05, "threshold").join(fall.select("threshold", (-F.col("fall")).alias("max_dd")), "threshold").withColumn("rate", F.col("active") / total)
     score = (F.col("mean") - lam * F.col("down") - dd_pen * F.col("max_dd") - tail_pen * F.greatest(-F.col("_p05"), F.lit(0.0))
              + pf_bonus * clip(F.col("pf"), 0.0, 5.0) - rate_pen * F.abs(F.col("rate") - target_rate))
     return m.withColumns({"score": score, "in_band": F.col("rate").between(*band)}).drop("_p05")

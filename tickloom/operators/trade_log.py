@@ -12,7 +12,7 @@ from .asof import asof_backward
 from .durable import durable
 from .fold import ordered_fold, summary_fold
 from .gates import DRIVERS
-from .layout import in_chunks, number_rows, running
+from .layout import deepest_fall, in_chunks, number_rows, running
 from .ranks import exact_quantiles
 
 COMBINED = "COMBINED"
@@ -46,7 +46,7 @@ def summarise(trades: DataFrame, key: str = "label", exit_time: str = "exit_time
               pos: str = "pos") -> DataFrame:
     """One metric row per key; ratios are annualised by trades per year between first and last exit. Needs `in_order`."""
     r = F.col(ret)
-    depth = drawdown_rows(trades, key, ret, pos).groupBy(key).agg(F.min("dd").alias("max_drawdown"))
+    depth = deepest_fall(trades, ret, keys=(key,), pos=pos, out="max_drawdown")
     m = trades.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_trades"), F.min(exit_time).alias("first_exit"), F.max(exit_time).alias("last_exit"),
         F.sum(r).alias("total_return"), F.avg(r).alias("mean_return"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("std_return"),
@@ -257,10 +257,9 @@ def equity_metrics(returns: DataFrame, key: Sequence[str], ret: str, pos: str =
     """Compounded total and annual return, Sharpe with the population deviation, and maximum drawdown."""
     grow = F.col(ret)
     returns = durable(returns.select(*key, pos, ret))
-    d = running(returns, {"_lg": ("sum", F.ln(1.0 + grow))}, keys=key, order=(pos,))
-    d = running(d, {"_pk": ("max", F.col("_lg"))}, keys=key, order=(pos,))
-    m = d.groupBy(*key).agg(F.sum(F.ln(1.0 + grow)).alias("_tot"), F.count(F.lit(1)).alias("periods"), F.avg(ret).alias("_mu"),
-                            F.stddev_pop(ret).alias("_sd"), F.min(F.exp(F.col("_lg") - F.col("_pk")) - 1.0).alias("max_drawdown"))
+    fall = deepest_fall(returns, F.ln(1.0 + grow), keys=key, pos=pos, floor=None)
+    m = returns.groupBy(*key).agg(F.sum(F.ln(1.0 + grow)).alias("_tot"), F.count(F.lit(1)).alias("periods"), F.avg(ret).alias("_mu"),
+                                  F.stddev_pop(ret).alias("_sd")).join(fall, list(key)).withColumn("max_drawdown", F.exp("fall") - 1.0)
     return m.select(*key, "periods", (F.exp("_tot") - 1.0).alias("total_return"), F.exp(F.col("_tot") * (MINUTES_PER_YEAR / F.col("periods"))).alias("annual_growth"),
                     F.when(F.col("_sd") > 0, math.sqrt(MINUTES_PER_YEAR) * F.col("_mu") / F.col("_sd")).alias("sharpe"), "max_drawdown")
 
