@@ -119,19 +119,18 @@ def cvd_divergence(df: DataFrame, lookback: int = 20, slope: int = 3, cvd: str =
 def session_poc(df: DataFrame, atr: str, tick: float = 0.01, window: int = 20, band: float = 0.2, t: str = "t", keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Price bucket with the most volume of the day so far, the distance to it, its slope, acceptance and a factor.
 
-    Ties go to the bucket nearest to the close. A day has few bars and buckets,
-    so the day's (bar, bucket) volumes are an equi join on (key, day).
+    Ties go to the bucket nearest to the close. Only a bar's own bucket grows, so the highest volume is the running maximum of
+    the buckets' running volumes, and the buckets that hold it are those that reached it since it last grew.
     """
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     d = df.withColumns({"_bk": F.bround(typical / tick) * tick, "_day": F.to_date(t)})
-    own = d.where("volume > 0").groupBy(*keys, "_day", "_bk").agg(F.collect_list(F.struct("bar_no", "volume")).alias("_b"))
-    own = own.groupBy(*keys, "_day").agg(F.collect_list(F.struct("_bk", "_b")).alias("_hist"))
-    d = d.join(own, [*keys, "_day"], "left")
-    vol = F.transform("_hist", lambda h: F.struct(
-        F.aggregate(F.filter(h["_b"], lambda b: b["bar_no"] <= F.col("bar_no")), F.lit(0.0), lambda s, b: s + b["volume"]).alias("v"),
-        (-F.abs(h["_bk"] - F.col("close"))).alias("near"), (-h["_bk"]).alias("bk")))
-    best = F.array_max(F.filter(vol, lambda x: x["v"] > 0))
-    d = d.withColumn("session_poc", -best["bk"]).drop("_hist", "_bk", "_day")
+    upto = lambda *by: Window.partitionBy(*keys, "_day", *by).orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    traded = F.col("volume") > 0
+    d = d.withColumn("_cum", F.sum(F.when(traded, F.col("volume"))).over(upto("_bk")))
+    d = d.withColumn("_most", F.max(F.when(traded, F.col("_cum"))).over(upto()))
+    d = d.withColumn("_tied", F.collect_list(F.when(traded & (F.col("_cum") == F.col("_most")), F.col("_bk"))).over(upto("_most")))
+    best = F.array_max(F.transform("_tied", lambda b: F.struct((-F.abs(b - F.col("close"))).alias("near"), (-b).alias("bk"))))
+    d = d.withColumn("session_poc", -best["bk"]).drop("_bk", "_day", "_cum", "_most", "_tied")
 
     def build(x, f):
         a = F.when(F.col(atr) > 0, F.col(atr))

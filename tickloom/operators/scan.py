@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .layout import chunk_rows
+from .ewm import alpha_of
+from .layout import chunk_rows, in_chunks
 
 
 def _prefix(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,3 +58,17 @@ def affine_scan(df: DataFrame, terms: Mapping[str, tuple[Column, Column]], *, ke
     return full.withColumns({
         o: F.col(f"_b_{o}") + F.col(f"_a_{o}") * F.coalesce(F.col(f"_in_{o}"), F.lit(0.0)) for o in names
     }).drop(chunk, *[f"_{p}_{o}" for o in names for p in ("a", "b", "in")])
+
+
+def long_ewm_std(df: DataFrame, x: str, out: str, *, span: float, least: int = 2, keys: Sequence[str] = ("symbol",), pos: str = "bar_no") -> DataFrame:
+    """`ewm.ewm_std` for spans that reach far behind a chunk: mean and variance are scans, so nothing is copied between chunks."""
+    a = alpha_of(span)
+    b = 1.0 - a
+    t, v = F.col(pos), F.col(x).cast("double")
+    first = t == 0
+    d = affine_scan(df, {"_sm": (F.when(first, 0.0).otherwise(b), F.when(first, v).otherwise(a * v))}, keys=keys, pos=pos)
+    d = in_chunks(d, lambda y, f: y.withColumn("_sd", v - F.coalesce(f.lag("_sm"), v)), history=1, keys=keys, pos=pos)
+    d = affine_scan(d, {"_sv": (F.lit(b), F.when(first, 0.0).otherwise(a * b * F.col("_sd") * F.col("_sd")))}, keys=keys, pos=pos)
+    w2 = F.pow(F.lit(b), 2 * t) + a * a * (1.0 - F.pow(F.lit(b), 2 * t)) / (1.0 - b * b)
+    fixed = F.try_divide(F.col("_sv"), 1.0 - w2)
+    return d.withColumn(out, F.when((t + 1 >= max(least, 2)) & (fixed >= 0), F.sqrt(fixed))).drop("_sm", "_sd", "_sv")

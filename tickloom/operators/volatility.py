@@ -14,6 +14,7 @@ from . import rolling
 from .ewm import alpha_of, ewm_mean, ewm_std, reach
 from .indicators import day_window
 from .layout import Frames, in_chunks
+from .scan import long_ewm_std
 
 EPS = 1e-8
 MINUTES_PER_YEAR = 252.0 * 390.0
@@ -310,14 +311,16 @@ def attach_index(bars: DataFrame, index: DataFrame, cols, *, limit: int = 5, key
     return in_chunks(j, build, history=limit, keys=keys).drop("_ix")
 
 
-def base_iv(df: DataFrame, f: Frames, span: int = 1950, premium: float = 0.02) -> DataFrame:
+def base_iv(df: DataFrame, span: int = 1950, premium: float = 0.02, keys=("symbol",)) -> DataFrame:
     """Blend of exponential, 390-bar and open-high-low-close volatility plus a premium; needs `annualised`.
 
-    `annualised` turns missing values into 0, and 0 volatility is kept as it is.
+    `annualised` turns missing values into 0, and 0 volatility is kept as it is. The span reaches far behind a chunk, so its
+    recursion is an exact scan instead of a frame.
     """
-    prev = f.lag("close")
-    d = df.withColumn("_lr", fill(F.when((F.col("close") > 0) & (prev > 0), F.ln(F.col("close") / prev)), 0.0))
-    d = ewm_std(d, f, "_lr", "_ew", span=max(10, span))
+    def move(x, f):
+        prev = f.lag("close")
+        return x.withColumn("_lr", fill(F.when((F.col("close") > 0) & (prev > 0), F.ln(F.col("close") / prev)), 0.0))
+    d = long_ewm_std(in_chunks(df, move, history=1, keys=keys), "_lr", "_ew", span=max(10, span), keys=keys)
     ew = fill(F.col("_ew"), 0.0) * math.sqrt(MINUTES_PER_YEAR)
     blend = 0.55 * ew + 0.25 * F.coalesce(F.col("gk_vol_390"), ew) + 0.20 * F.coalesce(F.col("rv_390"), ew)
     return d.withColumn("l3_base_iv", clip(blend + premium, 0.05, 5.0)).drop("_lr", "_ew")

@@ -238,8 +238,7 @@ def _(T):
      "w": "(1 - 2.0::double / 1951) * (1 - 2.0::double / 1951) * p.w + (2.0::double / 1951) * (2.0::double / 1951)", "g": "r.gk_vol_390", "rv": "r.rv_390"}) + """
 SELECT symbol, bar_no, least(greatest(0.55 * coalesce(CASE WHEN bar_no > 0 THEN sqrt(v / (1 - w)) END, 0) * sqrt(252.0 * 390) + 0.25 * g + 0.20 * rv + 0.02, 0.05), 5) AS l3_base_iv FROM scan""")
 def _(T):
-    from ..operators.ewm import alpha_of, reach
-    return in_chunks(bars(T), lambda x, f: vol.base_iv(vol.annualised(x, f), f), history=482 + 2 * reach(alpha_of(1950)))
+    return vol.base_iv(in_chunks(bars(T), vol.annualised, history=482))
 
 
 @query("cluster_inputs", "symbol:s bar_no:i ma_slope_smooth:d atr_percentile:d bb_width:d vol_ratio_smooth:d", BARS + f""", a AS (SELECT *, avg(close) {win(20)} AS ma, avg(CASE WHEN high = low THEN 1e-10 ELSE high - low END) {win(20)} AS atr,
