@@ -5,7 +5,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import c, clip, fill, first_of, yes
+from ..functions.exprs import c, clip, fill, first_of, minute_of_day, yes
 from .layout import Frames
 
 # Weights of the structure scores over the 0..1 inputs made by `context_inputs`.
@@ -225,3 +225,55 @@ def breakout_composite(df: DataFrame, cols) -> Column:
 
 def interaction(a, b, limit: float = 1e4) -> Column:
     return clip(fill(c(a).cast("double"), 0.0) * fill(c(b).cast("double"), 0.0), -limit, limit)
+
+
+def _mass(df: DataFrame, names) -> tuple[list[Column], Column]:
+    """Values of the columns, missing as 0, and their sum."""
+    xs = [fill(F.col(n).cast("double"), 0.0) for n in names]
+    total = xs[0]
+    for x in xs[1:]:
+        total = total + x
+    return xs, total
+
+
+def stacked_features(df: DataFrame, f: Frames, regimes, clusters, *, range_like=(0, 4), tau: float = 0.05, signed_skew: bool = False, lag: int = 5) -> DataFrame:
+    """Features of the deciding stage from the stages below it: spread of regimes and clusters, novelty, edge against volatility, breakout
+    and threshold, masses of range-like and other regimes, momentum. Missing columns and values count as 0.
+
+    `regimes` and `clusters` name the probability columns; `range_like` are the positions of the regimes that stand for a range.
+    """
+    num = lambda n: fill(F.col(n).cast("double"), 0.0) if n in df.columns else F.lit(0.0)
+    ps, total = _mass(df, regimes)
+    probs = F.array(*[p / F.greatest(total, F.lit(1e-12)) for p in ps])
+    ordered = F.sort_array(F.array(*_mass(df, clusters)[0]), asc=False)
+    d = df.withColumns({"_pr": probs, "_cl": ordered, "_edge": num("l1b_edge_pred"), "_brk": num("l1b_breakout_quality"), "_vol": num("l1a_vol_forecast"),
+                        "_trend": num("l1a_vol_trend"), "_nov": num("l1b_novelty_score"), "_mom": fill(F.abs(f.pct("close", lag)), 0.0)})
+    edge, brk, vol, trend = (F.col(n) for n in ("_edge", "_brk", "_vol", "_trend"))
+    size, ent = F.abs(edge), entropy("_pr")
+    ranged = sum((F.col("_pr")[i] for i in range_like), F.lit(0.0))
+    other = sum((F.col("_pr")[i] for i in range(len(regimes)) if i not in range_like), F.lit(0.0))
+    have = [f"pa_state_{n}" for n in STATE_COLS if f"pa_state_{n}" in df.columns]
+    state = _mass(df, have)[1] / float(len(have)) if have else F.lit(0.0)
+    mid = (edge + brk) / 2.0
+    out = {
+        "l1a_regime_entropy": ent, "l1a_regime_top2_gap": top2_gap("_pr"), "l1b_cluster_top1": F.col("_cl")[0], "l1b_cluster_top2_gap": F.col("_cl")[0] - F.get("_cl", F.lit(1)),
+        "l1b_novelty_x_vol": F.col("_nov") * vol, "l1b_regime_change_x_entropy": num("l1b_regime_change_score") * ent, "l1b_unsup_pressure": F.col("_cl")[0] - F.get("_cl", F.lit(1)) - F.col("_nov"),
+        "l2_l1b_edge_over_tau": edge / max(tau, 1e-3), "l2_vol_adjusted_l1b_edge": edge / F.greatest(vol, F.lit(1e-4)), "l2_edge_x_breakout": edge * brk, "l2_breakout_x_abs_edge": brk * size,
+        "l2_signal_strength_mean_abs": size, "l2_signal_spread_var": ((edge - mid) * (edge - mid) + (brk - mid) * (brk - mid)) / 2.0,
+        "l2_bull_mass_x_abs_edge": other * size, "l2_range_mass_x_abs_edge": ranged * size, "volatility_regime_adjusted": edge / (F.greatest(vol, F.lit(1e-4)) * (1.0 + F.abs(trend))),
+        "l2_directional_pressure": size, "l2_skew_imbalance": trend if signed_skew else F.abs(trend), "l2_order_flow_asymmetry": F.abs(num("pa_state_always_in_bias")),
+        "l2_direction_vol_pressure": size * (1.0 + F.least(F.abs(trend), F.lit(3.0))), "l2_recent_momentum_abs": F.col("_mom"), "pa_l1a_regime_interaction": state * ent,
+    }
+    return d.withColumns(out).drop("_pr", "_cl", "_edge", "_brk", "_vol", "_trend", "_nov", "_mom")
+
+
+#: Products of two columns under their names.
+PRODUCTS = {"l1b_bo_range_x_garch_vol": ("bo_range_atr", "pa_garch_vol"), "l1b_bo_pressure_x_ctx_long": ("bo_pressure_diff", "pa_ctx_setup_long"),
+            "l1b_hmm_state_x_garch_vol": ("pa_hmm_state", "pa_garch_vol"), "l1b_session_x_bo_range": ("l1b_session_progress", "bo_range_atr")}
+
+
+def handcrafted(df: DataFrame, cols, t: str = "t", eps: float = 0.02) -> DataFrame:
+    """Breakout mix and activity, share of the day gone, and the products whose columns are there."""
+    d = df.withColumns({"l1b_bo_composite": breakout_composite(df, cols), "l1b_bo_active": F.when(F.abs(fill(F.col("bo_range_atr"), 0.0)) > eps, 1.0).otherwise(0.0),
+                        "l1b_session_progress": minute_of_day(t) / 1440.0})
+    return d.withColumns({n: interaction(*pair) for n, pair in PRODUCTS.items() if set(pair) <= set(d.columns)})

@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import market_structure as ms, trend_rules as tr
+from ..operators import context as cx, market_structure as ms, trend_rules as tr
 from ..operators.durable import durable
+from ..operators.layout import in_chunks
 from ..operators.sequences import latch
 from .catalog import query
-from .data import bars
+from .data import BARS, bars
 from .q_structure import _I, _S, _ZERO, FVG, PIV, RULE, rule_frame
 from .q_windows import scan_sql
 
@@ -77,3 +78,31 @@ def _(T):
     d = d.join(ms.order_blocks(b, 15, 30).select("symbol", "bar_no", "bullish_order_block_top", "bearish_order_block_top"), ["symbol", "bar_no"])
     d = d.join(ms.fair_value_gaps(b).select("symbol", "bar_no", "bullish_fvg", "bearish_fvg"), ["symbol", "bar_no"])
     return tr.strategy_signals(durable(d))
+
+
+STACKED = ("l1a_regime_entropy l1a_regime_top2_gap l1b_cluster_top1 l1b_cluster_top2_gap l1b_novelty_x_vol l1b_regime_change_x_entropy l1b_unsup_pressure l2_l1b_edge_over_tau l2_vol_adjusted_l1b_edge "
+           "l2_edge_x_breakout l2_breakout_x_abs_edge l2_signal_strength_mean_abs l2_signal_spread_var l2_bull_mass_x_abs_edge l2_range_mass_x_abs_edge volatility_regime_adjusted l2_directional_pressure "
+           "l2_skew_imbalance l2_order_flow_asymmetry l2_direction_vol_pressure l2_recent_momentum_abs pa_l1a_regime_interaction").split()
+
+
+@query("stacked_features", "symbol:s bar_no:i " + " ".join(f"{n}:d" for n in STACKED), BARS + """, i AS (SELECT *, [volume, close / 50, (high - low) / 40, bar_no % 5, 1.0::double] AS r, list_reverse_sort([close / 100, volume / 10, 0.2::double]) AS c, (high - close) / 50 AS nov, (close - low) / 60 AS chg, (high - low) / 100 AS vol,
+  (close - open) / 50 AS tr, (close - open) / 100 AS e, volume / 20 AS b, (open - close) / 100 AS bias, coalesce(abs(close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY bar_no) - 1), 0) AS mom FROM bars),
+p AS (SELECT *, list_transform(r, lambda x: x / list_sum(r)) AS p FROM i), q AS (SELECT *, -list_sum(list_transform(p, lambda x: greatest(x, 1e-12) * ln(greatest(x, 1e-12)))) AS ent, list_reverse_sort(p) AS ps, abs(e) AS a FROM p)
+SELECT symbol, bar_no, ent AS l1a_regime_entropy, ps[1] - ps[2] AS l1a_regime_top2_gap, c[1] AS l1b_cluster_top1, c[1] - c[2] AS l1b_cluster_top2_gap, nov * vol AS l1b_novelty_x_vol, chg * ent AS l1b_regime_change_x_entropy, c[1] - c[2] - nov AS l1b_unsup_pressure,
+  e / 0.05 AS l2_l1b_edge_over_tau, e / greatest(vol, 1e-4) AS l2_vol_adjusted_l1b_edge, e * b AS l2_edge_x_breakout, b * a AS l2_breakout_x_abs_edge, a AS l2_signal_strength_mean_abs, power((e - b) / 2, 2) AS l2_signal_spread_var,
+  (p[2] + p[3] + p[4]) * a AS l2_bull_mass_x_abs_edge, (p[1] + p[5]) * a AS l2_range_mass_x_abs_edge, e / (greatest(vol, 1e-4) * (1 + abs(tr))) AS volatility_regime_adjusted, a AS l2_directional_pressure, abs(tr) AS l2_skew_imbalance,
+  abs(bias) AS l2_order_flow_asymmetry, a * (1 + least(abs(tr), 3)) AS l2_direction_vol_pressure, mom AS l2_recent_momentum_abs, (bias + 0.3) / 2 * ent AS pa_l1a_regime_interaction FROM q""")
+def _(T):
+    k, o, h, l, v = (F.col(n) for n in ("close", "open", "high", "low", "volume"))
+    d = bars(T).withColumns({"r0": v, "r1": k / 50, "r2": (h - l) / 40, "r3": F.col("bar_no") % 5, "r4": F.lit(1.0), "c0": k / 100, "c1": v / 10, "c2": F.lit(0.2), "l1b_novelty_score": (h - k) / 50,
+                             "l1b_regime_change_score": (k - l) / 60, "l1a_vol_forecast": (h - l) / 100, "l1a_vol_trend": (k - o) / 50, "l1b_edge_pred": (k - o) / 100, "l1b_breakout_quality": v / 20,
+                             "pa_state_always_in_bias": (o - k) / 100, "pa_state_range_risk": F.lit(0.3)})
+    return in_chunks(d, lambda x, f: cx.stacked_features(x, f, [f"r{i}" for i in range(5)], [f"c{i}" for i in range(3)]), history=5)
+
+
+@query("handcrafted_features", "symbol:s bar_no:i l1b_bo_composite:d l1b_bo_active:d l1b_session_progress:d l1b_bo_range_x_garch_vol:d l1b_session_x_bo_range:d", BARS + """, i AS (SELECT *, (high - low) / 40 AS rg, (close - open) / 30 AS pd, volume / 10 AS gv, (hour(t) * 60 + minute(t)) / 1440.0 AS sp FROM bars)
+SELECT symbol, bar_no, (tanh(least(greatest(rg, -5), 5)) + tanh(least(greatest(pd, -5), 5))) / 2 AS l1b_bo_composite, (abs(rg) > 0.02)::int AS l1b_bo_active, sp AS l1b_session_progress, least(greatest(rg * gv, -1e4), 1e4) AS l1b_bo_range_x_garch_vol,
+  least(greatest(sp * rg, -1e4), 1e4) AS l1b_session_x_bo_range FROM i""")
+def _(T):
+    d = bars(T).withColumns({"bo_range_atr": (F.col("high") - F.col("low")) / 40, "bo_pressure_diff": (F.col("close") - F.col("open")) / 30, "pa_garch_vol": F.col("volume") / 10})
+    return cx.handcrafted(d, ["bo_range_atr", "bo_pressure_diff"])
