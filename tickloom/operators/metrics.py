@@ -29,6 +29,17 @@ def metric_gate(metrics: DataFrame, checks: Mapping[str, Column], key: str = "la
         (F.lit(len(checks)) - F.size("_bad") <= escalate_at).alias("escalate"))
 
 
+#: The seven checks of the exit engine and their limits; the symbol gap must stay below its limit.
+ENGINE_CHECKS = {"holdout_auc_ok": ("holdout_auc", 0.70), "combined_sharpe_ok": ("sharpe", 0.70), "combined_pf_ok": ("profit_factor", 1.05), "combined_mret_ok": ("mean_return", 2.0e-5),
+                 "policy_exit_share_ok": ("policy_share", 0.20), "symbol_gap_ok": ("symbol_gap", 1.2e-4), "value_signal_ok": ("value_r2", 0.03)}
+
+
+def engine_gate(metrics: DataFrame, key: str = "label", escalate_at: int = 3) -> DataFrame:
+    """`metric_gate` with the seven checks; a missing metric fails its check."""
+    checks = {n: F.abs(F.coalesce(x, F.lit(0.0))) <= limit if x == "symbol_gap" else F.col(x) >= limit for n, (x, limit) in ENGINE_CHECKS.items()}
+    return metric_gate(metrics, checks, key, escalate_at)
+
+
 def brier(y, p) -> Column:
     """Mean squared distance of a 0/1 label and a probability."""
     return F.avg(F.pow(c(y) - clip(c(p), 0.0, 1.0), F.lit(2)))

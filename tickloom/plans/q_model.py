@@ -442,3 +442,21 @@ def _(T):
 @query("gate_offsets", "state:s step:d")
 def _(T):
     return pol.gate_offsets(keyed(T), "p", "v", ("entry_time", "trade_id"), "vb", 0.6, 0.1, steps=(-0.01, 0.0, 0.01))
+
+
+@query("engine_gate", "label:s passed:i failed:s escalate:b", SCORED + """, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM sc), au AS (SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM r),
+m AS (SELECT avg(ret) / stddev_samp(ret) * sqrt(count(*) / (date_diff('second', min(exit_time), max(exit_time)) / 86400.0 / 365.25)) AS sh, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / -sum(CASE WHEN ret < 0 THEN ret END) AS pf, avg(ret) AS mu,
+  avg((driver = 'A')::int) AS ps, power(corr(v, pred), 2) AS r2 FROM sc), g AS (SELECT max(mu) - min(mu) AS gap FROM (SELECT symbol, avg(ret) AS mu FROM sc GROUP BY symbol)),
+k AS (SELECT [CASE WHEN auc >= 0.7 THEN NULL ELSE 'holdout_auc_ok' END, CASE WHEN sh >= 0.7 THEN NULL ELSE 'combined_sharpe_ok' END, CASE WHEN pf >= 1.05 THEN NULL ELSE 'combined_pf_ok' END, CASE WHEN mu >= 2e-5 THEN NULL ELSE 'combined_mret_ok' END,
+  CASE WHEN ps >= 0.2 THEN NULL ELSE 'policy_exit_share_ok' END, CASE WHEN gap <= 1.2e-4 THEN NULL ELSE 'symbol_gap_ok' END, CASE WHEN r2 >= 0.03 THEN NULL ELSE 'value_signal_ok' END] AS f FROM m, au, g)
+SELECT 'COMBINED' AS label, 7 - len(list_filter(f, lambda x: x IS NOT NULL)) AS passed, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS failed, 7 - len(list_filter(f, lambda x: x IS NOT NULL)) <= 3 AS escalate FROM k""")
+def _(T):
+    from ..operators import trade_log as tl
+    s = scored(T).withColumn("label", F.lit("COMBINED"))
+    m = tl.summarise(tl.in_order(s)).select("label", "sharpe", "profit_factor", "mean_return")
+    means = s.groupBy("symbol").agg(F.avg("ret").alias("mu"))
+    share = s.agg(F.avg((F.col("driver") == "A").cast("int")).alias("policy_share"), F.pow(F.corr("v", "pred"), F.lit(2)).alias("value_r2"))
+    auc = mt.auc(s, "y", "p", ["label"]).select(F.col("auc").alias("holdout_auc"))
+    gap = means.agg((F.max("mu") - F.min("mu")).alias("symbol_gap"))
+    one = {n: d.select(n).scalar() for d in (share, auc, gap) for n in d.columns}
+    return mt.engine_gate(m.withColumns(one))
