@@ -10,6 +10,7 @@ Null and empty texts are one piece that holds the end id alone. Repeated rows ar
 """
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -24,9 +25,11 @@ from .store import written
 
 SIZE = 4096
 CELL = 100_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 240_000  # kept, and as many seen once
 #: A private-use character between words: its ids mark where a word ends. Words that hold it are encoded alone.
 FENCE = "\ue000"
+_BEYOND = re.compile("[^\\x00-\u017f]|\u0130")
+_MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
 
 
 @lru_cache(maxsize=1)
@@ -48,48 +51,56 @@ def _byte_level() -> dict[int, int]:
 class WordIds:
     """Ids of whole texts from the ids of their words, which are kept for later texts.
 
-    Words end at spaces and line ends, which the tokenizer drops; words of Latin letters go to its merges directly, others
-    through all its steps. Whether both hold is tried on the file itself (`splits`, `direct`); if not, the longer way is taken.
+    Words end at spaces and line ends, which the tokenizer drops; words of Latin letters, with or without one mark behind
+    them, go to its merges directly, others through all its steps. Whether both hold is tried on the file itself (`splits`,
+    `direct`); if not, the longer way is taken.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         self.t, self.most = tokenizer(path), most
         self.known: dict[str, bytes] = {"": b""}
+        self.once: set[str] = set()
         self.bytes = _byte_level()
         self.fence = np.array(self._plain(FENCE), dtype=np.uint32)
+        self.marks = {m: self._raw(self._plain(m)) for m in ".,;:!?"}
         a, b = "word's", "9é, x"
         self.splits = all(self._plain(f"{a}{s}{b}{s}") == self._plain(a) + self._plain(b) for s in (" ", "\n", "\n \n")) and not any(
             x.lstrip or x.rstrip or x.single_word or " " in x.content or "\n" in x.content for x in self.t.get_added_tokens_decoder().values())
         tries = ("Word", "Éléphantesque", "straße", "ñandúes", "antidisestablishmentarianism", "xqzjk", "Œuvre", "ŁÓDŹ", "a")
-        self.direct = all(self._merged(w.lower()) == np.array(self._plain(w), dtype="<u4").tobytes() for w in tries)
-        self.stems = all(self._plain(f"{w}{m}") == self._plain(w.lower()) + self._plain(m) for w in ("Word", "x") for m in ".,;:!?")
+        self.special = [x.content.lower() for x in self.t.get_added_tokens_decoder().values()]
+        self.direct = all(self._letters(w) + ids == self._raw(self._plain(w + m)) for w in tries for m, ids in [("", b""), *self.marks.items()])
 
     def _plain(self, text: str) -> list[int]:
         return self.t.encode(text, add_special_tokens=False).ids
 
-    def _merged(self, word: str) -> bytes:
-        return array("I", [x.id for x in self.t.model.tokenize(str(word.encode(), "latin-1").translate(self.bytes))]).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """New words are brought to stems first: an ASCII word in lower case, and without the one mark that follows a letter."""
-        stems = {}
-        for w in new if self.stems else ():
-            if w.isascii():
-                x = w.lower()
-                cut = len(x) > 1 and x[-1] in ".,;:!?" and x[-2].isalpha()
-                stems[w] = (x[:-1], x[-1]) if cut else (x,)
-        lacking = {x for xs in stems.values() for x in xs if x not in self.known}
-        lacking.update(w for w in new if w not in stems)
-        rest = []
-        for w in lacking:
-            low = w.lower()
-            if self.direct and low.isalpha() and w.isalpha() and max(w) < "\u0180":
-                self.known[w] = self._merged(low)
+    @staticmethod
+    def _raw(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters; None if it has letters beyond U+017F."""
+        low = word.lower()
+        if not word.isascii():
+            if max(word) > "\u017f" or not low.isalpha():
+                return None
+            low = str(low.encode(), "latin-1").translate(self.bytes)
+        return array("I", [i.id for i in self.t.model.tokenize(low)]).tobytes()
+
+    def _learn(self, new) -> None:
+        rest, known, letters, marks = [], self.known, self._letters, self.marks
+        for w in new if self.direct else ():
+            if w.isalpha():
+                ids = letters(w)
+            elif w[-1] in marks and w[:-1].isalpha():
+                ids = known.get(w[:-1]) or letters(w[:-1])
+                ids = ids and ids + marks[w[-1]]
             else:
+                ids = None
+            if ids is None:
                 rest.append(w)
-        self._ask(rest)
-        for w, xs in stems.items():
-            self.known[w] = b"".join([self.known[x] for x in xs])
+            else:
+                known[w] = ids
+        self._ask(rest if self.direct else list(new))
 
     def _ask(self, new: list[str]) -> None:
         apart = [w for w in new if FENCE in w]
@@ -107,17 +118,34 @@ class WordIds:
             for w, a, b in zip(some, np.r_[0, at + n].tolist(), np.r_[at, len(ids)].tolist()):
                 self.known[w] = ids[a:b].tobytes()
 
+    def _plainer(self, text: str) -> str:
+        """The text with the same ids and fewer different words: in lower case, commas and full stops apart from their words.
+
+        Only for Latin letters without combining marks, where no mark stands before a comma or a full stop, which would be one
+        word with it, and where no special token would come of it."""
+        if self.direct and (text.isascii() or not _BEYOND.search(text)):
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                text = low if _MARKS.search(low) else low.replace(", ", " , ").replace(". ", " . ")
+        return text
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.splits:
-            return [np.array(self._plain(t), dtype="<u4").tobytes() for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(new) > self.most:  # stems count too, as far as they are new
+            return [self._raw(self._plain(t)) for t in texts]
+        split = [self._plainer(t.replace("\n", " ")).split(" ") for t in texts]
+        words = set().union(*split)
+        new = words - self.known.keys()
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        # Most words occur once: a word is kept when it comes a second time.
+        rare = new - self.once
+        for w in rare:
+            del self.known[w]
+        self.once = rare if len(self.once) > self.most else self.once | rare
+        if len(self.known) > self.most:
             self.known = {"": b""}
-            new = {w for ws in split for w in ws if w}
-        self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -126,8 +154,11 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids: the ids of every whole text with end_id behind, cut into pieces of `size`."""
+def token_pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids: the ids of every whole text with end_id behind, cut into pieces of `size`.
+
+    Without `with_ids` the ids themselves stay in the task that makes them.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -140,10 +171,12 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE)
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * size)):
                         part = raw[at:at + 4 * size]
-                        rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-                yield out.astype({"doc_id": "Int64"})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+                        rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def patterns(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
@@ -256,7 +289,7 @@ def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    cut = written(token_pieces(docs, path, size=size).drop("ids"), "pieces")
+    cut = written(token_pieces(docs, path, size=size, with_ids=False), "pieces")
     return packed(cut, size)
 
 
