@@ -145,7 +145,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # Copies and most near copies have the same lowest shingle; many of one text would look like many toxic words.
     rows = rows.mapInPandas(marked, "text string, y int, h long")
-    rows = written(rows.groupBy("h", "y").agg(F.min("text").alias("text")).orderBy("h", "y").limit(sample), "labelled")
+    rows = written(rows.groupBy("h", "y").agg(F.min("text").alias("text")), "labelled")
     count = Counter({int(r["y"] > 0): r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()})
     n_bad, n_good = count[1], count[0]
     if not n_bad or not n_good:
