@@ -92,8 +92,8 @@ def ordered_fold(df: DataFrame, step: Step, outputs: Mapping[str, str], start: S
 
 def summary_fold(df: DataFrame, summary: Callable[[pd.DataFrame], list], combine: Callable[[list, list], tuple[list, list]], step: Step,
                  outputs: Mapping[str, str], start: Sequence[float], *, cols: Sequence[str], keys: Sequence[str] = ("symbol",), pos: str = "bar_no",
-                 rows: int | None = None) -> DataFrame:
-    """Fold the rows of a key in order in two passes; `pos` must be gapless.
+                 rows: int | None = None, warm: int | None = None) -> DataFrame:
+    """Fold the rows of a key in order in two passes; `pos` must be gapless. `warm` is taken as by `ordered_fold` and not needed.
 
     `summary(rows)` is a list of numbers made of the columns `cols`. `combine(state, summary)` returns what the chunk needs
     of the state before it, and the state after it, both lists of numbers. `step` is as in `ordered_fold` and starts from the
