@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tickloom.llm.warc import PERMITTED, SCHEMA, canonical, parse_warc, records_of, resolved, warc_bytes, with_bodies
+from tickloom.llm.warc import PERMITTED, SCHEMA, canonical, files_of, micros_of, parse_warc, records_of, resolved, warc_bytes, with_bodies
 
 
 def brute(rows):
@@ -62,3 +62,31 @@ def test_files_round_trip(spark):
 
 def test_no_rows(spark):
     assert resolved(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def record(kind, name, date, status, tag):
+    http = f"HTTP/1.1 {status} x\r\nETag: {tag}\r\n\r\n".encode()
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: http://a/b\r\nContent-Length: {len(http)}\r\n\r\n"
+    return head.encode() + http + b"\r\n\r\n"
+
+
+def test_standard_dates_and_ids(spark):
+    data = b"".join([record("response", "92283950-ef2f-4d72-b224-f54c6ec90bb1", "2024-01-03T00:00:00Z", 200, "new"), record("response", "92283950-ef2f-4d72-b224-f54c6ec90bb2", "2024-01-01T00:00:00Z", 200, "old"),
+                     record("revisit", "92283950-ef2f-4d72-b224-f54c6ec90bb3", "2024-01-02T00:00:00.5Z", 304, "old"), record("revisit", "92283950-ef2f-4d72-b224-f54c6ec90bb4", "2024-01-04T00:00:00+01:00", 304, "new")])
+    ids = [r[0] for r in parse_warc(data)]
+    assert len(set(ids)) == 4 and None not in ids
+    got = {r.record_id: (r.source_id, r.outcome) for r in resolved(records_of(spark.createDataFrame([(data,)], "content binary"))).collect()}
+    assert got == {ids[2]: (ids[1], "resolved"), ids[3]: (ids[0], "resolved")}
+
+
+def test_dates():
+    day = 1_704_067_200_000_000
+    want = {"2024-01-01T00:00:00Z": day, "2024-01-01T00:00:00.123456789Z": day + 123_456, "2024-01-01T01:00:00+01:00": day, "2024-01": day, "2024-01-01": day, "2024-01-01T00:01Z": day + 60_000_000,
+            "2016-12-31T23:59:60Z": 1_483_228_800_000_000, "17": 17, "2024-13-01": None, "": None, "x": None, "9" * 30: None}
+    assert {x: micros_of(x) for x in want} == want
+
+
+def test_rows_through_files(spark):
+    rows = [(1, "response", None, 5, 200, {"etag": "x"}, "d", b"b\xff\r\n\r\n"), (2, "revisit", "u", None, None, {}, None, b""), (3, "revisit", "u", 1 << 60, 304, {}, None, b"")]
+    got = records_of(files_of(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert sorted((*x[:7], bytes(x[7])) for x in got) == rows

@@ -11,10 +11,16 @@ what the response before a piece was is carried between pieces.
 Outcomes: resolved; unchecked (found, but no validator in common); changed (a validator differs; no source, the revisit's own
 headers); no_response (none before, or no URL). Null headers count as none. Repeated rows give repeated results; extra
 columns are ignored.
+
+Files: dates are ISO 8601 as the standard has them, or whole numbers; both become microseconds, finer digits are cut off. A record id
+that ends in a number below 2^63 is that number, any other (such as a UUID) its 64-bit digest. A field that is absent is null.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,6 +31,7 @@ from .store import written
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Parameters that don't change what a URL shows.
 TRACKING = "^(utm_[a-z]+|ref|sid)(=|$)"
+FILE = 1 << 20
 SCHEMA = "record_id long, type string, url string, at long, status int, headers map<string,string>, digest string, body binary"
 
 
@@ -76,12 +83,50 @@ def with_bodies(results: DataFrame, records: DataFrame) -> DataFrame:
     return results.join(bodies, "source_id", "left")
 
 
-def warc_bytes(record_id: int, type_: str, url: str, at: int, status: int, headers: dict, digest: str | None, body: bytes | None) -> bytes:
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_DATE = re.compile(r"(\d{4})-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:[.](\d+))?)?(Z|[+-]\d\d:\d\d)?)?)?", re.ASCII)
+_DIGITS = re.compile(r"\d+", re.ASCII)
+
+
+def _number(x: str) -> int | None:
+    """A whole number that a long holds."""
+    return n if _DIGITS.fullmatch(x) and (n := int(x)) < 1 << 63 else None
+
+
+def micros_of(date: str) -> int | None:
+    """Microseconds of a WARC-Date: a whole number as it is, ISO 8601 since 1970; null if it is neither."""
+    m = _DATE.fullmatch(date)
+    if not m:
+        return _number(date)
+    year, month, day, hour, minute, second, part, zone = m.groups()
+    try:
+        t = datetime(int(year), int(month), int(day or 1), int(hour or 0), int(minute or 0), min(int(second or 0), 59), int((part or "0")[:6].ljust(6, "0")), timezone.utc)
+    except ValueError:
+        return None
+    away = 0 if zone in (None, "Z") else (int(zone[1:3]) * 60 + int(zone[4:])) * (-1 if zone[0] == "-" else 1)
+    return (t - _EPOCH) // timedelta(microseconds=1) + (second == "60") * 1_000_000 - away * 60_000_000
+
+
+def _date_of(at: int) -> str:
+    """ISO 8601 of microseconds; a number outside of the calendar's years stays a number."""
+    return (_EPOCH + timedelta(microseconds=at)).isoformat(timespec="microseconds").replace("+00:00", "Z") if 0 <= at < 253_402_300_800_000_000 else str(at)
+
+
+def id_of(name: str) -> int | None:
+    """The number a record id ends in, or the digest of the id; null for none."""
+    bare = name.strip("<>")
+    number = _number(bare.rpartition(":")[2])
+    if number is None and bare:
+        return int.from_bytes(blake2b(bare.encode(), digest_size=8).digest(), "big", signed=True)
+    return number
+
+
+def warc_bytes(record_id: int, type_: str, url: str | None, at: int | None, status: int | None, headers: dict | None, digest: str | None, body: bytes | None) -> bytes:
     """One record of a WARC file."""
-    http = f"HTTP/1.1 {status} -\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in (headers or {}).items()) + b"\r\n" + (body or b"")
-    head = {"WARC-Type": type_, "WARC-Record-ID": f"<urn:record:{record_id}>", "WARC-Target-URI": url, "WARC-Date": str(at),
-            "Content-Type": "application/http", "Content-Length": str(len(http))} | ({"WARC-Payload-Digest": digest} if digest else {})
-    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + http + b"\r\n\r\n"
+    http = f"HTTP/1.1 {'-' if status is None else status} -\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in (headers or {}).items()) + b"\r\n" + (body or b"")
+    head = {"WARC-Type": type_, "WARC-Record-ID": f"<urn:record:{record_id}>", "WARC-Target-URI": url, "WARC-Date": None if at is None else _date_of(at),
+            "Content-Type": "application/http", "Content-Length": str(len(http)), "WARC-Payload-Digest": digest or None}
+    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items() if v is not None) + b"\r\n" + http + b"\r\n\r\n"
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -101,9 +146,8 @@ def parse_warc(data: bytes) -> Iterator[tuple]:
         block = data[stop + 4:stop + 4 + size]
         if head.get("warc-type") in ("response", "revisit"):
             top, _, body = block.partition(b"\r\n\r\n")
-            number = head.get("warc-record-id", "").strip("<>").rpartition(":")[2]
             status = top.split(b" ")[1:2]
-            yield (int(number) if number.isdigit() else None, head["warc-type"], head.get("warc-target-uri"), int(head["warc-date"]) if head.get("warc-date", "").isdigit() else None,
+            yield (id_of(head.get("warc-record-id", "")), head["warc-type"], head.get("warc-target-uri"), micros_of(head.get("warc-date", "")),
                    int(status[0]) if status and status[0].isdigit() else None, _fields(top), head.get("warc-payload-digest"), body)
         at = data.find(b"WARC/", stop + 4 + size)
 
@@ -119,28 +163,47 @@ def records_of(files: DataFrame) -> DataFrame:
     return files.select("content").mapInPandas(run, SCHEMA)
 
 
+def files_of(records: DataFrame) -> DataFrame:
+    """`content`: WARC files, each with the records (columns as in SCHEMA) of a part of the rows, up to about FILE bytes of bodies."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches):
+        parts, size = [], 0
+        for b in batches:
+            for r in b.itertuples(index=False, name=None):
+                record_id, type_, url, at, status, headers, digest, body = r
+                parts.append(warc_bytes(record_id, type_, url, None if pd.isna(at) else int(at), None if pd.isna(status) else int(status), dict(headers) if headers is not None else None, digest, body))
+                size += len(parts[-1])
+                if size >= FILE:
+                    yield pd.DataFrame({"content": [b"".join(parts)]})
+                    parts, size = [], 0
+        if parts:
+            yield pd.DataFrame({"content": [b"".join(parts)]})
+    return records.select(*names).mapInPandas(run, "content binary")
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """A crawl made of pages: each is fetched in full, and asked for again some time later under another spelling of its URL.
 
     Some of the later answers carry another entity tag, none, or the digest."""
     p, h = F.col("page_id"), F.coalesce("html", F.lit(""))
     text = lambda c: c.cast("string")
-    base = pages.select("page_id", "url", F.octet_length(h).alias("n"), F.md5(h).alias("sum"))
+    base = pages.select("page_id", "url", h.cast("binary").alias("body"), F.octet_length(h).alias("n"), F.md5(h).alias("sum"))
     tag, day = F.concat(F.lit('"'), F.substring("sum", 1, 16), F.lit('"')), F.concat(F.lit("day "), text(F.floor(p / 7)))
     later = 2 * (p + 1 + p % 97) + 1
     first = base.select((2 * p).alias("record_id"), F.lit("response").alias("type"), "url", (2 * p).alias("at"), F.lit(200).alias("status"), F.create_map(
         F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), text(F.col("n")), F.lit("content-type"), F.lit("text/html"), F.lit("date"), text(2 * p),
-        F.lit("etag"), tag, F.lit("last-modified"), day).alias("headers"), F.col("sum").alias("digest"))
+        F.lit("etag"), tag, F.lit("last-modified"), day).alias("headers"), F.col("sum").alias("digest"), "body")
     sent = F.create_map(F.lit("cache-control"), F.lit("max-age=120"), F.lit("content-length"), F.lit("0"), F.lit("date"), text(later), F.lit("server"), F.lit("edge"),
                         F.lit("etag"), F.when(p % 11 == 0, '"other"').when(p % 13 != 0, F.concat(F.lit("W/"), tag)), F.lit("last-modified"), F.when(p % 13 == 0, day))
     again = base.select((2 * p + 1).alias("record_id"), F.lit("revisit").alias("type"), F.concat(F.regexp_replace("url", "^https?://", "HTTP://"), F.lit("#again")).alias("url"), later.alias("at"),
-                        F.lit(304).alias("status"), F.map_filter(sent, lambda k, v: v.isNotNull()).alias("headers"), F.when(p % 17 == 0, F.col("sum")).alias("digest"))
+                        F.lit(304).alias("status"), F.map_filter(sent, lambda k, v: v.isNotNull()).alias("headers"), F.when(p % 17 == 0, F.col("sum")).alias("digest"), F.lit(b"").alias("body"))
     return first.unionByName(again)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """Revisits of the crawl made of all pages: record_id, source_id, outcome, headers (sorted, one string)."""
-    r = resolved(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    """Revisits of the crawl made of all pages, written as WARC records and read again: record_id, source_id, outcome, headers (sorted, one string)."""
+    r = resolved(records_of(files_of(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     return r.select("record_id", "source_id", "outcome", F.array_join(lines, "; ").alias("headers"))
 
