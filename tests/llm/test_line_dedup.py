@@ -73,3 +73,10 @@ def test_hot_line(spark):
     x = "one line that half of all documents share, word for word"
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(x)).otherwise(F.concat(F.lit("a line of its own, number "), F.col("id") * 100)).alias("text"))
     assert line_report(docs).agg(F.sum("n_dropped")).first()[0] >= 1499
+
+
+def test_short_lines_go_where_they_repeat(spark):
+    rows = [(1, "Les.\n\nLes.\na"), (2, " Les.\nLes\na\n\n"), (3, "Les."), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.dropped) for r in line_report(docs, equal=1).collect()} == {1: (3, "2"), 2: (3, "0,2"), 3: (1, "0"), 4: (0, "")}
+    assert {r.doc_id: r.text for r in without_repeated_lines(docs).collect()} == {1: "Les.\n\na", 2: "Les\n\n", 3: "", 4: None}

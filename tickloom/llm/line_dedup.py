@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join: lines within one edit of an earlier line go, the earliest stays.
 
-Lines are cut at `\\n` and compared without outer spaces, tabs and carriage returns. A line takes part if it has `least`
-characters or more. A line goes if an equal line, or one at an edit distance of 1, stands before it in the order of
+Lines are cut at `\\n` and compared without outer spaces, tabs and carriage returns. A line takes part if it has `equal`
+characters or more (1 in `without_repeated_lines`; as many as `least` in `line_report` unless given), and in the search for
+near lines if it has `least`. A line goes if an equal line, or one at an edit distance of 1, stands before it in the order of
 (doc_id, line number), whether that line itself stays or not; so the result doesn't depend on the order of the work.
 
 The neighbourhood of a line is the line itself and the line without one character. Two lines at distance 1 by a replaced
@@ -39,10 +40,11 @@ def texts_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return line.select(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t", "line_no").alias("place"), "line")
 
 
-def lines_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """place, a and b (digest), halves (keys) of the lines that take part."""
-    x = texts_of(docs, least)
-    return x.select("place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), _halves(F.col("line")).alias("halves"))
+def lines_of(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
+    """place, a and b (digest), halves (keys; null under `least` characters) of the lines that take part."""
+    x = texts_of(docs, least if equal is None else equal)
+    halves = F.when(F.length("line") >= least, _halves(F.col("line")))
+    return x.select("place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), halves.alias("halves"))
 
 
 def _half(n):
@@ -148,9 +150,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, least: int
     return sides.where(F.levenshtein("line", "line0", 1).between(0, 1)).select(*_ID).distinct()
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
     """doc_id, t (digest of the text), dropped: the numbers of the lines that go, in order. Documents that lose none are left out."""
-    lines = written(lines_of(docs, least), "places")
+    lines = written(lines_of(docs, least, equal), "places")
     classes = written(lines.groupBy(*_ID).agg(F.min("place").alias("place")), "classes")
     near = written(near_lines(docs, lines, classes, least), "near")
     keep = classes.join(near, _ID, "left_anti").select(*_ID, F.col("place").alias("stays"))
@@ -159,19 +161,19 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return gone.select("place.doc_id", "place.t", "place.line_no").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def line_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def line_report(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
     """doc_id, n_lines (that take part), n_dropped, dropped (numbers of the lines that go, from 0, joined by commas)."""
-    gone = written(repeated_lines(docs, least), "gone").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "dropped")
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(OUTER))) >= least))
+    gone = written(repeated_lines(docs, least, equal), "gone").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "dropped")
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(OUTER))) >= (least if equal is None else equal)))
     d = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("t"), n.cast("long").alias("n_lines"))
     j = d.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u")), "left")
     return j.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
                     F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = 1) -> DataFrame:
     """docs with all columns; text lacks the lines that go, n_chars (where there is one) is counted anew."""
-    gone = written(repeated_lines(docs, least), "gone").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"))
+    gone = written(repeated_lines(docs, least, equal), "gone").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"))
     j = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__t")), "left")
     left = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__dropped")), lambda i: F.get(ls, i)), "\n")
     text = F.when(F.col("__dropped").isNull(), docs["text"]).otherwise(let(F.split(docs["text"], "\n"), left))
