@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line repeats, to within one edit, go; documents stay, without a line left as empty texts."""
+    """Lines that an earlier line repeats, to within edits that grow with the line, go; documents stay, without a line left as empty texts."""
     return without_repeated_lines(docs)
 
 

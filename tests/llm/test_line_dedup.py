@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tickloom.llm.line_dedup import line_report, without_repeated_lines
+from tickloom.llm.line_dedup import Bound, line_report, without_repeated_lines
 
 WIDE = "doc_id long, text string, lang string, n_chars long, a long, line string, dropped string"
 
@@ -80,3 +80,32 @@ def test_short_lines_go_where_they_repeat(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_lines, r.dropped) for r in line_report(docs, equal=1).collect()} == {1: (3, "2"), 2: (3, "0,2"), 3: (1, "0"), 4: (0, "")}
     assert {r.doc_id: r.text for r in without_repeated_lines(docs).collect()} == {1: "Les.\n\na", 2: "Les\n\n", 3: "", 4: None}
+
+
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x):
+        last, row = row, [i + 1]
+        for j, q in enumerate(y):
+            row.append(min(last[j] + (p != q), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_bound_that_grows_against_brute_force(spark):
+    r, bound, rows = random.Random(7), Bound(per=30, most=5), []
+    base = ["".join(r.choice("abcdé😀") for _ in range(r.choice([24, 28, 29, 30, 31, 59, 61, 90, 119, 121, 160]))) for _ in range(8)]
+    for d in range(70):
+        x = r.choice(base)
+        for _ in range(r.randrange(7)):
+            x = edit(r, x)
+        rows.append((d, x))
+    got = {x.doc_id: x.n_dropped for x in line_report(spark.createDataFrame(rows, "doc_id long, text string"), bound=bound).collect()}
+    long = [(d, x) for d, x in rows if len(x) >= 24]
+    want = {d: int(any(e < d and distance(x, y) <= bound.of(max(len(x), len(y))) for e, y in long)) if (d, x) in long else 0 for d, x in rows}
+    assert got == want and 10 < sum(want.values()) < 65
+
+
+def test_a_line_with_two_typos_goes_in_the_pipeline(spark):
+    x = "a sentence of more than fifty characters that stands in one document and, with typos, in another"
+    rows = [(1, x), (2, x.replace("sentence", "sentense").replace("typos", "tipos")), (3, x.replace("document", "book"))]
+    assert [r.text for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [x, "", rows[2][1]]

@@ -2,8 +2,9 @@
 
 Lines are cut at `\\n` and compared without outer spaces, tabs and carriage returns. A line takes part if it has `equal`
 characters or more (1 in `without_repeated_lines`; as many as `least` in `line_report` unless given), and in the search for
-near lines if it has `least`. A line goes if an equal line, or one at an edit distance of 1, stands before it in the order of
-(doc_id, line number), whether that line itself stays or not; so the result doesn't depend on the order of the work.
+near lines if it has `least`. A line goes if an equal line, or one within a bound of edits, stands before it in the order of
+(doc_id, line number), whether that line itself stays or not; so the result doesn't depend on the order of the work. The bound
+is 1 in `line_report` unless given; in `without_repeated_lines` it grows with the longer line (`Bound`).
 
 The neighbourhood of a line is the line itself and the line without one character. Two lines at distance 1 by a replaced
 character share a variant that lacks the same place; by an inserted one, the shorter line is a variant of the longer. All
@@ -13,14 +14,21 @@ then by equal rests without one of `BLOCKS` parts, and for each part that has a
 emitted as hashed keys. None of these steps loses a pair. Members of a key are compared with its earliest line only, and
 every pair is verified by its edit distance.
 
+For bounds k of 2 and more a line is cut into k + 1 parts, of which one is untouched in any line within k edits; the places where it
+can stand there follow from k (`_cuts`). Lines that share such a part are joined and verified. This loses no pair either, but a part
+that very many different lines share gives all their pairs: work quadratic in that family of lines.
+
 Null text has no lines. Rows without a doc_id come after all others. Rows equal in doc_id and text are one document and get
 the same result; rows with one doc_id and different texts are told apart by the digest of the text.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .pieces import slices
 from .shingles import U, mix
@@ -33,6 +41,22 @@ _INVERSE = U(pow(_BASE, -1, 1 << 64))
 _ID = ["a", "b"]  # a line's 128-bit digest
 
 
+@dataclass(frozen=True)
+class Bound:
+    """Edits within which two lines are near, by the characters n of the longer one: 1 + n // per, at most `most`."""
+    per: int = 1
+    most: int = 1
+
+    def of(self, n: int) -> int:
+        return min(self.most, 1 + n // self.per)
+
+    def column(self, n):
+        return F.least(F.lit(self.most), 1 + F.floor(n / self.per)).cast("int")
+
+
+ONE, GROWING = Bound(), Bound(per=50, most=5)
+
+
 def texts_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """place (order of the line) and line: the lines that take part."""
     t = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -150,20 +174,85 @@ def near_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, least: int
     return sides.where(F.levenshtein("line", "line0", 1).between(0, 1)).select(*_ID).distinct()
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
+@lru_cache(maxsize=4096)
+def _cuts(m: int, bound: Bound) -> tuple[np.ndarray, ...]:
+    """(from, to, number, own) of the keys of a line of m characters.
+
+    A line of n characters is cut into k + 1 parts, k = bound.of(n). If a line of m <= n characters is within k edits of it, some part
+    j is untouched with just j edits before it and at most k - j behind it, where j is the first part up to which there are no more
+    edits than j. So the part stands in the shorter line moved by s, |s| <= j and |m - n - s| <= k - j: those places are its keys."""
+    rows = []
+    for n in range(m, m + bound.most + 1):
+        k = bound.of(n)
+        if k < 2 or n - m > k:
+            continue
+        cut = [j * n // (k + 1) for j in range(k + 2)]
+        for j in range(k + 1):
+            for s in range(max(-j, m - n - k + j), min(j, m - n + k - j) + 1):
+                if 0 <= cut[j] + s and cut[j + 1] + s <= m:
+                    rows.append((cut[j] + s, cut[j + 1] + s, n * (bound.most + 1) + j, n == m and s == 0))
+    f, t, number, own = (np.array(x, dtype=d) for x, d in zip(zip(*rows) if rows else ((),) * 4, (np.int64, np.int64, np.int64, bool)))
+    return f, t, number, own
+
+
+def _part_keys(texts: list[str], bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, own) of all lines."""
+    sums, at = _prefix(texts)
+    back = np.full(int(np.diff(at).max(initial=0)) + 1, _INVERSE, dtype=U)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    cuts = [_cuts(len(x), bound) for x in texts]
+    row = np.repeat(np.arange(len(texts)), [len(c[0]) for c in cuts])
+    f, t, number, own = (np.concatenate(x) for x in zip(*cuts))
+    start = at[row]
+    key = mix(mix((sums[start + t] - sums[start + f]) * back[f]) + mix(number.astype(U)))
+    return row, key.view(np.int64), own
+
+
+def far_lines(docs: DataFrame, classes: DataFrame, least: int, bound: Bound) -> DataFrame:
+    """a, b of the distinct lines that have an earlier line within a bound of 2 or more."""
+    def keys(batches):
+        for p in batches:
+            texts, a = p["line"].tolist(), p["a"].to_numpy()
+            for i, j in slices(texts, 1 << 17):
+                row, key, own = _part_keys(texts[i:j], bound)
+                yield pd.DataFrame({"key": key, "a": a[i:j][row], "own": own}).drop_duplicates()
+
+    texts = texts_of(docs, least).select("place", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    part = texts.where(F.length("line") + bound.most >= bound.per).select("line", "a").mapInPandas(keys, "key long, a long, own boolean")
+    # There are many keys and few are shared, so they are moved once and only the shared ones are written.
+    every = lambda c: c.over(Window.partitionBy("key"))
+    seen = part.withColumns({"low": every(F.min("a")), "high": every(F.max("a")), "met": every(F.bool_or("own"))})
+    open_ = written(seen.where("low <> high AND met").select("key", "a", "own"), "open").distinct()
+    x = open_.where("own").select("key", F.col("a").alias("a0"))
+    pairs = written(open_.join(x, "key").where("a <> a0 AND (NOT own OR a < a0)").select("a", "a0").distinct(), "pairs")
+    some = classes.join(pairs.select("a").union(pairs.select("a0")).distinct(), "a", "left_semi")
+    # One row of each line is fetched, by its first place.
+    where = some.select(*_ID, F.col("place").alias("first"), F.xxhash64("place").alias("h"))
+    found = texts.select("place", "line").join(where, (F.xxhash64("place") == F.col("h")) & F.col("place").eqNullSafe(F.col("first")))
+    cand = written(found.select(*_ID, "place", "line").dropDuplicates(_ID), "lines")
+    sides = pairs.join(cand, "a").join(cand.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("place").alias("place0"), F.col("line").alias("line0")), "a0")
+    k = bound.column(F.greatest(F.length("line"), F.length("line0")))
+    near = sides.withColumn("k", k).where("k >= 2 AND levenshtein(line, line0, k) BETWEEN 0 AND k")
+    late = F.col("place") > F.col("place0")
+    return near.select(F.when(late, F.col("a")).otherwise(F.col("a0")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("b0")).alias("b")).distinct()
+
+
+def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None, bound: Bound = ONE) -> DataFrame:
     """doc_id, t (digest of the text), dropped: the numbers of the lines that go, in order. Documents that lose none are left out."""
     lines = written(lines_of(docs, least, equal), "places")
     classes = written(lines.groupBy(*_ID).agg(F.min("place").alias("place")), "classes")
-    near = written(near_lines(docs, lines, classes, least), "near")
+    near = near_lines(docs, lines, classes, least)
+    near = written(near.union(far_lines(docs, classes, least, bound)).distinct() if bound.most > 1 else near, "near")
     keep = classes.join(near, _ID, "left_anti").select(*_ID, F.col("place").alias("stays"))
     places = lines.select(*_ID, "place").join(keep, _ID, "left")
     gone = places.where(F.col("stays").isNull() | (F.col("stays") != F.col("place")))
     return gone.select("place.doc_id", "place.t", "place.line_no").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def line_report(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
+def line_report(docs: DataFrame, least: int = LEAST, equal: int | None = None, bound: Bound = ONE) -> DataFrame:
     """doc_id, n_lines (that take part), n_dropped, dropped (numbers of the lines that go, from 0, joined by commas)."""
-    gone = written(repeated_lines(docs, least, equal), "gone").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "dropped")
+    gone = written(repeated_lines(docs, least, equal, bound), "gone").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "dropped")
     n = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(OUTER))) >= (least if equal is None else equal)))
     d = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("t"), n.cast("long").alias("n_lines"))
     j = d.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u")), "left")
@@ -171,9 +260,9 @@ def line_report(docs: DataFrame, least: int = LEAST, equal: int | None = None) -
                     F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = 1) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = 1, bound: Bound = GROWING) -> DataFrame:
     """docs with all columns; text lacks the lines that go, n_chars (where there is one) is counted anew."""
-    gone = written(repeated_lines(docs, least, equal), "gone").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"))
+    gone = written(repeated_lines(docs, least, equal, bound), "gone").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"))
     j = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__t")), "left")
     left = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__dropped")), lambda i: F.get(ls, i)), "\n")
     text = F.when(F.col("__dropped").isNull(), docs["text"]).otherwise(let(F.split(docs["text"], "\n"), left))
