@@ -204,7 +204,7 @@ def forward_z(df: DataFrame, f: Frames, horizon: int = 10, window: int = 60, lim
     column that stands in before that, such as the key's median absolute return.
     """
     d = df.withColumn("_r1", f.pct("close"))
-    d = d.withColumns({"_sd": f.std("_r1", window, min(8, window)), "_fw": f.lead("close", horizon) / F.col("close") - 1.0,
+    d = d.withColumns({"_sd": f.std("_r1", window, min(8, window)), "_fw": div(f.lead("close", horizon), "close") - 1.0,
                        "_same": f.lead(session, horizon) == F.col(session)})
     vol = f.lag("_sd") if typical is None else F.coalesce(f.lag("_sd"), F.col(typical) + 1e-6)
     z = F.when(F.col("_same"), F.col("_fw") / F.greatest(vol, F.lit(1e-6)))

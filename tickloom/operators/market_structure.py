@@ -6,7 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import fill, flag, yes
+from ..functions.exprs import div, fill, flag, yes
 from . import indicators as ind
 from .durable import durable
 from .ewm import reach
@@ -155,7 +155,7 @@ def _triples(flat: list) -> list[tuple]:
 
 def fair_value_gaps(df: DataFrame, keys=("symbol",), auto: bool = True, **kw) -> DataFrame:
     """Three-bar gaps larger than twice the mean bar move so far, and the newest unfilled one."""
-    d = in_chunks(df, lambda x, f: x.withColumn("_d", fill((f.lag("close") - f.lag("open")) / f.lag("open"), 0.0)), history=1, keys=keys)
+    d = in_chunks(df, lambda x, f: x.withColumn("_d", fill(div(f.lag("close") - f.lag("open"), f.lag("open")), 0.0)), history=1, keys=keys)
     if auto:
         d = expanding(d.withColumn("_ad", F.abs("_d")), "_ad", mean="_m", std="_s", keys=keys).drop("_ad", "_s")
     else:

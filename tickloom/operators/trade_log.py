@@ -236,7 +236,7 @@ def bar_returns(bars: DataFrame, position: str, out: str, intraday: bool = False
         nxt = f.lead("open")
         if intraday:
             nxt = F.when(f.lead(F.to_date(t)) == F.to_date(t), nxt)
-        return d.withColumn(out, F.col(position) * (F.coalesce(nxt, F.col("close")) / F.col("open") - 1.0))
+        return d.withColumn(out, F.col(position) * (div(F.coalesce(nxt, F.col("close")), "open") - 1.0))
     return in_chunks(bars, build, history=0, lookahead=1)
 
 
@@ -250,7 +250,7 @@ def trades_from_positions(bars: DataFrame, position: str) -> DataFrame:
         F.min(p).alias("side"), F.min_by("open", "bar_no").alias("entry_price"),
         F.max_by(F.coalesce("_next", "close"), F.col("bar_no")).alias("exit_price"), F.count(F.lit(1)).alias("bars_held"),
         F.min("t").alias("entry_time"))
-    return g.withColumn("trade_return", F.col("side") * (F.col("exit_price") / F.col("entry_price") - 1.0)).withColumnRenamed("_start", "entry_bar")
+    return g.withColumn("trade_return", F.col("side") * (div("exit_price", "entry_price") - 1.0)).withColumnRenamed("_start", "entry_bar")
 
 
 def equity_metrics(returns: DataFrame, key: Sequence[str], ret: str, pos: str = "bar_no") -> DataFrame:

@@ -239,7 +239,7 @@ def entropy(df: DataFrame, f: Frames, window: int = 75) -> DataFrame:
 def hurst(df: DataFrame, f: Frames) -> DataFrame:
     """Smoothed variance-ratio exponent over 20 and 60 bars."""
     prev = F.coalesce(f.lag("close"), F.col("close"))
-    d = df.withColumn("_r1", F.ln(F.col("close") / prev))
+    d = df.withColumn("_r1", F.when((F.col("close") > 0) & (prev > 0), F.ln(div("close", prev))))
     d = d.withColumn("_r2", F.col("_r1") + fill(f.lag("_r1"), 0.0))
     for n, span in ((20, 5), (60, 10)):
         v1 = fill(f.agg(F.var_samp, "_r1", n, 2), 1e-8)
@@ -349,7 +349,7 @@ def cluster_inputs(df: DataFrame, f: Frames, ma: int = 20, atr: int = 20) -> Dat
     """Smoothed slope of the mean, range ratio, band width and smoothed volume ratio: inputs of state clustering. History: 125."""
     d = df.withColumns({"ma": f.mean("close", ma), "_r": F.when(F.col("high") == F.col("low"), 1e-10).otherwise(F.col("high") - F.col("low")),
                         "_sd": f.std("close", ma), "_vm": f.mean("volume", ma)})
-    d = d.withColumns({"ma_slope": (F.col("ma") - f.lag("ma", 5)) / F.col("close") * 1000, "_a": f.mean("_r", atr),
+    d = d.withColumns({"ma_slope": div(F.col("ma") - f.lag("ma", 5), "close") * 1000, "_a": f.mean("_r", atr),
                        "bb_width": F.col("_sd") * 2 / (F.col("ma") + EPS), "vol_ratio": F.col("volume") / (F.col("_vm") + EPS)})
     return d.withColumns({"ma_slope_smooth": f.mean("ma_slope", 3), "atr_percentile": F.col("_a") / (f.mean("_a", 100) + EPS),
                           "vol_ratio_smooth": f.mean("vol_ratio", 5)}).drop("_r", "_sd", "_vm", "_a")

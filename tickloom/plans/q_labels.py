@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import div
 from ..operators import labels as lab, price_action as pa, shapes, states, volatility as vol
 from ..operators.layout import in_chunks
 from ..operators.ranks import exact_quantiles
@@ -217,10 +218,10 @@ def _(T):
                      F.least(F.greatest(f.diff("close", 5), F.lit(-50.0)), F.lit(50.0)))}), history=5, lookahead=10)
 
 
-@query("label_forward_z", "symbol:s bar_no:i forward_return:d forward_z:d", BARS + f""", r AS (SELECT *, close / {lagw('close')} - 1 AS r1,
+@query("label_forward_z", "symbol:s bar_no:i forward_return:d forward_z:d", BARS + f""", r AS (SELECT *, close / nullif({lagw('close')}, 0) - 1 AS r1,
   sum(brk) OVER (PARTITION BY symbol ORDER BY bar_no) AS sid FROM (SELECT *, coalesce((t - {lagw('t')} > INTERVAL 4 HOUR)::int, 0) AS brk FROM bars)),
 md AS (SELECT symbol, quantile_cont(abs(r1), 0.5) + 1e-6 AS typ FROM r GROUP BY symbol), s AS (SELECT r.*, typ, {need('r1', 60, 8, 'stddev_samp(r1)')} AS sd FROM r JOIN md USING (symbol)),
-f AS (SELECT *, greatest(coalesce({lagw('sd')}, typ), 1e-6) AS vol, CASE WHEN lead(sid, 10) OVER w = sid THEN lead(close, 10) OVER w / close - 1 END AS fr FROM s WINDOW w AS (PARTITION BY symbol ORDER BY bar_no))
+f AS (SELECT *, greatest(coalesce({lagw('sd')}, typ), 1e-6) AS vol, CASE WHEN lead(sid, 10) OVER w = sid THEN lead(close, 10) OVER w / nullif(close, 0) - 1 END AS fr FROM s WINDOW w AS (PARTITION BY symbol ORDER BY bar_no))
 SELECT symbol, bar_no, fr AS forward_return, CASE WHEN fr IS NOT NULL THEN least(greatest(fr / vol, -5), 5) END AS forward_z FROM f""")
 def _(T):
     d = mark_sessions(bars(T))
@@ -229,11 +230,11 @@ def _(T):
     return in_chunks(d, lambda x, f: lab.forward_z(x, f, typical="typical"), history=62, lookahead=10)
 
 
-@query("label_forward_binary", "symbol:s bar_no:i y:i", BARS + """, f AS (SELECT symbol, bar_no, lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_no) / close - 1 AS fr FROM bars),
+@query("label_forward_binary", "symbol:s bar_no:i y:i", BARS + """, f AS (SELECT symbol, bar_no, lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_no) / nullif(close, 0) - 1 AS fr FROM bars),
 b AS (SELECT quantile_cont(abs(fr), 0.2) AS band FROM f WHERE fr IS NOT NULL)
 SELECT symbol, bar_no, CASE WHEN fr > band THEN 1 WHEN fr < -band THEN 0 END AS y FROM f, b""")
 def _(T):
-    d = in_chunks(bars(T), lambda x, f: x.withColumn("fr", f.lead("close", 5) / F.col("close") - 1.0), history=0, lookahead=5)
+    d = in_chunks(bars(T), lambda x, f: x.withColumn("fr", div(f.lead("close", 5), "close") - 1.0), history=0, lookahead=5)
     band = exact_quantiles(d.withColumn("m", F.abs("fr")), "m", {"band": 0.2}).scalar()
     d = d.withColumn("band", band)
     return d.withColumn("y", F.when(F.col("fr") > F.col("band"), 1).when(F.col("fr") < -F.col("band"), 0))

@@ -234,7 +234,7 @@ def _(T):
     return ms.order_blocks(bars(T), 15, 30)
 
 
-FVG = f"""fg AS (SELECT *, coalesce(({lagw('close')} - {lagw('open')}) / {lagw('open')}, 0) AS d FROM bars), fh AS (SELECT *, 2 * avg(abs(d)) OVER (PARTITION BY symbol ORDER BY bar_no) AS thr FROM fg),
+FVG = f"""fg AS (SELECT *, coalesce(({lagw('close')} - {lagw('open')}) / nullif({lagw('open')}, 0), 0) AS d FROM bars), fh AS (SELECT *, 2 * avg(abs(d)) OVER (PARTITION BY symbol ORDER BY bar_no) AS thr FROM fg),
 fi AS (SELECT *, coalesce(low > {lagw('high', 2)} AND {lagw('close')} > {lagw('high', 2)} AND d > thr, false) AS up, coalesce(high < {lagw('low', 2)} AND {lagw('close')} < {lagw('low', 2)} AND -d > thr, false) AS dn, {lagw('high', 2)} AS h2, {lagw('low', 2)} AS l2 FROM fh),
 fu AS (SELECT symbol, bar_no, low AS top, h2 AS bottom FROM fi WHERE up), fd AS (SELECT symbol, bar_no, l2 AS top, high AS bottom FROM fi WHERE dn)"""
 

@@ -233,7 +233,7 @@ hold AS (SELECT *, coalesce(last_value(nullif(s, 0) IGNORE NULLS) OVER (PARTITIO
   coalesce(last_value(nullif(s, 0) IGNORE NULLS) OVER (PARTITION BY symbol, cast(t AS date) ORDER BY bar_no ROWS UNBOUNDED PRECEDING), 0) AS hd FROM sig),
 pos AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY symbol ORDER BY bar_no), 0) AS position, coalesce(lag(hd) OVER (PARTITION BY symbol, cast(t AS date) ORDER BY bar_no), 0) AS intraday,
   lead(open) OVER (PARTITION BY symbol ORDER BY bar_no) AS nx, lead(open) OVER (PARTITION BY symbol, cast(t AS date) ORDER BY bar_no) AS nxd FROM hold),
-rets AS (SELECT *, position * (coalesce(nx, close) / open - 1) * 0.01 AS r, intraday * (coalesce(nxd, close) / open - 1) * 0.01 AS ri FROM pos)"""
+rets AS (SELECT *, position * (coalesce(nx, close) / nullif(open, 0) - 1) * 0.01 AS r, intraday * (coalesce(nxd, close) / nullif(open, 0) - 1) * 0.01 AS ri FROM pos)"""
 
 
 def positioned(T):
@@ -256,7 +256,7 @@ def _(T):
 c AS (SELECT *, (position <> coalesce(lag(position) OVER (PARTITION BY symbol ORDER BY bar_no), 0) OR bar_no = 0)::int AS chg FROM pos),
 i AS (SELECT *, sum(chg) OVER (PARTITION BY symbol ORDER BY bar_no) AS isl FROM c)
 SELECT symbol, min(bar_no) AS entry_bar, min(position) AS side, first(open ORDER BY bar_no) AS entry_price, last(coalesce(nx, close) ORDER BY bar_no) AS exit_price, count(*) AS bars_held,
-  min(position) * (last(coalesce(nx, close) ORDER BY bar_no) / first(open ORDER BY bar_no) - 1) AS trade_return FROM i WHERE position <> 0 GROUP BY symbol, isl""")
+  min(position) * (last(coalesce(nx, close) ORDER BY bar_no) / nullif(first(open ORDER BY bar_no), 0) - 1) AS trade_return FROM i WHERE position <> 0 GROUP BY symbol, isl""")
 def _(T):
     return tl.trades_from_positions(positioned(T), "position")
 

@@ -174,7 +174,7 @@ HURST = "least(greatest(0.5 * ln(greatest(coalesce(var_samp(r2) {w}, 1e-8), 1e-8
 
 
 @query("vol_hurst", "symbol:s bar_no:i pa_hurst_20:d pa_hurst_60:d", scan_sql(
-    BARS_REC + f""", l1 AS (SELECT *, ln(close / coalesce({lagw('close')}, close)) AS r1 FROM bars), l2 AS (SELECT *, r1 + coalesce({lagw('r1')}, 0) AS r2 FROM l1),
+    BARS_REC + f""", l1 AS (SELECT *, CASE WHEN close > 0 AND coalesce({lagw('close')}, close) > 0 THEN ln(close / coalesce({lagw('close')}, close)) END AS r1 FROM bars), l2 AS (SELECT *, r1 + coalesce({lagw('r1')}, 0) AS r2 FROM l1),
   src AS MATERIALIZED (SELECT *, {HURST.format(w=win(20))} AS h20, {HURST.format(w=win(60))} AS h60 FROM l2)""",
     {"a": "r.h20", "b": "r.h60"}, {"a": ema_step("a", "r.h20", "(2.0::double / 6)"), "b": ema_step("b", "r.h60", "(2.0::double / 11)")}) + """
 SELECT symbol, bar_no, a AS pa_hurst_20, b AS pa_hurst_60 FROM scan""")
@@ -242,7 +242,7 @@ def _(T):
 
 
 @query("cluster_inputs", "symbol:s bar_no:i ma_slope_smooth:d atr_percentile:d bb_width:d vol_ratio_smooth:d", BARS + f""", a AS (SELECT *, avg(close) {win(20)} AS ma, avg(CASE WHEN high = low THEN 1e-10 ELSE high - low END) {win(20)} AS atr,
-  stddev_samp(close) {win(20)} AS sd, volume / (avg(volume) {win(20)} + 1e-8) AS vr FROM bars), b AS (SELECT *, (ma - {lagw('ma', 5)}) / close * 1000 AS sl FROM a)
+  stddev_samp(close) {win(20)} AS sd, volume / (avg(volume) {win(20)} + 1e-8) AS vr FROM bars), b AS (SELECT *, (ma - {lagw('ma', 5)}) / nullif(close, 0) * 1000 AS sl FROM a)
 SELECT symbol, bar_no, avg(sl) {win(3)} AS ma_slope_smooth, atr / (avg(atr) {win(100)} + 1e-8) AS atr_percentile, sd * 2 / (ma + 1e-8) AS bb_width, avg(vr) {win(5)} AS vol_ratio_smooth FROM b""")
 def _(T):
     return in_chunks(bars(T), vol.cluster_inputs, history=125)
