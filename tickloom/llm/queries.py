@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from .line_dedup import OP2_SQL, op2
+from .manifest import OP13_SQL, op13
 from .near_dups import op1
 from .packing import op5
 from .pieces import op7
@@ -23,10 +24,12 @@ QUERIES = {
     "op8_warc_revisits": op8,
     "op9_threshold_top_k": op9,
     "op10_quality_rules": op10,
+    "op13_merkle_manifest": op13,
 }
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op8_warc_revisits": OP8_SQL,
     "op9_threshold_top_k": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
