@@ -11,6 +11,7 @@ from .secret_scan import op6
 from .token_counts import op3
 from .toxicity import op4
 from .topk import OP9_SQL, op9
+from .url_filter import OP12_SQL, op12
 from .warc import OP8_SQL, op8
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc_revisits": op8,
     "op9_threshold_top_k": op9,
     "op10_quality_rules": op10,
+    "op12_url_filter": op12,
     "op13_merkle_manifest": op13,
 }
 ORACLES = {
@@ -31,5 +33,6 @@ ORACLES = {
     "op8_warc_revisits": OP8_SQL,
     "op9_threshold_top_k": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_url_filter": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
