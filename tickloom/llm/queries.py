@@ -6,6 +6,7 @@ from .manifest import OP13_SQL, op13
 from .near_dups import op1
 from .packing import op5
 from .pieces import op7
+from .prefix_trie import OP11_SQL, op11
 from .quality import OP10_SQL, op10
 from .secret_scan import op6
 from .token_counts import op3
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc_revisits": op8,
     "op9_threshold_top_k": op9,
     "op10_quality_rules": op10,
+    "op11_prefix_trie": op11,
     "op12_url_filter": op12,
     "op13_merkle_manifest": op13,
 }
@@ -33,6 +35,7 @@ ORACLES = {
     "op8_warc_revisits": OP8_SQL,
     "op9_threshold_top_k": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_url_filter": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
