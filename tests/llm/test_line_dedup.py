@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tickloom.llm import line_dedup
 from tickloom.llm.line_dedup import Bound, line_report, without_repeated_lines
 
 WIDE = "doc_id long, text string, lang string, n_chars long, a long, line string, dropped string"
@@ -91,7 +93,10 @@ def distance(x, y):
     return row[-1]
 
 
-def test_bound_that_grows_against_brute_force(spark):
+@pytest.mark.parametrize("small,family", [(64, 2048), (2, 5)])
+def test_bound_that_grows_against_brute_force(spark, monkeypatch, small, family):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "FAMILY", family)
     r, bound, rows = random.Random(7), Bound(per=30, most=5), []
     base = ["".join(r.choice("abcdé😀") for _ in range(r.choice([24, 28, 29, 30, 31, 59, 61, 90, 119, 121, 160]))) for _ in range(8)]
     for d in range(70):

@@ -14,15 +14,17 @@ then by equal rests without one of `BLOCKS` parts, and for each part that has a
 emitted as hashed keys. None of these steps loses a pair. Members of a key are compared with its earliest line only, and
 every pair is verified by its edit distance.
 
-For bounds k of 2 and more a line is cut into k + 1 parts, of which one is untouched in any line within k edits; the places where it
-can stand there follow from k (`_cuts`). Lines that share such a part are joined and verified. This loses no pair either, but a part
-that very many different lines share gives all their pairs: work quadratic in that family of lines.
+For bounds k of 2 and more a deletion neighbourhood has too many variants (k = 5 of 300 characters: 2 * 10**10), so there the keys are
+substrings. Any line within k edits leaves a run of (n - k) / (k + 1) characters untouched; of each window of that length the
+substring with the lowest hash is a key (`_run_keys`), so lines with a common run share a key. Lines that share one at places no
+more than k apart are verified: first with the earliest line of the run, and only if that fails with all earlier ones. This loses no pair.
 
 Null text has no lines. Rows without a doc_id come after all others. Rows equal in doc_id and text are one document and get
 the same result; rows with one doc_id and different texts are told apart by the digest of the text.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,6 +37,12 @@ from .shingles import U, mix
 from .store import let, text_of, written
 
 LEAST, BLOCKS = 24, 8
+MANY = 1 << 32  # more substrings than a slice of texts has
+SLICE = 1 << 19  # characters
+CELL = 64  # places; more than twice the bound
+SMALL = 64  # lines of a run that are simply joined
+FAMILY = 2048  # lines that a task compares with those of a larger run
+BINS = 64
 OUTER = " \t\r"
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = U(pow(_BASE, -1, 1 << 64))
@@ -65,10 +73,10 @@ def texts_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
-    """place, a and b (digest), halves (keys; null under `least` characters) of the lines that take part."""
+    """place, a and b (digest), n (characters), halves (keys; null under `least` characters) of the lines that take part."""
     x = texts_of(docs, least if equal is None else equal)
     halves = F.when(F.length("line") >= least, _halves(F.col("line")))
-    return x.select("place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), halves.alias("halves"))
+    return x.select("place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").alias("n"), halves.alias("halves"))
 
 
 def _half(n):
@@ -127,16 +135,22 @@ def _variant_keys(rest: int, middle: str, longer: bool) -> tuple[list[int], str]
     return np.r_[s, mix(sums[n:] ^ base)].view(np.int64).tolist(), "S"
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, least: int = LEAST, blocks: int = BLOCKS) -> DataFrame:
-    """a, b of the distinct lines that have an earlier line at distance 1."""
-    keyed = lines.select(F.explode("halves").alias("half"), *_ID)
-    halves = keyed.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
-    some = written(keyed.join(halves, "half", "left_semi").select(*_ID).distinct().join(classes, _ID), "some")
-    # One row of each line is fetched, by its first place, so a frequent line sends no more than a rare one.
-    where = some.select(*_ID, F.col("place").alias("first"), F.xxhash64("place").alias("h"))
+def shared(keyed: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """The rows whose key stands in another line (a) too. There are many keys and few are shared, so they are moved once."""
+    every = lambda c: c.over(Window.partitionBy(*by))
+    return keyed.withColumns({"low": every(F.min("a")), "high": every(F.max("a"))}).where("low <> high").select(*by, "a", *more)
+
+
+def fetched(docs: DataFrame, some: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """some lines (a, b, ...) with their first place and text. One row of each is fetched, by its first place, so a frequent line sends no
+    more than a rare one."""
+    where = some.join(classes, _ID).withColumnRenamed("place", "first").withColumn("h", F.xxhash64("first"))
     found = texts_of(docs, least).join(where, (F.xxhash64("place") == F.col("h")) & F.col("place").eqNullSafe(F.col("first")))
-    cand = written(found.select(*_ID, "place", "line").dropDuplicates(_ID), "lines")
+    return written(found.drop("first", "h").dropDuplicates(_ID), "lines")
 
+
+def near_lines(cand: DataFrame, classes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """a, b of the lines in cand that have an earlier one at distance 1."""
     def rests(batches):
         for p in batches:
             rows = [(key, a, b) for a, b, x in zip(p["a"].tolist(), p["b"].tolist(), p["line"].tolist()) for key in _rest_keys(x, blocks)[0]]
@@ -174,76 +188,166 @@ def near_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, least: int
     return sides.where(F.levenshtein("line", "line0", 1).between(0, 1)).select(*_ID).distinct()
 
 
-@lru_cache(maxsize=4096)
-def _cuts(m: int, bound: Bound) -> tuple[np.ndarray, ...]:
-    """(from, to, number, own) of the keys of a line of m characters.
-
-    A line of n characters is cut into k + 1 parts, k = bound.of(n). If a line of m <= n characters is within k edits of it, some part
-    j is untouched with just j edits before it and at most k - j behind it, where j is the first part up to which there are no more
-    edits than j. So the part stands in the shorter line moved by s, |s| <= j and |m - n - s| <= k - j: those places are its keys."""
-    rows = []
-    for n in range(m, m + bound.most + 1):
-        k = bound.of(n)
-        if k < 2 or n - m > k:
-            continue
-        cut = [j * n // (k + 1) for j in range(k + 2)]
-        for j in range(k + 1):
-            for s in range(max(-j, m - n - k + j), min(j, m - n + k - j) + 1):
-                if 0 <= cut[j] + s and cut[j + 1] + s <= m:
-                    rows.append((cut[j] + s, cut[j + 1] + s, n * (bound.most + 1) + j, n == m and s == 0))
-    f, t, number, own = (np.array(x, dtype=d) for x, d in zip(zip(*rows) if rows else ((),) * 4, (np.int64, np.int64, np.int64, bool)))
-    return f, t, number, own
-
-
-def _part_keys(texts: list[str], bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, own) of all lines."""
+def _ladder(most: int = 1 << 30) -> list[int]:
+    """Lengths of runs, each about a quarter longer than the one before."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return out
+
+
+RUNS = _ladder()
+
+
+@lru_cache(maxsize=1 << 16)
+def _levels(m: int, bound: Bound) -> tuple[int, ...]:
+    """Places in RUNS of the runs by which a line of m characters is keyed.
+
+    If a line of n characters has one of m <= n within k = bound.of(n) edits, the edits leave k + 1 untouched pieces of it with n - k
+    characters or more, so both share a run of (n - k) / (k + 1); the shorter line doesn't know n, so it takes the runs of every n."""
+    runs = {-(-(n - k) // (k + 1)) for n in range(m, m + bound.most + 1) if (k := bound.of(n)) >= 2 and n - m <= k}
+    return tuple(sorted({bisect_right(RUNS, r) - 1 for r in runs if r >= 1}))
+
+
+def _least_of_windows(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every w neighbours, from the running minima of blocks of w in both directions."""
+    n = -(-len(x) // w) * w
+    block = np.pad(x, (0, n - len(x)), constant_values=np.iinfo(U).max).reshape(-1, w)
+    head = np.minimum.accumulate(block, axis=1).ravel()
+    tail = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(tail[:len(x) - w + 1], head[w - 1:len(x)])
+
+
+def _run_keys(texts: list[str], bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the runs of all lines: of each window of a run the substring with the lowest hash and the cell of its place,
+    so that lines with a common run at places within the bound have a key in common."""
     sums, at = _prefix(texts)
     back = np.full(int(np.diff(at).max(initial=0)) + 1, _INVERSE, dtype=U)
     back[0] = 1
     back = np.multiply.accumulate(back)
-    cuts = [_cuts(len(x), bound) for x in texts]
-    row = np.repeat(np.arange(len(texts)), [len(c[0]) for c in cuts])
-    f, t, number, own = (np.concatenate(x) for x in zip(*cuts))
-    start = at[row]
-    key = mix(mix((sums[start + t] - sums[start + f]) * back[f]) + mix(number.astype(U)))
-    return row, key.view(np.int64), own
-
-
-def far_lines(docs: DataFrame, classes: DataFrame, least: int, bound: Bound) -> DataFrame:
-    """a, b of the distinct lines that have an earlier line within a bound of 2 or more."""
+    by: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        for level in _levels(len(t), bound):
+            by.setdefault(level, []).append(i)
+    out = []
+    for level, rows in by.items():
+        run = RUNS[level]
+        q = min(run, max(14, run // 3))
+        w, row = run - q + 1, np.array(rows)
+        size = (at[row + 1] - at[row]) - q + 1  # substrings of q characters
+        who = np.repeat(np.arange(len(row)), size)
+        begin = np.r_[0, np.cumsum(size)]
+        place = np.arange(begin[-1]) - begin[who]
+        f = at[row][who] + place
+        gram = mix((sums[f + q] - sums[f]) * back[place])
+        low = _least_of_windows((gram & ~U(MANY - 1)) | np.arange(len(gram), dtype=U), w)
+        first = np.arange(len(low))
+        pick = np.unique(low[place[first] <= size[who[first]] - w] & U(MANY - 1)).astype(np.int64)
+        for step in (-bound.most, bound.most):  # near a cell's border also the key of the next cell
+            cell = (place[pick] + step) // CELL
+            new = np.ones(len(pick), dtype=bool) if step < 0 else cell != (place[pick] - step) // CELL
+            key = mix(gram[pick] ^ mix((cell * len(RUNS) + level).astype(U)))
+            out.append((row[who[pick]][new], key.view(np.int64)[new]))
+    if not out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def run_shared(docs: DataFrame, classes: DataFrame, least: int, bound: Bound) -> DataFrame:
+    """key, a, b, place and n (characters) of the distinct lines that share a run, at about the same place, with another one of about their length."""
     def keys(batches):
         for p in batches:
             texts, a = p["line"].tolist(), p["a"].to_numpy()
-            for i, j in slices(texts, 1 << 17):
-                row, key, own = _part_keys(texts[i:j], bound)
-                yield pd.DataFrame({"key": key, "a": a[i:j][row], "own": own}).drop_duplicates()
-
-    texts = texts_of(docs, least).select("place", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    part = texts.where(F.length("line") + bound.most >= bound.per).select("line", "a").mapInPandas(keys, "key long, a long, own boolean")
-    # There are many keys and few are shared, so they are moved once and only the shared ones are written.
-    every = lambda c: c.over(Window.partitionBy("key"))
-    seen = part.withColumns({"low": every(F.min("a")), "high": every(F.max("a")), "met": every(F.bool_or("own"))})
-    open_ = written(seen.where("low <> high AND met").select("key", "a", "own"), "open").distinct()
-    x = open_.where("own").select("key", F.col("a").alias("a0"))
-    pairs = written(open_.join(x, "key").where("a <> a0 AND (NOT own OR a < a0)").select("a", "a0").distinct(), "pairs")
-    some = classes.join(pairs.select("a").union(pairs.select("a0")).distinct(), "a", "left_semi")
-    # One row of each line is fetched, by its first place.
-    where = some.select(*_ID, F.col("place").alias("first"), F.xxhash64("place").alias("h"))
-    found = texts.select("place", "line").join(where, (F.xxhash64("place") == F.col("h")) & F.col("place").eqNullSafe(F.col("first")))
-    cand = written(found.select(*_ID, "place", "line").dropDuplicates(_ID), "lines")
-    sides = pairs.join(cand, "a").join(cand.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("place").alias("place0"), F.col("line").alias("line0")), "a0")
-    k = bound.column(F.greatest(F.length("line"), F.length("line0")))
-    near = sides.withColumn("k", k).where("k >= 2 AND levenshtein(line, line0, k) BETWEEN 0 AND k")
-    late = F.col("place") > F.col("place0")
-    return near.select(F.when(late, F.col("a")).otherwise(F.col("a0")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("b0")).alias("b")).distinct()
+            for i, j in slices(texts, SLICE):
+                row, key = _run_keys(texts[i:j], bound)
+                yield pd.DataFrame({"key": key, "a": a[i:j][row]}).drop_duplicates()
+
+    texts = texts_of(docs, least).where(F.length("line") + bound.most >= bound.per).select("line", F.xxhash64("line").alias("a"))
+    part = written(shared(texts.mapInPandas(keys, "key long, a long"), ["key"]).distinct(), "runs")
+    part = part.join(classes.select(*_ID, "place", "n"), "a")
+    part = part.withColumn("size", F.explode(F.sequence(F.floor((F.col("n") - bound.most) / CELL), F.floor((F.col("n") + bound.most) / CELL))))
+    return written(shared(part, ["key", "size"], "b", "place", "n"), "open")
+
+
+def far_lines(cand: DataFrame, open_: DataFrame, bound: Bound) -> DataFrame:
+    """a, b of the lines in cand that have an earlier one within a bound of 2 or more.
+
+    Lines that share a run (open_) are first compared with the earliest line of the run, which settles families of copies; only what
+    stays open meets every earlier line of the run of about its length."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        other = cand.select(F.col("a").alias("a0"), F.col("line").alias("line0"))
+        k = bound.column(F.greatest(F.length("line"), F.length("line0")))
+        sides = pairs.distinct().join(cand.select(*_ID, "line"), "a").join(other, "a0").withColumn("k", k)
+        return sides.where("k >= 2 AND levenshtein(line, line0, k) BETWEEN 0 AND k").select(*_ID).distinct()
+
+    by, near_length = ["key", "size"], F.abs(F.col("n") - F.col("n0")) <= bound.most
+    first = open_.groupBy(*by).agg(F.min(F.struct("place", F.col("a").alias("a0"), F.col("n").alias("n0"))).alias("first"))
+    one = open_.join(first, by).select("a", "n", "first.a0", "first.n0")
+    settled = written(verified(one.where((F.col("a") != F.col("a0")) & near_length).select("a", "a0")), "settled")
+    rest = open_.join(settled.select("a"), "a", "left_anti")
+    all_ = open_.select(*by, F.col("a").alias("a0"), F.col("n").alias("n0"), F.col("place").alias("place0"))
+    size = open_.groupBy(*by).agg(F.count("*").alias("members"))
+    few = rest.join(size.where(F.col("members") <= SMALL), by).join(all_, by).where((F.col("place") > F.col("place0")) & near_length)
+    many = open_.join(size.where(F.col("members") > SMALL), by).join(settled.select("a", F.lit(True).alias("done")), "a", "left")
+    pairs = few.select("a", "a0").union(within_families(many, cand, bound))
+    return settled.union(verified(written(pairs.distinct(), "pairs")))
+
+
+def _sketch(lines: list[str]) -> np.ndarray:
+    """Counts of the pairs of neighbouring characters of each line, in BINS bins. An edit changes at most two pairs on either side."""
+    out = np.zeros((len(lines), BINS), dtype=np.int32)
+    for i, x in enumerate(lines):
+        c = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32).astype(U)
+        out[i] = np.bincount((mix(c[:-1] * U(1 << 21) + c[1:]) % U(BINS)).astype(np.int64), minlength=BINS)
+    return out
+
+
+def within_families(many: DataFrame, cand: DataFrame, bound: Bound) -> DataFrame:
+    """a and an earlier a0 of the same run (key, size) that may be within the bound, for the lines that aren't done.
+
+    The lines of a run that aren't done are dealt to blocks of about FAMILY, each of which meets all lines of the run in batches; pairs whose
+    sketches differ by more than 4 characters for each edit are never put out."""
+    def sketches(batches):
+        for p in batches:
+            yield pd.DataFrame({"a": p["a"], "sketch": list(_sketch(p["line"].tolist()))})
+
+    lines = cand.join(many.select("a").distinct(), "a", "left_semi")
+    m = written(many.join(lines.select("a", "line").mapInPandas(sketches, "a long, sketch array<int>"), "a"), "families")
+    blocks = F.ceil(F.col("members") / FAMILY)
+    own = m.where("done IS NULL").withColumn("block", F.pmod(F.xxhash64("a"), blocks))
+    met = m.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cols = [*[F.col(c).alias(c) for c in ("key", "size", "block", "a", "n", "sketch")], F.col("place.late").alias("late"), F.col("place.doc_id").alias("doc_id"), F.col("place.t").alias("t"), F.col("place.line_no").alias("line_no")]
+    order = ["late", "doc_id", "t", "line_no"]
+
+    def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        q = q.sort_values(order, kind="stable").reset_index(drop=True)
+        at = dict(zip(q["a"].tolist(), range(len(q))))
+        x, y = (np.array(z["sketch"].tolist(), dtype=np.int32).reshape(-1, BINS) for z in (p, q))
+        n, m = p["n"].to_numpy(), q["n"].to_numpy()
+        a, a0 = [], []
+        for i, line in enumerate(p["a"].tolist()):
+            j = at[line]  # lines before it in the order of places
+            hit = np.flatnonzero((np.abs(m[:j] - n[i]) <= bound.most) & (np.abs(y[:j] - x[i]).sum(axis=1) <= 4 * bound.most))
+            a += [line] * len(hit)
+            a0 += q["a"].to_numpy()[hit].tolist()
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "a0": np.array(a0, dtype=np.int64)})
+
+    by = ["key", "size", "block"]
+    return own.select(cols).groupBy(*by).cogroup(met.select(cols).groupBy(*by)).applyInPandas(lambda p, q: compare(p, q), "a long, a0 long").distinct()
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None, bound: Bound = ONE) -> DataFrame:
     """doc_id, t (digest of the text), dropped: the numbers of the lines that go, in order. Documents that lose none are left out."""
     lines = written(lines_of(docs, least, equal), "places")
-    classes = written(lines.groupBy(*_ID).agg(F.min("place").alias("place")), "classes")
-    near = near_lines(docs, lines, classes, least)
-    near = written(near.union(far_lines(docs, classes, least, bound)).distinct() if bound.most > 1 else near, "near")
+    classes = written(lines.groupBy(*_ID).agg(F.min("place").alias("place"), F.min("n").alias("n")), "classes")
+    some = shared(lines.select(F.explode("halves").alias("half"), "a"), ["half"]).select("a").distinct()
+    some = some.join(classes.select(*_ID), "a").select(*_ID).withColumn("half", F.lit(True))
+    if bound.most > 1:
+        open_ = run_shared(docs, classes, least, bound)
+        some = some.join(open_.select(*_ID).distinct().withColumn("run", F.lit(True)), _ID, "full")
+    cand = fetched(docs, some, classes.drop("n"), least)
+    near = near_lines(cand.where("half"), classes)
+    near = written(near.union(far_lines(cand.where("run"), open_, bound)).distinct() if bound.most > 1 else near, "near")
     keep = classes.join(near, _ID, "left_anti").select(*_ID, F.col("place").alias("stays"))
     places = lines.select(*_ID, "place").join(keep, _ID, "left")
     gone = places.where(F.col("stays").isNull() | (F.col("stays") != F.col("place")))
