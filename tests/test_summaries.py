@@ -31,12 +31,12 @@ def newest_alive(z, above):
     return out
 
 
-@pytest.mark.parametrize("rows", [1, 7, 64, 1000])
+@pytest.mark.parametrize("rows, fan", [(1, 5), (7, 3), (64, 1000), (1000, 1000)])
 @pytest.mark.parametrize("above, rising", [(True, True), (True, False), (False, False)])
-def test_zones_do_not_depend_on_chunks(spark, rows, above, rising):
+def test_zones_do_not_depend_on_chunks(spark, rows, fan, above, rising):
     z = zones(150, 3, rising)
     df = spark.createDataFrame(z.sample(frac=1, random_state=1)).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in ("z_top", "z_bottom")})
-    got = ms.alive_zones(df, "z", "o", F.col("price"), above, rows=rows).orderBy("bar_no").collect()
+    got = ms.alive_zones(df, "z", "o", F.col("price"), above, rows=rows, fan=fan).orderBy("bar_no").collect()
     assert [r.o_bottom for r in got] == newest_alive(z, above)
 
 

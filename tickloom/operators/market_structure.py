@@ -1,18 +1,15 @@
 """Structure breaks, order blocks and fair value gaps as event tables."""
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import div, fill, flag, yes
 from . import indicators as ind
 from .durable import durable
 from .ewm import reach
-from .fold import summary_fold
 from .layout import in_chunks, running
 from .sequences import expanding
+from .stacks import newest_alive
 
 
 def pivot_levels(df: DataFrame, arm: int, tag: str, keys=("symbol",)) -> DataFrame:
@@ -97,60 +94,11 @@ def order_blocks(df: DataFrame, swing: int = 50, atr_length: int = 200, by_close
 def alive_zones(df: DataFrame, zone: str, out: str, price: Column, above: bool, keys=("symbol",), **kw) -> DataFrame:
     """Newest zone per bar that no bar since its creation has broken.
 
-    A bullish zone lives while the price stays at or above its bottom. A zone that breaks no later than a newer one can never
-    be the newest alive again, so the open zones form a stack with rising levels. A chunk is summed up by its lowest price and
-    the zones that outlive it. Of the stack before a chunk it needs those that break inside it and the one below them, so all
-    chunks together are given no more zones than there are.
+    A bullish zone lives while the price stays at or above its bottom; bearish zones are bullish ones of the negated price.
     """
-    side = 1.0 if above else -1.0  # bearish zones are bullish ones of the negated price
-
-    def rows_of(pdf):
-        t, b = pdf[f"{zone}_top"].to_numpy(dtype=float), pdf[f"{zone}_bottom"].to_numpy(dtype=float)
-        return t, b, side * (b if above else t), side * pdf["_p"].to_numpy(dtype=float)
-
-    def walk(pdf, stack, show):
-        for t, b, v, p in zip(*rows_of(pdf)):
-            if not math.isnan(v):
-                while stack and stack[-1][0] >= v:
-                    stack.pop()
-                stack.append((v, t, b))
-            while stack and p < stack[-1][0]:
-                stack.pop()
-            show(stack)
-
-    def summary(pdf):
-        stack: list[tuple] = []
-        walk(pdf, stack, lambda s: None)
-        p = rows_of(pdf)[3]
-        return [np.nanmin(p) if (~np.isnan(p)).any() else math.inf, *(x for z in stack for x in z)]
-
-    def combine(state, got):
-        old, low, new = _triples(state), got[0], _triples(got[1:])
-        keep = len(old)
-        while keep and old[keep - 1][0] > low:
-            keep -= 1
-        need = old[max(keep - 1, 0):]
-        old = old[:keep]
-        while old and new and old[-1][0] >= new[0][0]:
-            old.pop()
-        return [x for z in need for x in z], [x for z in old + new for x in z]
-
-    def step(pdf, state):
-        tops, bots = [], []
-
-        def show(stack):
-            tops.append(stack[-1][1] if stack else np.nan)
-            bots.append(stack[-1][2] if stack else np.nan)
-        walk(pdf, _triples(state), show)
-        return {f"{out}_top": tops, f"{out}_bottom": bots}, []
-
-    names = {f"{out}_top": "double", f"{out}_bottom": "double"}
-    d = summary_fold(df.withColumn("_p", price), summary, combine, step, names, [], cols=[f"{zone}_top", f"{zone}_bottom", "_p"], keys=keys, **kw)
-    return d.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names}).drop("_p")
-
-
-def _triples(flat: list) -> list[tuple]:
-    return [tuple(flat[i:i + 3]) for i in range(0, len(flat), 3)]
+    side = 1.0 if above else -1.0
+    t, b = F.col(f"{zone}_top"), F.col(f"{zone}_bottom")
+    return newest_alive(df, (b if above else t) * side, price * side, {f"{out}_top": t, f"{out}_bottom": b}, keys=keys, **kw)
 
 
 def fair_value_gaps(df: DataFrame, keys=("symbol",), auto: bool = True, **kw) -> DataFrame:
