@@ -9,6 +9,7 @@ from ..functions.exprs import clip, fill
 from . import rolling
 from .asof import asof_backward
 from .layout import Frames, in_chunks, number_rows, running
+from .order_stats import Order, order_stats
 
 
 def pair_features(bars: DataFrame, a: str, b: str, window: int = 60, least: int = 20) -> DataFrame:
@@ -40,16 +41,15 @@ def attach_pair(bars: DataFrame, pair: DataFrame, cols=("pair_corr", "pair_vol_r
 def rolling_cost(df: DataFrame, f: Frames, x: str, lookback: int, q: float = 0.5, floor: float = 2.0, cap: float = 8.0, default: str | None = None,
                  out: str = "roll_cost") -> DataFrame:
     """Quantile of the past `lookback` values (not the present one), else the default column, clipped."""
-    past = f.rows(-lookback, -1)
-    least = max(50, lookback // 4)
-    v = F.when(F.count(x).over(past) >= least, F.percentile(x, F.lit(q)).over(past))
-    return df.withColumn(out, F.least(F.greatest(F.coalesce(v, F.col(default) if default else F.lit(3.0)), F.lit(floor)), F.lit(cap)))
+    d = order_stats(df.withColumn("_past", f.lag(x)), f, {"_q": Order("_past", lookback, "quantile", max(50, lookback // 4), q)})
+    v = F.coalesce("_q", F.col(default) if default else F.lit(3.0))
+    return d.withColumn(out, F.least(F.greatest(v, F.lit(floor)), F.lit(cap))).drop("_past", "_q")
 
 
 def dynamic_cost(df: DataFrame, atr: str, base: float, lookback: int = 390, q: float = 0.7, keys=("symbol",)) -> DataFrame:
     """Base cost times ATR over its rolling quantile, 0.5..3 times, 0.05..5 in all; a missing quantile is filled forward, then back."""
     least = max(10, lookback // 10)
-    d = in_chunks(df, lambda x, f: x.withColumn("_ref", f.quantile(atr, q, lookback, least)), history=lookback, keys=keys)
+    d = in_chunks(df, lambda x, f: order_stats(x, f, {"_ref": Order(atr, lookback, "quantile", least, q)}), history=lookback, keys=keys)
     r = F.when(F.col("_ref") > 1e-12, F.col("_ref"))
     d = running(d, {"_ff": ("last", r)}, keys=keys)
     first = d.where(F.col("_ff").isNotNull()).groupBy(*keys).agg(F.min_by("_ff", "bar_no").alias("_bf"))

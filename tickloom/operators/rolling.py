@@ -48,25 +48,6 @@ def beta(f: Frames, y, x, n: int, least: int = 2) -> Column:
         F.covar_samp(x, y).over(w), F.var_samp(F.when(both, x)).over(w)))
 
 
-def share_at_most(f: Frames, x, n: int, least: int) -> Column:
-    """Share of the window's values that are <= the current one."""
-    x = c(x)
-    w = f.last(n)
-    vals = F.collect_list(x).over(w)
-    k = F.size(vals)
-    return F.when((F.count(x).over(w) >= least) & x.isNotNull(),
-                  F.size(F.filter(vals, lambda v: v <= x)) / k)
-
-
-def rank_pct(f: Frames, x, n: int, least: int) -> Column:
-    """Rank of the current value in the window as a share, ties at their mean rank."""
-    x = c(x)
-    vals = F.collect_list(x).over(f.last(n))
-    below = F.size(F.filter(vals, lambda v: v < x))
-    same = F.size(F.filter(vals, lambda v: v == x))
-    return F.when((F.count(x).over(f.last(n)) >= least) & x.isNotNull(), (below + (same + 1) / 2.0) / F.size(vals))
-
-
 def linreg(df: DataFrame, f: Frames, x, n: int, out: str, offset: int = 0) -> DataFrame:
     """Value at the end (minus offset) of the least-squares line through n points.
 

@@ -11,6 +11,7 @@ from .durable import durable
 from .ewm import reach
 from .fold import ordered_fold
 from .layout import in_chunks
+from .order_stats import Order, order_stats
 from .sequences import latch
 
 
@@ -60,8 +61,8 @@ def rule_base(df: DataFrame, zlsma: int = 50, er: int = 9, fast: int = 2, slow:
     def build(x, f):
         x = rolling.zlsma(x.withColumn("_p", price_source("hlc3")), f, "_p", zlsma, "zlsma").drop("_p")
         x = ind.atr(x, f, atr_length, "atr_raw")
-        return x.withColumns({"kama_slope": f.pct("kama"), "zlsma_slope": f.pct("zlsma"),
-                              "atr_percentile": rolling.share_at_most(f, "atr_raw", rank, rank)})
+        x = x.withColumns({"kama_slope": f.pct("kama"), "zlsma_slope": f.pct("zlsma")})
+        return order_stats(x, f, {"atr_percentile": Order("atr_raw", rank, "share", rank)})
     d = in_chunks(d, build, history=2 * zlsma + reach(1.0 / atr_length) + rank)
     return ind.cvd_divergence(ind.pseudo_cvd(d), cvd_lookback, cvd_slope)
 

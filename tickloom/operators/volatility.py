@@ -14,6 +14,7 @@ from . import rolling
 from .ewm import alpha_of, ewm_mean, ewm_std, reach
 from .indicators import day_window
 from .layout import Frames, in_chunks
+from .order_stats import Order, order_stats
 from .scan import long_ewm_std
 
 EPS = 1e-8
@@ -75,6 +76,7 @@ def straddle(df: DataFrame, f: Frames, expected_bars: int = 10) -> DataFrame:
         "_rv60": fill(f.std("_ret", 60, 10), 0.0),
         "_a5": f.mean("_rng", 5), "_a20": f.mean("_rng", 20),
     })
+    d = order_stats(d, f, {"_bbr": Order("_bb", 120, "share", 20), "_rvm": Order("pa_rv_cc_20", 60, "quantile", 10)})
     sd120 = F.nullif(f.std("pa_rv_cc_20", 120, 20), F.lit(0.0))
     past = f.sum("_rng", expected_bars)
     expected = f.mean("_rng", expected_bars) * float(expected_bars)
@@ -86,14 +88,14 @@ def straddle(df: DataFrame, f: Frames, expected_bars: int = 10) -> DataFrame:
         "vol_momentum_diff_60": clip(F.when(f.pct("pa_rv_cc_20", 30).isNotNull() & f.pct("pa_rv_parkinson_20", 30).isNotNull(),
                                             f.pct("pa_rv_cc_20", 30) - f.pct("pa_rv_parkinson_20", 30)).otherwise(0.0), -5.0, 5.0),
         "rv_iv_ratio_change_60": clip(pct("_ratio", 15), -5.0, 5.0),
-        "pa_bb_width_pctile": clip(fill(rolling.share_at_most(f, "_bb", 120, 20), 0.5), 0.0, 1.0),
+        "pa_bb_width_pctile": clip(fill(F.col("_bbr"), 0.5), 0.0, 1.0),
         "pa_atr_ratio_5_20": clip(fill(F.col("_a5") / (F.col("_a20") + EPS), 1.0), 0.0, 5.0),
         "pa_rv_term_slope": F.col("pa_rv_cc_10") - F.col("_rv60"),
-        "pa_vol_high": flag(rv > f.quantile("pa_rv_cc_20", 0.5, 60, 10)),
+        "pa_vol_high": flag(rv > F.col("_rvm")),
         "pa_realized_vs_expected": clip(fill(past / (expected + EPS), 0.0), 0.0, 10.0),
         "pa_volume_zscore": clip(fill((v - f.mean("volume", 60, 10)) / (F.nullif(f.std("volume", 60, 10), F.lit(0.0)) + EPS), 0.0), -6.0, 6.0),
         "pa_volume_price_corr": clip(fill(f.diff("_corr", 5), 0.0), -2.0, 2.0),
-    }).drop("_ret", "_tp", "_rng", "_ratio", "_d5", "_bb", "_corr", "_rv60", "_a5", "_a20")
+    }).drop("_ret", "_tp", "_rng", "_ratio", "_d5", "_bb", "_corr", "_rv60", "_a5", "_a20", "_bbr", "_rvm")
 
 
 def straddle_duration(df: DataFrame, **kw) -> DataFrame:
@@ -215,12 +217,13 @@ def jumps(df: DataFrame, f: Frames) -> DataFrame:
 def jump_tail(df: DataFrame, f: Frames, window: int = 100, tail: int = 500) -> DataFrame:
     """Excess of a move over max(99th percentile, 3 deviations), smoothed; and its z-score."""
     d = df.withColumn("_ret", simple_return(f)).withColumn("_abs", F.abs("_ret"))
+    d = order_stats(d, f, {"_q": Order("_abs", tail, "quantile", q=0.99)})
     sd = F.greatest(fill(f.std("_ret", window), 0.0), F.lit(1e-8))
-    d = d.withColumns({"_sd": sd, "_thr": F.greatest(fill(f.quantile("_abs", 0.99, tail), 1e-8), 3.0 * sd)})
+    d = d.withColumns({"_sd": sd, "_thr": F.greatest(fill(F.col("_q"), 1e-8), 3.0 * sd)})
     d = d.withColumn("_j", F.when(F.col("_abs") > F.col("_thr"), F.try_divide(F.col("_abs") - F.col("_thr"), F.col("_thr"))).otherwise(0.0))
     d = ewm_mean(d, f, "_j", "pa_jump_tail_risk", span=10)
     return d.withColumn("pa_jump_z_score", fill((F.col("_ret") - f.mean("_ret", window)) / F.col("_sd"), 0.0)).drop(
-        "_ret", "_abs", "_sd", "_thr", "_j")
+        "_ret", "_abs", "_sd", "_thr", "_j", "_q")
 
 
 def entropy(df: DataFrame, f: Frames, window: int = 75) -> DataFrame:
@@ -268,8 +271,8 @@ def index_features(df: DataFrame, f: Frames, scale: int = 390) -> DataFrame:
         "vixy_ret_30": f.pct("close", 30), "vixy_ret_60": f.pct("close", 60),
         **{f"vixy_abs_ret_{n}": F.abs(f.pct("close", n)) for n in (5, 15, 30, 60)},
         "_rh": f.max("high", day, least), "_rl": f.min("low", day, least), "_vm": f.mean("volume", day, least),
-        "vixy_pct_rank_5d": rolling.rank_pct(f, "close", week, long_least),
     })
+    d = order_stats(d, f, {"vixy_pct_rank_5d": Order("close", week, "rank", long_least)})
     d = d.withColumns({
         "vixy_term_structure_slope": F.col("vixy_level_ma60_ratio") - F.col("vixy_level_ma390_ratio"),
         "vixy_proxy_momentum_30": f.diff("vixy_zscore_60", 30),
@@ -279,6 +282,7 @@ def index_features(df: DataFrame, f: Frames, scale: int = 390) -> DataFrame:
         "vixy_intraday_rank": (k - F.col("_rl")) / (F.col("_rh") - F.col("_rl") + EPS),
         "vixy_vol_surge": F.col("volume") / (F.col("_vm") + 1), "vixy_vol_surge_5": f.mean("volume", 5, 5) / (F.col("_vm") + 1),
     })
+    d = order_stats(d, f, {"_mid": Order("vixy_intraday_range", day, "quantile", least)})
     a5, a15 = F.col("vixy_accel_5"), F.col("vixy_accel_15")
     z = fill(F.col("vixy_zscore_390"), 0.0)
     return d.withColumns({
@@ -286,9 +290,9 @@ def index_features(df: DataFrame, f: Frames, scale: int = 390) -> DataFrame:
         "vixy_acceleration_2nd": f.diff("vixy_accel_5", 5),
         "vixy_rvol_ratio": F.col("vixy_rvol_60") / (F.col("vixy_rvol_390") + EPS),
         "vixy_realized_vs_implied_gap": F.col("vixy_rvol_60") - F.col("vixy_abs_ret_30") * math.sqrt(390.0 / 30.0),
-        "vixy_intraday_range_ratio": F.col("vixy_intraday_range") / (f.quantile("vixy_intraday_range", 0.5, day, least) + EPS),
+        "vixy_intraday_range_ratio": F.col("vixy_intraday_range") / (F.col("_mid") + EPS),
         "vixy_regime": F.when(z > 1.0, 2).when(z < -1.0, 0).otherwise(1),
-    }).drop("_ret", "_rh", "_rl", "_vm")
+    }).drop("_ret", "_rh", "_rl", "_vm", "_mid")
 
 
 def index_history(scale: int = 390) -> int:

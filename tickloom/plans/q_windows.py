@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..functions.exprs import price_source
 from ..operators import ewm, indicators as ind, ranks, rolling, sequences as seq, sessions
 from ..operators.layout import in_chunks, number_rows, running
+from ..operators.order_stats import Order, order_stats
 from .catalog import query
 from .data import BARS, BARS_REC, bars, bars_cte
 
@@ -27,8 +28,8 @@ def _(T):
 SELECT symbol, t, CASE WHEN count(close) OVER w >= 10 THEN quantile_cont(close, 0.5) OVER w END AS med, quantile_cont(close, 0.99) OVER w AS q99,
   quantile_cont(close, 0.25) OVER w AS q25 FROM bars WINDOW w AS ({W} 59 PRECEDING)""")
 def _(T):
-    return in_chunks(bars(T), lambda d, f: d.withColumns({
-        "med": f.quantile("close", 0.5, 60, 10), "q99": f.quantile("close", 0.99, 60), "q25": f.quantile("close", 0.25, 60)}), history=60)
+    specs = {"med": Order("close", 60, "quantile", 10, 0.5), "q99": Order("close", 60, "quantile", q=0.99), "q25": Order("close", 60, "quantile", q=0.25)}
+    return in_chunks(bars(T), lambda d, f: order_stats(d, f, specs), history=60)
 
 
 @query("rolling_moments", "symbol:s t:t sk:d ku:d", BARS + f"""
@@ -53,8 +54,7 @@ def _(T):
 SELECT symbol, t, CASE WHEN len(vs) >= 40 THEN len(list_filter(vs, lambda v: v <= close)) / len(vs) END AS share,
   CASE WHEN len(vs) >= 10 THEN (len(list_filter(vs, lambda v: v < close)) + (len(list_filter(vs, lambda v: v = close)) + 1) / 2.0) / len(vs) END AS avg_rank FROM w""")
 def _(T):
-    return in_chunks(bars(T), lambda d, f: d.withColumns({
-        "share": rolling.share_at_most(f, "close", 40, 40), "avg_rank": rolling.rank_pct(f, "close", 40, 10)}), history=40)
+    return in_chunks(bars(T), lambda d, f: order_stats(d, f, {"share": Order("close", 40, "share", 40), "avg_rank": Order("close", 40, "rank", 10)}), history=40)
 
 
 @query("rolling_linreg", "symbol:s t:t lr:d lr3:d zl:d", BARS + f""", l AS (
