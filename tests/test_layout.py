@@ -142,7 +142,7 @@ def test_forward_path_and_containment(walk, walk_df):
     want = sum(min(7, (walk["symbol"] == s).sum() - 1 - n) for s, n in walk.loc[walk["volume"] > 6, ["symbol", "bar_no"]].values)
     assert len(got) == want and got["step"].between(1, 7).all()
     seg = walk_df.where("bar_no % 100 = 0").select("symbol", F.col("t").alias("a"), (F.col("t") + F.expr("interval 3 hours")).alias("b"), F.col("bar_no").alias("seg"))
-    hit = containing(walk_df, seg, "t", "a", "b", hours=1).toPandas()
+    hit = containing(walk_df, seg, "t", "a", "b", seconds=3600).toPandas()
     s = walk[walk["bar_no"] % 100 == 0]
     n = sum(((walk["symbol"] == r.symbol) & (walk["t"] >= r.t) & (walk["t"] <= r.t + pd.Timedelta(hours=3))).sum() for r in s.itertuples())
     assert len(hit) == n

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.exprs import c, clip, div, fill, flag, micros, yes
 from .layout import Frames, in_chunks
+from .sparse_table import Ahead
 
 RANGE_HORIZONS = (10, 15, 20, 30)
 
@@ -133,24 +136,26 @@ def signal_outcome(df: DataFrame, f: Frames, signal: str = "signal", atr: str =
 
 def forward_ranges(df: DataFrame, f: Frames, atr: str = "atr", horizon: int = 20, share: float = 0.9) -> DataFrame:
     """Forward range over ATR for several horizons and the share of 30 bars in which 90% of the range is reached."""
-    a = F.when(F.col(atr) > 0, F.col(atr))
-
-    def rng(n):
-        w = f.rows(1, n)
-        return (F.max("high").over(w) - F.min("low").over(w)) / a
-
-    def left(n):
-        return F.count(F.lit(1)).over(f.rows(1, n)) >= n
-    most = max(RANGE_HORIZONS)
-    full = left(most)
-    # the H-bar range needs H later bars; the multi-horizon set needs all 30
-    cols = {"decision_forward_range_atr": F.when(left(horizon), rng(horizon))}
-    cols |= {f"decision_forward_range_{n}_atr": F.when(full, rng(n)) for n in RANGE_HORIZONS}
-    d = df.withColumns(cols).withColumn("_all", F.array(*[rng(n) for n in range(1, most + 1)]))
-    goal = share * F.col(f"decision_forward_range_{most}_atr") - 1e-12
-    reached = F.array_position(F.transform("_all", lambda v: v >= goal), True)
-    ok = F.col(f"decision_forward_range_{most}_atr") > 1e-12
-    return d.withColumn("decision_range_ttp90_norm_30", F.when(ok & (reached > 0), reached / float(most))).drop("_all")
+    most, share_name = max(RANGE_HORIZONS), "decision_range_ttp90_norm_30"
+    names = ["decision_forward_range_atr", *[f"decision_forward_range_{n}_atr" for n in RANGE_HORIZONS], share_name]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(f.pos)
+        high, low, a = (table[n].cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("high", "low", atr))
+        a = np.where(a > 0, a, np.nan)
+        ahead, left = Ahead(high, low, max(most, horizon)), len(a) - 1 - np.arange(len(a))
+        # the H-bar range needs H later bars; the multi-horizon set needs all 30
+        rng = lambda n, least: np.where(left >= least, ahead.span(n) / a, np.nan)
+        out = [rng(horizon, horizon), *[rng(n, most) for n in RANGE_HORIZONS]]
+        widest = rng(most, most)
+        first = ahead.first(lambda span: span / a >= share * widest - 1e-12)
+        out.append(np.where((widest > 1e-12) & (first <= most), first / float(most), np.nan))
+        for n, v in zip(names, out):
+            table = table.append_column(n, pa.array(v, mask=np.isnan(v)))
+        return table
+
+    return df.groupBy(*f.keys).applyInArrow(run, schema)
 
 
 def quality_breakouts(df: DataFrame, f: Frames, lookback: int = 20) -> DataFrame:

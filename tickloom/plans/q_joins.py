@@ -74,7 +74,7 @@ def _(T):
     at = b.select("symbol", F.col("bar_no").alias("i0"), F.col("t").alias("a"))
     to = b.select("symbol", F.col("bar_no").alias("i1"), F.col("t").alias("z"))
     seg = runs.join(at, ["symbol", "i0"]).join(to, ["symbol", "i1"]).select("symbol", "a", (F.col("z") + F.expr("interval 2 hours")).alias("b"), F.col("i0").alias("seg"))
-    hit = containing(b, seg, "t", "a", "b", hours=24)
+    hit = containing(b, seg, "t", "a", "b")
     return hit.groupBy("symbol", "t").agg(F.min("seg").alias("seg"))
 
 
