@@ -327,7 +327,8 @@ def within_families(many: DataFrame, cand: DataFrame, bound: Bound) -> DataFrame
         a, a0 = [], []
         for i, line in enumerate(p["a"].tolist()):
             j = at[line]  # lines before it in the order of places
-            hit = np.flatnonzero((np.abs(m[:j] - n[i]) <= bound.most) & (np.abs(y[:j] - x[i]).sum(axis=1) <= 4 * bound.most))
+            k = np.minimum(bound.most, 1 + np.maximum(m[:j], n[i]) // bound.per)
+            hit = np.flatnonzero((np.abs(m[:j] - n[i]) <= k) & (np.abs(y[:j] - x[i]).sum(axis=1) <= 4 * k))
             a += [line] * len(hit)
             a0 += q["a"].to_numpy()[hit].tolist()
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "a0": np.array(a0, dtype=np.int64)})
