@@ -43,10 +43,10 @@ def own_levels(level: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def newest_alive(df: DataFrame, level: Column, price: Column, carry: dict[str, Column], *, keys: Sequence[str] = ("symbol",), pos: str = "bar_no",
-                 rows: int | None = None, fan: int = FAN) -> DataFrame:
+                 rows: int | None = None, fan: int = FAN, warm: int | None = None) -> DataFrame:
     """df with the columns `carry` (doubles) of the newest level that no price since its row was below; null where there is none.
 
-    `level` is null on rows without one, a null price breaks nothing, and `pos` is gapless (`number_rows`)."""
+    `level` is null on rows without one, a null price breaks nothing, and `pos` is gapless (`number_rows`). `warm` is taken as by `ordered_fold` and not needed."""
     rows, names = chunk_rows(df, rows), list(carry)
     num = lambda x: x.cast("double")
     d = df.withColumns({"_level": num(level), "_price": num(price), **{f"_c_{n}": num(x) for n, x in carry.items()}, "_chunk": F.floor(F.col(pos) / rows).cast("bigint")})
