@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import c, clip, fill, flag
 from .durable import durable
-from .layout import deepest_fall, number_rows
 from .paths import first_exits, uplift_score
 from .ranks import exact_quantiles
 from .splits import hold_bucket
@@ -115,67 +114,99 @@ def conditional_threshold(df: DataFrame, edge: str, key: str, fit: Column, q: fl
 
 
 def gate_candidates(df: DataFrame, gate: str, n: int = 101, rates: Sequence[float] = ()) -> DataFrame:
-    """Distinct candidate thresholds from the gate's quantiles 1%..99%, and those at which the given shares of rows pass."""
+    """Distinct candidate thresholds from the gate's quantiles 1%..99%, and those at which the given shares of rows pass, cut to 0..1."""
     qs = {f"q{i}": 0.01 + 0.98 * i / (n - 1) for i in range(n)} | {f"r{i}": 1.0 - r for i, r in enumerate(rates)}
-    return exact_quantiles(df, gate, qs).select(F.explode(F.array_distinct(F.array(*qs))).alias("threshold"))
+    return exact_quantiles(df, gate, qs).select(F.explode(F.array_distinct(F.array(*[clip(F.col(q), 0.0, 1.0) for q in qs]))).alias("threshold"))
 
 
-def score_thresholds(df: DataFrame, gate: str, profit: str, cand: Column, target_rate: float, band: tuple[float, float], *, pos: str = "_pos",
-                     lam: float = 0.25, rate_pen: float = 0.35, dd_pen: float = 0.10, tail_pen: float = 0.15, pf_bonus: float = 0.05) -> DataFrame:
-    """Score per candidate: mean - downside - drawdown - tail + profit factor - rate penalty.
+def level_sums(df: DataFrame, gate: str, profit: str, limits: Column, keys: Sequence[str] = (), min_edge: float = 0.0) -> DataFrame:
+    """Per key and level, the number of ascending `limits` that the gate reaches: rows, active rows, their gain and their largest weight.
 
-    `cand` is an array of (threshold, limit) structs, a short list, exploded on
-    the rows whose gate reaches the limit. Drawdowns come from mergeable summaries of pieces.
+    A row is active above `min_edge`; it weighs gate times positive profit and gains weight times profit. The sums of a threshold
+    are those of its level and all higher ones, so rows are read once and never copied per threshold.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    d = df.withColumn("_cand", cand)
-    on = F.filter("_cand", lambda t: (F.col(gate) >= t["limit"]) & (F.col(profit) > 0))
-    d = d.select(pos, F.col(gate).alias("_g"), F.col(profit).alias("_p"), F.explode(F.transform(on, lambda t: t["threshold"])).alias("threshold"))
-    d = d.withColumn("_raw", clip(F.col("_g"), 0.0, 1.0) * F.greatest(F.col("_p"), F.lit(0.0)))
-    st = d.groupBy("threshold").agg(F.stddev_pop("_raw").alias("_sd"), F.max("_raw").alias("_mx"))
-    d = d.join(st, "threshold")
-    z = F.col("_sd") + 1e-6
-    size = F.when(F.col("_mx") / z > 1e-12, clip(F.col("_raw") / z / (F.col("_mx") / z), 0.0, 1.0)).otherwise(0.0)
-    d = durable(d.withColumn("_r", size * F.col("_p")).select("threshold", pos, "_r"))
-    p05 = exact_quantiles(d, "_r", {"_p05": 0.05}, ("threshold",))
-    fall = deepest_fall(d, "_r", keys=("threshold",), pos=pos, floor=None)
-    neg = F.when(F.col("_r") < 0, F.col("_r"))
-    m = d.groupBy("threshold").agg(
-        F.avg("_r").alias("mean"), F.sqrt(F.coalesce(F.avg(neg * neg), F.lit(0.0))).alias("down"), 
-        (F.sum(F.greatest(F.col("_r"), F.lit(0.0))) / F.greatest(F.coalesce(-F.sum(neg), F.lit(0.0)), F.lit(1e-9))).alias("pf"), F.count(F.lit(1)).alias("active"))
-    m = m.join(p05, "threshold").join(fall.select("threshold", (-F.col("fall")).alias("max_dd")), "threshold").withColumn("rate", F.col("active") / total)
-    score = (F.col("mean") - lam * F.col("down") - dd_pen * F.col("max_dd") - tail_pen * F.greatest(-F.col("_p05"), F.lit(0.0))
-             + pf_bonus * clip(F.col("pf"), 0.0, 5.0) - rate_pen * F.abs(F.col("rate") - target_rate))
-    return m.withColumns({"score": score, "in_band": F.col("rate").between(*band)}).drop("_p05")
-
-
-def gate_search(df: DataFrame, gate: str, profit: str, order: Sequence[str], target_rate: float, band: tuple[float, float], *, n: int = 101, **kw) -> DataFrame:
-    """Scores of the quantile grid of the gate and of the thresholds at the lowest, wanted and highest rate."""
-    d = number_rows(df.select(*order, gate, profit), (), order, "range", "_pos")
-    one = gate_candidates(d, gate, n, (band[0], target_rate, band[1])).agg(F.sort_array(F.collect_list(F.struct("threshold", F.col("threshold").alias("limit"))))).scalar()
-    return score_thresholds(d, gate, profit, one, target_rate, band, **kw)
-
-
-def gate_offsets(df: DataFrame, gate: str, profit: str, order: Sequence[str], key: str, base: float, target_rate: float, *,
-                 steps: Sequence[float] = (-0.010, -0.006, -0.003, 0.0, 0.003, 0.006, 0.010), least: int = 500, **kw) -> DataFrame:
-    """Best threshold offset per state: state after state, with the offsets found so far in place.
-
-    States are few (regime x volatility bucket); their names and one number per step come to the driver.
+    g, p = F.col(gate), F.col(profit)
+    level = F.when(F.isnan(gate) | g.isNull(), 0).otherwise(F.size(F.filter("_limits", lambda t: t <= g)))
+    on, weight = p > min_edge, clip(g, 0.0, 1.0) * F.greatest(p, F.lit(0.0))
+    return df.withColumn("_limits", limits).withColumn("level", level).groupBy(*keys, "level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(flag(on)).alias("active"), F.coalesce(F.sum(F.when(on, weight * p)), F.lit(0.0)).alias("gain"),
+        F.coalesce(F.max(F.when(on, weight)), F.lit(0.0)).alias("top"))
+
+
+def gate_score(active, gain, top, total, target_rate: float, rate_pen: float = 0.35, pf_bonus: float = 0.05) -> tuple[Column, Column, Column]:
+    """(mean, rate, score) of a threshold from its sums.
+
+    The size of an active row is its weight over the largest one and 0 without positive profit, so no active row loses: the terms for
+    downside, drawdown and tail of the score are 0 at every threshold, and the gross loss of the profit factor is its floor, 1e-9.
+    """
+    total_gain = F.when(top / 1e-6 > 1e-12, gain / top).otherwise(0.0)
+    mean, rate = total_gain / active, active / total
+    return mean, rate, mean + pf_bonus * clip(total_gain / 1e-9, 0.0, 5.0) - rate_pen * F.abs(rate - target_rate)
+
+
+def gate_search(df: DataFrame, gate: str, profit: str, target_rate: float, band: tuple[float, float], *, n: int = 101, min_edge: float = 0.0,
+                **kw) -> DataFrame:
+    """Scores of the quantile grid of the gate and of the thresholds at the lowest, wanted and highest rate. Thresholds that no row passes are left out.
+
+    The candidates, about `n` numbers, come to the driver.
+    """
+    limits = sorted(r["threshold"] for r in gate_candidates(df, gate, n, (band[0], target_rate, band[1])).where("threshold IS NOT NULL").collect())
+    sums = durable(level_sums(df, gate, profit, F.array(*[F.lit(x) for x in limits]).cast("array<double>"), min_edge=min_edge))
+    total = sums.agg(F.sum("n")).scalar()
+    place = df.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(limits)], "level int, threshold double")
+    both = place.join(sums.select("level", "active", "gain", "top"), "level", "full")
+    up = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each candidate
+    both = both.select("threshold", F.sum("active").over(up).alias("active"), F.sum("gain").over(up).alias("gain"), F.max("top").over(up).alias("top"))
+    mean, rate, score = gate_score(F.col("active"), F.col("gain"), F.col("top"), total, target_rate, **kw)
+    m = both.where("threshold IS NOT NULL AND active > 0").withColumns({"mean": mean, "rate": rate, "score": score, "max_dd": F.lit(0.0)})
+    return m.withColumn("in_band", F.col("rate").between(*band)).drop("gain", "top")
+
+
+def gate_offsets(df: DataFrame, gate: str, profit: str, key: str, base: float, target_rate: float, *,
+                 steps: Sequence[float] = (-0.010, -0.006, -0.003, 0.0, 0.003, 0.006, 0.010), least: int = 500, min_edge: float = 0.0,
+                 rate_pen: float = 0.35, pf_bonus: float = 0.05) -> DataFrame:
+    """Best threshold offset per state: state after state in the order of names, with the offsets found so far in place.
+
+    A step of 0 always competes, equal scores (to 12 digits) go to the lowest step, and states with fewer than `least` rows keep 0. The
+    rows are read once, for their sums per state and step. The choice depends on all choices before it; it runs over these sums, one
+    row for each state and step, on the driver: a state is one of a few (regime x volatility bucket) and not a key of the data.
     """
-    d = durable(number_rows(df.select(*order, gate, profit, F.col(key).cast("string").alias("_key")), (), order, "range", "_pos"))
-    names = [r["_key"] for r in d.groupBy("_key").count().where(F.col("count") >= least).orderBy("_key").collect()]
-    found: dict[str, float] = {}
-    for name in names:
-        now = F.lit(base)
-        for k, v in found.items():
-            now = F.when(F.col("_key") == k, base + v).otherwise(now)
-        cand = F.array(*[F.struct(F.lit(float(s)).alias("threshold"), F.least(F.greatest(
-            F.when(F.col("_key") == name, F.lit(base + s)).otherwise(now), F.lit(0.0)), F.lit(1.0)).alias("limit")) for s in sorted(steps)])
-        got = score_thresholds(d, gate, profit, cand, target_rate, (0.0, 1.0), **kw)
-        best = got.agg(F.max_by("threshold", F.struct(F.round("score", 12), -F.col("threshold")))).first()[0]
-        found[name] = float(best) if best is not None else 0.0
-    lits = F.map_from_arrays(F.array(*[F.lit(k) for k in found]), F.array(*[F.lit(v) for v in found.values()]))
-    return d.select(F.col("_key").alias("state")).distinct().withColumn("step", F.coalesce(F.try_element_at(lits, F.col("state")), F.lit(0.0)))
+    steps = sorted({float(s) for s in steps} | {0.0})
+    limits = [min(max(base + s, 0.0), 1.0) for s in steps]
+    d = df.withColumn("state", F.col(key).cast("string"))
+    sums = durable(level_sums(d, gate, profit, F.array(*[F.lit(x) for x in limits]), ("state",), min_edge))
+    none = (0, 0.0, 0.0)
+    tables, total, rows = {}, 0, {}
+    for r in sums.orderBy("state", F.desc("level")).toLocalIterator():
+        t = tables.setdefault(r["state"], [none] * len(steps))
+        rows[r["state"]] = rows.get(r["state"], 0) + r["n"]
+        total += r["n"]
+        for i in range(r["level"]):
+            t[i] = (t[i][0] + r["active"], t[i][1] + r["gain"], max(t[i][2], r["top"]))
+    zero = steps.index(0.0)
+    chosen = dict.fromkeys(tables, zero)
+    large = sorted(s for s in tables if s is not None and rows[s] >= least)
+    # Largest weights can't be taken away again, so those of the states that come later are kept as running maxima from the end.
+    after = [0.0]
+    for s in reversed(large):
+        after.append(max(after[-1], tables[s][zero][2]))
+    after.reverse()
+    fixed = [tables[s][zero] for s in tables if s not in set(large)]
+    active, gain = (sum(t[zero][k] for t in tables.values()) for k in (0, 1))
+    top = max([x[2] for x in fixed], default=0.0)
+    for j, s in enumerate(large):
+        scored, old = [], tables[s][zero]
+        for i, (n, w, m) in enumerate(tables[s]):
+            a, g, t = active - old[0] + n, gain - old[1] + w, max(top, after[j + 1], m)
+            if a:
+                all_ = g / t if t / 1e-6 > 1e-12 else 0.0
+                scored.append((-round(all_ / a + pf_bonus * min(max(all_ / 1e-9, 0.0), 5.0) - rate_pen * abs(a / total - target_rate), 12), i))
+        if scored:
+            chosen[s] = min(scored)[1]
+        n, w, m = tables[s][chosen[s]]
+        active, gain, top = active - old[0] + n, gain - old[1] + w, max(top, m)
+    found = [(s, steps[i]) for s, i in chosen.items()]
+    return df.sparkSession.createDataFrame(found, "state string, step double")
 
 
 def product_size(gate, direction, edge, breakout, vol, persistence, threshold: float, clip_max: float = 5.0) -> Column:

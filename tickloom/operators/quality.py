@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.exprs import c, flag, pair_corr
+from ..functions.exprs import c, clip, flag, pair_corr
 from .layout import in_chunks
 from .ranks import exact_quantiles
 from .splits import blocked_folds
@@ -75,26 +78,69 @@ def lag1_strength(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("sy
     return long_form(per_key, cols).groupBy("feature").agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("strength"))
 
 
+_SUMS = ("n", "x", "xx", "y", "yy", "xy")
+MERGED = 1024  # groups of partial sums in the first of two steps
+
+
+def pair_sums(df: DataFrame, cols: Sequence[str], centre: Sequence[float]) -> DataFrame:
+    """at (place of a column) and, against every column, the arrays n, x, xx, y, yy, xy: sums over the rows where both are there.
+
+    Values are taken as distances from `centre`. A task reads its rows once and multiplies whole batches, so what is moved grows with the
+    columns squared and with the partitions, not with the rows; the sums are added up in two steps, so no task holds those of all partitions.
+    """
+    schema = "at int, lot int, " + ", ".join(f"{n} array<double>" for n in _SUMS)
+    middle = np.array(centre, dtype=float)
+
+    def partial(batches):
+        acc = np.zeros((len(_SUMS), len(middle), len(middle)))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float, na_value=np.nan) - middle
+            there = np.isfinite(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            sx, sxx = x.T @ m, (x * x).T @ m
+            acc += np.stack([m.T @ m, sx, sxx, sx.T, sxx.T, x.T @ x])
+        lot = TaskContext.get().partitionId() % MERGED
+        yield pd.DataFrame({"at": np.arange(len(middle)), "lot": lot} | {n: list(acc[k]) for k, n in enumerate(_SUMS)})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "lot": pdf["lot"].iloc[:1]} | {n: [np.sum(np.stack(list(pdf[n])), axis=0)] for n in _SUMS})
+
+    part = df.select([F.col(n).cast("double").alias(n) for n in cols]).mapInPandas(partial, schema)
+    part = part.groupBy("at", "lot").applyInPandas(merged, schema)
+    return part.withColumn("lot", F.lit(0)).groupBy("at").applyInPandas(merged, schema).drop("lot")
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, r) for all column pairs from one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    flat = lambda n: F.stddev_pop(n) > 1e-12
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(
-        flat(a) & flat(b), pair_corr(a, b)).alias("r")) for a, b in pairs]).alias("p"))
-    return one.select(F.explode("p").alias("p")).select("p.*")
+    """(a, b, r) for all column pairs from sums of products, over the rows where both are there (missing and infinite values are not).
+
+    r is empty where a column does not move, or not on the rows of the pair. Columns are read twice: for their mean, then for the products.
+    """
+    fine = lambda n: F.when(~F.isnan(n) & (F.abs(F.col(n)) < float("inf")), F.col(n))
+    x = df.select([F.col(n).cast("double").alias(n) for n in cols])
+    stat = x.agg(*[F.avg(fine(n)).alias(f"m{i}") for i, n in enumerate(cols)], *[F.stddev_pop(fine(n)).alias(f"s{i}") for i, n in enumerate(cols)]).first()
+    moves = [stat[f"s{i}"] is not None and stat[f"s{i}"] > 1e-12 for i in range(len(cols))]
+    sums = pair_sums(x, cols, [stat[f"m{i}"] or 0.0 for i in range(len(cols))])
+    one = sums.select("at", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(len(cols) - 1)).alias("to"), *_SUMS)).alias("p")).select("at", "p.*")
+    names, moving = (F.array(*[F.lit(v) for v in values]) for values in (cols, moves))
+    one = one.where("at < to").withColumns({v: F.try_divide(v, "n") for v in _SUMS[1:]})
+    var = lambda s, ss: F.col(ss) - F.col(s) * F.col(s)
+    # What is left of equal values by rounding is no movement.
+    some = (var("x", "xx") > 1e-13 * F.col("xx")) & (var("y", "yy") > 1e-13 * F.col("yy")) & F.get(moving, F.col("at")) & F.get(moving, F.col("to"))
+    r = F.when(some, F.try_divide(F.col("xy") - F.col("x") * F.col("y"), F.sqrt(var("x", "xx")) * F.sqrt(var("y", "yy"))))
+    return one.select(F.get(names, F.col("at")).alias("a"), F.get(names, F.col("to")).alias("b"), clip(r, -1.0, 1.0).alias("r"))
 
 
 def drop_correlated(df: DataFrame, cols: Sequence[str], limit: Mapping[str, float], protected: Sequence[str] = ()) -> list[str]:
     """Columns to keep: protected first, then in order, unless too correlated with a kept one.
 
     `limit` maps prefixes to thresholds, with "default"; the longest prefix holds and a pair
-    takes the smaller threshold. Only the matrix of columns comes to the driver.
+    takes the smaller threshold. Only the pairs of columns that reach the lowest threshold come to the driver.
     """
     def bound(n: str) -> float:
         hits = [p for p in limit if p != "default" and n.startswith(p)]
         return limit[max(hits, key=len)] if hits else limit.get("default", 0.9)
     r = {}
-    for row in correlation_pairs(df, cols).collect():
+    for row in correlation_pairs(df, cols).where(F.abs("r") >= min([*limit.values(), limit.get("default", 0.9)])).collect():
         r[row["a"], row["b"]] = r[row["b"], row["a"]] = row["r"]
     kept: list[str] = []
     for n in [*[x for x in cols if x in protected], *[x for x in cols if x not in protected]]:

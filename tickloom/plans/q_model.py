@@ -378,12 +378,12 @@ scores AS (SELECT *, mean - 0.1 * max_dd - 0.15 * greatest(-p05, 0) + 0.05 * 5 -
 
 @query("gate_search", "threshold:d mean:d rate:d active:i max_dd:d score:d in_band:b", GATE + " SELECT * FROM scores")
 def _(T):
-    return pol.gate_search(scored(T), "p", "v", ("entry_time", "trade_id"), 0.1, (0.05, 0.2))
+    return pol.gate_search(scored(T), "p", "v", 0.1, (0.05, 0.2))
 
 
 @query("gate_choice", "threshold:d score:d rate:d in_band:b", GATE + " SELECT threshold, score, rate, in_band FROM scores ORDER BY in_band DESC, round(score, 12) DESC, abs(rate - 0.1) LIMIT 1")
 def _(T):
-    return pol.best_candidate(pol.gate_search(scored(T), "p", "v", ("entry_time", "trade_id"), 0.1, (0.05, 0.2)), 0.1)
+    return pol.best_candidate(pol.gate_search(scored(T), "p", "v", 0.1, (0.05, 0.2)), 0.1)
 
 
 @query("entry_search", "state:s min_confidence:d min_size:d score:d trade_rate:d precision:d correct_side:d avg_abs_edge:d", KEYS + """, u AS (SELECT key AS state, *, CASE WHEN v > 1 THEN 0 WHEN v < -1 THEN 2 ELSE 1 END AS tr FROM ky UNION ALL SELECT '*' AS state, *, CASE WHEN v > 1 THEN 0 WHEN v < -1 THEN 2 ELSE 1 END AS tr FROM ky),
@@ -439,9 +439,22 @@ def _(T):
     return pol.bucket_size(d, "p", "dir", "ret", "pred", 0.4, out="bucket")
 
 
-@query("gate_offsets", "state:s step:d")
+# State after state, in the order of names: the lists hold a number for each state and step, `ch` the places of the steps chosen so far.
+OFFSETS = KEYS + """, st AS (SELECT unnest([-0.01, 0.0, 0.01]) AS step, unnest([1, 2, 3]) AS i), src AS (SELECT cast(vb AS varchar) AS state, p, v, least(greatest(p, 0), 1) * greatest(v, 0) AS raw FROM ky),
+c AS (SELECT state, i, count(*) AS rows, count(*) FILTER (p >= 0.6 + step AND v > 0) AS n, coalesce(sum(raw * v) FILTER (p >= 0.6 + step AND v > 0), 0) AS w, coalesce(max(raw) FILTER (p >= 0.6 + step AND v > 0), 0) AS m FROM src, st GROUP BY 1, 2),
+s AS (SELECT state, any_value(rows) AS rows, list(n ORDER BY i) AS n, list(w ORDER BY i) AS w, list(m ORDER BY i) AS m FROM c GROUP BY 1),
+a AS MATERIALIZED (SELECT list(state ORDER BY state) AS state, list(rows ORDER BY state) AS rows, list(n ORDER BY state) AS n, list(w ORDER BY state) AS w, list(m ORDER BY state) AS m, count(*) AS k, sum(rows) AS total FROM s),
+pick AS (SELECT 0 AS j, list_transform(state, lambda x: 2) AS ch FROM a UNION ALL SELECT j, list_transform(range(1, k + 1), lambda x: CASE WHEN x = j THEN best ELSE ch[x] END) AS ch FROM (
+  SELECT j, k, ch, CASE WHEN rows[j] < 500 THEN 2 ELSE coalesce(list_position(f, list_max(list_filter(f, lambda x: x IS NOT NULL))), 2) END AS best FROM (
+    SELECT j, k, ch, rows, list_transform([1, 2, 3], lambda i: CASE WHEN ns[i] > 0 THEN round(ws[i] / ms[i] / ns[i] + 0.05 * 5 - 0.35 * abs(ns[i] / total - 0.1), 12) END) AS f FROM (
+      SELECT p.j + 1 AS j, k, ch, rows, total, list_transform([1, 2, 3], lambda i: list_sum(list_transform(range(1, k + 1), lambda x: n[x][CASE WHEN x = p.j + 1 THEN i ELSE ch[x] END]))) AS ns,
+        list_transform([1, 2, 3], lambda i: list_sum(list_transform(range(1, k + 1), lambda x: w[x][CASE WHEN x = p.j + 1 THEN i ELSE ch[x] END]))) AS ws,
+        list_transform([1, 2, 3], lambda i: list_max(list_transform(range(1, k + 1), lambda x: m[x][CASE WHEN x = p.j + 1 THEN i ELSE ch[x] END]))) AS ms FROM pick p, a WHERE p.j < k))))"""
+
+
+@query("gate_offsets", "state:s step:d", OFFSETS.replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT unnest(state) AS state, unnest(list_transform(ch, lambda x: [-0.01, 0.0, 0.01][x])) AS step FROM pick, a WHERE j = k")
 def _(T):
-    return pol.gate_offsets(keyed(T), "p", "v", ("entry_time", "trade_id"), "vb", 0.6, 0.1, steps=(-0.01, 0.0, 0.01))
+    return pol.gate_offsets(keyed(T), "p", "v", "vb", 0.6, 0.1, steps=(-0.01, 0.0, 0.01))
 
 
 @query("engine_gate", "label:s passed:i failed:s escalate:b", SCORED + """, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM sc), au AS (SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM r),
