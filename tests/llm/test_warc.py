@@ -1,8 +1,9 @@
+import gzip
 import random
 
 from pyspark.sql import functions as F
 
-from tickloom.llm.warc import PERMITTED, SCHEMA, canonical, files_of, micros_of, parse_warc, records_of, resolved, warc_bytes, with_bodies
+from tickloom.llm.warc import PERMITTED, SCHEMA, canonical, captures, files_of, micros_of, parse_file, parse_warc, records_of, resolved, warc_bytes, with_bodies
 
 
 def brute(rows):
@@ -90,3 +91,51 @@ def test_rows_through_files(spark):
     rows = [(1, "response", None, 5, 200, {"etag": "x"}, "d", b"b\xff\r\n\r\n"), (2, "revisit", "u", None, None, {}, None, b""), (3, "revisit", "u", 1 << 60, 304, {}, None, b"")]
     got = records_of(files_of(spark.createDataFrame(rows, SCHEMA))).collect()
     assert sorted((*x[:7], bytes(x[7])) for x in got) == rows
+
+
+def test_damaged_records_are_counted_and_the_rest_is_read(spark):
+    good = [(i, "response", "http://a/b", 10 * i, 200, {"etag": f"t{i}"}, None, b"body %d" % i) for i in range(4)]
+    bad = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nHTTP/1.1 200 x\r\n\r\nlost\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n",
+           b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: -5\r\n\r\n\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\nx\r\n\r\n"]
+    odd = b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:record:9>\r\nWARC-Target-URI: http://a/b\r\nWARC-Date: 99\r\n\xff\xfe: x\r\nContent-Length: 36\r\n\r\nHTTP/1.1 30433333333 x\r\n\xffName: y\r\n\r\n\r\n\r\n"
+    data = b"".join(x for pair in zip((warc_bytes(*g) for g in good), bad) for x in pair) + odd
+    cut = warc_bytes(7, "response", "http://a/b", 70, 200, {}, None, b"long body" * 20)[:-60]
+    rows = list(parse_warc(data))
+    assert [r for r in rows if r[1] == "response"] == good and sum(r[1] == "damaged" for r in rows) == 4
+    assert rows[-1][:5] == (9, "revisit", "http://a/b", 99, None) and [r[:2] for r in parse_warc(cut)] == [(7, "damaged")]
+    got = records_of(spark.createDataFrame([(data,), (cut,)], "content binary"))
+    assert got.where("type = 'damaged'").count() == 5
+    assert [(r.record_id, r.source_id) for r in resolved(got).collect()] == [(9, 3)]
+
+
+def test_compressed_files(spark):
+    rows = [(i, "response", "http://a/b", i, 200, {}, None, b"x\x1f\x8b\x08y" * i) for i in range(5)]
+    parts = [gzip.compress(warc_bytes(*r)) for r in rows]
+    assert list(parse_file(b"".join(parts))) == rows == list(parse_file(gzip.compress(b"".join(warc_bytes(*r) for r in rows))))
+    broken = bytearray(parts[1])
+    broken[len(broken) // 2] ^= 0xFF
+    got = list(parse_file(parts[0] + bytes(broken) + parts[2] + parts[3][:-9]))
+    assert [r[0] for r in got if r[1] == "response"] == [0, 2] and sum(r[1] == "damaged" for r in got) >= 2
+    assert list(parse_file(gzip.compress(b""))) == [] == list(parse_file(b""))
+    kinds = {r["type"]: r["count"] for r in records_of(spark.createDataFrame([(b"".join(parts),), (bytes(broken),)], "content binary")).groupBy("type").count().collect()}
+    assert kinds["response"] == 5 and kinds["damaged"] >= 1
+
+
+def test_long_bodies_and_clashing_columns(spark):
+    long_ = "ä" * 3_000_000
+    rows = [(1, "response", "u", 1, 200, {"etag": "x"}, None, long_.encode()), (2, "revisit", "u", 2, 304, {"etag": "x"}, None, None)]
+    extra = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("z") for n in ("key", "kind", "piece", "inside", "from", "carried", "source_id", "outcome", "content", "id")})
+    back = records_of(files_of(extra))
+    for d in (extra, back):
+        assert [(r.record_id, r.source_id, r.outcome) for r in resolved(d).collect()] == [(2, 1, "resolved")]
+    assert with_bodies(resolved(back), back).select(F.length("body")).first()[0] == 6_000_000
+
+
+def test_made_crawl_chooses_among_several_responses(spark):
+    pages = spark.createDataFrame([(i, f"https://h{i % 2}.org/x{i}?a={i}", "t" * (i % 9)) for i in range(400)] + [(400, None, None)], "page_id long, url string, html string")
+    got = captures(pages).withColumn("key", canonical(F.col("url")))
+    per = got.where("type = 'response' AND key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("status").alias("statuses"))
+    assert per.agg(F.min("n")).first()[0] >= 40 and per.agg(F.max("statuses")).first()[0] >= 2
+    outcomes = {r["outcome"]: r["count"] for r in resolved(got).groupBy("outcome").count().collect()}
+    assert outcomes["resolved"] > 50 and outcomes["changed"] > 50 and outcomes["no_response"] >= 1
+    assert resolved(got).where("source_id IS NOT NULL AND source_id <> record_id - 1").count() > 50

@@ -14,10 +14,15 @@ columns are ignored.
 
 Files: dates are ISO 8601 as the standard has them, or whole numbers; both become microseconds, finer digits are cut off. A record id
 that ends in a number below 2^63 is that number, any other (such as a UUID) its 64-bit digest. A field that is absent is null.
+Files may be compressed with gzip, as a whole or record by record; a record lies in one member. A record without a usable
+Content-Length, or cut short, and a member that can't be unpacked are rows of type `damaged`, so that they can be counted; they
+resolve nothing, and reading goes on at the next record or member. Empty tables and files give no rows; bodies of any length stay
+whole, one file or member at a time in a task's memory.
 """
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from hashlib import blake2b
@@ -32,6 +37,7 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 #: Parameters that don't change what a URL shows.
 TRACKING = "^(utm_[a-z]+|ref|sid)(=|$)"
 FILE = 1 << 20
+STEP = 1 << 16
 SCHEMA = "record_id long, type string, url string, at long, status int, headers map<string,string>, digest string, body binary"
 
 
@@ -90,7 +96,7 @@ _DIGITS = re.compile(r"\d+", re.ASCII)
 
 def _number(x: str) -> int | None:
     """A whole number that a long holds."""
-    return n if _DIGITS.fullmatch(x) and (n := int(x)) < 1 << 63 else None
+    return n if _DIGITS.fullmatch(x) and len(x.lstrip("0")) < 20 and (n := int(x.lstrip("0") or "0")) < 1 << 63 else None
 
 
 def micros_of(date: str) -> int | None:
@@ -131,35 +137,69 @@ def warc_bytes(record_id: int, type_: str, url: str | None, at: int | None, stat
 
 def _fields(block: bytes) -> dict[str, str]:
     pairs = (line.split(b":", 1) for line in block.split(b"\r\n")[1:] if b":" in line)
-    return {k.strip().lower().decode(): v.strip().decode(errors="replace") for k, v in pairs}
+    return {k.strip().lower().decode(errors="replace"): v.strip().decode(errors="replace") for k, v in pairs}
 
 
 def parse_warc(data: bytes) -> Iterator[tuple]:
-    """Records of WARC bytes, as rows of SCHEMA; what is no response or revisit is left out."""
+    """Records of plain WARC bytes, as rows of SCHEMA: responses, revisits and damaged ones; what is nothing of these is left out."""
     at = data.find(b"WARC/")
     while at >= 0:
         stop = data.find(b"\r\n\r\n", at)
         if stop < 0:
             return
         head = _fields(data[at:stop])
-        size = int(head.get("content-length", 0))
-        block = data[stop + 4:stop + 4 + size]
-        if head.get("warc-type") in ("response", "revisit"):
-            top, _, body = block.partition(b"\r\n\r\n")
+        size = _number(head.get("content-length", ""))
+        name = (id_of(head.get("warc-record-id", "")), head.get("warc-type"), head.get("warc-target-uri"), micros_of(head.get("warc-date", "")))
+        if size is None or stop + 4 + size > len(data):
+            yield name[0], "damaged", *name[2:], None, {}, head.get("warc-payload-digest"), b""
+            at = data.find(b"\r\nWARC/", stop + 2)  # its length says nothing, so the next record is looked for in its body
+            at += 2 if at >= 0 else 0
+            continue
+        if name[1] in ("response", "revisit"):
+            top, _, body = data[stop + 4:stop + 4 + size].partition(b"\r\n\r\n")
             status = top.split(b" ")[1:2]
-            yield (id_of(head.get("warc-record-id", "")), head["warc-type"], head.get("warc-target-uri"), micros_of(head.get("warc-date", "")),
-                   int(status[0]) if status and status[0].isdigit() else None, _fields(top), head.get("warc-payload-digest"), body)
+            yield *name, int(status[0]) if status and status[0].isdigit() and len(status[0]) == 3 else None, _fields(top), head.get("warc-payload-digest"), body
         at = data.find(b"WARC/", stop + 4 + size)
 
 
+_MEMBER = b"\x1f\x8b\x08"
+
+
+def members(data: bytes) -> Iterator[bytes | None]:
+    """The gzip members of a file, unpacked, or the file itself if it isn't compressed; None for a member that is damaged or cut short."""
+    if not data.startswith(_MEMBER):
+        yield data
+        return
+    at, view = 0, memoryview(data)
+    while at >= 0:
+        unpack, out, end = zlib.decompressobj(zlib.MAX_WBITS | 16), [], at
+        try:
+            while not unpack.eof and end < len(data):  # in steps, as the rest of the file is copied for every member otherwise
+                out.append(unpack.decompress(view[end:end + STEP]))
+                end += STEP
+        except zlib.error:
+            pass
+        yield b"".join(out) if unpack.eof else None
+        at = data.find(_MEMBER, min(end, len(data)) - len(unpack.unused_data) if unpack.eof else at + 1)
+
+
+def parse_file(data: bytes) -> Iterator[tuple]:
+    """Records of a WARC file, plain or compressed."""
+    for part in members(data):
+        if part is None:
+            yield None, "damaged", None, None, None, {}, None, b""
+        else:
+            yield from parse_warc(part)
+
+
 def records_of(files: DataFrame) -> DataFrame:
-    """Records of rows with `content` (bytes of WARC files, as the binaryFile source gives them)."""
+    """Records of rows with `content` (bytes of WARC files, plain or gzip, as the binaryFile source gives them)."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
         for b in batches:
             for content in b["content"]:
-                yield pd.DataFrame(list(parse_warc(bytes(content or b""))), columns=names).astype({"record_id": "Int64", "at": "Int64", "status": "Int64"})
+                yield pd.DataFrame(list(parse_file(bytes(content or b""))), columns=names).astype({"record_id": "Int64", "at": "Int64", "status": "Int64"})
     return files.select("content").mapInPandas(run, SCHEMA)
 
 
@@ -183,15 +223,20 @@ def files_of(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """A crawl made of pages: each is fetched in full, and asked for again some time later under another spelling of its URL.
+    """A crawl made of pages: the pages of a host are versions of eight addresses, fetched one after the other under several spellings.
 
-    Some of the later answers carry another entity tag, none, or the digest."""
+    Some fetches fail or lead elsewhere. Each address is asked for again some time after each fetch, mostly with other fetches in between; some
+    of these answers carry another entity tag, none, or the digest of the page fetched then."""
     p, h = F.col("page_id"), F.coalesce("html", F.lit(""))
     text = lambda c: c.cast("string")
-    base = pages.select("page_id", "url", h.cast("binary").alias("body"), F.octet_length(h).alias("n"), F.md5(h).alias("sum"))
-    tag, day = F.concat(F.lit('"'), F.substring("sum", 1, 16), F.lit('"')), F.concat(F.lit("day "), text(F.floor(p / 7)))
+    url = F.concat(F.regexp_extract("url", "^[^/]*//[^/?#]*", 0), F.lit("/s"), text(p % 8))
+    base = pages.select("page_id", url.alias("url"), h.cast("binary").alias("body"), F.octet_length(h).alias("n"), F.md5(h).alias("sum"))
+    version = text(F.floor(p / 64))
+    tag, day = F.concat(F.lit('"v'), version, F.lit('"')), F.concat(F.lit("day "), version)
     later = 2 * (p + 1 + p % 97) + 1
-    first = base.select((2 * p).alias("record_id"), F.lit("response").alias("type"), "url", (2 * p).alias("at"), F.lit(200).alias("status"), F.create_map(
+    status = F.when(p % 6 == 5, 404).when(p % 6 == 4, 301).otherwise(200)
+    first = base.select((2 * p).alias("record_id"), F.lit("response").alias("type"), F.when(p % 3 == 0, F.concat("url", F.lit("/?ref=x"))).otherwise(F.col("url")).alias("url"),
+                        (2 * p).alias("at"), status.alias("status"), F.create_map(
         F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), text(F.col("n")), F.lit("content-type"), F.lit("text/html"), F.lit("date"), text(2 * p),
         F.lit("etag"), tag, F.lit("last-modified"), day).alias("headers"), F.col("sum").alias("digest"), "body")
     sent = F.create_map(F.lit("cache-control"), F.lit("max-age=120"), F.lit("content-length"), F.lit("0"), F.lit("date"), text(later), F.lit("server"), F.lit("edge"),
@@ -215,10 +260,10 @@ def _sql_key(url: str) -> str:
 
 
 OP8_SQL = f"""
-WITH b AS (SELECT page_id AS p, url, md5(coalesce(html, '')) AS s, strlen(coalesce(html, '')) AS n FROM pages),
-f AS (SELECT 2 * p AS source_id, 2 * p AS at, {_sql_key("url")} AS key, '"' || s[1:16] || '"' AS tag, 'day ' || (p // 7) AS day, s, n FROM b),
+WITH b AS (SELECT page_id AS p, regexp_extract(url, '^[^/]*//[^/?#]*') || '/s' || (page_id % 8) AS url, md5(coalesce(html, '')) AS s, strlen(coalesce(html, '')) AS n, '"v' || (page_id // 64) || '"' AS tag, 'day ' || (page_id // 64) AS day FROM pages),
+f AS (SELECT 2 * p AS source_id, 2 * p AS at, {_sql_key("url")} AS key, tag, day, s, n FROM b WHERE p % 6 < 4),
 r AS (SELECT 2 * p + 1 AS record_id, 2 * (p + 1 + p % 97) + 1 AS at, {_sql_key("url")} AS key,
-        CASE WHEN p % 11 = 0 THEN '"other"' WHEN p % 13 <> 0 THEN '"' || s[1:16] || '"' END AS tag, CASE WHEN p % 13 = 0 THEN 'day ' || (p // 7) END AS day,
+        CASE WHEN p % 11 = 0 THEN '"other"' WHEN p % 13 <> 0 THEN tag END AS tag, CASE WHEN p % 13 = 0 THEN day END AS day,
         CASE WHEN p % 17 = 0 THEN s END AS s, p % 11 = 0 AS other FROM b),
 j AS (SELECT r.record_id, r.at AS r_at, r.tag, r.day, r.other, f.source_id, f.at AS f_at, f.tag AS f_tag, f.day AS f_day, f.n,
         CASE WHEN f.source_id IS NULL THEN 'no_response' WHEN r.tag <> f.tag OR r.day <> f.day OR r.s <> f.s THEN 'changed'
