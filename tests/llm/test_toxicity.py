@@ -1,7 +1,7 @@
 import random
 
 from tickloom.llm.lexicon import Matcher, Term
-from tickloom.llm.toxicity import Finder, rated, without_toxic
+from tickloom.llm.toxicity import Finder, learned, rated, without_toxic
 
 
 def distance(a, b):
@@ -84,3 +84,23 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [x.predicted for x in rated(d, none).collect()] == [0, 0] and without_toxic(d, none).count() == 2
     assert rated(d.limit(0), none).count() == 0
+
+
+def test_rare_and_long_terms_are_learned(spark):
+    """Abuse spread over 80 words, each in about 1% of the toxic texts, one of them longer than any beginning that is counted."""
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = ["".join(r.choices(letters, k=6)) for _ in range(300)]
+    rare = ["".join(r.choices(letters, k=9)) for _ in range(79)] + ["donaudampfschifffahrtsgesellschaftslump"]
+    rows = []
+    for i in range(6400):
+        words = r.choices(common, k=25)
+        if i % 8 == 0:
+            words[7] = words[20] = rare[i // 8 % 80]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(6400)], "doc_id long, toxic int")
+    starts = [t.text for t in learned(docs, labels).terms]
+    assert sum(any(w.startswith(s) for s in starts) for w in rare) >= 70 and any(rare[-1].startswith(s) for s in starts)
+    got = rated(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.97

@@ -125,13 +125,13 @@ def likelihood(b: int, g: int, n_bad: int, n_good: int) -> float:
     return 2 * (part(b, n_bad, p) + part(g, n_good, p)) if 0 < p < 1 else 0.0
 
 
-def chosen(prefixes: dict[str, tuple[int, int, int, int]], n_bad: int, n_good: int, support: int, odds: float = 4.0, least_g: float = 25.0, most: int = 400) -> list[Term]:
+def chosen(prefixes: dict[str, tuple[int, int, int, int]], n_bad: int, n_good: int, support: int, odds: float = 4.0, least_g: float = 25.0) -> list[Term]:
     """Terms from counts of word beginnings, whole words with END behind: bad and good texts with one, and with two or more.
 
     The beginning that tells bad from good texts best (log-likelihood ratio of either pair of counts) comes first; it is
     lengthened as long as nearly all its bad texts stay, and then stands for all beginnings that start it or start with it.
-    `support` bad texts and `odds` times the rate of good ones are needed. `most` bounds the lexicon, which grows with the
-    languages of the labels, not with the table.
+    `support` bad texts and `odds` times the rate of good ones are needed; every term that passes is taken, so the lexicon is
+    bounded by the sample alone.
     """
     def weight(b: int, g: int) -> float:
         return likelihood(b, g, n_bad, n_good) if b >= support and b / n_bad >= odds * (g + 0.5) / n_good else 0.0
@@ -143,7 +143,7 @@ def chosen(prefixes: dict[str, tuple[int, int, int, int]], n_bad: int, n_good: i
         below.setdefault(p[:-1], []).append(p)
     out, taken = [], set()
     for p in sorted(rest, key=lambda p: (-rest[p], len(p), p)):
-        if p in taken or any(p.startswith(t) for t in out) or len(out) == most:
+        if p in taken or any(p.startswith(t) for t in out):
             continue
         while not p.endswith(END):
             more = [c for c in below.get(p, ()) if prefixes[c][0] >= 0.9 * prefixes[p][0]]

@@ -8,7 +8,8 @@ all kinds with as many edits and the same context. The score is a logistic funct
 
 Labels, lang, source and doc_id are no inputs of a score. Null and empty texts have no hits and get the score of a text
 without any. Without toxic and clean labelled rows the score is the share of toxic ones, 0 if there are none. Several
-labels of one doc_id count as their highest; repeated rows of documents give repeated results.
+labels of one doc_id count as their highest; repeated rows of documents give repeated results. Texts are read whole, however long;
+equal scores need no order; empty tables give no rows; extra columns are ignored (`without_toxic` keeps them).
 """
 from __future__ import annotations
 
@@ -26,7 +27,8 @@ from .store import text_of, written
 
 SAMPLE, FOLDS, NEAR, CLEAN_WORDS = 12_000, 5, 48, 400_000
 OFTEN = 3  # hits of a kind in a text, from which on they count alike
-LONGEST = 14  # letters of a word that the lexicon can hold
+LONGEST = 20  # letters of a beginning; a longer word is known by its first ones
+SUPPORT = 5  # toxic texts that a term needs, however many there are
 REPORT = frozenset("said says say wrote writes called calls quote quoted quotes word words term terms sagte sagt schrieb nannte wort dit disait écrit appelé mot dijo dice escribió llamó palabra".split())
 ADDRESS = frozenset("you your you're u du dich dein deine ihr euch tu te toi vous ton ta tú usted eres vosotros".split())
 _OPEN, _CLOSE = "\"“„«‚‘", "\"”“»’‘"
@@ -156,23 +158,23 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for i in range(0, len(b), 200):
                 seen = [Counter() for _ in range(4)]  # toxic and clean texts with a beginning; with two or more of it
                 for text, y in zip(b["text"].iloc[i:i + 200], b["y"].iloc[i:i + 200]):
-                    words = Counter(w for w in map(bare, text.lower().split()) if 3 <= len(w) <= LONGEST and w.isalpha())
+                    words = Counter(w for w in map(bare, text.lower().split()) if 3 <= len(w) and w.isalpha())
                     times: Counter = Counter()
                     for w, n in words.items():
-                        for k in range(3, len(w) + 1):
+                        for k in range(3, min(len(w), LONGEST) + 1):
                             times[w[:k]] += n
-                        times[w + END] += n
+                        if len(w) <= LONGEST:
+                            times[w + END] += n
                     at = 0 if y > 0 else 1
                     seen[at].update(times.keys())
                     seen[at + 2].update(p for p, n in times.items() if n > 1)
                 every = list(seen[0].keys() | seen[1].keys())
                 yield pd.DataFrame({"p": every} | {c: [x[p] for p in every] for c, x in zip(("bad", "good", "bad2", "good2"), seen)})
 
-    support = max(5, n_bad // 50)
-    # Only beginnings with enough toxic texts come to the driver: at most 50 times those of one text.
+    # Only beginnings with enough toxic texts come to the driver: at most a fifth of those that the sample's toxic texts hold.
     counts = (rows.mapInPandas(beginnings, "p string, bad long, good long, bad2 long, good2 long").groupBy("p")
-              .agg(*[F.sum(c).alias(c) for c in ("bad", "good", "bad2", "good2")]).where(F.col("bad") >= support))
-    terms = chosen({r["p"]: (r["bad"], r["good"], r["bad2"], r["good2"]) for r in counts.collect()}, n_bad, n_good, support)
+              .agg(*[F.sum(c).alias(c) for c in ("bad", "good", "bad2", "good2")]).where(F.col("bad") >= SUPPORT))
+    terms = chosen({r["p"]: (r["bad"], r["good"], r["bad2"], r["good2"]) for r in counts.collect()}, n_bad, n_good, SUPPORT)
 
     def hits(batches: Iterator[pd.DataFrame]):
         find = Finder(terms)
