@@ -114,3 +114,21 @@ def test_a_line_with_two_typos_goes_in_the_pipeline(spark):
     x = "a sentence of more than fifty characters that stands in one document and, with typos, in another"
     rows = [(1, x), (2, x.replace("sentence", "sentense").replace("typos", "tipos")), (3, x.replace("document", "book"))]
     assert [r.text for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [x, "", rows[2][1]]
+
+
+def test_registered_query_against_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    base = ["".join(r.choice("abc é") for _ in range(n)).strip() + "q" for n in (2, 5, 22, 23, 24, 25, 40, 65)]
+    rows = [(d, "\n".join([*[edit(r, r.choice(base)) for _ in range(4)], "", " Les. "])) for d in range(40)] + [(90, None), (91, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first, want = {}, {}
+    for d, t in rows:
+        ls = [x.strip(" \t\r") for x in (t or "").split("\n")]
+        want[d] = (sum(x != "" for x in ls), [])
+        for i, x in enumerate(ls):
+            if x and (x in first or len(x) >= 24 and any(len(y) >= 24 and near(x, y) for y in first)):
+                want[d][1].append(i)
+            if x:
+                first.setdefault(x, (d, i))
+    got = {x.doc_id: (x.n_lines, [int(i) for i in x.dropped.split(",") if i]) for x in line_dedup.op2(spark, str(tmp_path)).collect()}
+    assert got == want

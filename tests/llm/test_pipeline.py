@@ -25,4 +25,4 @@ def test_stages_without_rows(spark):
 
 
 def test_registry():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} and set(ORACLES) <= set(QUERIES)

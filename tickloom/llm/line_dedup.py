@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join: lines within one edit of an earlier line go, the earliest stays.
 
 Lines are cut at `\\n` and compared without outer spaces, tabs and carriage returns. A line takes part if it has `equal`
-characters or more (1 in `without_repeated_lines`; as many as `least` in `line_report` unless given), and in the search for
-near lines if it has `least`. A line goes if an equal line, or one within a bound of edits, stands before it in the order of
+characters or more (1 in `without_repeated_lines` and in the registered query; as many as `least` in `line_report` unless
+given), and in the search for near lines if it has `least`. A line goes if an equal line, or one within a bound of edits, stands before it in the order of
 (doc_id, line number), whether that line itself stays or not; so the result doesn't depend on the order of the work. The bound
 is 1 in `line_report` unless given; in `without_repeated_lines` it grows with the longer line (`Bound`).
 
@@ -376,16 +376,17 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | Non
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every line that isn't empty takes part; near lines are those within one edit, of LEAST characters or more."""
+    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), equal=1)
 
 
 _SQL_HALF = "CASE WHEN {0} < 64 THEN {0} // 2 ELSE 8 * ({0} // 16) END"
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS line_no, trim(ls[i], ' ' || chr(9) || chr(13)) AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-lines AS (SELECT *, length(x) AS n FROM l WHERE length(x) >= {LEAST}),
+lines AS (SELECT *, length(x) AS n FROM l WHERE length(x) >= 1),
 classes AS (SELECT x, n, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS place FROM lines GROUP BY x, n),
-h AS (SELECT *, unnest(list_distinct([{_SQL_HALF.format("n")}, {_SQL_HALF.format("(n - 1)")}])) AS h FROM classes),
+h AS (SELECT *, unnest(list_distinct([{_SQL_HALF.format("n")}, {_SQL_HALF.format("(n - 1)")}])) AS h FROM classes WHERE n >= {LEAST}),
 k AS (SELECT x, n, place, 's' || h || ':' || left(x, h) AS k FROM h UNION ALL SELECT x, n, place, 'e' || h || ':' || right(x, h) FROM h),
 pairs AS (SELECT DISTINCT p.x AS x, q.x AS y, p.n AS n, q.n AS m FROM k p JOIN k q ON p.k = q.k AND q.place < p.place AND abs(p.n - q.n) <= 1),
 first AS (SELECT *, coalesce(list_min(list_filter(range(1, least(n, m) + 1), lambda i: x[i] <> y[i])), least(n, m) + 1) AS i FROM pairs),
@@ -393,7 +394,7 @@ near AS (SELECT DISTINCT x FROM first WHERE CASE WHEN n = m THEN substr(x, i + 1
 gone AS (SELECT l.doc_id, l.line_no FROM lines l JOIN classes c ON c.x = l.x
          WHERE struct_pack(doc_id := l.doc_id, line_no := l.line_no) <> c.place OR l.x IN (SELECT x FROM near)),
 per AS (SELECT doc_id, count(*) AS n_dropped, string_agg(line_no, ',' ORDER BY line_no) AS dropped FROM gone GROUP BY 1)
-SELECT d.doc_id, cast(len(list_filter(ls, lambda z: length(trim(z, ' ' || chr(9) || chr(13))) >= {LEAST})) AS bigint) AS n_lines,
+SELECT d.doc_id, cast(len(list_filter(ls, lambda z: length(trim(z, ' ' || chr(9) || chr(13))) >= 1)) AS bigint) AS n_lines,
        coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped
 FROM d LEFT JOIN per ON per.doc_id = d.doc_id
 """
