@@ -43,6 +43,8 @@ CELL = 64  # places; more than twice the bound
 SMALL = 64  # lines of a run that are simply joined
 FAMILY = 2048  # lines that a task compares with those of a larger run
 BINS = 64
+STRIP = 256  # lines of a block that are compared at a time
+PAIRS = 8192  # pairs that are compared at a time
 OUTER = " \t\r"
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = U(pow(_BASE, -1, 1 << 64))
@@ -302,39 +304,93 @@ def _sketch(lines: list[str]) -> np.ndarray:
     return out
 
 
-def within_families(many: DataFrame, cand: DataFrame, bound: Bound) -> DataFrame:
-    """a and an earlier a0 of the same run (key, size) that may be within the bound, for the lines that aren't done.
+def _near(x: np.ndarray, y: np.ndarray, k: np.ndarray, sums: np.ndarray, at: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Whether line x[i] is within k[i] edits of line y[i], from the furthest place that e = 0, 1, ... edits reach on each diagonal.
+
+    How far two lines agree is searched by halves over the hashes of their runs, so a pair costs the logarithm of its length."""
+    n, m = at[x + 1] - at[x], at[y + 1] - at[y]
+    ok, reach, rows = np.zeros(len(x), dtype=bool), np.zeros((len(x), 0), dtype=np.int64), np.arange(len(x))
+    for e in range(int(k.max(initial=-1)) + 1):
+        d = np.arange(-e, e + 1)
+        end = np.minimum(n[:, None], m[:, None] - d)
+        if e:
+            old = np.pad(reach, ((0, 0), (2, 2)), constant_values=-MANY)
+            i = np.minimum(np.maximum(np.maximum(old[:, 1:-1] + 1, old[:, :-2]), old[:, 2:] + 1), end)
+        else:
+            i = np.zeros_like(end)
+        f, g = at[x][:, None] + i, at[y][:, None] + i + d
+        low, high = np.zeros_like(end), end - i
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = (sums[f + mid] - sums[f]) * back[i] == (sums[g + mid] - sums[g]) * back[i + d]
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        reach = i + low
+        ok |= (e <= k) & (np.abs(m - n) <= e) & (reach[rows, np.clip(m - n + e, 0, 2 * e)] >= n)
+    return ok
+
+
+def _first_near(texts: list[str], own: int, rank: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first `own` texts one of the others that comes before it (rank) and is within the bound, if there is one.
+
+    Others whose sketches differ by more than 4 characters for each edit are left out, as that many edits can't make them. The closest
+    by sketch is tried first, so that all others are only tried for texts that it doesn't settle."""
+    (sums, at), sketch = _prefix(texts), _sketch(texts)
+    back = np.full(int(np.diff(at).max(initial=0)) + 1, _INVERSE, dtype=U)
+    back[0] = 1
+    back, n = np.multiply.accumulate(back), np.diff(at)
+    found, other = [], []
+    for f in range(0, own, STRIP):
+        xs, ys, ks, begin = [], [], [], [0]
+        for i in range(f, min(f + STRIP, own)):
+            y = own + np.flatnonzero((rank[own:] < rank[i]) & (np.abs(n[own:] - n[i]) <= bound.most))
+            k = np.minimum(bound.most, 1 + np.maximum(n[y], n[i]) // bound.per)
+            far = np.abs(sketch[y] - sketch[i]).sum(axis=1)
+            y, k, far = (z[(far <= 4 * k) & (np.abs(n[y] - n[i]) <= k)] for z in (y, k, far))
+            by = np.argsort(far, kind="stable")
+            xs, ys, ks = [*xs, np.full(len(y), i)], [*ys, y[by]], [*ks, k[by]]
+            begin.append(begin[-1] + len(y))
+        x, y, k = (np.concatenate(z) for z in (xs, ys, ks))
+        closest = np.zeros(len(x), dtype=bool)
+        closest[[b for b, c in zip(begin, begin[1:]) if b < c]] = True
+        settled = np.zeros(own, dtype=bool)
+        for todo in (np.flatnonzero(closest), np.flatnonzero(~closest)):
+            for j in range(0, len(todo), PAIRS):
+                t = todo[j:j + PAIRS]
+                t = t[~settled[x[t]]]
+                t = t[_near(x[t], y[t], k[t], sums, at, back)]
+                _, one = np.unique(x[t], return_index=True)
+                settled[x[t]] = True
+                found, other = [*found, x[t][one]], [*other, y[t][one]]
+    return tuple(np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (found, other))
 
-    The lines of a run that aren't done are dealt to blocks of about FAMILY, each of which meets all lines of the run in batches; pairs whose
-    sketches differ by more than 4 characters for each edit are never put out."""
-    def sketches(batches):
-        for p in batches:
-            yield pd.DataFrame({"a": p["a"], "sketch": list(_sketch(p["line"].tolist()))})
-
-    lines = cand.join(many.select("a").distinct(), "a", "left_semi")
-    m = written(many.join(lines.select("a", "line").mapInPandas(sketches, "a long, sketch array<int>"), "a"), "families")
-    blocks = F.ceil(F.col("members") / FAMILY)
-    own = m.where("done IS NULL").withColumn("block", F.pmod(F.xxhash64("a"), blocks))
-    met = m.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    cols = [*[F.col(c).alias(c) for c in ("key", "size", "block", "a", "n", "sketch")], F.col("place.late").alias("late"), F.col("place.doc_id").alias("doc_id"), F.col("place.t").alias("t"), F.col("place.line_no").alias("line_no")]
+
+def within_families(many: DataFrame, cand: DataFrame, bound: Bound) -> DataFrame:
+    """a and an earlier a0 of the same run (key, size) within the bound, one in each block, for the lines that aren't done.
+
+    The lines of a run that aren't done are dealt to blocks of about FAMILY, and so are all lines of the run; each two blocks meet in one
+    task, which holds no more than their lines however large the run is."""
+    by, id_type = ["key", "size"], many.schema["place"].dataType["doc_id"].dataType
+    m = written(many.join(cand.select("a", "line"), "a"), "families")
+    size = m.groupBy(*by).agg(F.count("*").alias("all"), F.count_if(F.col("done").isNull()).alias("open")).where("open > 0")
+    m = m.join(size, by).select(
+        *by, "a", "line", "done", "place.late", F.coalesce("place.doc_id", F.lit(0).cast(id_type)).alias("doc_id"), "place.t", "place.line_no",
+        F.ceil(F.col("open") / FAMILY).alias("rows"), F.ceil(F.col("all") / FAMILY).alias("cols"))
+    dealt = lambda n: F.pmod(F.xxhash64("a"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     order = ["late", "doc_id", "t", "line_no"]
+    own = m.where("done IS NULL").withColumn("i", dealt("rows")).withColumn("j", each("cols"))
+    met = m.withColumn("j", dealt("cols")).withColumn("i", each("rows"))
+    block = [*by, "i", "j"]
 
     def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        q = q.sort_values(order, kind="stable").reset_index(drop=True)
-        at = dict(zip(q["a"].tolist(), range(len(q))))
-        x, y = (np.array(z["sketch"].tolist(), dtype=np.int32).reshape(-1, BINS) for z in (p, q))
-        n, m = p["n"].to_numpy(), q["n"].to_numpy()
-        a, a0 = [], []
-        for i, line in enumerate(p["a"].tolist()):
-            j = at[line]  # lines before it in the order of places
-            k = np.minimum(bound.most, 1 + np.maximum(m[:j], n[i]) // bound.per)
-            hit = np.flatnonzero((np.abs(m[:j] - n[i]) <= k) & (np.abs(y[:j] - x[i]).sum(axis=1) <= 4 * k))
-            a += [line] * len(hit)
-            a0 += q["a"].to_numpy()[hit].tolist()
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "a0": np.array(a0, dtype=np.int64)})
-
-    by = ["key", "size", "block"]
-    return own.select(cols).groupBy(*by).cogroup(met.select(cols).groupBy(*by)).applyInPandas(lambda p, q: compare(p, q), "a long, a0 long").distinct()
+        both = pd.concat([p, q], ignore_index=True)
+        rank = both.groupby(order, sort=True, dropna=False).ngroup().to_numpy()
+        x, y = _first_near(both["line"].tolist(), len(p), rank, bound) if len(p) and len(q) else ([], [])
+        a = both["a"].to_numpy(dtype=np.int64)
+        return pd.DataFrame({"a": a[x], "a0": a[y]} if len(x) else {"a": a[:0], "a0": a[:0]})
+
+    cols = [F.col(c).alias(c) for c in (*block, "a", "line", *order)]  # new names, as both sides come from one table
+    return own.select(cols).groupBy(*block).cogroup(met.select(cols).groupBy(*block)).applyInPandas(compare, "a long, a0 long").distinct()
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None, bound: Bound = ONE) -> DataFrame:
