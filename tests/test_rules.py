@@ -113,6 +113,37 @@ def test_position_cap_against_loop(spark):
     assert {r.trade_id: r.kept for r in got.itertuples()} == want
 
 
+def test_position_cap_folds_moments(spark, monkeypatch):
+    """Days with many trades, some without length, without times or twice: as the loop, and no trade is folded that can't take a place."""
+    rng = np.random.default_rng(8)
+    n, limit = 3000, 4
+    start = rng.integers(0, 30, n)
+    t0 = pd.Timestamp("2024-01-01")
+    p = pd.DataFrame({"book": rng.integers(0, 2, n), "trade_id": rng.integers(0, 400, n).astype(str), "symbol": "S", "no": np.arange(n)})
+    p["entry_time"], p["exit_time"] = t0 + pd.to_timedelta(start, unit="D"), t0 + pd.to_timedelta(start + rng.integers(0, 9, n), unit="D")
+    p.loc[::97, "exit_time"] = pd.NaT
+    p = pd.concat([p, p.iloc[:600]]).sort_values(["entry_time", "symbol", "trade_id", "exit_time"])
+    want = {}
+    for book, rows in p.groupby("book"):
+        live = []
+        for r in rows.itertuples():
+            live = [x for x in live if x > r.entry_time]
+            kept = len(live) < limit or pd.isna(r.exit_time)
+            if kept and not pd.isna(r.exit_time):
+                live.append(r.exit_time)
+            k = (book, r.entry_time, r.trade_id, r.exit_time if not pd.isna(r.exit_time) else None)
+            want.setdefault(k, []).append(kept)
+    d = spark.createDataFrame(p)
+    d = d.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("entry_time", "exit_time")})
+    sizes, fold = [], tl.ordered_fold
+    monkeypatch.setattr(tl, "ordered_fold", lambda df, *a, **kw: sizes.append(df.count()) or fold(df, *a, **kw))
+    got = {}
+    for r in tl.position_cap(d, limit, keys=("book",), rows=7, warm=2).collect():
+        got.setdefault((r.book, r.entry_time, r.trade_id, r.exit_time), []).append(r.kept)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sizes == [60]
+
+
 def test_regime_segments_against_loop(spark):
     rng = np.random.default_rng(6)
     n = 300

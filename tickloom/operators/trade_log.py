@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import c, div
 from .asof import asof_backward
-from .durable import durable
+from .durable import durable, stored
 from .fold import ordered_fold, summary_fold
 from .gates import DRIVERS
 from .layout import deepest_fall, in_chunks, number_rows, running
@@ -173,32 +173,63 @@ def position_cap(trades: DataFrame, limit: int, *, keys: Sequence[str] = (), ent
                  order=("entry_time", "symbol", "trade_id"), **kw) -> DataFrame:
     """Keep a trade if fewer than `limit` kept trades are open when it starts; adds `kept`.
 
-    The state is the exit times of the open kept trades, at most `limit`
-    numbers. Trades without both times are kept.
+    Trades without both times are kept. `order` starts with the entry time. A trade that takes a place holds it for the rest of
+    its moment, so of the trades of a moment that last only the first `limit` can be kept: no row but these is sorted or moved
+    for the state, which is folded over moments and not over trades. The state is the exit times of the open kept trades, at
+    most `limit` numbers. Each trade is then compared with the last one kept in its moment.
     """
+    if order[0] != entry:
+        raise ValueError("order must start with the entry time")
     by = list(keys) or ["_all"]
     d = trades if keys else trades.withColumn("_all", F.lit(0))
-    d = number_rows(d, by, order, "range")
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    d = d.withColumns({n: F.timestamp_diff("MICROSECOND", epoch, F.col(x).cast("timestamp_ntz")).cast("double")
+    d = d.withColumns({n: F.timestamp_diff("MICROSECOND", epoch, F.col(x).cast("timestamp_ntz"))
                        for n, x in (("_in", entry), ("_out", exit_))})
+    for k in by:
+        d = d.where(F.col(k).isNotNull())
+    place = F.struct(*order[1:], "_out")
+    timed = F.col("_in").isNotNull() & F.col("_out").isNotNull()
+    lasts = F.col("_out") > F.col("_in")
+    first = Window.partitionBy(*by, "_in").orderBy(F.col("_lasts").desc(), "_place")
+    heads = (d.where(timed).select(*by, "_in", "_out", lasts.alias("_lasts"), place.alias("_place"))
+             .withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= limit + 1))
+    mine = F.sort_array(F.collect_list(F.when(F.col("_lasts"), F.struct("_rn", "_place", "_out"))))
+    heads = durable(heads.groupBy(*by, "_in").agg(mine.alias("_heads")))
+
+    moments = heads.select(*by, "_in", F.timestamp_micros("_in").alias("_t"),
+                           F.transform(F.slice("_heads", 1, limit), lambda h: h["_out"].cast("double")).alias("_ends"))
+    moments = number_rows(moments, by, ("_t",)).drop("_t")
 
     def step(pdf, state):
         live = [x for x in state if not math.isnan(x)]
         heapq.heapify(live)
-        keep = []
-        for e, x in zip(pdf["_in"].to_numpy(float), pdf["_out"].to_numpy(float)):
-            if math.isnan(e) or math.isnan(x):
-                keep.append(True)
-                continue
+        free = []
+        for e, ends in zip(pdf["_in"], pdf["_ends"]):
             while live and live[0] <= e:
                 heapq.heappop(live)
-            keep.append(len(live) < limit)
-            if keep[-1]:
+            free.append(limit - len(live))
+            for x in ends[:free[-1]]:
                 heapq.heappush(live, x)
-        return {"kept": keep}, sorted(live) + [float("nan")] * (limit - len(live))
-    got = ordered_fold(d, step, {"kept": "boolean"}, [float("nan")] * limit, keys=by, **{"warm": 20 * limit, **kw})
-    return got.drop("_in", "_out", "_all", "bar_no")
+        return {"_free": free}, sorted(live) + [float("nan")] * (limit - len(live))
+    folded = ordered_fold(moments, step, {"_free": "int"}, [float("nan")] * limit, keys=by, **{"warm": 20 * limit, **kw})
+
+    free, full = F.col("_free"), F.size("_heads") >= F.col("_free")
+    at = F.when(free == 0, None).otherwise(F.get("_heads", free - 1)["_place"])
+    known = folded.select(*by, "_in", "_free").join(heads, [*by, "_in"])
+    known = known.select(*by, "_in", free, full.alias("_full"), at.alias("_last"), F.size(
+        F.filter(F.slice("_heads", F.lit(1), F.greatest(free, F.lit(1))), lambda h: h["_place"] == at)).alias("_same"),
+        (F.get("_heads", free)["_place"] == at).alias("_more"))
+    known = stored(known)
+    got = d.withColumn("_place", place).join(known, [*by, "_in"], "left")
+    before = F.when(lasts, F.col("_place") <= F.col("_last")).otherwise(F.col("_place") < F.col("_last"))
+    kept = F.when(~timed | ~F.col("_full"), True).when(free == 0, False).otherwise(before)
+    got = got.withColumn("kept", F.coalesce(kept, F.lit(True)))
+    if not known.where("_more").isEmpty():
+        # Equal rows of which only some find a place
+        tied = F.coalesce(F.col("_more") & lasts & (F.col("_place") == F.col("_last")), F.lit(False))
+        twins = got.where(tied).withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_in", "_place").orderBy(F.lit(0))))
+        got = got.where(~tied).unionByName(twins.withColumn("kept", F.col("_rn") <= F.col("_same")).drop("_rn"))
+    return got.drop("_in", "_out", "_all", "_place", "_free", "_full", "_last", "_same", "_more")
 
 
 def daily_pnl(trades: DataFrame, key="label", exit_="exit_time", ret="ret") -> DataFrame:

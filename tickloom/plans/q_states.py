@@ -19,7 +19,7 @@ CAP = scan_sql(f"""WITH RECURSIVE {TRADES_CTE}, src AS MATERIALIZED (SELECT cast
 
 @query("position_cap", "book:i kept:b n:i total:d", CAP + " SELECT symbol AS book, kept, count(*) AS n, sum(ret) AS total FROM scan JOIN src USING (symbol, bar_no) GROUP BY 1, 2")
 def _(T):
-    got = tl.position_cap(trades(T), LIMIT, keys=("book",))
+    got = tl.position_cap(trades(T).select("book", "symbol", "trade_id", "entry_time", "exit_time", "ret"), LIMIT, keys=("book",))
     return got.groupBy("book", "kept").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"))
 
 
