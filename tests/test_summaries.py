@@ -1,5 +1,6 @@
 """Two-pass folds over chunk summaries, the signal log under repeats, settings and caches."""
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -118,6 +119,21 @@ def test_edge_threshold_chooses(spark):
     assert (empty["method"], empty["reason"]) == ("fixed", "no_finite_values")
 
 
+def test_sign_flips_are_exact_without_copies(spark, monkeypatch):
+    """Continuous values, ties and zeros: the same threshold as with one copy of the rows per round, and no explode."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(F, "explode", None)
+    for x in (rng.normal(size=3001), np.round(rng.normal(size=500), 1), np.zeros(7), np.array([0.3])):
+        df = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(x)), "x": x}))
+        sign = [[1.0 if int(hashlib.md5(f"{k}|{r}".encode()).hexdigest()[:8], 16) % 2 == 0 else -1.0 for k in range(len(x))] for r in range(1, 21)]
+        dev = []
+        for s in np.array(sign) * np.abs(x):
+            dev.append(max(0.0, np.abs(x).mean() + np.median(np.abs(s - np.median(s))) / 0.67448975))
+        assert abs(sp.sign_flip_threshold(df, "x", "k", 20).first()["tau"] - np.quantile(dev, 0.95)) < 1e-12
+    empty = spark.createDataFrame([], "k int, x double")
+    assert sp.sign_flip_threshold(empty, "x", "k", 20).first()["tau"] is None
+
+
 def test_chunk_size_comes_from_the_session(spark):
     df = spark.range(1)
     assert chunk_rows(df) == 32768 and chunk_rows(df, 5) == 5
