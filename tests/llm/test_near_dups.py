@@ -66,6 +66,16 @@ def test_against_brute_force(spark, part, large, monkeypatch):
         assert x.n_shingles == len(reference_set(dict(rows)[x.doc_id]))
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """Few and short bands, so that most pairs share no second one: a bucket counts as large or not, the result is the same."""
+    df = spark.createDataFrame(corpus(random.Random(5)), "doc_id long, text string")
+    got = []
+    for large in (1 << 14, 2):
+        monkeypatch.setattr(near_dups, "LARGE", large)
+        got.append({x.doc_id: x.component_id for x in near_copies(df, places=4, rows=2).collect()})
+    assert got[0] == got[1]
+
+
 def test_chain_through_a_passage(spark):
     r = random.Random(4)
     long = [f"w{k}" for k in range(100)]

@@ -4,13 +4,13 @@ Two documents are linked if their sets of 5-word shingles have a Jaccard similar
 sets are one node, so a group of copies is never paired. Nodes that share a band are a bucket. First every member of a
 bucket is compared with the smallest one, which is linear and joins a group of near copies at once. Then the members that
 are not in the largest component of their bucket are compared with all its members of other components, block by block.
-Buckets of more than `LARGE` nodes are first cut by every second band their members share. No bucket is left out.
+In buckets of more than `LARGE` nodes, the members that share a second band are first joined by their smallest one too, which
+leaves fewer members to compare and no pair out: results don't depend on it. No bucket is left out.
 
 Before full sets are compared, a pair must agree in enough of the `FINE` places of longer signatures (one bit each), that nodes
 of shared buckets get: `MARGIN` below the wanted similarity, which is five standard deviations. A pair that shares several
 buckets is looked at in the first of them. With 32 bands of 4
-places a pair at 0.75 shares a band with probability 1 - 5e-6 (two, as large buckets ask for, with 1 - 8e-5); closer pairs
-more.
+places a pair at 0.75 shares a band with probability 1 - 5e-6; closer pairs more.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with equal doc_id are one document, linked with
 whatever any of its rows is. Rows without a doc_id are linked with nothing and kept. Repeated rows give repeated results.
@@ -137,16 +137,16 @@ def near_links(docs: DataFrame, sigs: DataFrame, width: int = WIDTH, percent: in
     links = written(same.union(alike(_promising(_stars(member, percent), sets, percent))), "links")
     top = components(links)
     open_ = _open(member, top)
-    pairs = _across(open_.where(F.col("size") <= LARGE), sets, banded, percent)
     large = open_.where(F.col("size") > LARGE)
     if not large.isEmpty():
+        # Hubs of finer buckets join most of a large bucket first, so that fewer strays meet all its members. No pair is left out by it.
         finer = large.select("node", "n", "bucket").join(banded.select("node", "bands"), "node")
         finer = finer.select("node", "n", "bucket", F.explode(F.array_except("bands", "bucket")).alias("band"))
         finer = written(finer.select(F.array_sort(F.array_append("bucket", F.col("band"))).alias("bucket"), "node", "n").distinct(), "finer")
         links = written(links.union(alike(_promising(_stars(finer, percent), sets, percent))), "links")
         top = components(links)
-        pairs = pairs.union(_across(_open(finer, top), sets, banded, percent)).distinct()
-    more = alike(pairs)
+        open_ = _open(member, top)
+    more = alike(_across(open_, sets, banded, percent))
     return heads, top if more.isEmpty() else components(links.union(more))
 
 
