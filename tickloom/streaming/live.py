@@ -10,7 +10,9 @@ import math
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,9 @@ from ..operators.paths import DECAY_RATE, MEDIAN_BEST, MIN_HOLD_OF_REGIME, P90_H
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+PIECE = 1 << 16  # rows that leave a state at once
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
@@ -97,16 +102,23 @@ class LastN(StatefulProcessor):
         self.kept = handle.getValueState("kept", "xs array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["t", "id"])
-        xs = list(self.kept.get()[0]) if self.kept.exists() else []
-        win, mean = [], []
-        for x in pdf["x"]:
-            xs = (xs + [float(x)])[-self.size:]
-            win.append(sum(v > 0 for v in xs) / len(xs))
-            mean.append(sum(xs) / len(xs))
-        self.kept.update((xs,))
-        pdf["win_rate"], pdf["mean"] = win, mean
-        yield pdf[["key", "id", "win_rate", "mean"]]
+        # three numbers a row are held to sort them; the results leave in pieces
+        parts = [(p["t"].to_numpy("datetime64[us]"), p["id"].to_numpy(), p["x"].to_numpy(float)) for p in rows]
+        t, ids, x = (np.concatenate(p) for p in zip(*parts))
+        del parts
+        order = np.lexsort((ids, t))
+        del t
+        xs = np.array(self.kept.get()[0] if self.kept.exists() else [], dtype=float)
+        for i in range(0, len(order), PIECE):
+            at = order[i:i + PIECE]
+            before = len(xs)
+            xs = np.r_[xs, x[at]]
+            short = max(self.size - 1 - before, 0)
+            frames = sliding_window_view(np.r_[np.zeros(short), xs], self.size)[-len(at):]
+            n = np.minimum(np.arange(before + 1, before + len(at) + 1), self.size)
+            yield pd.DataFrame({"key": key[0], "id": ids[at], "win_rate": (frames > 0).sum(axis=1) / n, "mean": frames.sum(axis=1) / n})
+            xs = xs[-self.size:]
+        self.kept.update((xs.tolist(),))
 
 
 def live_statistics(results: DataFrame) -> DataFrame:
