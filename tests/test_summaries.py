@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import market_structure as ms, mlops, splits as sp, trade_log as tl
 from tickloom.operators.durable import shared_dir
-from tickloom.operators.layout import chunk_rows
+from tickloom.operators.layout import chunk_rows, number_rows
 from tickloom.sources import bars as src
 from tickloom.streaming import live
 
@@ -158,3 +158,71 @@ def test_deepest_fall_does_not_depend_on_pieces(spark, floor):
     for rows in (1, 7, 1000):
         got = {r.k: r.fall for r in deepest_fall(df, "x", keys=("k",), pos="i", floor=floor, rows=rows).collect()}
         assert got == pytest.approx(want)
+
+
+def test_trades_are_joined_once(spark, tmp_path, monkeypatch):
+    """Queries that read their scored trades several times read them from one written join, with few columns."""
+    from tickloom.plans import q_model
+    from tickloom.plans.catalog import load
+    day = "timestamp_ntz '1996-03-01'"
+    spark.range(60).selectExpr("id AS o_orderkey", "id AS o_custkey", f"{day} + make_dt_interval(int(id % 7)) AS o_orderdate", "concat(id % 5, '-X') AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(300).selectExpr("id % 60 AS l_orderkey", "id AS l_partkey", "id % 9 AS l_suppkey", "int(id) AS l_linenumber", "double(id) AS l_quantity", "id * 1.5D AS l_extendedprice",
+                                "(id % 11) / 100D AS l_discount", "(id % 8) / 100D AS l_tax", "if(id % 3 = 0, 'A', 'N') AS l_returnflag", "'O' AS l_linestatus",
+                                f"{day} + make_dt_interval(int(id % 90)) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    joins, real = [], q_model.stored
+    monkeypatch.setattr(q_model, "stored", lambda df: joins.append(df.columns) or real(df))
+    for name in ("size_formulas", "scale_robust", "engine_gate", "conditional_threshold", "metrics_tail_spearman", "weights_tail_rank", "policy_map_join"):
+        joins.clear()
+        got = load()[name].plan(spark, str(tmp_path))
+        assert len(joins) == 1 and len(joins[0]) <= 7, name
+        assert "lineitem" not in "".join(got.inputFiles()) and got.count() > 0, name
+
+
+def test_positions_of_a_whole_table(spark):
+    """One key in range pieces: rows are numbered where they are sorted, without another shuffle of them."""
+    rng = np.random.default_rng(2)
+    p = pd.DataFrame({"a": rng.integers(0, 50, 2000), "b": rng.permutation(2000)})
+    d = number_rows(spark.createDataFrame(p).repartition(7), (), ("a", "b"), "range", "pos")
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1  # of the counts per piece
+    got = d.toPandas().sort_values("pos")
+    assert got["pos"].tolist() == list(range(2000))
+    assert got[["a", "b"]].to_numpy().tolist() == p.sort_values(["a", "b"]).to_numpy().tolist()
+    assert number_rows(spark.createDataFrame([], "a int, b int"), (), ("a", "b"), "range", "pos").count() == 0
+
+
+def test_last_results_in_pieces(monkeypatch):
+    """Rows of a state leave in pieces and go on from the kept results, whatever the size of a piece."""
+    class Kept:
+        xs = None
+
+        def exists(self):
+            return self.xs is not None
+
+        def get(self):
+            return self.xs
+
+        def update(self, v):
+            self.xs = v
+    monkeypatch.setattr(live, "PIECE", 7)
+    rng = np.random.default_rng(3)
+    state, want, got = live.LastN(), [], []
+    state.kept = Kept()
+    xs = []
+    for n in (1, 3, 30, 70, 120):
+        p = pd.DataFrame({"key": "k", "id": np.arange(n), "t": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 9, n), unit="s"), "x": rng.normal(size=n)})
+        for r in p.sort_values(["t", "id"]).itertuples():
+            xs = [*xs, r.x][-50:]
+            want.append((r.id, np.mean(np.array(xs) > 0), np.mean(xs)))
+        parts = list(state.handleInputRows(("k",), iter([p.iloc[:n // 2], p.iloc[n // 2:]]), None))
+        assert max(map(len, parts)) <= 7
+        got += [(r.id, r.win_rate, r.mean) for q in parts for r in q.itertuples()]
+    assert np.allclose(np.array(got), np.array(want))
+
+
+def test_trees_get_even_parts(spark):
+    """Rows in order of time: no part is larger than asked for, and every part has rows of each fold."""
+    d = spark.range(0, 5000, 1, 1).withColumn("fold", (F.col("id") >= 2500).cast("int"))
+    parts = [r.asDict() for r in mlops.even_parts(d, 500).groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("k")).collect()]
+    assert sum(p["n"] for p in parts) == 5000 and max(p["n"] for p in parts) <= 510 and {p["k"] for p in parts} == {2}
+    assert mlops.even_parts(d.limit(0)).count() == 0

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .durable import stored
 from .layout import number_rows, ranged, running
 
 
@@ -48,6 +49,7 @@ def average_rank(df: DataFrame, x: str, out: str, keys: Sequence[str] = ()) -> D
     total = cum.groupBy(*keys).agg(F.max("_upto").alias(f"{out}_of"))
     ranks = cum.select(*keys, x, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
     ranks = ranks.join(total, list(keys)) if keys else ranks.withColumn(f"{out}_of", total.scalar())
+    ranks = stored(ranks)  # of known size: the rows aren't moved for a short list of values
     return df.join(ranks, [*keys, x], "left")
 
 
