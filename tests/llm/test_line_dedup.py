@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -132,3 +133,25 @@ def test_registered_query_against_brute_force(spark, tmp_path):
                 first.setdefault(x, (d, i))
     got = {x.doc_id: (x.n_lines, [int(i) for i in x.dropped.split(",") if i]) for x in line_dedup.op2(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    x = "the quick brown fox jumps over the lazy dog " * 4
+    docs = spark.createDataFrame([(1, x + "one"), (2, x + "two"), (None, x + "one"), (3, x + "one\nother")], "doc_id long, text string")
+    before = set(os.listdir(folder))
+    out = without_repeated_lines(docs)
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["gone"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: x + "one", 2: "", 3: "other", None: ""}
+
+
+def test_earliest_line_of_a_run_is_not_compared_twice(spark, monkeypatch):
+    r, rows = random.Random(5), {}
+    tail = lambda: "".join(r.choice("abcdefghij ") for _ in range(60))
+    head = tail() + tail()
+    lines = [head + "x" + tail() + "y" for _ in range(2)]  # too far apart, with a run in common
+    counted = lambda df, name, f=line_dedup.written: (f(df, name), rows.setdefault(name, df.count()))[0]
+    monkeypatch.setattr(line_dedup, "written", counted)
+    out = without_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {x.doc_id: x.text for x in out.collect()} == dict(enumerate(lines))
+    assert rows["runs"] and rows["lines"] == 2 and rows["pairs"] == 0

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -120,3 +121,22 @@ def test_components(spark):
 def test_sets():
     ts = [t for _, t in corpus(random.Random(1))]
     assert [len(s) for s in shingle_sets([t or "" for t in ts])] == [len(reference_set(t)) for t in ts]
+
+
+def test_join_for_texts_moves_few_others(spark):
+    docs = spark.range(20_000).selectExpr("if(id = 3, null, id) AS doc_id", "cast(id AS string) AS text")
+    ids = spark.createDataFrame([(7,), (7,), (15_000,)], "doc_id long")
+    for marks, most in ((near_dups.MARKS, 20), (64, 20_000)):  # with few marks many documents share one, but none is lost
+        got = near_dups._marked(docs, ids, marks)
+        assert got.columns == docs.columns
+        got = [r.doc_id for r in got.collect()]
+        assert {7, 15_000} <= set(got) and len(set(got)) == len(got) <= most
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "i j k l m n")]
+    before = set(os.listdir(folder))
+    out = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["copies"]
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .pieces import slices
 from .shingles import U, mix
-from .store import let, text_of, written
+from .store import concluded, let, text_of, written
 
 LEAST, BLOCKS = 24, 8
 MANY = 1 << 32  # more substrings than a slice of texts has
@@ -147,8 +147,9 @@ def fetched(docs: DataFrame, some: DataFrame, classes: DataFrame, least: int) ->
     """some lines (a, b, ...) with their first place and text. One row of each is fetched, by its first place, so a frequent line sends no
     more than a rare one."""
     where = some.join(classes, _ID).withColumnRenamed("place", "first").withColumn("h", F.xxhash64("first"))
-    found = texts_of(docs, least).join(where, (F.xxhash64("place") == F.col("h")) & F.col("place").eqNullSafe(F.col("first")))
-    return written(found.drop("first", "h").dropDuplicates(_ID), "lines")
+    # A place is never null itself, and repeated rows meet in the task of their place, so they are dropped there.
+    found = texts_of(docs, least).join(where, (F.xxhash64("place") == F.col("h")) & (F.col("place") == F.col("first")))
+    return written(found.dropDuplicates(["h", "first", *_ID]).drop("first", "h"), "lines")
 
 
 def near_lines(cand: DataFrame, classes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -256,7 +257,8 @@ def _run_keys(texts: list[str], bound: Bound) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_shared(docs: DataFrame, classes: DataFrame, least: int, bound: Bound) -> DataFrame:
-    """key, a, b, place and n (characters) of the distinct lines that share a run, at about the same place, with another one of about their length."""
+    """key, a, b, place and n (characters) of the distinct lines that share a run, at about the same place, with another one of about their
+    length; a0 and n0 of the earliest of them, and how many there are (members)."""
     def keys(batches):
         for p in batches:
             texts, a = p["line"].tolist(), p["a"].to_numpy()
@@ -265,10 +267,17 @@ def run_shared(docs: DataFrame, classes: DataFrame, least: int, bound: Bound) ->
                 yield pd.DataFrame({"key": key, "a": a[i:j][row]}).drop_duplicates()
 
     texts = texts_of(docs, least).where(F.length("line") + bound.most >= bound.per).select("line", F.xxhash64("line").alias("a"))
-    part = written(shared(texts.mapInPandas(keys, "key long, a long"), ["key"]).distinct(), "runs")
-    part = part.join(classes.select(*_ID, "place", "n"), "a")
-    part = part.withColumn("size", F.explode(F.sequence(F.floor((F.col("n") - bound.most) / CELL), F.floor((F.col("n") + bound.most) / CELL))))
-    return written(shared(part, ["key", "size"], "b", "place", "n"), "open")
+    sizes = F.sequence(F.floor((F.col("n") - bound.most) / CELL), F.floor((F.col("n") + bound.most) / CELL))
+    every = lambda c: c.over(Window.partitionBy("key", "size"))
+    earliest = F.min(F.struct("place", F.col("a").alias("a0"), F.col("n").alias("n0")))
+
+    def runs() -> DataFrame:
+        part = written(shared(texts.mapInPandas(keys, "key long, a long"), ["key"]).distinct(), "runs")
+        part = part.join(classes.select(*_ID, "place", "n"), "a").withColumn("size", F.explode(sizes))
+        part = part.withColumns({"low": every(F.min("a")), "high": every(F.max("a")), "first": every(earliest), "members": every(F.count("*"))})
+        return part.where("low <> high").select("key", "size", "a", "b", "place", "n", "first.a0", "first.n0", "members")
+
+    return concluded(runs, "open")
 
 
 def far_lines(cand: DataFrame, open_: DataFrame, bound: Bound) -> DataFrame:
@@ -283,14 +292,14 @@ def far_lines(cand: DataFrame, open_: DataFrame, bound: Bound) -> DataFrame:
         return sides.where("k >= 2 AND levenshtein(line, line0, k) BETWEEN 0 AND k").select(*_ID).distinct()
 
     by, near_length = ["key", "size"], F.abs(F.col("n") - F.col("n0")) <= bound.most
-    first = open_.groupBy(*by).agg(F.min(F.struct("place", F.col("a").alias("a0"), F.col("n").alias("n0"))).alias("first"))
-    one = open_.join(first, by).select("a", "n", "first.a0", "first.n0")
-    settled = written(verified(one.where((F.col("a") != F.col("a0")) & near_length).select("a", "a0")), "settled")
-    rest = open_.join(settled.select("a"), "a", "left_anti")
-    all_ = open_.select(*by, F.col("a").alias("a0"), F.col("n").alias("n0"), F.col("place").alias("place0"))
-    size = open_.groupBy(*by).agg(F.count("*").alias("members"))
-    few = rest.join(size.where(F.col("members") <= SMALL), by).join(all_, by).where((F.col("place") > F.col("place0")) & near_length)
-    many = open_.join(size.where(F.col("members") > SMALL), by).join(settled.select("a", F.lit(True).alias("done")), "a", "left")
+    later = F.col("a") != F.col("a0")
+    settled = written(verified(open_.where(later & near_length).select("a", "a0")), "settled")
+    # The earliest line of a run has met all others: it needs no earlier one, and what it hasn't settled isn't compared with it again.
+    small = open_.where(later & (F.col("members") > 2) & (F.col("members") <= SMALL)).select(*by, "a", "n", "place")
+    rest = small.join(settled.select("a"), "a", "left_anti")
+    all_ = small.select(*by, F.col("a").alias("a0"), F.col("n").alias("n0"), F.col("place").alias("place0"))
+    few = rest.join(all_, by).where((F.col("place") > F.col("place0")) & near_length)
+    many = open_.where(F.col("members") > SMALL).drop("a0", "n0").join(settled.select("a", F.lit(True).alias("done")), "a", "left")
     pairs = few.select("a", "a0").union(within_families(many, cand, bound))
     return settled.union(verified(written(pairs.distinct(), "pairs")))
 
@@ -403,8 +412,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
         open_ = run_shared(docs, classes, least, bound)
         some = some.join(open_.select(*_ID).distinct().withColumn("run", F.lit(True)), _ID, "full")
     cand = fetched(docs, some, classes.drop("n"), least)
-    near = near_lines(cand.where("half"), classes)
-    near = written(near.union(far_lines(cand.where("run"), open_, bound)).distinct() if bound.most > 1 else near, "near")
+    one = lambda: near_lines(cand.where("half"), classes)
+    near = concluded((lambda: one().union(far_lines(cand.where("run"), open_, bound)).distinct()) if bound.most > 1 else one, "near")
     keep = classes.join(near, _ID, "left_anti").select(*_ID, F.col("place").alias("stays"))
     places = lines.select(*_ID, "place").join(keep, _ID, "left")
     gone = places.where(F.col("stays").isNull() | (F.col("stays") != F.col("place")))
@@ -413,7 +422,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
 
 def line_report(docs: DataFrame, least: int = LEAST, equal: int | None = None, bound: Bound = ONE) -> DataFrame:
     """doc_id, n_lines (that take part), n_dropped, dropped (numbers of the lines that go, from 0, joined by commas)."""
-    gone = written(repeated_lines(docs, least, equal, bound), "gone").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "dropped")
+    gone = concluded(lambda: repeated_lines(docs, least, equal, bound), "gone").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "dropped")
     n = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(OUTER))) >= (least if equal is None else equal)))
     d = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("t"), n.cast("long").alias("n_lines"))
     j = d.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u")), "left")
@@ -423,7 +432,7 @@ def line_report(docs: DataFrame, least: int = LEAST, equal: int | None = None, b
 
 def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = 1, bound: Bound = GROWING) -> DataFrame:
     """docs with all columns; text lacks the lines that go, n_chars (where there is one) is counted anew."""
-    gone = written(repeated_lines(docs, least, equal, bound), "gone").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"))
+    gone = concluded(lambda: repeated_lines(docs, least, equal, bound), "gone").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped"))
     j = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__t")), "left")
     left = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__dropped")), lambda i: F.get(ls, i)), "\n")
     text = F.when(F.col("__dropped").isNull(), docs["text"]).otherwise(let(F.split(docs["text"], "\n"), left))

@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .pieces import slices
 from .shingles import U, mix, shingle_sets
-from .store import text_of, written
+from .store import concluded, text_of, written
 from .superminhash import bands, signatures, sketches
 
 WIDTH, PLACES, ROWS, PERCENT = 5, 128, 4, 75
 FINE, MARGIN, PART, LARGE = 1024, 0.1, 1024, 1 << 14
+MARKS = 1 << 24  # bits of the filter in front of the join that fetches texts
 
 
 def signed(docs: DataFrame, width: int = WIDTH, places: int = PLACES, rows: int = ROWS) -> DataFrame:
@@ -56,6 +57,16 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "node long, shingles array<long>, sketch array<long>")
 
 
+def _marked(docs: DataFrame, ids: DataFrame, marks: int = MARKS) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, and a few others: ids set one of `marks` bits each, and that many bits at most are
+    broadcast (64 to a row). So the join behind it doesn't move the texts of all documents."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(marks))
+    slot, place = (lambda c: F.shiftright(bit(c), 6)), (lambda c: bit(c).bitwiseAND(F.lit(63)).cast("int"))
+    words = ids.groupBy(slot("doc_id").alias("__slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place("doc_id"))).alias("__word"))
+    met = docs.withColumn("__slot", slot("doc_id")).join(F.broadcast(words), "__slot")
+    return met.where(F.call_function("bit_get", "__word", place("doc_id")) == 1).select(docs.columns)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
@@ -128,8 +139,8 @@ def near_links(docs: DataFrame, sigs: DataFrame, width: int = WIDTH, percent: in
     member = banded.select(F.explode("bands").alias("band"), "node", "n")
     shared = member.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     member = written(member.join(shared, "band", "left_semi").select(F.array("band").alias("bucket"), "node", "n"), "buckets")
-    nodes = member.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), width), "sets")
+    nodes = written(member.select(F.col("node").alias("doc_id")).distinct(), "bucketed")
+    sets = written(_sets(_marked(docs.select("doc_id", "text"), nodes).join(nodes, "doc_id", "left_semi"), width), "sets")
     # Rows with one doc_id and different texts are one document.
     same = (sigs.where("doc_id IS NOT NULL").join(heads, key).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
             .where("a <> b").select("a", "b"))
@@ -161,7 +172,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, pla
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents of docs, with all columns, that are the smallest of their component. Rows with one doc_id stay or go together."""
-    gone = written(near_copies(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct(), "copies")
+    gone = concluded(lambda: near_copies(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti")
 
 

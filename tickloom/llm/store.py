@@ -2,11 +2,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.durable import shared_dir
 
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)  # tables written inside the nearest `concluded`
+
 
 def scratch(spark, name: str) -> str:
     """A new path in the shared folder of `spark.checkpoint.dir`."""
@@ -17,9 +21,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here, and lost executors lose nothing of it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if (tables := _passing.get()) is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def concluded(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make() as `written`. The tables that make() wrote on its way are deleted then; nothing but its rows may read them."""
+    mark = _passing.set(tables := [])
+    try:
+        rows = make()
+    finally:
+        _passing.reset(mark)
+    rows = written(rows, name)
+    spark = rows.sparkSession
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return rows
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: inside a lambda an expression would be computed for every element."""
     return F.transform(F.array(value), body)[0]
