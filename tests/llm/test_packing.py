@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 from collections import Counter
 
@@ -29,6 +30,16 @@ def test_ids_are_the_tokenizers():
             assert np.frombuffer(raw, "<u4").tolist() == T.encode(t, add_special_tokens=False).ids, t
 
 
+def test_runs_of_marks_behind_words():
+    w, asked = WordIds(PATH), []
+    w._ask = lambda new, ask=w._ask: (asked.extend(new), ask(new))
+    ts = ["İ", "İ", "İ, x İ;", "word&&& été### Œuvre***", "İ, x", "İ!! İ.", "it's 's!! a's' x'. x_ x_- x!'s", "e<|endoftext|> e<| |>", "ǰ? ǰ?!", "क़, क़!", "x" + string.punctuation]
+    for t in ts:
+        assert np.frombuffer(w.encode([t])[0], "<u4").tolist() == T.encode(t, add_special_tokens=False).ids, t
+    # Words of known letters with marks behind them need no pass through the whole tokenizer.
+    assert w.runs and not {"word&&&", "été###", "œuvre***"} & set(asked)
+
+
 def test_patterns_use_every_piece_once():
     r = random.Random(2)
     for _ in range(300):

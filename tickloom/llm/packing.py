@@ -11,6 +11,7 @@ Null and empty texts are one piece that holds the end id alone. Repeated rows ar
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections import Counter
@@ -28,8 +29,14 @@ CELL = 100_000
 CACHE_WORDS = 240_000  # kept, and as many seen once
 #: A private-use character between words: its ids mark where a word ends. Words that hold it are encoded alone.
 FENCE = "\ue000"
-_BEYOND = re.compile("[^\\x00-\u017f]|\u0130")
-_MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
+#: A full stop or comma before a space with another mark before it. The rare characters come first, as a search is quick to pass what lacks them.
+_MARKS = re.compile(r"[.,] (?<=[\W_][.,] )(?<!\s[.,] )")
+
+
+def _beyond(text: str) -> bool:
+    """Whether a text has characters beyond U+017F, or U+0130, whose lower case is two characters."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    return bool(c.max(initial=0) > 0x17F or (c == 0x130).any())
 
 
 @lru_cache(maxsize=1)
@@ -52,12 +59,13 @@ class WordIds:
     """Ids of whole texts from the ids of their words, which are kept for later texts.
 
     Words end at spaces and line ends, which the tokenizer drops; words of Latin letters, with or without one mark behind
-    them, go to its merges directly, others through all its steps. Whether both hold is tried on the file itself (`splits`,
-    `direct`); if not, the longer way is taken.
+    them or a run of marks, go to its merges directly, others through all its steps. Whether both hold is tried on the file itself
+    (`splits`, `direct`); if not, the longer way is taken.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         self.t, self.most = tokenizer(path), most
+        self.model = self.t.model  # a new object each time it is asked for
         self.known: dict[str, bytes] = {"": b""}
         self.once: set[str] = set()
         self.bytes = _byte_level()
@@ -69,6 +77,10 @@ class WordIds:
         tries = ("Word", "Éléphantesque", "straße", "ñandúes", "antidisestablishmentarianism", "xqzjk", "Œuvre", "ŁÓDŹ", "a")
         self.special = [x.content.lower() for x in self.t.get_added_tokens_decoder().values()]
         self.direct = all(self._letters(w) + ids == self._raw(self._plain(w + m)) for w in tries for m, ids in [("", b""), *self.marks.items()])
+        # Marks behind letters are a token run of their own, unless an added token could be cut out of them.
+        self.runs = all(x and not x[0].isalpha() and any(c.isalpha() for c in x) for x in self.special) and all(
+            self._letters(w) + self._raw(self._plain(m)) == self._raw(self._plain(w + m)) for w in tries for m in ("&&&", "!'", "'", "',.\"", "_-", string.punctuation))
+        self.ends: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.t.encode(text, add_special_tokens=False).ids
@@ -84,16 +96,21 @@ class WordIds:
             if max(word) > "\u017f" or not low.isalpha():
                 return None
             low = str(low.encode(), "latin-1").translate(self.bytes)
-        return array("I", [i.id for i in self.t.model.tokenize(low)]).tobytes()
+        return array("I", [i.id for i in self.model.tokenize(low)]).tobytes()
 
     def _learn(self, new) -> None:
         rest, known, letters, marks = [], self.known, self._letters, self.marks
+        # Other letters may turn into one with a mark behind, which joins the marks that follow (U+0130), so these words go whole.
+        base_ids = lambda x: x.isascii() and known.get(x) or letters(x)
         for w in new if self.direct else ():
             if w.isalpha():
                 ids = letters(w)
             elif w[-1] in marks and w[:-1].isalpha():
-                ids = known.get(w[:-1]) or letters(w[:-1])
+                ids = base_ids(w[:-1])
                 ids = ids and ids + marks[w[-1]]
+            elif self.runs and (base := w.rstrip(string.punctuation)).isalpha():
+                ids = base_ids(base)
+                ids = ids and ids + self._end(w[len(base):])
             else:
                 ids = None
             if ids is None:
@@ -102,6 +119,14 @@ class WordIds:
                 known[w] = ids
         self._ask(rest if self.direct else list(new))
 
+    def _end(self, marks: str) -> bytes:
+        """Ids of a run of ASCII marks."""
+        if (ids := self.ends.get(marks)) is None:
+            ids = self._raw(self._plain(marks))
+            if len(marks) <= 8 and len(self.ends) < 10_000:
+                self.ends[marks] = ids
+        return ids
+
     def _ask(self, new: list[str]) -> None:
         apart = [w for w in new if FENCE in w]
         for w in apart:
@@ -123,7 +148,7 @@ class WordIds:
 
         Only for Latin letters without combining marks, where no mark stands before a comma or a full stop, which would be one
         word with it, and where no special token would come of it."""
-        if self.direct and (text.isascii() or not _BEYOND.search(text)):
+        if self.direct and (text.isascii() or not _beyond(text)):
             low = text.lower()
             if not any(s in low for s in self.special):
                 text = low if _MARKS.search(low) else low.replace(", ", " , ").replace(". ", " . ")
