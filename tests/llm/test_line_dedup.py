@@ -155,3 +155,16 @@ def test_earliest_line_of_a_run_is_not_compared_twice(spark, monkeypatch):
     out = without_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
     assert {x.doc_id: x.text for x in out.collect()} == dict(enumerate(lines))
     assert rows["runs"] and rows["lines"] == 2 and rows["pairs"] == 0
+
+
+def test_lines_of_a_small_run_are_not_paired_before_they_are_near(spark, monkeypatch):
+    r, rows = random.Random(6), {}
+    tail = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    heads = [tail(120) for _ in range(3)]
+    lines = [h + "x" + tail(60) + "y" for h in heads for _ in range(40)]  # three runs of lines too far apart
+    near = [x[:150] + "zz" + x[152:] for x in lines[10:15]]
+    counted = lambda df, name, f=line_dedup.written: (f(df, name), rows.setdefault(name, df.count()))[0]
+    monkeypatch.setattr(line_dedup, "written", counted)
+    out = without_repeated_lines(spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string"))
+    assert {x.doc_id: x.text for x in out.collect()} == dict(enumerate(lines + [""] * 5))
+    assert rows["pairs"] <= 5

@@ -40,8 +40,8 @@ LEAST, BLOCKS = 24, 8
 MANY = 1 << 32  # more substrings than a slice of texts has
 SLICE = 1 << 19  # characters
 CELL = 64  # places; more than twice the bound
-SMALL = 64  # lines of a run that are simply joined
-FAMILY = 2048  # lines that a task compares with those of a larger run
+SMALL = 64  # lines of a run that is compared whole, in one lot with others
+FAMILY = 2048  # lines of a lot, or of a larger run, that a task compares at once
 BINS = 64
 STRIP = 256  # lines of a block that are compared at a time
 PAIRS = 8192  # pairs that are compared at a time
@@ -295,13 +295,8 @@ def far_lines(cand: DataFrame, open_: DataFrame, bound: Bound) -> DataFrame:
     later = F.col("a") != F.col("a0")
     settled = written(verified(open_.where(later & near_length).select("a", "a0")), "settled")
     # The earliest line of a run has met all others: it needs no earlier one, and what it hasn't settled isn't compared with it again.
-    small = open_.where(later & (F.col("members") > 2) & (F.col("members") <= SMALL)).select(*by, "a", "n", "place")
-    rest = small.join(settled.select("a"), "a", "left_anti")
-    all_ = small.select(*by, F.col("a").alias("a0"), F.col("n").alias("n0"), F.col("place").alias("place0"))
-    few = rest.join(all_, by).where((F.col("place") > F.col("place0")) & near_length)
-    many = open_.where(F.col("members") > SMALL).drop("a0", "n0").join(settled.select("a", F.lit(True).alias("done")), "a", "left")
-    pairs = few.select("a", "a0").union(within_families(many, cand, bound))
-    return settled.union(verified(written(pairs.distinct(), "pairs")))
+    rest = open_.where(later & (F.col("members") > 2)).select(*by, "a", "place").join(settled.select("a", F.lit(True).alias("done")), "a", "left")
+    return settled.union(verified(written(within_families(rest, cand, bound), "pairs")))
 
 
 def _sketch(lines: list[str]) -> np.ndarray:
@@ -338,8 +333,8 @@ def _near(x: np.ndarray, y: np.ndarray, k: np.ndarray, sums: np.ndarray, at: np.
     return ok
 
 
-def _first_near(texts: list[str], own: int, rank: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the first `own` texts one of the others that comes before it (rank) and is within the bound, if there is one.
+def _first_near(texts: list[str], own: int, rank: np.ndarray, run: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first `own` texts one of the others in its run that comes before it (rank) and is within the bound, if there is one.
 
     Others whose sketches differ by more than 4 characters for each edit are left out, as that many edits can't make them. The closest
     by sketch is tried first, so that all others are only tried for texts that it doesn't settle."""
@@ -348,10 +343,13 @@ def _first_near(texts: list[str], own: int, rank: np.ndarray, bound: Bound) -> t
     back[0] = 1
     back, n = np.multiply.accumulate(back), np.diff(at)
     found, other = [], []
+    by_run = own + np.argsort(run[own:], kind="stable")
+    first, last = (np.searchsorted(run[by_run], run[:own], side=x) for x in ("left", "right"))
     for f in range(0, own, STRIP):
         xs, ys, ks, begin = [], [], [], [0]
         for i in range(f, min(f + STRIP, own)):
-            y = own + np.flatnonzero((rank[own:] < rank[i]) & (np.abs(n[own:] - n[i]) <= bound.most))
+            y = by_run[first[i]:last[i]]
+            y = y[(rank[y] < rank[i]) & (np.abs(n[y] - n[i]) <= bound.most)]
             k = np.minimum(bound.most, 1 + np.maximum(n[y], n[i]) // bound.per)
             far = np.abs(sketch[y] - sketch[i]).sum(axis=1)
             y, k, far = (z[(far <= 4 * k) & (np.abs(n[y] - n[i]) <= k)] for z in (y, k, far))
@@ -376,29 +374,34 @@ def _first_near(texts: list[str], own: int, rank: np.ndarray, bound: Bound) -> t
 def within_families(many: DataFrame, cand: DataFrame, bound: Bound) -> DataFrame:
     """a and an earlier a0 of the same run (key, size) within the bound, one in each block, for the lines that aren't done.
 
-    The lines of a run that aren't done are dealt to blocks of about FAMILY, and so are all lines of the run; each two blocks meet in one
-    task, which holds no more than their lines however large the run is."""
+    Runs of up to SMALL lines are dealt whole to lots of about FAMILY lines. The lines of a larger run that aren't done are dealt to blocks of
+    about FAMILY, and so are all lines of the run; each two blocks meet in one task, which holds no more than their lines however large the run
+    is. No pair of lines is a row before it is found near."""
     by, id_type = ["key", "size"], many.schema["place"].dataType["doc_id"].dataType
-    m = written(many.join(cand.select("a", "line"), "a"), "families")
-    size = m.groupBy(*by).agg(F.count("*").alias("all"), F.count_if(F.col("done").isNull()).alias("open")).where("open > 0")
-    m = m.join(size, by).select(
-        *by, "a", "line", "done", "place.late", F.coalesce("place.doc_id", F.lit(0).cast(id_type)).alias("doc_id"), "place.t", "place.line_no",
-        F.ceil(F.col("open") / FAMILY).alias("rows"), F.ceil(F.col("all") / FAMILY).alias("cols"))
+    every = many.groupBy(*by).agg(F.count("*").alias("all"), F.count_if(F.col("done").isNull()).alias("open"))
+    runs = written(every.where("open > 0 AND all > 1").withColumn("large", F.col("all") > SMALL), "families")
+    lots = max(1, -(-(runs.where("NOT large").agg(F.sum("all")).first()[0] or 0) // FAMILY))
+    lot = F.when(F.col("large"), F.col("key")).otherwise(F.pmod(F.xxhash64(*by), F.lit(lots)))
+    blocks = lambda c: F.when(F.col("large"), F.ceil(F.col(c) / FAMILY)).otherwise(1)
+    runs = runs.select(*by, "large", lot.alias("lot"), F.when(F.col("large"), F.col("size")).otherwise(-1).alias("part"), blocks("open").alias("rows"), blocks("all").alias("cols"))
+    m = written(many.join(runs, by).join(cand.select("a", "line"), "a").select(
+        *by, "large", "lot", "part", "rows", "cols", "a", "line", "done",
+        "place.late", F.coalesce("place.doc_id", F.lit(0).cast(id_type)).alias("doc_id"), "place.t", "place.line_no"), "members")
     dealt = lambda n: F.pmod(F.xxhash64("a"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     order = ["late", "doc_id", "t", "line_no"]
     own = m.where("done IS NULL").withColumn("i", dealt("rows")).withColumn("j", each("cols"))
     met = m.withColumn("j", dealt("cols")).withColumn("i", each("rows"))
-    block = [*by, "i", "j"]
+    block = ["large", "lot", "part", "i", "j"]
 
     def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         both = pd.concat([p, q], ignore_index=True)
-        rank = both.groupby(order, sort=True, dropna=False).ngroup().to_numpy()
-        x, y = _first_near(both["line"].tolist(), len(p), rank, bound) if len(p) and len(q) else ([], [])
+        rank, run = (both.groupby(c, sort=True, dropna=False).ngroup().to_numpy() for c in (order, by))
+        x, y = _first_near(both["line"].tolist(), len(p), rank, run, bound) if len(p) and len(q) else ([], [])
         a = both["a"].to_numpy(dtype=np.int64)
         return pd.DataFrame({"a": a[x], "a0": a[y]} if len(x) else {"a": a[:0], "a0": a[:0]})
 
-    cols = [F.col(c).alias(c) for c in (*block, "a", "line", *order)]  # new names, as both sides come from one table
+    cols = [F.col(c).alias(c) for c in (*block, *by, "a", "line", *order)]  # new names, as both sides come from one table
     return own.select(cols).groupBy(*block).cogroup(met.select(cols).groupBy(*block)).applyInPandas(compare, "a long, a0 long").distinct()
 
 
